@@ -7,7 +7,8 @@ the work is spread instead:
 
 1. count rows per (keys, value)             -- partial aggregation, hash shuffle
 2. range-partition those counts on (keys, value) and tag each row with its
-   partition id; checkpoint so both consumers see the same assignment
+   partition id; write them to the checkpoint folder so both consumers
+   read the same assignment
 3. cumulative counts inside (partition, keys) -- window, balanced by partition
 4. per-partition subtotals -> offsets by a window over at most P rows per key
 5. join offsets back: every (keys, value) knows how many rows precede it.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimledger.session import checkpoint_dir
+from claimledger.session import checkpoint_dir, materialize
 
 
 def _num_partitions(df: DataFrame, partitions: int | None) -> int:
@@ -43,7 +44,7 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str,
                 .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")))
     ranged = (counts.repartitionByRange(p, *[F.col(k) for k in keys], F.col(value))
                     .withColumn("_pid", F.spark_partition_id()))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged)
     grp = ["_pid", *keys]
     w_local = (Window.partitionBy(*grp).orderBy(value)
                      .rowsBetween(Window.unboundedPreceding, -1))
@@ -54,11 +55,19 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str,
                     key_part.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .withColumn("n", F.sum("_ps").over(key_part))
                .drop("_ps"))
-    out = (local.join(offs, on=grp, how="inner")
-                .select(*keys, value, "cnt", (F.col("_off") + F.col("_lb")).alias("before"), "n"))
+    out = (join_null_safe(local, offs, grp)
+           .select(*keys, value, "cnt", (F.col("_off") + F.col("_lb")).alias("before"), "n"))
     return out
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` where NULL keys match NULL keys (group keys may
+    be NULL); keeps one copy of the key columns."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value, probs: list[float],
                     partitions: int | None = None) -> DataFrame:
     """(keys..., p, q): linear interpolation between order statistics

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimledger.registry import Registry, Rule
+from claimledger.registry import Registry, Rule, chain_columns
 
 
 def normalise_rule_id(rid: str) -> str:
@@ -19,19 +19,19 @@ def normalise_rule_id(rid: str) -> str:
 
 def drop_equal(rid: str, col: str, value) -> Rule:
     """Drop rows equal to a sentinel; rows with a missing value stay."""
-    return Rule(rid, keep=~F.col(col).eqNullSafe(F.lit(value)),
+    return Rule(rid, keep=lambda c: ~c(col).eqNullSafe(F.lit(value)),
                 description=f"drop {col} == {value!r}, keep missing")
 
 
 def mask_equal(rid: str, col: str, value) -> Rule:
     """Replace a sentinel by NULL; the row count is unchanged."""
-    c = F.col(col)
-    return Rule(rid, masks=((col, F.when(~c.eqNullSafe(F.lit(value)), c)),),
+    return Rule(rid, masks=((col, lambda c: F.when(~c(col).eqNullSafe(F.lit(value)), c(col))),),
                 description=f"mask {col} == {value!r}")
 
 
 def row_all(cols: list[str], pred) -> Column:
-    """Every listed column satisfies ``pred``; missing counts as false."""
+    """Every listed column satisfies ``pred``; missing counts as false.
+    Usable inside rules as ``keep_where(id, lambda c: row_all(...))``."""
     return reduce(lambda a, b: a & b, [F.coalesce(pred(F.col(c)), F.lit(False)) for c in cols])
 
 
@@ -40,26 +40,27 @@ def row_any(cols: list[str], pred) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(pred(F.col(c)), F.lit(False)) for c in cols])
 
 
-def keep_where(rid: str, pred: Column, description: str = "") -> Rule:
-    return Rule(rid, keep=F.coalesce(pred, F.lit(False)), description=description)
+def keep_where(rid: str, pred, description: str = "") -> Rule:
+    """Keep rows meeting ``pred`` (a function of a column accessor, e.g.
+    ``lambda c: c("x") > 5``); missing inputs count as false."""
+    return Rule(rid, keep=lambda c: F.coalesce(pred(c), F.lit(False)), description=description)
 
 
 def range_rule(rid: str, col: str, lower=None, upper=None) -> Rule:
     """C4: time/range cutoff, inclusive lower bound, exclusive upper bound."""
-    c = F.col(col)
-    pred = F.lit(True)
-    if lower is not None:
-        pred = pred & (c >= F.lit(lower))
-    if upper is not None:
-        pred = pred & (c < F.lit(upper))
-    return Rule(rid, keep=F.coalesce(pred, F.lit(False)),
-                description=f"{col} in [{lower}, {upper})")
+    def keep(c):
+        pred = F.lit(True)
+        if lower is not None:
+            pred = pred & (c(col) >= F.lit(lower))
+        if upper is not None:
+            pred = pred & (c(col) < F.lit(upper))
+        return F.coalesce(pred, F.lit(False))
+    return Rule(rid, keep=keep, description=f"{col} in [{lower}, {upper})")
 
 
 def recode_rule(rid: str, col: str, domain: list) -> Rule:
     """C4: closed domain; values outside it become NULL."""
-    c = F.col(col)
-    return Rule(rid, masks=((col, F.when(c.isin(domain), c)),),
+    return Rule(rid, masks=((col, lambda c: F.when(c(col).isin(domain), c(col))),),
                 description=f"{col} in {domain} else NULL")
 
 
@@ -92,14 +93,12 @@ def attrition(df: DataFrame, ids: list[str], registry: Registry) -> DataFrame:
     rules = [registry.rules[normalise_rule_id(r)] for r in ids]
     spark = df.sparkSession
     if all(r.row_local for r in rules):
-        cur = df.withColumn("_keep0", F.lit(True))
-        for i, r in enumerate(rules, start=1):
-            if r.masks:
-                cur = cur.withColumns(dict(r.masks))
-            k = r.keep if r.keep is not None else F.lit(True)
-            cur = cur.withColumn(f"_keep{i}", F.col(f"_keep{i-1}") & F.coalesce(k, F.lit(False)))
-        sums = [F.sum(F.col(f"_keep{i}").cast("long")).alias(f"s{i}") for i in range(len(rules) + 1)]
-        row = cur.agg(*sums)
+        flags = []
+        for i in range(1, len(rules) + 1):
+            _, flag = chain_columns(rules[:i], df.columns)
+            flags.append(flag)
+        sums = [F.count(F.lit(1)).alias("s0")] + [F.count_if(f).alias(f"s{i}") for i, f in enumerate(flags, 1)]
+        row = df.agg(*sums)
         steps = F.array(*[F.struct(F.lit(i).alias("step"),
                                    F.lit(ids[i - 1] if i else None).cast("string").alias("rule_id"),
                                    F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("long").alias("rows"))

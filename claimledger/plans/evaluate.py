@@ -1,10 +1,14 @@
-"""evaluate(): compute many measures over one filtered frame.
+"""evaluate(): compute many measures over filtered frames.
 
 All algebraic parts of all measures go into ONE aggregate together with the
-row count (one scan, partial aggregation map-side).  Exact quantiles and rank
-correlations need an ordering and run as their own distributed sub-plans on
-the same filtered frame.  Output is long form so that unlike measures can be
-unioned and joined to claims.
+row count (partial aggregation map-side).  All exact quantiles share ONE
+distributed cumulative-count pass, and all rank correlations share another,
+however many measures and groups ask for them.
+
+``evaluate_groups`` goes further for replay: every (rule chain, key column)
+group over one source is evaluated from a SINGLE scan.  Each row is expanded
+into one copy per group it survives (masks applied per group, dropped copies
+never materialised); the group index then becomes an ordinary grouping key.
 """
 
 from __future__ import annotations
@@ -15,32 +19,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimledger.operators.measures import pearson
-from claimledger.operators.ordered import average_ranks, exact_quantiles
-from claimledger.registry import Agg, Measure, Quantile, RankCorr
+from claimledger.operators.ordered import cumulative_counts, join_null_safe
+from claimledger.registry import Agg, Measure, Quantile, RankCorr, Rule, chain_columns
 
 VALUE_COLS = ["measure", "part", "num", "flag"]
 
 
+def referenced_columns(df: DataFrame, exprs: list[Column]) -> set[str]:
+    """Names of the columns of ``df`` the expressions read (analysis only)."""
+    names: set[str] = set()
+    for e in exprs:
+        it = df.limit(0).agg(e)._jdf.queryExecution().analyzed().references().iterator()
+        while it.hasNext():
+            names.add(it.next().name())
+    return names
+
+
+def _part_exprs(m: Measure) -> list[Column]:
+    out = []
+    for _, spec in m.parts:
+        if isinstance(spec, Agg):
+            out.append(spec.expr)
+        elif isinstance(spec, Quantile):
+            out.append(F.max(spec.expr))
+        elif isinstance(spec, RankCorr):
+            out += [F.max(F.col(spec.x)), F.max(F.col(spec.y))]
+    return out
+
+
 def analyse(df: DataFrame, measures: list[Measure]) -> tuple[list[Measure], dict[str, str]]:
     """Split measures into those that analyse on ``df`` and those that do not.
 
-    Runs on an empty projection: analysis only, no job.  One broken measure
-    fails its own claims, never the batch.
+    Analysis only, no job: one broken measure fails its own claims, never
+    the batch.
     """
     good, bad = [], {}
     empty = df.limit(0)
     for m in measures:
         try:
-            exprs = []
-            for _, spec in m.parts:
-                if isinstance(spec, Agg):
-                    exprs.append(spec.expr)
-                elif isinstance(spec, Quantile):
-                    exprs.append(F.max(spec.expr))
-                elif isinstance(spec, RankCorr):
-                    exprs.append(F.max(F.col(spec.x)))
-                    exprs.append(F.max(F.col(spec.y)))
-            empty.agg(*exprs).schema  # noqa: B018 - forces analysis
+            empty.agg(*_part_exprs(m)).schema  # noqa: B018 - forces analysis
             good.append(m)
         except Exception as e:  # AnalysisException and friends
             bad[m.name] = f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"
@@ -57,17 +74,15 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
     keys = list(keys or [])
     aggs: list[tuple[str, str, Column, bool]] = []
     quants: dict[str, tuple[Column, list[tuple[str, str, float]]]] = {}
-    ranks: list[tuple[str, str, RankCorr]] = []
+    ranks: dict[tuple[str, str], list[tuple[str, str]]] = {}
     for m in measures:
         for pname, spec in m.parts:
             if isinstance(spec, Agg):
-                is_bool = m.kind == "boolean"
-                aggs.append((m.name, pname, spec.expr, is_bool))
+                aggs.append((m.name, pname, spec.expr, m.kind == "boolean"))
             elif isinstance(spec, Quantile):
-                k = str(spec.expr)
-                quants.setdefault(k, (spec.expr, []))[1].append((m.name, pname, float(spec.p)))
+                quants.setdefault(str(spec.expr), (spec.expr, []))[1].append((m.name, pname, float(spec.p)))
             elif isinstance(spec, RankCorr):
-                ranks.append((m.name, pname, spec))
+                ranks.setdefault((spec.x, spec.y), []).append((m.name, pname))
             else:
                 raise TypeError(f"unknown measure part {spec!r}")
 
@@ -83,42 +98,104 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
                             (F.col(f"_a{i}").cast("boolean") if b else F.lit(None).cast("boolean")).alias("flag"))
                    for i, (mn, pn, _, b) in enumerate(aggs)]
         frames.append(main.select(*keys, F.inline(F.array(*structs))))
-
-    for expr, uses in quants.values():
-        probs = sorted({p for _, _, p in uses})
-        q = exact_quantiles(df, keys, expr, probs)
-        mapping = F.array(*[F.struct(F.lit(p).alias("_mp"), F.lit(mn).alias("measure"), F.lit(pn).alias("part"))
-                            for mn, pn, p in uses])
-        frames.append(q.select(*keys, "p", "q", F.inline(mapping))
-                       .where(F.col("p") == F.col("_mp"))
-                       .select(*keys, "measure", "part", F.col("q").alias("num"),
-                               F.lit(None).cast("boolean").alias("flag")))
-
-    for mn, pn, rc in ranks:
-        frames.append(_rank_corr(df, keys, rc.x, rc.y)
-                      .select(*keys, F.lit(mn).alias("measure"), F.lit(pn).alias("part"),
-                              F.col("r").alias("num"), F.lit(None).cast("boolean").alias("flag")))
+    if quants:
+        frames.append(_quantiles(df, keys, list(quants.values())))
+    if ranks:
+        frames.append(_rank_corrs(df, keys, ranks))
 
     if not frames:
-        schema = ", ".join([f"`{k}` string" for k in keys] + ["measure string", "part string",
-                                                             "num double", "flag boolean"])
+        schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+                           + ["measure string", "part string", "num double", "flag boolean"])
         values = df.sparkSession.createDataFrame([], schema)
     else:
         values = reduce(DataFrame.unionByName, frames)
     return rows, values
 
 
-def _rank_corr(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Spearman r: Pearson of average ranks over pairwise-complete rows."""
-    pair = df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).where(
-        F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    rx = average_ranks(pair, keys, "_x").withColumnRenamed("rank", "_rx")
-    if x == y:
-        ranked = pair.join(rx, on=[*keys, "_x"]).withColumn("_ry", F.col("_rx"))
-    else:
-        ry = average_ranks(pair, keys, "_y").withColumnRenamed("rank", "_ry")
-        ranked = pair.join(rx, on=[*keys, "_x"]).join(ry, on=[*keys, "_y"])
-    return ranked.groupBy(*keys).agg(pearson(F.col("_rx"), F.col("_ry")).alias("r"))
+def _quantiles(df: DataFrame, keys: list[str], specs: list[tuple[Column, list[tuple[str, str, float]]]]) -> DataFrame:
+    """Every quantile of every expression in one cumulative pass."""
+    stacked = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(e).alias("_e"), expr.cast("double").alias("_v")) for e, (expr, _) in enumerate(specs)])
+    ).alias("_s")).select(*keys, "_s._e", "_s._v")
+    cum = cumulative_counts(stacked, keys + ["_e"], "_v")
+    probs = sorted({p for _, uses in specs for _, _, p in uses})
+    aggs = []
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1) * F.lit(p)
+        lo, hi = F.floor(h), F.ceil(h)
+        covers = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("cnt"))
+        aggs += [F.max(F.when(covers(lo), F.col("_v"))).alias(f"lo{i}"),
+                 F.max(F.when(covers(hi), F.col("_v"))).alias(f"hi{i}"),
+                 F.first(h - lo).alias(f"fr{i}")]
+    g = cum.groupBy(*keys, "_e").agg(*aggs)
+    qs = F.array(*[F.struct(F.lit(p).alias("p"),
+                            (F.col(f"lo{i}") + F.col(f"fr{i}") * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias("q"))
+                   for i, p in enumerate(probs)])
+    mapping = F.array(*[F.struct(F.lit(e).alias("_me"), F.lit(p).alias("_mp"), F.lit(mn).alias("measure"),
+                                 F.lit(pn).alias("part"))
+                        for e, (_, uses) in enumerate(specs) for mn, pn, p in uses])
+    return (g.select(*keys, "_e", F.inline(qs)).select(*keys, "_e", "p", "q", F.inline(mapping))
+             .where((F.col("_e") == F.col("_me")) & (F.col("p") == F.col("_mp")))
+             .select(*keys, "measure", "part", F.col("q").alias("num"), F.lit(None).cast("boolean").alias("flag")))
+
+
+def _rank_corrs(df: DataFrame, keys: list[str], pairs: dict[tuple[str, str], list[tuple[str, str]]]) -> DataFrame:
+    """Spearman r of every pair: Pearson of average ranks over the
+    pairwise-complete rows; all ranks come from one cumulative pass."""
+    plist = list(pairs)
+    rows = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(r).alias("_r"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+        for r, (x, y) in enumerate(plist)])).alias("_s")).select(*keys, "_s._r", "_s._x", "_s._y")
+    rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    sides = rows.select(*keys, "_r", F.explode(F.array(
+        F.struct(F.lit(0).alias("_side"), F.col("_x").alias("_val")),
+        F.struct(F.lit(1).alias("_side"), F.col("_y").alias("_val")))).alias("_t")).select(
+        *keys, "_r", "_t._side", "_t._val")
+    cum = cumulative_counts(sides, keys + ["_r", "_side"], "_val")
+    rk = cum.select(*keys, "_r", "_side", "_val", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("_rank"))
+    rx = rk.where(F.col("_side") == 0).select(*keys, "_r", F.col("_val").alias("_x"), F.col("_rank").alias("_rx"))
+    ry = rk.where(F.col("_side") == 1).select(*keys, "_r", F.col("_val").alias("_y"), F.col("_rank").alias("_ry"))
+    ranked = join_null_safe(join_null_safe(rows, rx, [*keys, "_r", "_x"]), ry, [*keys, "_r", "_y"])
+    corr = ranked.groupBy(*keys, "_r").agg(pearson(F.col("_rx"), F.col("_ry")).alias("_rho"))
+    mapping = F.array(*[F.struct(F.lit(r).alias("_mr"), F.lit(mn).alias("measure"), F.lit(pn).alias("part"))
+                        for r, pair in enumerate(plist) for mn, pn in pairs[pair]])
+    return (corr.select(*keys, "_r", "_rho", F.inline(mapping)).where(F.col("_r") == F.col("_mr"))
+                .select(*keys, "measure", "part", F.col("_rho").alias("num"),
+                        F.lit(None).cast("boolean").alias("flag")))
+
+
+def stack_groups(df: DataFrame, groups: list[tuple[list[Rule], str | None]], needed: set[str]) -> DataFrame:
+    """One scan, many rule chains: (_g, _gk, needed columns...) with one row
+    per (input row, group it survives).  Only row-local chains are allowed."""
+    cols = [c for c in df.columns if c in needed]
+    structs = []
+    for g, (chain, key) in enumerate(groups):
+        acc, flag = chain_columns(chain, cols)
+        gk = acc.get(key, F.col(key)).cast("string") if key else F.lit(None).cast("string")
+        structs.append(F.struct(F.lit(g).alias("_g"), gk.alias("_gk"), flag.alias("_keep"),
+                                *[acc[c].alias(c) for c in cols]))
+    kept = F.filter(F.array(*structs), lambda s: s["_keep"])
+    return (df.select(F.explode(kept).alias("_s"))
+              .select(F.col("_s._g").alias("_g"), F.col("_s._gk").alias("_gk"), *[F.col(f"_s.{c}") for c in cols]))
+
+
+def evaluate_groups(df: DataFrame, groups: list[tuple[list[Rule], str | None]], measures: list[Measure]
+                    ) -> tuple[DataFrame, DataFrame]:
+    """All groups over one source from one scan: (rows, values) keyed by
+    (_g, _gk).  Measures are evaluated for every group (the extra work is
+    CPU on rows already in memory; the scan is shared)."""
+    exprs = [e for m in measures for e in _part_exprs(m)]
+    rule_exprs = []
+    for chain, key in groups:
+        for r in chain:
+            if r.keep is not None:
+                rule_exprs.append(F.max(r.keep(F.col)))
+            rule_exprs += [F.max(m(F.col)) for _, m in r.masks]
+        if key:
+            rule_exprs.append(F.max(F.col(key)))
+    needed = referenced_columns(df, exprs + rule_exprs) if exprs or rule_exprs else set()
+    stacked = stack_groups(df, groups, needed)
+    return evaluate(stacked, measures, ["_g", "_gk"])
 
 
 def assemble(values: DataFrame, measures: list[Measure], keys: list[str] | None = None) -> DataFrame:

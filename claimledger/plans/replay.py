@@ -23,8 +23,9 @@ from claimledger.functions.compare import (compare_boolean, compare_distribution
                                            compare_matrix, compare_scalar, resolve_tolerance)
 from claimledger.functions.nulls import normalise_nans
 from claimledger.operators.rules import apply_rules, normalise_rule_id
-from claimledger.plans.evaluate import analyse, assemble, evaluate
+from claimledger.plans.evaluate import analyse, assemble, evaluate, evaluate_groups
 from claimledger.registry import Registry
+from claimledger.session import materialize
 
 GROUP_COLS = ["source", "fkey", "group_by"]
 R_MEASURE_ERROR = "measure_error"
@@ -74,27 +75,54 @@ def compute_groups(spark: SparkSession, groups: list[tuple[str, str, str | None,
                    registry: Registry) -> tuple[DataFrame, DataFrame, dict[tuple, str]]:
     """Evaluate every (source, rule chain, key column) group.
 
-    ``groups`` items are (source, fkey, group_by, measure names).  Returns
-    (results, rows, broken) where broken maps (source, fkey, group_by,
-    measure) to an error text.
+    Groups over one source whose chains are row-local share ONE scan
+    (``evaluate_groups``); a chain holding a frame-level rule is evaluated
+    on its own.  ``groups`` items are (source, fkey, group_by, measure
+    names).  Returns (results, rows, broken) where broken maps
+    (source, fkey, group_by, measure) to an error text.
     """
     results, rows, broken = [], [], {}
+    by_source: dict[str, list[tuple[str, str | None, list[str]]]] = {}
     for source, fkey, group_by, names in groups:
-        df = normalise_nans(registry.sources[source](spark))
-        ids = [normalise_rule_id(x) for x in fkey.split("|")] if fkey else []
-        df = apply_rules(df, ids, registry)
-        measures = [registry.measures[n] for n in names]
-        good, bad = analyse(df, measures)
-        for n, err in bad.items():
-            broken[(source, fkey, group_by, n)] = err
-        keys = [group_by] if group_by else []
-        rws, vals = evaluate(df, good, keys)
-        asm = assemble(vals, good, keys)
-        gk = F.col(group_by).cast("string") if group_by else F.lit(None).cast("string")
-        tag = [F.lit(source).alias("source"), F.lit(fkey).alias("fkey"),
-               F.lit(group_by).cast("string").alias("group_by"), gk.alias("group_key")]
-        results.append(asm.select(*tag, "measure", "kind", "num", "flag", "dist", "matrix"))
-        rows.append(rws.select(*tag, "rows"))
+        by_source.setdefault(source, []).append((fkey, group_by, names))
+    for source, items in by_source.items():
+        base = normalise_nans(registry.sources[source](spark))
+        fused, alone = [], []
+        for fkey, group_by, names in items:
+            chain = [registry.rules[normalise_rule_id(x)] for x in fkey.split("|")] if fkey else []
+            (fused if all(r.row_local for r in chain) else alone).append((fkey, group_by, names, chain))
+        batches = []
+        if fused:
+            batches.append(("fused", fused))
+        batches += [("alone", [x]) for x in alone]
+        for mode, members in batches:
+            names = sorted({n for _, _, ns, _ in members for n in ns})
+            measures = [registry.measures[n] for n in names]
+            probe = base
+            good, bad = analyse(probe, measures)
+            for fkey, group_by, ns, _ in members:
+                for n in ns:
+                    if n in bad:
+                        broken[(source, fkey, group_by, n)] = bad[n]
+            if mode == "fused":
+                rws, vals = evaluate_groups(base, [(chain, gb) for _, gb, _, chain in members], good)
+            else:
+                fkey, group_by, _, chain = members[0]
+                df = apply_rules(base, [r.id for r in chain], registry)
+                gk = F.col(group_by).cast("string") if group_by else F.lit(None).cast("string")
+                df = df.withColumn("_g", F.lit(0)).withColumn("_gk", gk)
+                rws, vals = evaluate(df, good, ["_g", "_gk"])
+            asm = assemble(vals, good, ["_g", "_gk"])
+            gmap = F.array(*[F.struct(F.lit(i).alias("_mg"), F.lit(fkey).alias("fkey"),
+                                      F.lit(gb).cast("string").alias("group_by"))
+                             for i, (fkey, gb, _, _) in enumerate(members)])
+
+            def tag(d: DataFrame) -> DataFrame:
+                return (d.select("*", F.inline(gmap)).where(F.col("_g") == F.col("_mg"))
+                         .withColumn("source", F.lit(source)).withColumnRenamed("_gk", "group_key"))
+            results.append(tag(asm).select("source", "fkey", "group_by", "group_key", "measure", "kind",
+                                           "num", "flag", "dist", "matrix"))
+            rows.append(tag(rws).select("source", "fkey", "group_by", "group_key", "rows"))
     if not results:
         return (spark.createDataFrame([], RESULT_SCHEMA), spark.createDataFrame([], ROWS_SCHEMA), broken)
     return reduce(DataFrame.unionByName, results), reduce(DataFrame.unionByName, rows), broken
@@ -117,7 +145,7 @@ def replay(claims: DataFrame, registry: Registry, fingerprints: DataFrame | None
     expected_num, actual_num, expected_rows, rows.
     """
     spark = claims.sparkSession
-    c = precheck(claims, registry, fingerprints)
+    c = materialize(precheck(claims, registry, fingerprints))
     replayable = F.col("check_type").isin(M.REPLAYABLE_TYPES)
     pending = c.where(F.col("pre_reason").isNull() & replayable)
     groups = distinct_groups(pending)

@@ -11,19 +11,25 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+Accessor = Callable[[str], Column]
 
 
 @dataclass(frozen=True)
 class Rule:
     """A named cleanup rule ``DR-NNN``.
 
-    Row-local rules are given as a keep predicate and/or column masks; they
-    fuse into one projection and support one-pass attrition.  Any other rule
-    is a ``DataFrame -> DataFrame`` function.
+    Row-local rules are a keep predicate and/or column masks, each written
+    as a function of a column accessor (``lambda c: c("x") != 0``).  Written
+    that way, a chain of rules can be evaluated on any version of the
+    columns, so many chains over one source fuse into a single scan.  Any
+    other rule is a ``DataFrame -> DataFrame`` function.
     """
     id: str
-    keep: Column | None = None
-    masks: tuple[tuple[str, Column], ...] = ()
+    keep: Callable[[Accessor], Column] | None = None
+    masks: tuple[tuple[str, Callable[[Accessor], Column]], ...] = ()
     fn: Callable[[DataFrame], DataFrame] | None = None
     description: str = ""
 
@@ -35,9 +41,9 @@ class Rule:
         if self.fn is not None:
             return self.fn(df)
         if self.masks:
-            df = df.withColumns(dict(self.masks))
+            df = df.withColumns({c: m(F.col) for c, m in self.masks})
         if self.keep is not None:
-            df = df.filter(self.keep)
+            df = df.filter(F.coalesce(self.keep(F.col), F.lit(False)))
         return df
 
     def definition(self) -> str:
@@ -49,10 +55,29 @@ class Rule:
             except (OSError, TypeError):
                 body = repr(self.fn)
         else:
-            body = f"keep={self.keep!s};masks=" + ";".join(f"{k}={v!s}" for k, v in self.masks)
+            keep = str(self.keep(F.col)) if self.keep is not None else ""
+            body = f"keep={keep};masks=" + ";".join(f"{k}={m(F.col)!s}" for k, m in self.masks)
         return f"{self.id}\n{body}"
 
 
+def chain_columns(rules: list[Rule], columns: list[str]) -> tuple[dict[str, Column], Column]:
+    """Evaluate a row-local chain symbolically: (column -> expression after
+    the chain's masks, keep flag).  Each rule sees the columns as the rules
+    before it left them."""
+    acc: dict[str, Column] = {c: F.col(c) for c in columns}
+    flag = F.lit(True)
+    for r in rules:
+        if r.masks:
+            snap = dict(acc)
+            get = lambda n, snap=snap: snap.get(n, F.col(n))
+            for c, m in r.masks:
+                acc[c] = m(get)
+        if r.keep is not None:
+            cur = dict(acc)
+            flag = flag & F.coalesce(r.keep(lambda n, cur=cur: cur.get(n, F.col(n))), F.lit(False))
+    return acc, flag
+
+
 @dataclass(frozen=True)
 class Agg:
     """One algebraic aggregate part of a measure (combines map-side)."""

@@ -27,6 +27,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        # local mode: the driver JVM is the only executor
+        b = b.config("spark.driver.memory", os.environ.get("CLAIMLEDGER_DRIVER_MEMORY", "12g"))
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
     if shuffle_partitions:
@@ -49,3 +51,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut lineage by writing a table into the shared checkpoint folder and
+    reading it back.
+
+    Used where a frame is read by several plans (claim tables, the range-
+    partitioned count tables of the ordered operators): each plan then
+    starts from stored rows, a lost executor does not force recomputation
+    of the upstream plan, and the file statistics let AQE size joins.
+    Unlike ``checkpoint()`` the input is computed once.  Partitioning is
+    kept as written: files are read back one task per written partition
+    when ``keep_partitions`` is needed by the caller.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/mat-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)

@@ -103,7 +103,11 @@ def typed(ledger: DataFrame) -> DataFrame:
     """Typed view of well-formed findings (objects only), used by replay,
     registration and status."""
     p = parse(ledger) if "v" not in ledger.columns else ledger
-    p = p.where(is_object(F.expr("schema_of_variant(v)")))
+    # Non-objects keep a NULL variant (all fields NULL) instead of being
+    # filtered: a filter on ``v`` is pushed below the parse and copies its
+    # whole expression, which grows the plan with every parse/serialise
+    # round trip.  Such rows are reported by ``document_violations``.
+    p = p.withColumn("v", F.when(is_object(F.expr("schema_of_variant(v)")), F.col("v")))
     code_path = get("$.code_path", "string")
     vt = vtype("$.value")
     tol_t = vtype("$.tolerance")
@@ -112,6 +116,8 @@ def typed(ledger: DataFrame) -> DataFrame:
         "project",
         get("$.id", "string").alias("id"),
         get("$.claim", "string").alias("claim"),
+        F.expr("variant_get(v, '$.value', 'variant')").alias("value_v"),
+        get("$.n", "bigint").alias("n"),
         get("$.check_type", "string").alias("check_type"),
         code_path.alias("code_path"),
         F.when(code_path.contains(":"), F.substring_index(code_path, ":", -1)).alias("measure"),
@@ -123,6 +129,7 @@ def typed(ledger: DataFrame) -> DataFrame:
         get("$.quote", "string").alias("quote"),
         get("$.source_locator", "string").alias("source_locator"),
         F.coalesce(F.size(sources), F.lit(0)).alias("n_sources"),
+        sources.alias("sources"),
         sources[0]["path"].alias("source"),
         sources[0]["sha256"].alias("source_sha256"),
         get("$.input.columns", "array<string>").alias("columns"),
@@ -164,3 +171,36 @@ def write_ledger(ledger: DataFrame, root: str) -> str:
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     current = spark.read.text(f"{root.rstrip('/')}/_CURRENT").first()[0]
     return spark.read.parquet(current)
+
+
+def _null_if_empty_struct(fields: list[Column], names: list[str]) -> Column:
+    any_set = F.lit(False)
+    for f in fields:
+        any_set = any_set | f.isNotNull()
+    return F.when(any_set, F.struct(*[f.alias(n) for f, n in zip(fields, names)]))
+
+
+def to_document(t: DataFrame) -> DataFrame:
+    """Typed view -> (project, id, doc).  Absent (NULL) fields are omitted.
+
+    The canonical field set of the ledger is written; fields outside it are
+    not carried (the typed view does not hold them).
+    """
+    value = F.coalesce(F.col("value_v"),
+                       F.when(F.col("value_bool").isNotNull(), F.col("value_bool").cast("variant")),
+                       F.when(F.col("value_num").isNotNull(), F.col("value_num").cast("variant")),
+                       F.when(F.col("value_str").isNotNull(), F.col("value_str").cast("variant")))
+    sources = F.transform(F.col("sources"), lambda s: F.struct(
+        s["path"].alias("path"), s["sha256"].alias("sha256")))
+    doc = F.to_json(F.struct(
+        F.col("id"), F.col("claim"), F.col("check_type"), F.col("code_path"),
+        value.alias("value"), F.col("distribution"), F.col("matrix"), F.col("quote"),
+        F.col("source_locator"), F.col("n"),
+        F.struct(sources.alias("sources"), F.coalesce(F.col("columns"), F.array().cast("array<string>"))
+                 .alias("columns")).alias("input"),
+        F.struct(F.col("filters"), F.col("row_count").alias("row_count_after_filter")).alias("reproducibility"),
+        F.col("caveats"), F.col("tag").alias("counterfactual_tag"), F.col("measurement_ref"),
+        _null_if_empty_struct([F.col("tol_abs"), F.col("tol_rel")], ["abs", "rel"]).alias("tolerance"),
+        F.col("revision_history"), F.col("decisions"), F.col("addresses"),
+        F.col("group_by"), F.col("group_key")))
+    return t.select("project", "id", doc.alias("doc"))
