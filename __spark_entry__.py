@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimledger.operators import profile as pf
+from claimledger.operators.checks import group_checks, structural_checks, verdict
+from claimledger.plans import oracle_ledger as OL
 from claimledger.operators import rules as rl
 from claimledger.operators.ordered import exact_quantiles
 from claimledger.operators.registration import register_computed
@@ -423,6 +425,25 @@ SELECT 'lineitem-project' AS project, count(*) FILTER (WHERE status = 'PASS')::B
        count(*) FILTER (WHERE status = 'AUDIT')::BIGINT AS n_audit, count(*)::BIGINT AS n_claims FROM r"""
 
 
+# ---------------------------------------------------------------- F. checks
+
+def _orders_checks(spark, sf):
+    reg = sc.registry(sf)
+    led = sc.orders_ledger(spark, sf)
+    return led, structural_checks(led, sorted(reg.measures)).unionByName(group_checks(led))
+
+
+def q_ledger_checks(spark, sf):
+    """F1-F20 over one finding per order, defects seeded by key."""
+    return _orders_checks(spark, sf)[1]
+
+
+def q_verdict(spark, sf):
+    """failures, warnings and exit code per project."""
+    led, v = _orders_checks(spark, sf)
+    return verdict(v, led).select("project", "failures", "warnings", F.col("exit_code").cast("int"))
+
+
 # ---------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -451,6 +472,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rate_by_event_type": q_rate_by_event_type,
         "replay_lineitem": q_replay_lineitem,
         "replay_summary": q_replay_summary,
+        "ledger_checks": q_ledger_checks,
+        "verdict": q_verdict,
     }
 
 
@@ -508,4 +531,10 @@ def _oracle_sql() -> dict[str, str]:
         "rate_by_event_type": SQL_RATE_BY_EVENT_TYPE,
         "replay_lineitem": SQL_REPLAY_LINEITEM,
         "replay_summary": SQL_REPLAY_SUMMARY,
+        "ledger_checks": OL.checks_sql(_measure_names()),
+        "verdict": OL.verdict_sql(_measure_names()),
     }
+
+
+def _measure_names() -> list[str]:
+    return sorted(sc.registry("").measures)

@@ -25,52 +25,91 @@ def _viol(cond: Column, check: str, severity: str, detail: Column | str) -> Colu
                            d.cast("string").alias("detail")))
 
 
-def _absent(path: str) -> Column:
-    return vtype(path).isNull()
+# JSON paths whose type tag / value the checks read; each is extracted once
+# per finding into a column, then every check reads columns.
+_TAG_PATHS = {
+    "id": "$.id", "claim": "$.claim", "check_type": "$.check_type", "code_path": "$.code_path",
+    "input": "$.input", "reproducibility": "$.reproducibility", "caveats": "$.caveats",
+    "counterfactual_tag": "$.counterfactual_tag", "revision_history": "$.revision_history",
+    "value": "$.value", "distribution": "$.distribution", "matrix": "$.matrix",
+    "quote": "$.quote", "source_locator": "$.source_locator", "measurement_ref": "$.measurement_ref",
+    "columns": "$.input.columns", "sources": "$.input.sources", "filters": "$.reproducibility.filters",
+    "row_count": "$.reproducibility.row_count_after_filter", "tolerance": "$.tolerance",
+    "tol_abs": "$.tolerance.abs", "tol_rel": "$.tolerance.rel",
+}
+
+
+def _extract(p: DataFrame) -> DataFrame:
+    """One projection: a type tag per path plus the few typed values."""
+    def size(path: str) -> Column:
+        return F.expr(f"array_size(try_variant_get(v, '{path}', 'array<variant>'))")
+    return p.select(
+        "project", "v",
+        *[vtype(path).alias(f"t_{name}") for name, path in _TAG_PATHS.items()],
+        get("$.id", "string").alias("s_id"), get("$.check_type", "string").alias("s_ct"),
+        get("$.code_path", "string").alias("s_cp"), get("$.counterfactual_tag", "string").alias("s_tag"),
+        get("$.quote", "string").alias("s_quote"), get("$.source_locator", "string").alias("s_locator"),
+        get("$.measurement_ref", "string").alias("s_mref"),
+        get("$.tolerance.abs", "double").alias("d_tol_abs"), get("$.tolerance.rel", "double").alias("d_tol_rel"),
+        size("$.matrix").alias("n_matrix"), size("$.revision_history").alias("n_rev"),
+        size("$.caveats").alias("n_caveats"), size("$.input.sources").alias("n_sources"),
+        F.expr("try_variant_get(v, '$.input.sources', 'array<variant>')").alias("a_sources"))
+
+
+def _t(name: str) -> Column:
+    return F.col(f"t_{name}")
+
+
+def _absent(name: str) -> Column:
+    return _t(name).isNull()
+
+
+def _missing_or_null(name: str) -> Column:
+    return _t(name).isNull() | (_t(name) == "VOID")
+
+
+def _falsy_str(name: str, value: Column) -> Column:
+    """Absent, JSON null or an empty string."""
+    return _missing_or_null(name) | F.coalesce(value == "", F.lit(False))
 
 
-def _missing_or_null(path: str) -> Column:
-    t = vtype(path)
-    return t.isNull() | (t == "VOID")
+def _tol_bad(name: str, cap: float, loose: bool) -> Column:
+    t, val = _t(name), F.col(f"d_{name}")
+    present = is_object(_t("tolerance")) & t.isNotNull() & (t != "VOID")
+    if loose:
+        return present & is_number(t) & (val >= 0) & (val > cap)
+    return present & (~is_number(t) | (val < 0))
 
 
-def _falsy_str(path: str) -> Column:
-    """Absent, JSON null or an empty string."""
-    return _missing_or_null(path) | F.coalesce(get(path, "string") == "", F.lit(False))
+def _tolerance_fails() -> Column:
+    return (_t("tolerance").isNotNull() & (_t("tolerance") != "VOID") & ~is_object(_t("tolerance"))) \
+        | _tol_bad("tol_abs", M.MAX_ABS_TOL, False) | _tol_bad("tol_abs", M.MAX_ABS_TOL, True) \
+        | _tol_bad("tol_rel", M.MAX_REL_TOL, False) | _tol_bad("tol_rel", M.MAX_REL_TOL, True)
+
+
+def _objects(ledger: DataFrame) -> DataFrame:
+    p = parse(ledger) if "v" not in ledger.columns else ledger
+    return p.where(is_object(F.expr("schema_of_variant(v)")))
 
 
 def structural_checks(ledger: DataFrame, measure_names: list[str] | None = None) -> DataFrame:
     """F1, F2, F4-F8, F10-F18 (row-local) for every well-formed finding."""
-    p = parse(ledger) if "v" not in ledger.columns else ledger
-    p = p.where(is_object(F.expr("schema_of_variant(v)")))
-    fid = get("$.id", "string")
-    ct = get("$.check_type", "string")
+    x = _extract(_objects(ledger))
+    fid, ct, tag = F.col("s_id"), F.col("s_ct"), F.col("s_tag")
     replayable = F.coalesce(ct.isin(M.REPLAYABLE_TYPES), F.lit(False))
-    tag = get("$.counterfactual_tag", "string")
-
-    cp = F.when(vtype("$.code_path") == "STRING", get("$.code_path", "string")).otherwise(F.lit(""))
+    cp = F.when(_t("code_path") == "STRING", F.col("s_cp")).otherwise(F.lit(""))
     has_colon = cp.contains(":")
-    file_part = F.expr("substring(cp, 1, length(cp) - length(substring_index(cp, ':', -1)) - 1)")
-    suffix = F.substring_index(F.col("cp"), ":", -1)
-    escapes = (F.col("cp_file").startswith("/") | F.col("cp_file").rlike(r"(^|/)\.\.(/|$)"))
+    cp_file = F.when(has_colon, F.expr(
+        "substring(s_cp, 1, length(s_cp) - length(substring_index(s_cp, ':', -1)) - 1)")).otherwise(F.lit(""))
+    suffix = F.substring_index(cp, ":", -1)
+    escapes = cp_file.startswith("/") | cp_file.rlike(r"(^|/)\.\.(/|$)")
     line_ref = suffix.rlike(M.LINE_REF_PATTERN)
     callable_ = ~line_ref & suffix.rlike(M.IDENTIFIER_PATTERN)
     names = measure_names if measure_names is not None else []
     resolves = suffix.isin(names) if names else F.lit(False)
-
-    id_t = vtype("$.id")
-    id_missing = id_t.isNull() | (id_t == "VOID") | F.coalesce(fid == "", F.lit(False))
-
-    val_t = vtype("$.value")
-    dist_t = vtype("$.distribution")
-    mat_t = vtype("$.matrix")
-    rev_t = vtype("$.revision_history")
-    cav_t = vtype("$.caveats")
-    inp_t = vtype("$.input")
-    src_t = vtype("$.input.sources")
-    rep_t = vtype("$.reproducibility")
-    tol_t = vtype("$.tolerance")
-    n_src = F.expr("array_size(try_variant_get(v, '$.input.sources', 'array<variant>'))")
+    id_missing = _missing_or_null("id") | F.coalesce(fid == "", F.lit(False))
+    n_src = F.col("n_sources")
+    file_ok = has_colon & (cp_file != "")
 
     def _src_ok(s: Column) -> Column:
         t = F.call_function("schema_of_variant",
@@ -78,81 +117,65 @@ def structural_checks(ledger: DataFrame, measure_names: list[str] | None = None)
         path = F.call_function("try_variant_get", s, F.lit("$.path"), F.lit("string"))
         return F.coalesce((t == "STRING") & (path != ""), F.lit(False))
 
-    bad_sources = F.filter(F.expr("try_variant_get(v, '$.input.sources', 'array<variant>')"),
-                           lambda s: ~_src_ok(s))
-
-    def tol_part(name: str, cap: float) -> list[Column]:
-        t = vtype(f"$.tolerance.{name}")
-        val = get(f"$.tolerance.{name}", "double")
-        present = is_object(tol_t) & t.isNotNull() & (t != "VOID")
-        return [
-            _viol(present & (~is_number(t) | (val < 0)), "tolerance:value", M.FAIL, name),
-            _viol(present & is_number(t) & (val >= 0) & (val > cap), "tolerance:loose", M.FAIL, name),
-        ]
-
     viols = [
         _viol(id_missing, "ids:present", M.FAIL, "missing id"),
         _viol(~id_missing & ~fid.rlike(M.ID_PATTERN), "ids:format", M.FAIL, fid),
-        *[_viol(_absent(f"$.{f}"), "schema:required", M.FAIL, f) for f in M.REQUIRED_FIELDS],
+        *[_viol(_absent(f), "schema:required", M.FAIL, f) for f in M.REQUIRED_FIELDS],
         _viol(~F.coalesce(ct.isin(M.CHECK_TYPES), F.lit(False)), "check_type:valid", M.FAIL,
               F.coalesce(ct, F.lit("null"))),
-        _viol(ct.isin(M.SCALAR_TYPES) & ((val_t.isNull()) | (val_t == "VOID")),
-              "conditional:value", M.FAIL, ct),
-        _viol((ct == "boolean") & ~F.coalesce(val_t == "BOOLEAN", F.lit(False)),
+        _viol(ct.isin(M.SCALAR_TYPES) & _missing_or_null("value"), "conditional:value", M.FAIL, ct),
+        _viol((ct == "boolean") & ~F.coalesce(_t("value") == "BOOLEAN", F.lit(False)),
               "conditional:value", M.FAIL, ct),
-        _viol((ct == "distribution") & ~(is_object(dist_t) & ~F.coalesce(dist_t == "OBJECT<>", F.lit(False))),
+        _viol((ct == "distribution") & ~(is_object(_t("distribution"))
+                                         & ~F.coalesce(_t("distribution") == "OBJECT<>", F.lit(False))),
               "conditional:distribution", M.FAIL, ct),
-        _viol((ct == "matrix") & ~(is_array(mat_t) & F.coalesce(
-            F.expr("array_size(try_variant_get(v, '$.matrix', 'array<variant>'))") > 0, F.lit(False))),
+        _viol((ct == "matrix") & ~(is_array(_t("matrix")) & F.coalesce(F.col("n_matrix") > 0, F.lit(False))),
               "conditional:matrix", M.FAIL, ct),
-        _viol((ct == "quote_provenance") & (_falsy_str("$.quote") | _falsy_str("$.source_locator")),
+        _viol((ct == "quote_provenance") & (_falsy_str("quote", F.col("s_quote"))
+                                            | _falsy_str("source_locator", F.col("s_locator"))),
               "conditional:quote", M.FAIL, ct),
         _viol(~F.coalesce(tag.isin(M.TAGS), F.lit(False)), "counterfactual:valid", M.FAIL,
               F.coalesce(tag, F.lit("null"))),
-        _viol(F.coalesce(tag == "OBSERVED", F.lit(False)) & _falsy_str("$.measurement_ref"),
+        _viol(F.coalesce(tag == "OBSERVED", F.lit(False)) & _falsy_str("measurement_ref", F.col("s_mref")),
               "counterfactual:observed_needs_ref", M.FAIL, "OBSERVED"),
-        _viol(~has_colon, "code_path:form", M.FAIL, F.col("cp")),
-        _viol(has_colon & (F.col("cp_file") == ""), "code_path:nonempty", M.FAIL, F.col("cp")),
-        _viol(has_colon & (F.col("cp_file") != "") & escapes, "code_path:escapes", M.FAIL, F.col("cp")),
-        _viol(has_colon & (F.col("cp_file") != "") & ~escapes & callable_ & ~resolves,
-              "code_path:resolves", M.FAIL, F.col("cp")),
-        _viol(has_colon & (F.col("cp_file") != "") & ~escapes & ~line_ref & ~callable_,
-              "code_path:form", M.FAIL, F.col("cp")),
-        _viol(has_colon & (F.col("cp_file") != "") & ~escapes & line_ref & replayable,
-              "code_path:line_ref", M.FAIL, F.col("cp")),
-        _viol(~(is_array(rev_t) & F.coalesce(
-            F.expr("array_size(try_variant_get(v, '$.revision_history', 'array<variant>'))") > 0, F.lit(False))),
+        _viol(~has_colon, "code_path:form", M.FAIL, cp),
+        _viol(has_colon & (cp_file == ""), "code_path:nonempty", M.FAIL, cp),
+        _viol(file_ok & escapes, "code_path:escapes", M.FAIL, cp),
+        _viol(file_ok & ~escapes & callable_ & ~resolves, "code_path:resolves", M.FAIL, cp),
+        _viol(file_ok & ~escapes & ~line_ref & ~callable_, "code_path:form", M.FAIL, cp),
+        _viol(file_ok & ~escapes & line_ref & replayable, "code_path:line_ref", M.FAIL, cp),
+        _viol(~(is_array(_t("revision_history")) & F.coalesce(F.col("n_rev") > 0, F.lit(False))),
               "revision_history:nonempty", M.FAIL, "empty"),
-        _viol(~is_array(cav_t), "caveats:list", M.FAIL, "not a list"),
-        _viol(is_array(cav_t) & (cav_t == "ARRAY<VOID>") & F.coalesce(
-            F.expr("array_size(try_variant_get(v, '$.caveats', 'array<variant>'))") == 0, F.lit(False)),
+        _viol(~is_array(_t("caveats")), "caveats:list", M.FAIL, "not a list"),
+        _viol(is_array(_t("caveats")) & F.coalesce(F.col("n_caveats") == 0, F.lit(False)),
               "caveats:empty", M.WARN, "empty"),
-        _viol(~is_object(inp_t), "input:shape", M.FAIL, "not an object"),
-        _viol(is_object(inp_t) & _absent("$.input.columns"), "input:columns", M.FAIL, "missing"),
-        _viol(is_object(inp_t) & ~(is_array(src_t) & F.coalesce(n_src > 0, F.lit(False))),
+        _viol(~is_object(_t("input")), "input:shape", M.FAIL, "not an object"),
+        _viol(is_object(_t("input")) & _absent("columns"), "input:columns", M.FAIL, "missing"),
+        _viol(is_object(_t("input")) & ~(is_array(_t("sources")) & F.coalesce(n_src > 0, F.lit(False))),
               "input:sources", M.FAIL, "empty"),
-        _viol(is_object(inp_t) & is_array(src_t) & F.coalesce(n_src > 0, F.lit(False)) & replayable
-              & (n_src != 1), "input:single_source", M.FAIL, n_src.cast("string")),
-        _viol(~is_object(rep_t), "reproducibility:shape", M.FAIL, "not an object"),
-        _viol(is_object(rep_t) & ~is_array(vtype("$.reproducibility.filters")),
+        _viol(is_object(_t("input")) & is_array(_t("sources")) & F.coalesce(n_src > 0, F.lit(False))
+              & replayable & (n_src != 1), "input:single_source", M.FAIL, n_src.cast("string")),
+        _viol(~is_object(_t("reproducibility")), "reproducibility:shape", M.FAIL, "not an object"),
+        _viol(is_object(_t("reproducibility")) & ~is_array(_t("filters")),
               "reproducibility:filters", M.FAIL, "not a list"),
-        _viol(is_object(rep_t) & replayable & _absent("$.reproducibility.row_count_after_filter"),
+        _viol(is_object(_t("reproducibility")) & replayable & _absent("row_count"),
               "reproducibility:row_count", M.FAIL, "missing"),
-        _viol(tol_t.isNotNull() & (tol_t != "VOID") & ~is_object(tol_t), "tolerance:shape", M.FAIL, "not an object"),
-        *tol_part("abs", M.MAX_ABS_TOL),
-        *tol_part("rel", M.MAX_REL_TOL),
+        _viol(_t("tolerance").isNotNull() & (_t("tolerance") != "VOID") & ~is_object(_t("tolerance")),
+              "tolerance:shape", M.FAIL, "not an object"),
+        _viol(_tol_bad("tol_abs", M.MAX_ABS_TOL, False), "tolerance:value", M.FAIL, "abs"),
+        _viol(_tol_bad("tol_abs", M.MAX_ABS_TOL, True), "tolerance:loose", M.FAIL, "abs"),
+        _viol(_tol_bad("tol_rel", M.MAX_REL_TOL, False), "tolerance:value", M.FAIL, "rel"),
+        _viol(_tol_bad("tol_rel", M.MAX_REL_TOL, True), "tolerance:loose", M.FAIL, "rel"),
     ]
     src_viol = F.transform(
-        F.when(is_object(inp_t) & is_array(src_t), bad_sources),
+        F.when(is_object(_t("input")) & is_array(_t("sources")),
+               F.filter(F.col("a_sources"), lambda s: ~_src_ok(s))),
         lambda s: F.struct(F.lit("input:sources").alias("check"), F.lit(M.FAIL).alias("severity"),
                            F.lit("source without a string path").alias("detail")))
     arr = F.concat(F.filter(F.array(*viols), lambda x: x.isNotNull()),
                    F.coalesce(src_viol, F.array().cast(
                        "array<struct<check:string,severity:string,detail:string>>")))
-    out = (p.withColumn("cp", cp)
-            .withColumn("cp_file", F.when(F.col("cp").contains(":"), file_part).otherwise(F.lit("")))
-            .select("project", fid.alias("finding_id"), F.inline(arr)))
-    return out.select(*VCOLS)
+    return x.select("project", fid.alias("finding_id"), F.inline(arr)).select(*VCOLS)
 
 
 def group_checks(ledger: DataFrame) -> DataFrame:
@@ -176,13 +199,14 @@ def group_checks(ledger: DataFrame) -> DataFrame:
                        F.lit(M.WARN).alias("severity"), F.lit(None).cast("string").alias("finding_id"),
                        F.format_string("%d/%d are OBSERVED", F.col("n_obs"), F.col("n")).alias("detail")))
     # custom tolerance WARN: only when the project has no tolerance FAIL
-    row = structural_checks(ledger.select("project", "doc") if "doc" in ledger.columns else ledger)
-    tol_fail = row.where(F.col("check").startswith("tolerance")).select("project").distinct()
-    custom = (base.where(is_object(F.col("tol_t"))).groupBy("project").count()
-                  .join(tol_fail, "project", "left_anti")
+    tols = (_extract(_objects(ledger)).groupBy("project")
+            .agg(F.count_if(is_object(_t("tolerance"))).alias("n_custom"),
+                 F.count_if(_tolerance_fails()).alias("n_bad")))
+    custom = (tols.where((F.col("n_custom") > 0) & (F.col("n_bad") == 0))
                   .select("project", F.lit("tolerance:custom").alias("check"), F.lit(M.WARN).alias("severity"),
                           F.lit(None).cast("string").alias("finding_id"),
-                          F.format_string("%d finding(s) use a custom replay tolerance", F.col("count")).alias("detail")))
+                          F.format_string("%d finding(s) use a custom replay tolerance",
+                                          F.col("n_custom")).alias("detail")))
     src = base.select("project", F.explode("srcs").alias("s")).select(
         "project",
         F.when(F.expr("schema_of_variant(variant_get(s, '$.path', 'variant'))") == "STRING",

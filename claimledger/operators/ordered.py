@@ -5,6 +5,8 @@ merges them in one task; a hot group (a third of all rows) or a whole-table
 median over a high-cardinality column would then sit in one executor.  Here
 the work is spread instead:
 
+0. (small inputs) when the (keys, value) count table is under a fixed row
+   bound, one window per key group: no group can exceed the bound.
 1. count rows per (keys, value)             -- partial aggregation, hash shuffle
 2. range-partition those counts on (keys, value) and tag each row with its
    partition id; write them to the checkpoint folder so both consumers
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimledger.session import checkpoint_dir, materialize
+from claimledger.session import materialize
 
 
 def _num_partitions(df: DataFrame, partitions: int | None) -> int:
@@ -30,18 +32,34 @@ def _num_partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+# Distinct (keys, value) pairs up to which one window per key group is used:
+# no task then holds more than this many rows, whatever the skew.
+WINDOW_PATH_MAX_ROWS = 2_000_000
+
+
 def cumulative_counts(df: DataFrame, keys: list[str], value: str,
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, window_max_rows: int | None = None) -> DataFrame:
     """(keys..., value, cnt, before, n) for every distinct non-null value.
 
     ``before`` = rows of the same key group with a strictly smaller value,
     ``n`` = non-null rows of the group.
+
+    The (keys, value) -> count table is written once.  Its row count (file
+    metadata) bounds the size of any key group, so when it is small a
+    plain window per key group is safe; otherwise the range-partitioned
+    path spreads every group over many tasks.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
+    limit = WINDOW_PATH_MAX_ROWS if window_max_rows is None else window_max_rows
+    counts = materialize(df.where(F.col(value).isNotNull())
+                           .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")))
+    if counts.count() <= limit:
+        part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        return (counts.withColumn("before", F.coalesce(F.sum("cnt").over(
+                    part.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                      .withColumn("n", F.sum("cnt").over(part))
+                      .select(*keys, value, "cnt", "before", "n"))
     p = _num_partitions(df, partitions)
-    counts = (df.where(F.col(value).isNotNull())
-                .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")))
     ranged = (counts.repartitionByRange(p, *[F.col(k) for k in keys], F.col(value))
                     .withColumn("_pid", F.spark_partition_id()))
     ranged = materialize(ranged)

@@ -25,7 +25,7 @@ from claimledger.functions.nulls import normalise_nans
 from claimledger.operators.rules import apply_rules, normalise_rule_id
 from claimledger.plans.evaluate import analyse, assemble, evaluate, evaluate_groups
 from claimledger.registry import Registry
-from claimledger.session import materialize
+from claimledger.session import materialize, spread
 
 GROUP_COLS = ["source", "fkey", "group_by"]
 R_MEASURE_ERROR = "measure_error"
@@ -86,7 +86,7 @@ def compute_groups(spark: SparkSession, groups: list[tuple[str, str, str | None,
     for source, fkey, group_by, names in groups:
         by_source.setdefault(source, []).append((fkey, group_by, names))
     for source, items in by_source.items():
-        base = normalise_nans(registry.sources[source](spark))
+        base = spread(normalise_nans(registry.sources[source](spark)))
         fused, alone = [], []
         for fkey, group_by, names in items:
             chain = [registry.rules[normalise_rule_id(x)] for x in fkey.split("|")] if fkey else []

@@ -130,3 +130,79 @@ def extra_lineitem_claims(spark: SparkSession) -> DataFrame:
                reproducibility={"filters": [], "row_count_after_filter": 1}),
     ]
     return spark.createDataFrame([("lineitem-project", d) for d in docs], "project string, doc string")
+
+
+# ---------------------------------------------------------------------------
+# A large ledger derived from orders: one finding per order, defects seeded
+# by the order key, so the checks run over as many findings as orders.
+# ---------------------------------------------------------------------------
+
+def _pj(text) -> "F.Column":
+    return F.expr(f"parse_json({text})") if isinstance(text, str) else F.parse_json(text)
+
+
+def orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    m = k % 20
+    m40 = k % 40
+    cust10 = F.col("o_custkey") % 10
+    types = F.array(*[F.lit(t) for t in ["scalar", "distribution", "matrix", "quote_provenance",
+                                         "proportion", "rate", "boolean", "manual"]])
+    ct = F.when(m == 4, F.lit("bogus")).otherwise(F.element_at(types, (k % 8 + 1).cast("int")))
+    fid = (F.when(m == 1, F.concat(F.lit("X-"), k.cast("string")))
+            .when(m == 2, F.lit(None))
+            .when(m == 3, F.format_string("F-%06d", k - 3))
+            .otherwise(F.format_string("F-%06d", k)))
+    code_path = (F.when(ct == "manual", F.lit("notes.md:L1-L2"))
+                  .when(m == 5, F.lit("analysis/measures.py:L10-L20"))
+                  .when(m == 6, F.lit("nocolon"))
+                  .when(m == 7, F.lit(":mean_totalprice"))
+                  .when(m == 8, F.lit("../x.py:mean_totalprice"))
+                  .when(m == 9, F.lit("analysis/measures.py:123"))
+                  .when(m == 10, F.lit("analysis/measures.py:unknown_fn"))
+                  .otherwise(F.lit("analysis/measures.py:mean_totalprice")))
+    price = F.col("o_totalprice").cast("string")
+    value = (F.when(ct.isin("scalar", "proportion", "rate") & (m != 11), _pj(price))
+              .when((ct == "boolean") & (m == 11), _pj(F.lit("1")))
+              .when(ct == "boolean", _pj(F.when(F.col("o_orderstatus") == "F", "true").otherwise("false"))))
+    dist = (F.when((ct == "distribution") & (m == 11), _pj(F.lit("{}")))
+             .when(ct == "distribution", _pj(F.concat(F.lit('{"mean": '), price, F.lit(', "n": 1.0}')))))
+    matrix = (F.when((ct == "matrix") & (m == 11), _pj(F.lit("[]")))
+               .when(ct == "matrix", _pj(F.lit("[[1.0, 0.5], [0.5, 1.0]]"))))
+    quote = F.when(ct == "quote_provenance", F.col("o_orderpriority"))
+    locator = F.when((ct == "quote_provenance") & (m != 11), F.concat(F.lit("doc-"), (k % 100).cast("string")))
+    tag = (F.when(m == 12, F.lit("MAYBE"))
+            .when((k % 3 == 0) | (cust10 == 0), F.lit("OBSERVED"))
+            .when(k % 3 == 1, F.lit("PLAUSIBLE")).otherwise(F.lit("WEAK")))
+    mref = F.when(m != 13, F.lit("notes.md:L1"))
+    caveats = (F.when(m == 14, _pj(F.lit("[]"))).when(m == 15, _pj(F.lit('"none"')))
+                .otherwise(_pj(F.lit('["seeded"]'))))
+    tol = (F.when((m == 16) & (cust10 < 5), _pj(F.lit('{"abs": 5.0}')))
+            .when((m == 17) & (cust10 < 5), _pj(F.lit("0.5")))
+            .when(m == 18, _pj(F.lit('{"rel": 0.001}'))))
+    sha = (F.when((m == 19) & (cust10 < 2), F.lit("bbb"))
+            .when(k % 4 == 0, F.lit("aaa")))
+    src = F.struct(F.lit("orders").alias("path"), sha.alias("sha256"))
+    sources = (F.when(m40 == 21, F.array(src, F.struct(F.lit("lineitem").alias("path"),
+                                                       F.lit(None).cast("string").alias("sha256"))))
+                .when(m40 == 22, F.array().cast("array<struct<path:string,sha256:string>>"))
+                .otherwise(F.array(src)))
+    inp = F.struct(sources.alias("sources"),
+                   F.when(m40 != 23, F.array(F.lit("o_totalprice"))).alias("columns"))
+    repro = (F.when(m40 == 26, _pj(F.lit("5")))
+              .when(m40 == 25, _pj(F.lit('{"filters": "x", "row_count_after_filter": 100}')))
+              .when(m40 == 24, _pj(F.lit('{"filters": []}')))
+              .otherwise(_pj(F.lit('{"filters": [], "row_count_after_filter": 100}'))))
+    rev = F.when(m40 == 27, _pj(F.lit("[]"))).otherwise(
+        _pj(F.lit('[{"timestamp": "2026-01-01T00:00:00Z", "reason": "seeded"}]')))
+    doc = F.to_json(F.struct(
+        fid.alias("id"), F.concat(F.lit("order "), k.cast("string")).alias("claim"), ct.alias("check_type"),
+        code_path.alias("code_path"), value.alias("value"), dist.alias("distribution"), matrix.alias("matrix"),
+        quote.alias("quote"), locator.alias("source_locator"), inp.alias("input"), repro.alias("reproducibility"),
+        caveats.alias("caveats"), tag.alias("counterfactual_tag"), mref.alias("measurement_ref"),
+        tol.alias("tolerance"), rev.alias("revision_history")))
+    return o.select(F.concat(F.lit("proj-"), cust10.cast("string")).alias("project"), doc.alias("doc"))
+
+
+ORDERS_MEASURES = ["mean_totalprice", "median_totalprice", "orders_count"]
