@@ -24,6 +24,10 @@ from claimledger.plans.evaluate import assemble, evaluate
 from claimledger.plans.replay import replay, replay_summary
 from claimledger.sources.ledger_io import to_document, typed
 from claimledger.sources.scan import scan, scan_json_records
+from claimledger.sources.fingerprint import (byte_fingerprint, content_fingerprint, large_source_warnings,
+                                             source_sizes)
+from claimledger.operators.status import freshness, lineage
+from claimledger.operators.contract import quarantine, schema_drift
 
 NOW = "2026-01-01T00:00:00Z"
 
@@ -444,6 +448,149 @@ def q_verdict(spark, sf):
     return verdict(v, led).select("project", "failures", "warnings", F.col("exit_code").cast("int"))
 
 
+# ---------------------------------------------------------------- A. identity
+
+def q_content_fingerprint_orders(spark, sf):
+    """Order-free, layout-free identity of a table in one aggregate."""
+    return content_fingerprint(_t(spark, sf, "orders"))
+
+
+SQL_CONTENT_FINGERPRINT_ORDERS = r"""
+WITH r AS (SELECT sha256(concat_ws('|',
+    coalesce(length(o_orderkey::VARCHAR) || ':' || o_orderkey::VARCHAR, '-'),
+    coalesce(length(o_custkey::VARCHAR) || ':' || o_custkey::VARCHAR, '-'),
+    coalesce(length(o_orderstatus) || ':' || o_orderstatus, '-'),
+    coalesce(length(o_totalprice::DECIMAL(38,6)::VARCHAR) || ':' || o_totalprice::DECIMAL(38,6)::VARCHAR, '-'),
+    coalesce(length(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')) || ':' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f'), '-'),
+    coalesce(length(o_orderpriority) || ':' || o_orderpriority, '-'))) AS h FROM orders),
+a AS (SELECT count(*) AS n, bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS x1,
+             bit_xor(('0x' || substr(h, 16, 15))::BIGINT) AS x2,
+             sum(('0x' || substr(h, 31, 15))::BIGINT)::DECIMAL(38,0) AS s3,
+             sum(('0x' || substr(h, 46, 15))::BIGINT)::DECIMAL(38,0) AS s4 FROM r)
+SELECT n::BIGINT AS n_rows, sha256(concat_ws(':', n::VARCHAR, x1::VARCHAR, x2::VARCHAR, s3::VARCHAR, s4::VARCHAR))
+       AS fingerprint FROM a"""
+
+
+def q_byte_fingerprint_lineitem(spark, sf):
+    """sha256 of the table's file bytes (equals sha256sum for one file)."""
+    return byte_fingerprint(spark, f"{sf}/lineitem.parquet").select("n_files", "bytes", "sha256")
+
+
+def q_source_sizes(spark, sf):
+    """Sizes from a file listing only, WARN at a threshold of 0 MB so
+    every cited source is reported (as in the size check's own test)."""
+    led = typed(sc.orders_ledger(spark, sf))
+    sizes = source_sizes(spark, {t: f"{sf}/{t}.parquet" for t in ["lineitem", "orders"]})
+    return large_source_warnings(led, sizes, 0).select("project", "check", "severity", "detail")
+
+
+# ---------------------------------------------------------------- A10 / G4 / G5
+
+def q_daily_events(spark, sf):
+    """A10: rules applied once, small per-day aggregate."""
+    return sc.daily_events(spark, sf, sc.registry(sf))
+
+
+SQL_DAILY_EVENTS = """
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS n_events, round(sum(value), 2) AS total_value,
+       count(DISTINCT user_id)::BIGINT AS n_users
+FROM events WHERE event_type IS DISTINCT FROM 'error' AND event_type <> 'error' GROUP BY 1"""
+
+
+def q_freshness_daily(spark, sf):
+    """G5 (+ A6, A9 per key): every day's manifest against what exists now."""
+    reg = sc.registry(sf)
+    m = sc.daily_manifests(spark, sf, reg)
+    cur = sc.day_fingerprints(spark, sf, reg)
+    return freshness(m, cur, reg.rules_fingerprint(), fast=False)
+
+
+SQL_FRESHNESS_DAILY = r"""
+WITH d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type <> 'error'),
+r AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events),
+m AS (SELECT day, day(day::DATE) AS dom,
+             CASE WHEN day(day::DATE) = 30 THEN 'daily/day=missing' ELSE 'daily/day=' || day END AS output
+      FROM d WHERE day IN (SELECT day FROM r))
+SELECT 'events-project' AS project, 'aggregate:freshness' AS "check", 'FAIL' AS severity, output AS finding_id,
+       'output is missing - rebuild' AS detail FROM m WHERE dom = 30
+UNION ALL SELECT 'events-project', 'aggregate:freshness', 'FAIL', output, 'output changed since build'
+  FROM m WHERE dom <> 30 AND dom % 7 = 0
+UNION ALL SELECT 'events-project', 'aggregate:freshness', 'FAIL', output, 'source events/day=' || day || ' changed since build'
+  FROM m WHERE dom <> 30 AND dom % 5 = 0
+UNION ALL SELECT 'events-project', 'aggregate:unverifiable', 'WARN', output, 'source archive/day=' || day || ' not present'
+  FROM m WHERE dom <> 30 AND dom % 11 = 0
+UNION ALL SELECT 'events-project', 'aggregate:freshness', 'FAIL', output, 'a rule definition changed since build (rules DR-101)'
+  FROM m WHERE dom <> 30 AND dom % 13 = 0"""
+
+
+def q_lineage_daily(spark, sf):
+    """One claim per derived day -> raw sources, rules, build time."""
+    reg = sc.registry(sf)
+    m = sc.daily_manifests(spark, sf, reg)
+    claims = m.select("project", F.concat(F.lit("F-"), F.regexp_replace(F.substring_index("output", "=", -1), "-", ""))
+                      .alias("id"), F.array(F.struct(F.col("output").alias("path"),
+                                                     F.lit(None).cast("string").alias("sha256"))).alias("sources"))
+    return lineage(claims, m).select("project", "id", "source", "raw_source", "dr_set", "built_at")
+
+
+SQL_LINEAGE_DAILY = r"""
+WITH d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type <> 'error'),
+m AS (SELECT day, day(day::DATE) AS dom,
+             CASE WHEN day(day::DATE) = 30 THEN 'daily/day=missing' ELSE 'daily/day=' || day END AS output FROM d)
+SELECT 'events-project' AS project, 'F-' || replace(split_part(output, '=', 2), '-', '') AS id, output AS source,
+       'events/day=' || day AS raw_source, 'DR-101' AS dr_set, '2026-01-01T00:00:00Z' AS built_at FROM m
+UNION ALL
+SELECT 'events-project', 'F-' || replace(split_part(output, '=', 2), '-', ''), output, 'archive/day=' || day,
+       'DR-101', '2026-01-01T00:00:00Z' FROM m WHERE dom % 11 = 0"""
+
+
+# ---------------------------------------------------------------- H. contracts
+
+def q_schema_drift_orders(spark, sf):
+    """A11 + H1-H6: lock a contract, then check the table against the lock."""
+    from claimledger.operators.contract import contract_from_locks, lock_rows, lock_schema
+    locks = lock_rows(spark, sc.contract(sc.LINEITEM_CONTRACT_COLUMNS), "lineitem")
+    locks = lock_schema(locks, sc.contract(sc.ORDERS_CONTRACT_COLUMNS), "orders")
+    rows = locks.where(F.col("source") == "orders").orderBy("column").collect()  # one contract: code-sized
+    return schema_drift(_t(spark, sf, "orders"), contract_from_locks(rows), "orders")
+
+
+SQL_SCHEMA_DRIFT_ORDERS = """
+SELECT * FROM (
+  SELECT 'orders' AS source, 'missing_column' AS "check", 'o_comment' AS "column", 1::BIGINT AS failures
+  UNION ALL SELECT 'orders', 'coerce', 'o_orderstatus',
+         (SELECT count(*) FROM orders WHERE o_orderstatus IS NOT NULL AND TRY_CAST(o_orderstatus AS INTEGER) IS NULL)
+  UNION ALL SELECT 'orders', 'nullable', 'o_custkey', (SELECT count(*) FROM orders WHERE o_custkey IS NULL)
+  UNION ALL SELECT 'orders', 'ge', 'o_custkey', (SELECT count(*) FROM orders WHERE o_custkey < 1)
+  UNION ALL SELECT 'orders', 'nullable', 'o_orderkey', (SELECT count(*) FROM orders WHERE o_orderkey IS NULL)
+  UNION ALL SELECT 'orders', 'nullable', 'o_totalprice', (SELECT count(*) FROM orders WHERE o_totalprice IS NULL)
+  UNION ALL SELECT 'orders', 'ge', 'o_totalprice', (SELECT count(*) FROM orders WHERE o_totalprice < 1000)
+  UNION ALL SELECT 'orders', 'le', 'o_totalprice', (SELECT count(*) FROM orders WHERE o_totalprice > 400000)
+  UNION ALL SELECT 'orders', 'unique', 'o_orderkey',
+         (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1))
+) WHERE failures > 0"""
+
+
+def q_quarantine_lineitem(spark, sf):
+    """H7: good rows vs rows carrying the reasons they fail."""
+    good, bad = quarantine(_t(spark, sf, "lineitem"), sc.contract(sc.LINEITEM_CONTRACT_COLUMNS))
+    reasons_ = bad.select(F.explode("reasons").alias("reason")).groupBy("reason").count()
+    return (reasons_.select("reason", F.col("count").alias("n"))
+            .unionByName(good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("reason"), "n"))
+            .unionByName(bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit("quarantined").alias("reason"), "n")))
+
+
+SQL_QUARANTINE_LINEITEM = """
+WITH r AS (SELECT list_filter([
+    CASE WHEN l_quantity < 1 THEN 'l_quantity:ge' END, CASE WHEN l_quantity > 45 THEN 'l_quantity:le' END,
+    CASE WHEN l_discount < 0.01 THEN 'l_discount:ge' END, CASE WHEN l_discount > 0.1 THEN 'l_discount:le' END,
+    CASE WHEN l_tax < 0 THEN 'l_tax:ge' END, CASE WHEN l_tax > 0.06 THEN 'l_tax:le' END,
+    CASE WHEN l_orderkey IS NULL THEN 'l_orderkey:nullable' END], lambda x: x IS NOT NULL) AS reasons FROM lineitem)
+SELECT reason, count(*)::BIGINT AS n FROM (SELECT unnest(reasons) AS reason FROM r) GROUP BY reason
+UNION ALL SELECT 'good', count(*)::BIGINT FROM r WHERE len(reasons) = 0
+UNION ALL SELECT 'quarantined', count(*)::BIGINT FROM r WHERE len(reasons) > 0"""
+
+
 # ---------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -474,6 +621,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "replay_summary": q_replay_summary,
         "ledger_checks": q_ledger_checks,
         "verdict": q_verdict,
+        "content_fingerprint_orders": q_content_fingerprint_orders,
+        "byte_fingerprint_lineitem": q_byte_fingerprint_lineitem,
+        "source_sizes": q_source_sizes,
+        "daily_events": q_daily_events,
+        "freshness_daily": q_freshness_daily,
+        "lineage_daily": q_lineage_daily,
+        "schema_drift_orders": q_schema_drift_orders,
+        "quarantine_lineitem": q_quarantine_lineitem,
     }
 
 
@@ -533,6 +688,12 @@ def _oracle_sql() -> dict[str, str]:
         "replay_summary": SQL_REPLAY_SUMMARY,
         "ledger_checks": OL.checks_sql(_measure_names()),
         "verdict": OL.verdict_sql(_measure_names()),
+        "content_fingerprint_orders": SQL_CONTENT_FINGERPRINT_ORDERS,
+        "daily_events": SQL_DAILY_EVENTS,
+        "freshness_daily": SQL_FRESHNESS_DAILY,
+        "lineage_daily": SQL_LINEAGE_DAILY,
+        "schema_drift_orders": SQL_SCHEMA_DRIFT_ORDERS,
+        "quarantine_lineitem": SQL_QUARANTINE_LINEITEM,
     }
 
 

@@ -206,3 +206,76 @@ def orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDERS_MEASURES = ["mean_totalprice", "median_totalprice", "orders_count"]
+
+
+# ---------------------------------------------------------------------------
+# Derived daily table over events, its manifests and the claims on it.
+# ---------------------------------------------------------------------------
+
+def daily_events(spark: SparkSession, sf_dir: str, reg: Registry) -> DataFrame:
+    from claimledger.sources.manifest import build_daily
+    ev = table(spark, sf_dir, "events")
+    return build_daily(ev, "ts", ["DR-101"], reg, {
+        "n_events": F.count(F.lit(1)),
+        "total_value": F.round(F.sum("value"), 2),
+        "n_users": F.count_distinct("user_id"),
+    })
+
+
+def day_fingerprints(spark: SparkSession, sf_dir: str, reg: Registry) -> DataFrame:
+    """(path, sha256) of what exists now: one raw partition per day of
+    events and one derived row per day."""
+    from claimledger.sources.fingerprint import content_fingerprint
+    ev = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    raw = content_fingerprint(ev, [c for c in ev.columns if c != "day"], ["day"]).select(
+        F.concat(F.lit("events/day="), F.col("day")).alias("path"), F.col("fingerprint").alias("sha256"))
+    d = daily_events(spark, sf_dir, reg)
+    out = content_fingerprint(d, None, ["day"]).select(
+        F.concat(F.lit("daily/day="), F.col("day")).alias("path"), F.col("fingerprint").alias("sha256"))
+    return raw.unionByName(out)
+
+
+def daily_manifests(spark: SparkSession, sf_dir: str, reg: Registry) -> DataFrame:
+    """One manifest per derived day as pinned at build time, with seeded
+    staleness by day of month: 7s edited output, 5s changed source, 11s an
+    extra absent source, 13s old rules, 30 a missing output."""
+    cur = day_fingerprints(spark, sf_dir, reg)
+    days = cur.where(F.col("path").startswith("daily/")).select(
+        F.substring_index("path", "=", -1).alias("day"), F.col("sha256").alias("out_sha"))
+    raw = cur.where(F.col("path").startswith("events/")).select(
+        F.substring_index("path", "=", -1).alias("day"), F.col("sha256").alias("raw_sha"))
+    dom = F.dayofmonth(F.to_date("day"))
+    j = days.join(raw, "day")
+    rules_fp = reg.rules_fingerprint()
+    src = F.create_map(F.concat(F.lit("events/day="), F.col("day")),
+                       F.when(dom % 5 == 0, F.lit("stale")).otherwise(F.col("raw_sha")))
+    src = F.when(dom % 11 == 0, F.map_concat(src, F.create_map(F.concat(F.lit("archive/day="), F.col("day")),
+                                                               F.lit("x")))).otherwise(src)
+    return j.select(
+        F.lit("events-project").alias("project"),
+        F.when(dom == 30, F.lit("daily/day=missing")).otherwise(F.concat(F.lit("daily/day="), F.col("day"))).alias("output"),
+        F.when(dom % 7 == 0, F.lit("edited")).otherwise(F.col("out_sha")).alias("output_sha256"),
+        src.alias("sources"), F.array(F.lit("DR-101")).alias("dr_set"),
+        F.when(dom % 13 == 0, F.lit("old-rules")).otherwise(F.lit(rules_fp)).alias("rules_fingerprint"),
+        F.lit("2026-01-01T00:00:00Z").alias("built_at"))
+
+
+ORDERS_CONTRACT_COLUMNS = [
+    # (name, type, nullable, unique, ge, le)
+    ("o_orderkey", "bigint", False, True, None, None),
+    ("o_custkey", "bigint", False, False, 1, None),
+    ("o_totalprice", "double", False, False, 1000.0, 400000.0),
+    ("o_orderstatus", "int", True, False, None, None),
+    ("o_comment", "string", True, False, None, None),
+]
+LINEITEM_CONTRACT_COLUMNS = [
+    ("l_orderkey", "bigint", False, False, None, None),
+    ("l_quantity", "double", False, False, 1.0, 45.0),
+    ("l_discount", "double", False, False, 0.01, 0.1),
+    ("l_tax", "double", True, False, 0.0, 0.06),
+]
+
+
+def contract(columns) -> "SchemaContract":
+    from claimledger.operators.contract import ColumnSpec, SchemaContract
+    return SchemaContract(tuple(ColumnSpec(*c) for c in columns))
