@@ -28,6 +28,9 @@ from claimledger.sources.fingerprint import (byte_fingerprint, content_fingerpri
                                              source_sizes)
 from claimledger.operators.status import freshness, lineage
 from claimledger.operators.contract import quarantine, schema_drift
+from claimledger.operators.textops import extract_ids, field, rule_statuses, sections, unfilled_placeholders
+from claimledger.operators.status import (backlog_coverage, caveat_register, orphan_citations, rule_caveat_sync,
+                                          rule_usage, trust_buckets)
 
 NOW = "2026-01-01T00:00:00Z"
 
@@ -591,6 +594,199 @@ UNION ALL SELECT 'good', count(*)::BIGINT FROM r WHERE len(reasons) = 0
 UNION ALL SELECT 'quarantined', count(*)::BIGINT FROM r WHERE len(reasons) > 0"""
 
 
+# ---------------------------------------------------------------- T. text
+
+def q_rule_sections(spark, sf):
+    """T1 + T2: sections of the decisions register and their fields."""
+    s = sections(sc.decisions_docs(spark, sf), r"DR-\d+")
+    return s.select("doc", "id", "title", field(F.col("body"), "Status").alias("status"),
+                    field(F.col("body"), "Rule").alias("rule"))
+
+
+SQL_RULE_SECTIONS = """
+SELECT p_partkey AS doc, 'DR-' || (2 * p_partkey) AS id, trim(p_name) AS title,
+       CASE p_size % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'Dropped' WHEN 2 THEN 'superseded' ELSE 'active' END AS status,
+       trim(p_type) AS rule FROM part
+UNION ALL
+SELECT p_partkey, 'DR-' || (2 * p_partkey + 1), trim(p_brand), NULL, 'size ' || p_size FROM part"""
+
+
+def q_rule_statuses(spark, sf):
+    """Status per rule id, lower-cased, 'unknown' when none is stated."""
+    return rule_statuses(sc.decisions_docs(spark, sf), carry=["project"])
+
+
+SQL_RULE_STATUSES = """
+SELECT 'p' || (p_partkey % 2) AS project, 'DR-' || (2 * p_partkey) AS id,
+       CASE p_size % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'dropped' WHEN 2 THEN 'superseded' ELSE 'active' END AS status
+FROM part
+UNION ALL SELECT 'p' || (p_partkey % 2), 'DR-' || (2 * p_partkey + 1), 'unknown' FROM part"""
+
+
+EMAIL = r"[A-Za-z0-9._]+@mail[0-9]+\.example\.com"
+
+
+def q_extract_ids(spark, sf):
+    """T4: every match of an id pattern over whole documents."""
+    return extract_ids(_t(spark, sf, "documents"), EMAIL)
+
+
+SQL_EXTRACT_IDS = f"""
+SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_all(text, '{EMAIL}')) AS id FROM documents"""
+
+
+def q_placeholders(spark, sf):
+    """T5: documents still holding a literal token, with occurrences."""
+    return unfilled_placeholders(_t(spark, sf, "documents"), "***")
+
+
+SQL_PLACEHOLDERS = """
+SELECT doc_id AS doc, ((length(text) - length(replace(text, '***', ''))) // 3)::BIGINT AS occurrences
+FROM documents WHERE contains(text, '***')"""
+
+
+# ---------------------------------------------------------------- G. cross-references
+
+def q_orphan_citations(spark, sf):
+    """G1 + G2: memo citations against the orders-derived ledger."""
+    led = typed(sc.orders_ledger(spark, sf))
+    return orphan_citations(led, sc.memo_docs(spark, sf))
+
+
+_MEMO_SQL = r"""
+memo AS (SELECT 'proj-' || (doc_id % 3) AS project, doc_id,
+   '## Reliable' || chr(10) || 'See ' || printf('F-%06d', (doc_id * 37) % 30000) || ' and ' || printf('F-%06d', doc_id * 4)
+   || '.' || chr(10) || text || chr(10) || '## Noisy' || chr(10) || 'Also ' || printf('F-%06d', doc_id * 4 + 1) || '.'
+   || chr(10) AS text FROM documents)"""
+
+
+def _sql_orphans() -> str:
+    return f"""WITH {OL.BASE}, {_MEMO_SQL},
+cited AS (SELECT DISTINCT project, unnest(regexp_extract_all(text, 'F-\d{{3,}}[a-z]?')) AS id FROM memo),
+known AS (SELECT DISTINCT project, id FROM t WHERE id IS NOT NULL),
+orphans AS (SELECT * FROM cited EXCEPT SELECT * FROM known),
+kmax AS (SELECT project, max(regexp_extract(id, '^F-(\d+)', 1)::BIGINT) AS kmax FROM known
+         WHERE regexp_matches(id, '^F-\d') GROUP BY 1),
+cmax AS (SELECT project, max(regexp_extract(id, '^F-(\d+)', 1)::BIGINT) AS cmax FROM cited GROUP BY 1)
+SELECT project, 'trust_memo:orphans' AS "check", 'FAIL' AS severity, id AS finding_id,
+       'memo cites unknown ' || id AS detail FROM orphans
+UNION ALL
+SELECT kmax.project, 'trust_memo:abandonment', 'WARN', NULL,
+       printf('highest finding F-%03d but memo cites only up to F-%03d', kmax, cmax)
+FROM kmax JOIN cmax USING (project) WHERE kmax - cmax > 10 AND project NOT IN (SELECT project FROM orphans)
+UNION ALL
+SELECT DISTINCT project, 'trust_memo:exists', 'WARN', NULL, 'no memo - orphan check skipped' FROM t
+WHERE project NOT IN (SELECT project FROM memo)"""
+
+
+def q_trust_buckets(spark, sf):
+    """The bucket heading each claim is first cited under."""
+    return trust_buckets(sc.memo_docs(spark, sf))
+
+
+SQL_TRUST_BUCKETS = f"""WITH {_MEMO_SQL},
+l AS (SELECT project, doc_id, unnest(string_split(text, chr(10))) AS line,
+             unnest(range(len(string_split(text, chr(10))))) AS pos FROM memo),
+h AS (SELECT *, CASE WHEN regexp_matches(line, '^##\s+') THEN trim(regexp_extract(line, '^##\s+(.*?)\s*$', 1)) END AS head
+      FROM l),
+b AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY project, doc_id ORDER BY pos
+                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bucket FROM h),
+c AS (SELECT project, doc_id, pos, bucket, unnest(regexp_extract_all(line, 'F-\d{{3,}}[a-z]?')) AS id
+      FROM b WHERE head IS NULL AND bucket IS NOT NULL)
+SELECT project, id, arg_min(bucket, doc_id * 100000000 + pos) AS bucket FROM c GROUP BY project, id"""
+
+
+def q_rule_caveat_sync(spark, sf):
+    """Caveats register vs implemented rules vs rule statuses."""
+    st = rule_statuses(sc.decisions_docs(spark, sf), carry=["project"])
+    return rule_caveat_sync(sc.caveat_docs(spark, sf), sc.implemented_rules(spark, sf), st, fast=False)
+
+
+SQL_RULE_CAVEAT_SYNC = r"""
+WITH cav AS (SELECT 'p' || (s_suppkey % 2) AS project, s_suppkey,
+   '### ' || s_name || chr(10) || '**Severity:** x' || chr(10) || 'Applies DR-' || (2 * s_suppkey) || ' and DR-'
+   || (2 * s_suppkey + 1) || '.' || chr(10)
+   || CASE WHEN s_suppkey % 4 = 0 THEN 'Pending decision on scope.' || chr(10) ELSE '' END
+   || CASE WHEN s_suppkey % 50 = 1 THEN '{{MUST_CUSTOMIZE}}' || chr(10) ELSE '' END AS text FROM supplier),
+filled AS (SELECT project FROM cav GROUP BY project HAVING max(contains(text, '{{MUST_CUSTOMIZE')::INT) = 0),
+refs AS (SELECT DISTINCT project, unnest(regexp_extract_all(text, 'DR-\d+')) AS id FROM cav
+         WHERE project IN (SELECT project FROM filled)),
+impl AS (SELECT 'p' || (p_partkey % 2) AS project, 'DR-' || (2 * p_partkey) AS id FROM part
+         WHERE p_size % 5 <> 0 AND 'p' || (p_partkey % 2) IN (SELECT project FROM filled)),
+st AS (SELECT 'p' || (p_partkey % 2) AS project, 'DR-' || (2 * p_partkey) AS id,
+              CASE p_size % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'dropped' WHEN 2 THEN 'superseded' ELSE 'active' END AS status
+       FROM part
+       UNION ALL SELECT 'p' || (p_partkey % 2), 'DR-' || (2 * p_partkey + 1), 'unknown' FROM part)
+SELECT project, 'decisions_caveats:sync' AS "check", 'FAIL' AS severity, id AS finding_id,
+       'caveats cite ' || id || ' but it has no implementation' AS detail
+FROM (SELECT * FROM refs EXCEPT SELECT * FROM impl)
+UNION ALL
+SELECT r.project, 'decisions_caveats:sync', 'FAIL', r.id, 'caveats cite ' || r.id || ' but it is ' || st.status
+FROM refs r JOIN impl i USING (project, id) JOIN st USING (project, id) WHERE st.status IN ('dropped', 'superseded')
+UNION ALL
+SELECT i.project, 'decisions_caveats:sync', 'FAIL', i.id, i.id || ' is active but not in the caveats register'
+FROM impl i LEFT JOIN st USING (project, id)
+WHERE coalesce(st.status, 'unknown') NOT IN ('dropped', 'superseded')
+  AND (i.project, i.id) NOT IN (SELECT (project, id) FROM refs)
+UNION ALL
+SELECT project, 'decisions_caveats:pending', 'WARN', NULL,
+       printf('%d caveat(s) still marked pending', sum(len(regexp_extract_all(text, '[Pp]ending decision'))))
+FROM cav WHERE project IN (SELECT project FROM filled) GROUP BY project
+HAVING sum(len(regexp_extract_all(text, '[Pp]ending decision'))) > 0"""
+
+
+def q_caveat_register(spark, sf):
+    """Heading and severity of every caveat section."""
+    return caveat_register(sc.caveat_docs(spark, sf))
+
+
+SQL_CAVEAT_REGISTER = """
+SELECT 'p' || (s_suppkey % 2) AS project, s_suppkey AS doc, trim(s_name) AS heading,
+       CASE s_suppkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM supplier"""
+
+
+def q_backlog_coverage(spark, sf):
+    """Backlog question -> status -> the claims that address it
+    (one claim per customer addresses its nation's question)."""
+    bl = sections(sc.backlog_docs(spark, sf), r"A-\d+", carry=["project"]).select(
+        "project", F.col("id").alias("aid"), field(F.col("body"), "Status").alias("status"),
+        F.coalesce(field(F.col("body"), "Question"), F.col("title")).alias("question"))
+    cust = _t(spark, sf, "customer").select(
+        F.lit("customers-project").alias("project"), F.format_string("F-%06d", F.col("c_custkey")).alias("id"),
+        F.array(F.concat(F.lit("A-"), F.col("c_nationkey").cast("string"))).alias("addresses"))
+    cov = backlog_coverage(bl, cust)
+    return cov.select("project", "aid", "status", "question", F.size("answered_by").alias("n_claims"),
+                      F.element_at("answered_by", 1).alias("first_claim"))
+
+
+SQL_BACKLOG_COVERAGE = """
+SELECT 'customers-project' AS project, 'A-' || n_nationkey AS aid,
+       CASE WHEN n_nationkey % 3 = 0 THEN 'answered' ELSE 'open' END AS status,
+       'How much do customers in ' || n_name || ' spend?' AS question,
+       count(c_custkey)::INT AS n_claims, min(printf('F-%06d', c_custkey)) AS first_claim
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name"""
+
+
+def q_rule_usage(spark, sf):
+    """Rule -> status -> claims applying it (orders-derived ledger)."""
+    reg = sc.registry(sf)
+    rules = spark.createDataFrame([(p, rid, r.description) for rid, r in sorted(reg.rules.items())
+                                   for p in [f"proj-{i}" for i in range(10)]], "project string, rid string, status string")
+    use = rule_usage(rules, typed(sc.orders_ledger(spark, sf)).where(F.col("id").isNotNull()))
+    return use.select("project", "rid", F.size("claims").alias("n_claims"))
+
+
+def _sql_rule_usage(reg_ids: list[str]) -> str:
+    vals = ", ".join(f"('{r}')" for r in reg_ids)
+    return f"""WITH {OL.BASE},
+f AS (SELECT project, id, CASE WHEN k % 3 = 0 THEN ['DR-201'] WHEN k % 3 = 1 THEN ['DR-201', 'DR-001'] ELSE [] END AS fl
+      FROM t WHERE id IS NOT NULL AND m40 NOT IN (24, 25, 26)),
+u AS (SELECT project, unnest(fl) AS rid, id FROM f),
+r AS (SELECT 'proj-' || i AS project, rid FROM range(10) AS x(i), (VALUES {vals}) AS v(rid))
+SELECT r.project, r.rid, count(DISTINCT u.id)::INT AS n_claims FROM r LEFT JOIN u USING (project, rid)
+GROUP BY r.project, r.rid"""
+
+
 # ---------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -629,6 +825,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lineage_daily": q_lineage_daily,
         "schema_drift_orders": q_schema_drift_orders,
         "quarantine_lineitem": q_quarantine_lineitem,
+        "rule_sections": q_rule_sections,
+        "rule_statuses": q_rule_statuses,
+        "extract_ids": q_extract_ids,
+        "placeholders": q_placeholders,
+        "orphan_citations": q_orphan_citations,
+        "trust_buckets": q_trust_buckets,
+        "rule_caveat_sync": q_rule_caveat_sync,
+        "caveat_register": q_caveat_register,
+        "backlog_coverage": q_backlog_coverage,
+        "rule_usage": q_rule_usage,
     }
 
 
@@ -694,6 +900,16 @@ def _oracle_sql() -> dict[str, str]:
         "lineage_daily": SQL_LINEAGE_DAILY,
         "schema_drift_orders": SQL_SCHEMA_DRIFT_ORDERS,
         "quarantine_lineitem": SQL_QUARANTINE_LINEITEM,
+        "rule_sections": SQL_RULE_SECTIONS,
+        "rule_statuses": SQL_RULE_STATUSES,
+        "extract_ids": SQL_EXTRACT_IDS,
+        "placeholders": SQL_PLACEHOLDERS,
+        "orphan_citations": _sql_orphans(),
+        "trust_buckets": SQL_TRUST_BUCKETS,
+        "rule_caveat_sync": SQL_RULE_CAVEAT_SYNC,
+        "caveat_register": SQL_CAVEAT_REGISTER,
+        "backlog_coverage": SQL_BACKLOG_COVERAGE,
+        "rule_usage": _sql_rule_usage(sorted(sc.registry("").rules)),
     }
 
 

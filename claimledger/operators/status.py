@@ -234,10 +234,11 @@ def rule_usage(rules: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def caveat_register(docs: DataFrame) -> DataFrame:
-    """(project, heading, severity) for each ``###`` caveat section."""
+    """(project, doc, heading, severity) for each ``###`` caveat
+    section of the register documents (project, doc_id, text)."""
     from claimledger.operators.textops import field, sections
-    s = sections(docs.withColumnRenamed("project", "doc_id"), r"[^\n]+?", level="###")
-    return s.select(F.col("doc").alias("project"), F.col("id").alias("heading"),
+    s = sections(docs, r".+", level="###", carry=["project"])
+    return s.select("project", "doc", F.trim(F.concat("id", "title")).alias("heading"),
                     F.coalesce(field(F.col("body"), "Severity"), F.lit("-")).alias("severity"))
 
 

@@ -11,37 +11,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lines(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, pos, line): the whole text split at newlines, 0-based position."""
-    return docs.select(F.col(doc_col).alias("doc"),
+def lines(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(carry..., doc, pos, line): the whole text split at newlines, 0-based
+    position; ``carry`` columns (e.g. project) ride along."""
+    carry = carry or []
+    return docs.select(*carry, F.col(doc_col).alias("doc"),
                        F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
 
 
 def sections(docs: DataFrame, id_regex: str, doc_col: str = "doc_id", text_col: str = "text",
-             level: str = "###") -> DataFrame:
+             level: str = "###", carry: list[str] | None = None) -> DataFrame:
     """(doc, id, title, body, pos) for every ``<level> <id> — <title>``
     heading; the body runs to the next heading of that level.
 
     Lines are tagged with the heading that precedes them by a running
     ``last(..., ignorenulls)`` window partitioned by document.
     """
-    ln = lines(docs, doc_col, text_col)
+    carry = carry or []
+    ln = lines(docs, doc_col, text_col, carry)
     head = rf"^{level}\s+({id_regex})\b[ \t]*[—:-]?[ \t]*(.*?)\s*$"
     is_any_head = F.col("line").rlike(rf"^{level}\s")
     hid = F.when(F.col("line").rlike(head), F.regexp_extract("line", head, 1))
-    w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*carry, "doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     tagged = (ln.withColumn("_hpos", F.when(is_any_head, F.col("pos")))
                 .withColumn("_cur", F.last("_hpos", ignorenulls=True).over(w))
                 .withColumn("_hid", hid))
     heads = tagged.where(F.col("_hid").isNotNull()).select(
-        "doc", F.col("pos").alias("_cur"), F.col("_hid").alias("id"),
+        *carry, "doc", F.col("pos").alias("_cur"), F.col("_hid").alias("id"),
         F.regexp_extract("line", head, 2).alias("title"))
     body = (tagged.where(F.col("_cur").isNotNull() & (F.col("pos") != F.col("_cur")))
-                  .groupBy("doc", "_cur")
+                  .groupBy(*carry, "doc", "_cur")
                   .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))),
                                                 lambda s: s["line"]), "\n").alias("body")))
-    return (heads.join(body, ["doc", "_cur"], "left")
-                 .select("doc", "id", "title", F.coalesce("body", F.lit("")).alias("body"),
+    return (heads.join(body, [*carry, "doc", "_cur"], "left")
+                 .select(*carry, "doc", "id", "title", F.coalesce("body", F.lit("")).alias("body"),
                          F.col("_cur").alias("pos")))
 
 
@@ -53,21 +56,23 @@ def field(body: Column, name: str) -> Column:
 
 
 def rule_statuses(docs: DataFrame, id_regex: str = r"DR-\d+", doc_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(id, status): lower-cased ``**Status:**`` of each ``##``/``###``
     rule heading, 'unknown' when absent; for a rule stated several times the
     last statement (by document, then position) wins."""
-    ln = lines(docs, doc_col, text_col)
+    carry = carry or []
+    ln = lines(docs, doc_col, text_col, carry)
     head = rf"^#{{2,3}}\s+({id_regex})\b"
-    w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*carry, "doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     t = (ln.withColumn("_h", F.when(F.col("line").rlike(head), F.regexp_extract("line", head, 1)))
            .withColumn("_cur", F.last("_h", ignorenulls=True).over(w))
            .withColumn("_st", F.lower(F.regexp_extract("line", r"\*\*Status:\*\*\s*(\w+)", 1))))
     events = t.where(F.col("_cur").isNotNull() & (F.col("_h").isNotNull() | (F.col("_st") != ""))).select(
-        F.col("_cur").alias("id"), F.struct("doc", "pos").alias("_at"),
+        *carry, F.col("_cur").alias("id"), F.struct("doc", "pos").alias("_at"),
         F.when(F.col("_h").isNotNull(), F.lit(None)).otherwise(F.col("_st")).alias("_st"))
-    g = events.groupBy("id").agg(F.max_by("_st", F.when(F.col("_st").isNotNull(), F.col("_at"))).alias("status"))
-    return g.select("id", F.coalesce("status", F.lit("unknown")).alias("status"))
+    g = events.groupBy(*carry, "id").agg(
+        F.max_by("_st", F.when(F.col("_st").isNotNull(), F.col("_at"))).alias("status"))
+    return g.select(*carry, "id", F.coalesce("status", F.lit("unknown")).alias("status"))
 
 
 def extract_ids(docs: DataFrame, pattern: str, doc_col: str = "doc_id", text_col: str = "text",

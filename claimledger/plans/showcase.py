@@ -193,6 +193,8 @@ def orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     repro = (F.when(m40 == 26, _pj(F.lit("5")))
               .when(m40 == 25, _pj(F.lit('{"filters": "x", "row_count_after_filter": 100}')))
               .when(m40 == 24, _pj(F.lit('{"filters": []}')))
+              .when(k % 3 == 0, _pj(F.lit('{"filters": ["DR-201"], "row_count_after_filter": 100}')))
+              .when(k % 3 == 1, _pj(F.lit('{"filters": ["DR-201", "DR-001"], "row_count_after_filter": 100}')))
               .otherwise(_pj(F.lit('{"filters": [], "row_count_after_filter": 100}'))))
     rev = F.when(m40 == 27, _pj(F.lit("[]"))).otherwise(
         _pj(F.lit('[{"timestamp": "2026-01-01T00:00:00Z", "reason": "seeded"}]')))
@@ -279,3 +281,62 @@ LINEITEM_CONTRACT_COLUMNS = [
 def contract(columns) -> "SchemaContract":
     from claimledger.operators.contract import ColumnSpec, SchemaContract
     return SchemaContract(tuple(ColumnSpec(*c) for c in columns))
+
+
+# ---------------------------------------------------------------------------
+# Registers as documents, one (or two) sections per source row.
+# ---------------------------------------------------------------------------
+
+def decisions_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, doc_id, text): two rule sections per part."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    status = (F.when(F.col("p_size") % 4 == 0, "active").when(F.col("p_size") % 4 == 1, "Dropped")
+               .when(F.col("p_size") % 4 == 2, "superseded").otherwise("active"))
+    text = F.concat(F.lit("### DR-"), (2 * k).cast("string"), F.lit(" — "), F.col("p_name"),
+                    F.lit("\n**Status:** "), status, F.lit("\n**Rule:** "), F.col("p_type"),
+                    F.lit("\n\nnotes\n### DR-"), (2 * k + 1).cast("string"), F.lit(": "), F.col("p_brand"),
+                    F.lit("\n**Rule:** size "), F.col("p_size").cast("string"), F.lit("\n"))
+    return p.select(F.concat(F.lit("p"), (k % 2).cast("string")).alias("project"), k.alias("doc_id"),
+                    text.alias("text"))
+
+
+def implemented_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.where(F.col("p_size") % 5 != 0).select(
+        F.concat(F.lit("p"), (F.col("p_partkey") % 2).cast("string")).alias("project"),
+        F.concat(F.lit("DR-"), (2 * F.col("p_partkey")).cast("string")).alias("id"))
+
+
+def caveat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, doc_id, text): one caveat section per supplier citing two rules."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    sev = F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low")
+    text = F.concat(F.lit("### "), F.col("s_name"), F.lit("\n**Severity:** "), sev,
+                    F.lit("\nApplies DR-"), (2 * k).cast("string"), F.lit(" and DR-"), (2 * k + 1).cast("string"),
+                    F.lit(".\n"), F.when(k % 4 == 0, F.lit("Pending decision on scope.\n")).otherwise(F.lit("")),
+                    F.when(k % 50 == 1, F.lit("{{MUST_CUSTOMIZE}}\n")).otherwise(F.lit("")))
+    return s.select(F.concat(F.lit("p"), (k % 2).cast("string")).alias("project"), k.alias("doc_id"),
+                    text.alias("text"))
+
+
+def memo_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, doc_id, text): a trust memo per document, whole text kept,
+    citing claim ids under two bucket headings."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    text = F.concat(F.lit("## Reliable\nSee "), F.format_string("F-%06d", (k * 37) % 30000), F.lit(" and "),
+                    F.format_string("F-%06d", k * 4), F.lit(".\n"), F.col("text"), F.lit("\n## Noisy\nAlso "),
+                    F.format_string("F-%06d", k * 4 + 1), F.lit(".\n"))
+    return d.select(F.concat(F.lit("proj-"), (k % 3).cast("string")).alias("project"), k.alias("doc_id"),
+                    text.alias("text"))
+
+
+def backlog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    text = F.concat(F.lit("### A-"), k.cast("string"), F.lit(" — "), F.col("n_name"),
+                    F.lit("\n**Status:** "), F.when(k % 3 == 0, "answered").otherwise("open"),
+                    F.lit("\n**Question:** How much do customers in "), F.col("n_name"), F.lit(" spend?\n"))
+    return n.select(F.lit("customers-project").alias("project"), k.alias("doc_id"), text.alias("text"))
