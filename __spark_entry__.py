@@ -29,8 +29,10 @@ from claimledger.sources.fingerprint import (byte_fingerprint, content_fingerpri
 from claimledger.operators.status import freshness, lineage
 from claimledger.operators.contract import quarantine, schema_drift
 from claimledger.operators.textops import extract_ids, field, rule_statuses, sections, unfilled_placeholders
-from claimledger.operators.status import (backlog_coverage, caveat_register, orphan_citations, rule_caveat_sync,
-                                          rule_usage, trust_buckets)
+from claimledger.operators.status import (action_items, backlog_coverage, caveat_register, claim_detail,
+                                          orphan_citations, publishable, rule_caveat_sync, rule_usage,
+                                          status_banner, trust_buckets)
+from claimledger.session import materialize
 
 NOW = "2026-01-01T00:00:00Z"
 
@@ -356,7 +358,7 @@ def lineitem_ledger(spark, sf, reg):
               "distribution", lambda k, v: F.when(k == "mean", v * 1.01).otherwise(v))).otherwise(F.col("distribution")))
           .withColumn("matrix", F.when(n.isin(sc.DRIFT_MATRIX), F.transform("matrix", lambda row, i: F.transform(
               row, lambda x, j: F.when((i == 0) & (j == 1), x + 0.01).otherwise(x)))).otherwise(F.col("matrix"))))
-    return to_document(t).select("project", "doc").unionByName(sc.extra_lineitem_claims(spark))
+    return materialize(to_document(t).select("project", "doc").unionByName(sc.extra_lineitem_claims(spark)))
 
 
 def q_replay_lineitem(spark, sf):
@@ -787,6 +789,107 @@ SELECT r.project, r.rid, count(DISTINCT u.id)::INT AS n_claims FROM r LEFT JOIN
 GROUP BY r.project, r.rid"""
 
 
+# ---------------------------------------------------------------- D9 + status
+
+def customers_ledger(spark, sf, reg):
+    """Register the per-customer claims computed, then drift every 7th."""
+    empty = spark.createDataFrame([], "project string, doc string")
+    acc, _ = register_computed(empty, sc.customer_specs(spark, sf), reg, "initial entry", NOW)
+    t = typed(acc)
+    key = F.col("group_key").cast("long")
+    t = (t.withColumn("value_v", F.lit(None).cast("variant"))
+          .withColumn("value_num", F.when((key % 7 == 0) & (F.col("measure") == "orders_count"), F.col("value_num") + 1)
+                      .when(key % 7 == 0, F.col("value_num") * 1.01).otherwise(F.col("value_num"))))
+    return materialize(to_document(t).select("project", "doc"))
+
+
+def _customers_replay(spark, sf):
+    reg = sc.registry(sf)
+    docs = customers_ledger(spark, sf, reg)
+    led = typed(docs)
+    return docs, led, replay(led, reg)
+
+
+def q_replay_keyed_customers(spark, sf):
+    """One claim per (customer, measure), all replayed from one scan."""
+    _, _, res = _customers_replay(spark, sf)
+    return res.select("id", "status", "reason", "rows", _r(F.col("actual_num")).alias("actual"))
+
+
+_SQL_KEYED = r"""
+c AS (SELECT c_custkey, c_nationkey FROM customer),
+n_f AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1995-04-01' GROUP BY 1),
+n_a AS (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS mean FROM orders GROUP BY 1),
+k AS (
+  SELECT printf('F-%06d', c_custkey) AS id, c_custkey, 'orders_count' AS measure,
+         CASE WHEN c_custkey % 2 = 0 THEN f.n ELSE a.n END AS rows,
+         (CASE WHEN c_custkey % 2 = 0 THEN f.n ELSE a.n END)::DOUBLE AS actual
+  FROM c LEFT JOIN n_f f ON f.o_custkey = c_custkey LEFT JOIN n_a a ON a.o_custkey = c_custkey
+  UNION ALL
+  SELECT printf('F-%06d', c_custkey + 500000), c_custkey, 'mean_totalprice', a.n, a.mean
+  FROM c LEFT JOIN n_a a ON a.o_custkey = c_custkey),
+reg AS (SELECT *, CASE WHEN c_custkey % 7 = 0 AND measure = 'orders_count' THEN actual + 1
+                       WHEN c_custkey % 7 = 0 THEN actual * 1.01 ELSE actual END AS stored
+        FROM k WHERE rows IS NOT NULL),
+res AS (SELECT 'customers-project' AS project, id, c_custkey, measure, rows, actual, stored,
+          CASE WHEN abs(stored - actual) <= greatest(1e-9 * greatest(abs(stored), abs(actual)), 1e-6)
+               THEN 'ok' ELSE 'value_mismatch' END AS reason FROM reg)"""
+
+
+SQL_REPLAY_KEYED = f"""WITH {_SQL_KEYED}
+SELECT id, CASE reason WHEN 'ok' THEN 'PASS' ELSE 'FAIL' END AS status, reason, rows::BIGINT AS rows,
+       round(actual, 6) AS actual FROM res"""
+
+
+def q_claim_status(spark, sf):
+    """G6 + G12 + G13 + G15: health, shown value and publishability per claim."""
+    _, led, res = _customers_replay(spark, sf)
+    det = claim_detail(led, res)
+    pub = publishable(led, res).select("project", "id", F.lit(True).alias("publishable"))
+    return (det.join(pub, ["project", "id"], "left")
+               .select("id", "health", "shown_value", F.coalesce("publishable", F.lit(False)).alias("publishable")))
+
+
+SQL_CLAIM_STATUS = f"""WITH {_SQL_KEYED}
+SELECT id, CASE reason WHEN 'ok' THEN 'verified' ELSE 'drifted' END AS health,
+       CASE WHEN abs(stored - round(stored)) <= 1e-9 * greatest(1.0, abs(stored)) THEN format('{{:,}}', round(stored)::BIGINT)
+            WHEN floor(log10(abs(stored))) - 3 >= 0
+            THEN CAST(CAST(round(stored / pow(10, floor(log10(abs(stored))) - 3)) * pow(10, floor(log10(abs(stored))) - 3)
+                           AS DECIMAL(38,12)) AS DOUBLE)::VARCHAR
+            ELSE CAST(CAST(round(stored * pow(10, 3 - floor(log10(abs(stored))))) / pow(10, 3 - floor(log10(abs(stored))))
+                           AS DECIMAL(38,12)) AS DOUBLE)::VARCHAR
+       END AS shown_value,
+       reason = 'ok' AND c_custkey % 5 <> 0 AS publishable FROM res"""
+
+
+def q_status_banner(spark, sf):
+    """Counts per health state, red and amber items, in sync or not."""
+    docs, _, res = _customers_replay(spark, sf)
+    return status_banner(res, group_checks(docs))
+
+
+SQL_STATUS_BANNER = f"""WITH {_SQL_KEYED}
+SELECT 'customers-project' AS project, count(*)::BIGINT AS n_claims,
+       count(*) FILTER (WHERE reason = 'ok')::BIGINT AS verified,
+       count(*) FILTER (WHERE reason <> 'ok')::BIGINT AS drifted, 0::BIGINT AS cannot_verify,
+       0::BIGINT AS manual, 0::BIGINT AS red, 1::BIGINT AS amber, false AS in_sync FROM res"""
+
+
+def q_action_items(spark, sf):
+    """Every drifted claim and every failure or warning, with a fix."""
+    docs, _, res = _customers_replay(spark, sf)
+    return action_items(res, group_checks(docs))
+
+
+SQL_ACTION_ITEMS = f"""WITH {_SQL_KEYED}
+SELECT project, 'replay:' || id AS item, 'FAIL' AS severity,
+       'The stored number no longer matches the measure: re-register it or fix the measure.' AS fix
+FROM res WHERE reason <> 'ok'
+UNION ALL
+SELECT 'customers-project', 'source_hash:unpinned:', 'WARN',
+       'Claims disagree on a source snapshot, or a fingerprint is unpinned.'"""
+
+
 # ---------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -835,6 +938,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "caveat_register": q_caveat_register,
         "backlog_coverage": q_backlog_coverage,
         "rule_usage": q_rule_usage,
+        "replay_keyed_customers": q_replay_keyed_customers,
+        "claim_status": q_claim_status,
+        "status_banner": q_status_banner,
+        "action_items": q_action_items,
     }
 
 
@@ -910,6 +1017,10 @@ def _oracle_sql() -> dict[str, str]:
         "caveat_register": SQL_CAVEAT_REGISTER,
         "backlog_coverage": SQL_BACKLOG_COVERAGE,
         "rule_usage": _sql_rule_usage(sorted(sc.registry("").rules)),
+        "replay_keyed_customers": SQL_REPLAY_KEYED,
+        "claim_status": SQL_CLAIM_STATUS,
+        "status_banner": SQL_STATUS_BANNER,
+        "action_items": SQL_ACTION_ITEMS,
     }
 
 

@@ -88,8 +88,10 @@ def _tolerance_fails() -> Column:
 
 
 def _objects(ledger: DataFrame) -> DataFrame:
+    """Non-objects get a NULL variant rather than being filtered out: a
+    filter on ``v`` would be pushed below the parse and copy it."""
     p = parse(ledger) if "v" not in ledger.columns else ledger
-    return p.where(is_object(F.expr("schema_of_variant(v)")))
+    return p.withColumn("v", F.when(is_object(F.expr("schema_of_variant(v)")), F.col("v")))
 
 
 def structural_checks(ledger: DataFrame, measure_names: list[str] | None = None) -> DataFrame:
@@ -172,18 +174,17 @@ def structural_checks(ledger: DataFrame, measure_names: list[str] | None = None)
                F.filter(F.col("a_sources"), lambda s: ~_src_ok(s))),
         lambda s: F.struct(F.lit("input:sources").alias("check"), F.lit(M.FAIL).alias("severity"),
                            F.lit("source without a string path").alias("detail")))
-    arr = F.concat(F.filter(F.array(*viols), lambda x: x.isNotNull()),
-                   F.coalesce(src_viol, F.array().cast(
-                       "array<struct<check:string,severity:string,detail:string>>")))
+    empty = F.array().cast("array<struct<check:string,severity:string,detail:string>>")
+    arr = F.concat(F.filter(F.array(*viols), lambda x: x.isNotNull()), F.coalesce(src_viol, empty))
+    arr = F.when(F.col("v").isNotNull(), arr).otherwise(empty)
     return x.select("project", fid.alias("finding_id"), F.inline(arr)).select(*VCOLS)
 
 
 def group_checks(ledger: DataFrame) -> DataFrame:
     """F3, F9, F18 (custom tolerance count), F19, F20 as aggregates per project."""
-    p = parse(ledger) if "v" not in ledger.columns else ledger
-    p = p.where(is_object(F.expr("schema_of_variant(v)")))
+    p = _objects(ledger)
     fid = get("$.id", "string")
-    base = p.select("project", fid.alias("id"), get("$.counterfactual_tag", "string").alias("tag"),
+    base = p.where(F.col("v").isNotNull()).select("project", fid.alias("id"), get("$.counterfactual_tag", "string").alias("tag"),
                     vtype("$.tolerance").alias("tol_t"),
                     F.expr("try_variant_get(v, '$.input.sources', 'array<variant>')").alias("srcs"),
                     "v")
@@ -200,8 +201,8 @@ def group_checks(ledger: DataFrame) -> DataFrame:
                        F.format_string("%d/%d are OBSERVED", F.col("n_obs"), F.col("n")).alias("detail")))
     # custom tolerance WARN: only when the project has no tolerance FAIL
     tols = (_extract(_objects(ledger)).groupBy("project")
-            .agg(F.count_if(is_object(_t("tolerance"))).alias("n_custom"),
-                 F.count_if(_tolerance_fails()).alias("n_bad")))
+            .agg(F.count_if(F.col("v").isNotNull() & is_object(_t("tolerance"))).alias("n_custom"),
+                 F.count_if(F.col("v").isNotNull() & _tolerance_fails()).alias("n_bad")))
     custom = (tols.where((F.col("n_custom") > 0) & (F.col("n_bad") == 0))
                   .select("project", F.lit("tolerance:custom").alias("check"), F.lit(M.WARN).alias("severity"),
                           F.lit(None).cast("string").alias("finding_id"),

@@ -247,11 +247,15 @@ def caveat_register(docs: DataFrame) -> DataFrame:
 def format_value(check_type: Column, value: Column) -> Column:
     """Proportion as a percentage with one decimal, integral scalars and
     rates with thousands separators, other numbers to 4 significant digits."""
-    is_int = value == F.floor(value)
-    four_sig = F.expr("cast(cast(round(value_num, 3 - cast(floor(log10(abs(value_num))) as int)) as decimal(38,12)) as double)")
+    # integral up to float noise, so engines that sum in another order agree
+    is_int = F.abs(value - F.round(value)) <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(value))
+    e = F.floor(F.log10(F.abs(value))) - 3
+    p = F.pow(F.lit(10.0), F.abs(e))
+    four_sig = F.when(e >= 0, F.round(value / p) * p).otherwise(F.round(value * p) / p) \
+        .cast("decimal(38,12)").cast("double")
     return (F.when(value.isNull(), F.lit(None).cast("string"))
              .when(check_type == "proportion", F.concat(F.format_number(value * 100, 1), F.lit("%")))
-             .when(check_type.isin("scalar", "rate") & is_int, F.format_number(value, 0))
+             .when(check_type.isin("scalar", "rate") & is_int, F.format_number(F.round(value), 0))
              .when(check_type.isin("scalar", "rate") & (value == 0), F.lit("0"))
              .when(check_type.isin("scalar", "rate"), four_sig.cast("string"))
              .when(check_type == "distribution", F.lit("distribution (see detail)"))

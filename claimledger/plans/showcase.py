@@ -340,3 +340,30 @@ def backlog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("\n**Status:** "), F.when(k % 3 == 0, "answered").otherwise("open"),
                     F.lit("\n**Question:** How much do customers in "), F.col("n_name"), F.lit(" spend?\n"))
     return n.select(F.lit("customers-project").alias("project"), k.alias("doc_id"), text.alias("text"))
+
+
+# ---------------------------------------------------------------------------
+# Keyed claims: one claim per customer and measure, replayed in one pass.
+# ---------------------------------------------------------------------------
+
+def customer_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two claims per customer: its number of orders (rule DR-201 for even
+    keys) and its mean order value; values are filled by registration."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+
+    def doc(fid, measure, filters):
+        return F.to_json(F.struct(
+            fid.alias("id"), F.concat(F.lit(f"{measure} of customer "), k.cast("string")).alias("claim"),
+            F.lit("scalar").alias("check_type"), F.lit(f"analysis/measures.py:{measure}").alias("code_path"),
+            F.struct(F.array(F.struct(F.lit("orders").alias("path"))).alias("sources"),
+                     F.array(F.lit("o_totalprice")).alias("columns")).alias("input"),
+            F.struct(filters.alias("filters")).alias("reproducibility"),
+            F.array(F.lit("keyed")).alias("caveats"),
+            F.when(k % 5 == 0, F.lit("WEAK")).otherwise(F.lit("PLAUSIBLE")).alias("counterfactual_tag"),
+            F.array(F.concat(F.lit("A-"), F.col("c_nationkey").cast("string"))).alias("addresses"),
+            F.lit("o_custkey").alias("group_by"), k.cast("string").alias("group_key")))
+    a = doc(F.format_string("F-%06d", k), "orders_count",
+            F.when(k % 2 == 0, F.array(F.lit("DR-201"))).otherwise(F.array().cast("array<string>")))
+    b = doc(F.format_string("F-%06d", k + 500000), "mean_totalprice", F.array().cast("array<string>"))
+    return c.select(F.lit("customers-project").alias("project"), F.explode(F.array(a, b)).alias("doc"))
