@@ -18,7 +18,9 @@ from claimledger.operators.checks import group_checks, structural_checks, verdic
 from claimledger.plans import oracle_ledger as OL
 from claimledger.operators import rules as rl
 from claimledger.operators.ordered import exact_quantiles
-from claimledger.operators.registration import register_computed
+from claimledger.operators.registration import current_ledger, next_ids, register, register_computed, update
+from claimledger.functions.compare import is_close, resolve_tolerance
+from claimledger.operators.quotes import verify_quotes
 from claimledger.plans import showcase as sc
 from claimledger.plans.evaluate import assemble, evaluate
 from claimledger.plans.replay import replay, replay_summary
@@ -890,6 +892,161 @@ SELECT 'customers-project', 'source_hash:unpinned:', 'WARN',
        'Claims disagree on a source snapshot, or a fingerprint is unpinned.'"""
 
 
+# ---------------------------------------------------------------- D1 / D2 / D7
+
+CLOSE_CASES = [
+    # (kind, expected expression, actual expression) over lineitem
+    ("same", "l_extendedprice", "l_extendedprice"),
+    ("rel_1e-10", "l_extendedprice", "l_extendedprice * (1 + 1e-10)"),
+    ("rel_1e-7", "l_extendedprice", "l_extendedprice * (1 + 1e-7)"),
+    ("abs_5e-7", "l_quantity", "l_quantity + 5e-7"),
+    ("abs_1e-3", "l_quantity", "l_quantity + 1e-3"),
+    ("nan_vs_nan", "CAST('NaN' AS DOUBLE)", "CAST('NaN' AS DOUBLE)"),
+    ("inf_vs_inf", "CAST('Infinity' AS DOUBLE)", "CAST('Infinity' AS DOUBLE)"),
+    ("inf_vs_value", "CAST('Infinity' AS DOUBLE)", "l_extendedprice"),
+    ("null_vs_value", "CAST(NULL AS DOUBLE)", "l_extendedprice"),
+]
+
+
+def q_is_close_grid(spark, sf):
+    """Python isclose semantics on every lineitem row for each case."""
+    li = _t(spark, sf, "lineitem")
+    aggs = [F.count_if(is_close(F.expr(e), F.expr(a))).alias(k) for k, e, a in CLOSE_CASES]
+    row = li.agg(*aggs)
+    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n_close"))
+                                         for k, _, _ in CLOSE_CASES])))
+
+
+def _sql_is_close_grid() -> str:
+    def close(e, a):
+        fin = lambda x: f"({x} IS NOT NULL AND isfinite({x}))"
+        return (f"coalesce(({fin(e)} AND {fin(a)} AND abs(({e}) - ({a})) <= greatest(1e-9 * greatest(abs({e}), abs({a})), 1e-6))"
+                f" OR (({e}) IS NOT NULL AND ({a}) IS NOT NULL AND NOT isnan({e}) AND ({e}) = ({a})), false)")
+    parts = [f"SELECT '{k}' AS kind, count(*) FILTER (WHERE {close(e, a)})::BIGINT AS n_close FROM lineitem"
+             for k, e, a in CLOSE_CASES]
+    return "\nUNION ALL ".join(parts)
+
+
+def q_tolerance_resolve(spark, sf):
+    """Stored tolerances within [0, cap] are used, others fall back."""
+    o = _t(spark, sf, "orders")
+    ab = ((F.col("o_orderkey") % 7) - 1) / 2.0
+    rel = (F.col("o_custkey") % 5) * 0.04 - 0.02
+    a, r = resolve_tolerance(ab, rel)
+    return o.select("o_orderkey", F.round(a, 12).alias("abs_tol"), F.round(r, 12).alias("rel_tol"))
+
+
+SQL_TOLERANCE_RESOLVE = """
+SELECT o_orderkey,
+  round(CASE WHEN ((o_orderkey % 7) - 1) / 2.0 BETWEEN 0 AND 1.0 THEN ((o_orderkey % 7) - 1) / 2.0 ELSE 1e-6 END, 12) AS abs_tol,
+  round(CASE WHEN (o_custkey % 5) * 0.04 - 0.02 BETWEEN 0 AND 0.1 THEN (o_custkey % 5) * 0.04 - 0.02 ELSE 1e-9 END, 12)
+    AS rel_tol
+FROM orders"""
+
+
+def q_quote_checks(spark, sf):
+    """Each quote claim must occur verbatim in the whole located text."""
+    d = _t(spark, sf, "documents")
+    k = F.col("doc_id")
+    quote = (F.when(k % 4 == 2, F.reverse(F.substring("text", 11, 40)))
+              .when(k % 4 == 3, F.lit("")).otherwise(F.substring("text", 11, 40)))
+    loc = F.when(k % 4 == 1, F.concat(F.lit("doc-"), (k + 1000000).cast("string"))).otherwise(
+        F.concat(F.lit("doc-"), k.cast("string"), F.lit(":L1-L3")))
+    claims = d.select(F.format_string("F-%06d", k).alias("id"), quote.alias("quote"), loc.alias("source_locator"))
+    corpus = d.select(F.concat(F.lit("doc-"), k.cast("string")).alias("locator"), "text")
+    return verify_quotes(claims, corpus).select("id", "quote_reason")
+
+
+SQL_QUOTE_CHECKS = """
+WITH c AS (SELECT printf('F-%06d', doc_id) AS id,
+                  CASE WHEN doc_id % 4 = 2 THEN reverse(substring(text, 11, 40)) WHEN doc_id % 4 = 3 THEN ''
+                       ELSE substring(text, 11, 40) END AS quote,
+                  CASE WHEN doc_id % 4 = 1 THEN 'doc-' || (doc_id + 1000000) ELSE 'doc-' || doc_id || ':L1-L3' END AS loc
+           FROM documents),
+d AS (SELECT 'doc-' || doc_id AS locator, text FROM documents)
+SELECT id, CASE WHEN coalesce(quote, '') = '' THEN 'quote_missing'
+                WHEN d.locator IS NULL THEN 'locator_outside_corpus'
+                WHEN strpos(d.text, quote) > 0 THEN 'ok' ELSE 'quote_not_found' END AS quote_reason
+FROM c LEFT JOIN d ON split_part(c.loc, ':', 1) = d.locator"""
+
+
+# ---------------------------------------------------------------- E. registration
+
+def q_register_batch(spark, sf):
+    """E1 + E7: register the orders-derived findings into a ledger that
+    already holds every tenth of them: (outcome, n)."""
+    led = sc.orders_ledger(spark, sf)
+    existing = led.where(F.get_json_object("doc", "$.claim").rlike("0$"))
+    acc, rej = register(existing, led, "batch", NOW)
+    return (acc.agg(F.count(F.lit(1)).alias("n")).select(F.lit("accepted").alias("outcome"), "n")
+            .unionByName(rej.where(F.col("id").isNotNull()).select("project", "id").distinct()
+                         .agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected_ids").alias("outcome"), "n")))
+
+
+def _sql_register_batch(measure_names: list[str]) -> str:
+    return f"""WITH {OL.BASE}, v AS ({OL.structural_sql(measure_names)}),
+bad_check AS (SELECT DISTINCT project, finding_id AS id FROM v
+              WHERE severity = 'FAIL' AND "check" NOT IN ('revision_history:nonempty', 'code_path:resolves',
+                                                          'code_path:escapes') AND finding_id IS NOT NULL),
+ids AS (SELECT project, id, k FROM t WHERE id IS NOT NULL),
+dup AS (SELECT project, id FROM ids GROUP BY 1, 2 HAVING count(*) > 1),
+ex AS (SELECT DISTINCT project, id FROM ids WHERE k % 10 = 0),
+bad AS (SELECT * FROM bad_check UNION SELECT * FROM dup UNION SELECT * FROM ex)
+SELECT 'accepted' AS outcome, count(*)::BIGINT AS n FROM ids WHERE (project, id) NOT IN (SELECT (project, id) FROM bad)
+UNION ALL SELECT 'rejected_ids', count(*)::BIGINT FROM bad"""
+
+
+def q_next_ids(spark, sf):
+    """E5: ids for a batch of new claims (one per customer), per project
+    continuing after the highest numeric id."""
+    led = sc.orders_ledger(spark, sf)
+    inc = _t(spark, sf, "customer").select(
+        F.concat(F.lit("proj-"), (F.col("c_custkey") % 10).cast("string")).alias("project"), "c_custkey")
+    return next_ids(led, inc, "c_custkey").select("project", "c_custkey", "new_id")
+
+
+SQL_NEXT_IDS = f"""WITH {OL.BASE},
+top AS (SELECT project, max(regexp_extract(id, '^F-(\\d+)', 1)::BIGINT) AS top FROM t
+        WHERE regexp_matches(id, '^F-\\d') GROUP BY 1)
+SELECT 'proj-' || (c_custkey % 10) AS project, c_custkey,
+       printf('F-%03d', coalesce(top, 0) + row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey)) AS new_id
+FROM customer LEFT JOIN top ON top.project = 'proj-' || (c_custkey % 10)"""
+
+
+def q_update_revisions(spark, sf):
+    """E3 + E4 + E6: update every third registered customer claim (new
+    claim text; every ninth also a new input, whose stale fingerprint is
+    dropped); an update stamps every missing fingerprint of a present
+    source; then take the latest revision per id."""
+    reg = sc.registry(sf)
+    docs = customers_ledger(spark, sf, reg)
+    revs = typed(docs).select("project", "id", F.lit(1).alias("rev")).join(
+        docs.select("project", F.get_json_object("doc", "$.id").alias("id"), "doc"), ["project", "id"])
+    key = F.get_json_object("doc", "$.group_key").cast("long")
+    changes = revs.where(key % 3 == 0).select(
+        "project", "id",
+        F.when(key % 9 == 0, F.lit('{"claim": "revised", "input": {"sources": [{"path": "orders"}], "columns": []}}'))
+         .otherwise(F.lit('{"claim": "revised"}')).alias("doc"))
+    fps = content_fingerprint(_t(spark, sf, "orders")).select(F.lit("orders").alias("source"),
+                                                                 F.col("fingerprint").alias("sha256"))
+    new, unknown = update(revs, changes, "revise", NOW, fps)
+    cur = current_ledger(revs.unionByName(new))
+    t = typed(cur.select("project", "doc")).join(cur.select("project", "id", "rev"), ["project", "id"])
+    return t.groupBy("rev", "claim").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("source_sha256").isNotNull()).alias("n_pinned"),
+        F.count_if(F.size("revision_history") == F.col("rev")).alias("n_history_ok"))
+
+
+SQL_UPDATE_REVISIONS = f"""WITH {_SQL_KEYED},
+r AS (SELECT c_custkey, measure,
+             CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS rev,
+             CASE WHEN c_custkey % 3 = 0 THEN 'revised' ELSE measure || ' of customer ' || c_custkey END AS claim,
+             c_custkey % 3 = 0 AS pinned FROM res)
+SELECT rev, claim, count(*)::BIGINT AS n, count(*) FILTER (WHERE pinned)::BIGINT AS n_pinned,
+       count(*)::BIGINT AS n_history_ok FROM r GROUP BY rev, claim"""
+
+
 # ---------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -942,6 +1099,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "claim_status": q_claim_status,
         "status_banner": q_status_banner,
         "action_items": q_action_items,
+        "is_close_grid": q_is_close_grid,
+        "tolerance_resolve": q_tolerance_resolve,
+        "quote_checks": q_quote_checks,
+        "register_batch": q_register_batch,
+        "next_ids": q_next_ids,
+        "update_revisions": q_update_revisions,
     }
 
 
@@ -1021,6 +1184,12 @@ def _oracle_sql() -> dict[str, str]:
         "claim_status": SQL_CLAIM_STATUS,
         "status_banner": SQL_STATUS_BANNER,
         "action_items": SQL_ACTION_ITEMS,
+        "is_close_grid": _sql_is_close_grid(),
+        "tolerance_resolve": SQL_TOLERANCE_RESOLVE,
+        "quote_checks": SQL_QUOTE_CHECKS,
+        "register_batch": _sql_register_batch(_measure_names()),
+        "next_ids": SQL_NEXT_IDS,
+        "update_revisions": SQL_UPDATE_REVISIONS,
     }
 
 

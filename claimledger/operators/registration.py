@@ -71,7 +71,7 @@ def register(ledger: DataFrame, incoming: DataFrame, reason: str, now: str | Col
         "project", "id", F.lit("ids:exists").alias("reason"))
     rejected = _reject_reasons(incoming).unionByName(dup_batch).unionByName(exists)
     bad_keys = rejected.select("project", "id").where(F.col("id").isNotNull()).distinct()
-    ok = t.join(bad_keys, ["project", "id"], "left_anti")
+    ok = t.where(F.col("id").isNotNull()).join(bad_keys, ["project", "id"], "left_anti")
     ok = (ok.withColumn("caveats", F.coalesce("caveats", F.array().cast("array<string>")))
             .withColumn("revision_history", F.array(F.struct(now_c.alias("timestamp"),
                                                              F.lit(reason).alias("reason")))))
@@ -129,7 +129,7 @@ def update(revisions: DataFrame, changes: DataFrame, reason: str, now: str | Col
     ch = parse(changes).select("project", "id", "v")
     unknown = ch.join(cur, ["project", "id"], "left_anti").select(
         "project", "id", F.lit("update:unknown_id").alias("reason"))
-    new = typed(ch.select("project", "v"))
+    new = typed(ch.withColumnRenamed("id", "_cid"), carry=["_cid"]).drop("id").withColumnRenamed("_cid", "id")
     pres = ch.select("project", "id", *[F.expr(f"variant_get(v, '$.{f}', 'variant') is not null").alias(f"_has_{f}")
                                         for f in ["input", "value", "distribution", "matrix", "claim", "caveats",
                                                   "counterfactual_tag", "measurement_ref", "reproducibility",

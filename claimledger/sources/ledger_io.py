@@ -99,9 +99,9 @@ def document_violations(ledger: DataFrame) -> DataFrame:
          .otherwise(F.lit("every finding must be a JSON object")).alias("detail"))
 
 
-def typed(ledger: DataFrame) -> DataFrame:
+def typed(ledger: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Typed view of well-formed findings (objects only), used by replay,
-    registration and status."""
+    registration and status.  ``carry`` columns are passed through."""
     p = parse(ledger) if "v" not in ledger.columns else ledger
     # Non-objects keep a NULL variant (all fields NULL) instead of being
     # filtered: a filter on ``v`` is pushed below the parse and copies its
@@ -113,6 +113,7 @@ def typed(ledger: DataFrame) -> DataFrame:
     tol_t = vtype("$.tolerance")
     sources = get("$.input.sources", "array<struct<path:string,sha256:string>>")
     return p.select(
+        *(carry or []),
         "project",
         get("$.id", "string").alias("id"),
         get("$.claim", "string").alias("claim"),
