@@ -64,12 +64,16 @@ def analyse(df: DataFrame, measures: list[Measure]) -> tuple[list[Measure], dict
     return good, bad
 
 
-def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = None
-             ) -> tuple[DataFrame, DataFrame]:
+def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = None,
+             usage: dict[str, list[int]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Return (rows, values).
 
     rows:   (keys..., rows)                       one row per key group
     values: (keys..., measure, part, num, flag)   one row per measure part
+
+    ``usage`` (fused groups only) maps a measure to the ``_g`` values whose
+    claims use it: the ordered passes (quantiles, ranks) then only see rows
+    of those groups.
     """
     keys = list(keys or [])
     aggs: list[tuple[str, str, Column, bool]] = []
@@ -99,9 +103,9 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
                    for i, (mn, pn, _, b) in enumerate(aggs)]
         frames.append(main.select(*keys, F.inline(F.array(*structs))))
     if quants:
-        frames.append(_quantiles(df, keys, list(quants.values())))
+        frames.append(_quantiles(df, keys, list(quants.values()), usage))
     if ranks:
-        frames.append(_rank_corrs(df, keys, ranks))
+        frames.append(_rank_corrs(df, keys, ranks, usage))
 
     if not frames:
         schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
@@ -112,11 +116,23 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
     return rows, values
 
 
-def _quantiles(df: DataFrame, keys: list[str], specs: list[tuple[Column, list[tuple[str, str, float]]]]) -> DataFrame:
+def _needed_by(usage: dict[str, list[int]] | None, names: list[str]) -> Column:
+    """Predicate: this row's group uses one of the measures ``names``."""
+    if usage is None:
+        return F.lit(True)
+    groups = sorted({g for n in names for g in usage.get(n, [])})
+    return F.col("_g").isin(groups) if groups else F.lit(False)
+
+
+def _quantiles(df: DataFrame, keys: list[str], specs: list[tuple[Column, list[tuple[str, str, float]]]],
+               usage: dict[str, list[int]] | None = None) -> DataFrame:
     """Every quantile of every expression in one cumulative pass."""
-    stacked = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(e).alias("_e"), expr.cast("double").alias("_v")) for e, (expr, _) in enumerate(specs)])
-    ).alias("_s")).select(*keys, "_s._e", "_s._v")
+    structs = F.array(*[
+        F.struct(F.lit(e).alias("_e"), expr.cast("double").alias("_v"),
+                 _needed_by(usage, [mn for mn, _, _ in uses]).alias("_use"))
+        for e, (expr, uses) in enumerate(specs)])
+    stacked = df.select(*keys, F.explode(F.filter(structs, lambda s: s["_use"])).alias("_s")).select(
+        *keys, "_s._e", "_s._v")
     cum = cumulative_counts(stacked, keys + ["_e"], "_v")
     probs = sorted({p for _, uses in specs for _, _, p in uses})
     aggs = []
@@ -139,13 +155,17 @@ def _quantiles(df: DataFrame, keys: list[str], specs: list[tuple[Column, list[tu
              .select(*keys, "measure", "part", F.col("q").alias("num"), F.lit(None).cast("boolean").alias("flag")))
 
 
-def _rank_corrs(df: DataFrame, keys: list[str], pairs: dict[tuple[str, str], list[tuple[str, str]]]) -> DataFrame:
+def _rank_corrs(df: DataFrame, keys: list[str], pairs: dict[tuple[str, str], list[tuple[str, str]]],
+                usage: dict[str, list[int]] | None = None) -> DataFrame:
     """Spearman r of every pair: Pearson of average ranks over the
     pairwise-complete rows; all ranks come from one cumulative pass."""
     plist = list(pairs)
-    rows = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(r).alias("_r"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-        for r, (x, y) in enumerate(plist)])).alias("_s")).select(*keys, "_s._r", "_s._x", "_s._y")
+    structs = F.array(*[
+        F.struct(F.lit(r).alias("_r"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
+                 _needed_by(usage, [mn for mn, _ in pairs[(x, y)]]).alias("_use"))
+        for r, (x, y) in enumerate(plist)])
+    rows = df.select(*keys, F.explode(F.filter(structs, lambda s: s["_use"])).alias("_s")).select(
+        *keys, "_s._r", "_s._x", "_s._y")
     rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
     sides = rows.select(*keys, "_r", F.explode(F.array(
         F.struct(F.lit(0).alias("_side"), F.col("_x").alias("_val")),
@@ -179,8 +199,8 @@ def stack_groups(df: DataFrame, groups: list[tuple[list[Rule], str | None]], nee
               .select(F.col("_s._g").alias("_g"), F.col("_s._gk").alias("_gk"), *[F.col(f"_s.{c}") for c in cols]))
 
 
-def evaluate_groups(df: DataFrame, groups: list[tuple[list[Rule], str | None]], measures: list[Measure]
-                    ) -> tuple[DataFrame, DataFrame]:
+def evaluate_groups(df: DataFrame, groups: list[tuple[list[Rule], str | None]], measures: list[Measure],
+                    usage: dict[str, list[int]] | None = None) -> tuple[DataFrame, DataFrame]:
     """All groups over one source from one scan: (rows, values) keyed by
     (_g, _gk).  Measures are evaluated for every group (the extra work is
     CPU on rows already in memory; the scan is shared)."""
@@ -195,7 +215,7 @@ def evaluate_groups(df: DataFrame, groups: list[tuple[list[Rule], str | None]],
             rule_exprs.append(F.max(F.col(key)))
     needed = referenced_columns(df, exprs + rule_exprs) if exprs or rule_exprs else set()
     stacked = stack_groups(df, groups, needed)
-    return evaluate(stacked, measures, ["_g", "_gk"])
+    return evaluate(stacked, measures, ["_g", "_gk"], usage)
 
 
 def assemble(values: DataFrame, measures: list[Measure], keys: list[str] | None = None) -> DataFrame:

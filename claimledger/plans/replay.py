@@ -105,7 +105,11 @@ def compute_groups(spark: SparkSession, groups: list[tuple[str, str, str | None,
                     if n in bad:
                         broken[(source, fkey, group_by, n)] = bad[n]
             if mode == "fused":
-                rws, vals = evaluate_groups(base, [(chain, gb) for _, gb, _, chain in members], good)
+                usage: dict[str, list[int]] = {}
+                for gi, (_, _, ns, _) in enumerate(members):
+                    for n in ns:
+                        usage.setdefault(n, []).append(gi)
+                rws, vals = evaluate_groups(base, [(chain, gb) for _, gb, _, chain in members], good, usage)
             else:
                 fkey, group_by, _, chain = members[0]
                 df = apply_rules(base, [r.id for r in chain], registry)
