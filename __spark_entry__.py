@@ -667,7 +667,7 @@ memo AS (SELECT 'proj-' || (doc_id % 3) AS project, doc_id,
 
 
 def _sql_orphans() -> str:
-    return f"""WITH {OL.BASE}, {_MEMO_SQL},
+    return rf"""WITH {OL.BASE}, {_MEMO_SQL},
 cited AS (SELECT DISTINCT project, unnest(regexp_extract_all(text, 'F-\d{{3,}}[a-z]?')) AS id FROM memo),
 known AS (SELECT DISTINCT project, id FROM t WHERE id IS NOT NULL),
 orphans AS (SELECT * FROM cited EXCEPT SELECT * FROM known),
@@ -690,7 +690,7 @@ def q_trust_buckets(spark, sf):
     return trust_buckets(sc.memo_docs(spark, sf))
 
 
-SQL_TRUST_BUCKETS = f"""WITH {_MEMO_SQL},
+SQL_TRUST_BUCKETS = rf"""WITH {_MEMO_SQL},
 l AS (SELECT project, doc_id, unnest(string_split(text, chr(10))) AS line,
              unnest(range(len(string_split(text, chr(10))))) AS pos FROM memo),
 h AS (SELECT *, CASE WHEN regexp_matches(line, '^##\s+') THEN trim(regexp_extract(line, '^##\s+(.*?)\s*$', 1)) END AS head

@@ -175,9 +175,17 @@ def structural_checks(ledger: DataFrame, measure_names: list[str] | None = None)
         lambda s: F.struct(F.lit("input:sources").alias("check"), F.lit(M.FAIL).alias("severity"),
                            F.lit("source without a string path").alias("detail")))
     empty = F.array().cast("array<struct<check:string,severity:string,detail:string>>")
-    arr = F.concat(F.filter(F.array(*viols), lambda x: x.isNotNull()), F.coalesce(src_viol, empty))
-    arr = F.when(F.col("v").isNotNull(), arr).otherwise(empty)
-    return x.select("project", fid.alias("finding_id"), F.inline(arr)).select(*VCOLS)
+    # Several medium-sized array columns instead of one huge expression: each
+    # compiles to its own method (one giant expression exceeds the JVM method
+    # size limit and falls back to interpreted evaluation).
+    chunk = 8
+    parts = [F.filter(F.array(*viols[i:i + chunk]), lambda x: x.isNotNull()).alias(f"_c{i // chunk}")
+             for i in range(0, len(viols), chunk)]
+    parts.append(F.coalesce(src_viol, empty).alias("_src"))
+    names = [f"_c{i // chunk}" for i in range(0, len(viols), chunk)] + ["_src"]
+    staged = x.select("project", "v", fid.alias("finding_id"), *parts)
+    arr = F.when(F.col("v").isNotNull(), F.concat(*[F.col(n) for n in names])).otherwise(empty)
+    return staged.select("project", "finding_id", F.inline(arr)).select(*VCOLS)
 
 
 def group_checks(ledger: DataFrame) -> DataFrame:

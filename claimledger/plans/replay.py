@@ -129,7 +129,19 @@ def compute_groups(spark: SparkSession, groups: list[tuple[str, str, str | None,
             rows.append(tag(rws).select("source", "fkey", "group_by", "group_key", "rows"))
     if not results:
         return (spark.createDataFrame([], RESULT_SCHEMA), spark.createDataFrame([], ROWS_SCHEMA), broken)
-    return reduce(DataFrame.unionByName, results), reduce(DataFrame.unionByName, rows), broken
+    # Results are one row per (group, key, measure): write them (and the row
+    # counts, in the same job so the shared aggregate runs once) so the joins
+    # with the claims plan against small stored tables, not against the
+    # whole evaluation plan again.
+    res = reduce(DataFrame.unionByName, results).withColumn("rows", F.lit(None).cast("bigint"))
+    cnt = reduce(DataFrame.unionByName, rows)
+    for c, t in [("measure", "string"), ("kind", "string"), ("num", "double"), ("flag", "boolean"),
+                 ("dist", "map<string,double>"), ("matrix", "array<array<double>>")]:
+        cnt = cnt.withColumn(c, F.lit(None).cast(t))
+    both = materialize(res.withColumn("_is_rows", F.lit(False))
+                       .unionByName(cnt.withColumn("_is_rows", F.lit(True))))
+    return (both.where(~F.col("_is_rows")).drop("_is_rows", "rows"),
+            both.where(F.col("_is_rows")).select("source", "fkey", "group_by", "group_key", "rows"), broken)
 
 
 def distinct_groups(pending: DataFrame) -> list[tuple[str, str, str | None, list[str]]]:
