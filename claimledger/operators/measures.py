@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimledger.registry import Agg, Measure, Quantile, RankCorr
+from claimledger.registry import Agg, Measure, Quantile, RankCorr, RowsPerUnit
 
 
 def _col(c) -> Column:
@@ -63,12 +63,20 @@ def proportion(name: str, pred: Column) -> Measure:
 # -- D14 -----------------------------------------------------------------------
 
 def rate(name: str, unit) -> Measure:
-    """Rows per distinct unit (sessions per user)."""
+    """Rows per distinct unit (sessions per user), inside the shared
+    aggregate (a separate pass would rescan the source)."""
     return Measure(name, "scalar", (("value", Agg(
         F.try_divide(F.count(F.lit(1)).cast("double"),
                      F.count_distinct(_col(unit)).cast("double")))),))
 
 
+def rate_separate(name: str, unit) -> Measure:
+    """Rows per distinct unit, evaluated as its own two-step aggregation:
+    preferable when the unit has very many distinct values per group and
+    the source is cheap to rescan."""
+    return Measure(name, "scalar", (("value", RowsPerUnit(_col(unit))),))
+
+
 # -- D15 -----------------------------------------------------------------------
 
 def any_row(name: str, pred: Column) -> Measure:
@@ -120,7 +128,8 @@ def pearson(x: Column, y: Column) -> Column:
 
 def corr_matrix(name: str, cols: list[str]) -> Measure:
     k = len(cols)
-    parts = tuple((f"{i},{j}", Agg(pearson(F.col(cols[i]), F.col(cols[j]))))
+    # (j, i) reuses the expression of (i, j): the aggregate computes it once
+    parts = tuple((f"{i},{j}", Agg(pearson(F.col(cols[min(i, j)]), F.col(cols[max(i, j)]))))
                   for i in range(k) for j in range(k))
     return Measure(name, "matrix", parts, shape=(k, k))
 

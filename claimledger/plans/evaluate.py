@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from claimledger.operators.measures import pearson
 from claimledger.operators.ordered import cumulative_counts, join_null_safe
-from claimledger.registry import Agg, Measure, Quantile, RankCorr, Rule, chain_columns
+from claimledger.registry import Agg, Measure, Quantile, RankCorr, RowsPerUnit, Rule, chain_columns
 
 VALUE_COLS = ["measure", "part", "num", "flag"]
 
@@ -44,6 +44,8 @@ def _part_exprs(m: Measure) -> list[Column]:
             out.append(F.max(spec.expr))
         elif isinstance(spec, RankCorr):
             out += [F.max(F.col(spec.x)), F.max(F.col(spec.y))]
+        elif isinstance(spec, RowsPerUnit):
+            out.append(F.max(spec.unit))
     return out
 
 
@@ -79,6 +81,7 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
     aggs: list[tuple[str, str, Column, bool]] = []
     quants: dict[str, tuple[Column, list[tuple[str, str, float]]]] = {}
     ranks: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    per_unit: list[tuple[str, str, Column]] = []
     for m in measures:
         for pname, spec in m.parts:
             if isinstance(spec, Agg):
@@ -87,6 +90,8 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
                 quants.setdefault(str(spec.expr), (spec.expr, []))[1].append((m.name, pname, float(spec.p)))
             elif isinstance(spec, RankCorr):
                 ranks.setdefault((spec.x, spec.y), []).append((m.name, pname))
+            elif isinstance(spec, RowsPerUnit):
+                per_unit.append((m.name, pname, spec.unit))
             else:
                 raise TypeError(f"unknown measure part {spec!r}")
 
@@ -106,6 +111,10 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
         frames.append(_quantiles(df, keys, list(quants.values()), usage))
     if ranks:
         frames.append(_rank_corrs(df, keys, ranks, usage))
+    for mn, pn, unit in per_unit:
+        frames.append(_rows_per_unit(df, keys, unit, _needed_by(usage, [mn]))
+                      .select(*keys, F.lit(mn).alias("measure"), F.lit(pn).alias("part"), "num",
+                              F.lit(None).cast("boolean").alias("flag")))
 
     if not frames:
         schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
@@ -155,6 +164,15 @@ def _quantiles(df: DataFrame, keys: list[str], specs: list[tuple[Column, list[tu
              .select(*keys, "measure", "part", F.col("q").alias("num"), F.lit(None).cast("boolean").alias("flag")))
 
 
+def _rows_per_unit(df: DataFrame, keys: list[str], unit: Column, use: Column) -> DataFrame:
+    """count(*) / count(distinct unit), exactly, as two partial aggregations:
+    rows per (key, unit) first (the NULL unit is a group of its own and
+    still counts rows), then totals and non-NULL units per key."""
+    per = df.where(use).groupBy(*keys, unit.alias("_u")).agg(F.count(F.lit(1)).alias("_n"))
+    return per.groupBy(*keys).agg(F.try_divide(F.sum("_n").cast("double"),
+                                               F.count_if(F.col("_u").isNotNull()).cast("double")).alias("num"))
+
+
 def _rank_corrs(df: DataFrame, keys: list[str], pairs: dict[tuple[str, str], list[tuple[str, str]]],
                 usage: dict[str, list[int]] | None = None) -> DataFrame:
     """Spearman r of every pair: Pearson of average ranks over the

@@ -91,6 +91,14 @@ class Quantile:
     p: float
 
 
+@dataclass(frozen=True)
+class RowsPerUnit:
+    """Rows per distinct non-NULL unit (sessions per user).  Evaluated in its
+    own two-step aggregation instead of a ``count(distinct)`` inside the shared
+    aggregate, which would make Spark expand every row for all aggregates."""
+    unit: Column
+
+
 @dataclass(frozen=True)
 class RankCorr:
     """Spearman correlation of two columns (average ranks for ties)."""

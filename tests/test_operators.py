@@ -158,3 +158,11 @@ def test_streaming_gate(spark):
     rej = {(r["id"], r["reason"]) for r in spark.read.parquet(os.path.join(root, "rej")).collect()}
     assert acc == ["F-001", "F-003"]
     assert ("F-001", "ids:exists") in rej and ("F-002", "conditional:value") in rej
+
+
+def test_rate_shared_and_separate_agree(sessions):
+    from claimledger.operators import measures as ms
+    from claimledger.plans.evaluate import evaluate
+    _, vals = evaluate(sessions, [ms.rate("a", "coach_id"), ms.rate_separate("b", "coach_id")])
+    got = {r["measure"]: r["num"] for r in vals.collect()}
+    assert abs(got["a"] - 10 / 3) < 1e-12 and abs(got["b"] - 10 / 3) < 1e-12
