@@ -189,34 +189,28 @@ def structural_checks(ledger: DataFrame, measure_names: list[str] | None = None)
 
 
 def group_checks(ledger: DataFrame) -> DataFrame:
-    """F3, F9, F18 (custom tolerance count), F19, F20 as aggregates per project."""
-    p = _objects(ledger)
-    fid = get("$.id", "string")
-    base = p.where(F.col("v").isNotNull()).select("project", fid.alias("id"), get("$.counterfactual_tag", "string").alias("tag"),
-                    vtype("$.tolerance").alias("tol_t"),
-                    F.expr("try_variant_get(v, '$.input.sources', 'array<variant>')").alias("srcs"),
-                    "v")
-    dup = (base.where(F.col("id").isNotNull() & (F.col("id") != ""))
-               .groupBy("project", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-               .select("project", F.lit("ids:unique").alias("check"), F.lit(M.FAIL).alias("severity"),
-                       F.col("id").alias("finding_id"),
-                       F.format_string("duplicate id %s (%d copies)", F.col("id"), F.col("n")).alias("detail")))
-    obs = (base.groupBy("project").agg(F.count(F.lit(1)).alias("n"),
-                                       F.count_if(F.col("tag") == "OBSERVED").alias("n_obs"))
-               .where((F.col("n_obs") / F.col("n") > M.OBSERVED_SHARE_LIMIT) & (F.col("n") > M.OBSERVED_MIN_FINDINGS))
-               .select("project", F.lit("counterfactual:tag_distribution").alias("check"),
-                       F.lit(M.WARN).alias("severity"), F.lit(None).cast("string").alias("finding_id"),
-                       F.format_string("%d/%d are OBSERVED", F.col("n_obs"), F.col("n")).alias("detail")))
+    """F3, F9, F18 (custom tolerance count), F19, F20 as aggregates per
+    project, all from one extraction of the findings."""
+    x = _extract(_objects(ledger)).where(F.col("v").isNotNull())
+    dup = (x.where(F.col("s_id").isNotNull() & (F.col("s_id") != ""))
+            .groupBy("project", F.col("s_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            .select("project", F.lit("ids:unique").alias("check"), F.lit(M.FAIL).alias("severity"),
+                    F.col("id").alias("finding_id"),
+                    F.format_string("duplicate id %s (%d copies)", F.col("id"), F.col("n")).alias("detail")))
+    per = x.groupBy("project").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("s_tag") == "OBSERVED").alias("n_obs"),
+        F.count_if(is_object(_t("tolerance"))).alias("n_custom"), F.count_if(_tolerance_fails()).alias("n_bad"))
+    obs = (per.where((F.col("n_obs") / F.col("n") > M.OBSERVED_SHARE_LIMIT) & (F.col("n") > M.OBSERVED_MIN_FINDINGS))
+              .select("project", F.lit("counterfactual:tag_distribution").alias("check"),
+                      F.lit(M.WARN).alias("severity"), F.lit(None).cast("string").alias("finding_id"),
+                      F.format_string("%d/%d are OBSERVED", F.col("n_obs"), F.col("n")).alias("detail")))
     # custom tolerance WARN: only when the project has no tolerance FAIL
-    tols = (_extract(_objects(ledger)).groupBy("project")
-            .agg(F.count_if(F.col("v").isNotNull() & is_object(_t("tolerance"))).alias("n_custom"),
-                 F.count_if(F.col("v").isNotNull() & _tolerance_fails()).alias("n_bad")))
-    custom = (tols.where((F.col("n_custom") > 0) & (F.col("n_bad") == 0))
-                  .select("project", F.lit("tolerance:custom").alias("check"), F.lit(M.WARN).alias("severity"),
-                          F.lit(None).cast("string").alias("finding_id"),
-                          F.format_string("%d finding(s) use a custom replay tolerance",
-                                          F.col("n_custom")).alias("detail")))
-    src = base.select("project", F.explode("srcs").alias("s")).select(
+    custom = (per.where((F.col("n_custom") > 0) & (F.col("n_bad") == 0))
+                 .select("project", F.lit("tolerance:custom").alias("check"), F.lit(M.WARN).alias("severity"),
+                         F.lit(None).cast("string").alias("finding_id"),
+                         F.format_string("%d finding(s) use a custom replay tolerance",
+                                         F.col("n_custom")).alias("detail")))
+    src = x.select("project", F.explode("a_sources").alias("s")).select(
         "project",
         F.when(F.expr("schema_of_variant(variant_get(s, '$.path', 'variant'))") == "STRING",
                F.expr("try_variant_get(s, '$.path', 'string')")).alias("path"),
