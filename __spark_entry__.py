@@ -760,9 +760,7 @@ def q_backlog_coverage(spark, sf):
     cust = _t(spark, sf, "customer").select(
         F.lit("customers-project").alias("project"), F.format_string("F-%06d", F.col("c_custkey")).alias("id"),
         F.array(F.concat(F.lit("A-"), F.col("c_nationkey").cast("string"))).alias("addresses"))
-    cov = backlog_coverage(bl, cust)
-    return cov.select("project", "aid", "status", "question", F.size("answered_by").alias("n_claims"),
-                      F.element_at("answered_by", 1).alias("first_claim"))
+    return backlog_coverage(bl, cust)
 
 
 SQL_BACKLOG_COVERAGE = """
@@ -779,7 +777,7 @@ def q_rule_usage(spark, sf):
     rules = spark.createDataFrame([(p, rid, r.description) for rid, r in sorted(reg.rules.items())
                                    for p in [f"proj-{i}" for i in range(10)]], "project string, rid string, status string")
     use = rule_usage(rules, typed(sc.orders_ledger(spark, sf)).where(F.col("id").isNotNull()))
-    return use.select("project", "rid", F.size("claims").alias("n_claims"))
+    return use.select("project", "rid", "n_claims")
 
 
 def _sql_rule_usage(reg_ids: list[str]) -> str:

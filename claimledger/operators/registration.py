@@ -42,15 +42,25 @@ def _reject_reasons(incoming: DataFrame) -> DataFrame:
 
 
 def stamp_fingerprints(t: DataFrame, fingerprints: DataFrame | None) -> DataFrame:
-    """Fill only the missing fingerprints of sources that are present."""
+    """Fill only the missing fingerprints of sources that are present.
+
+    Sources are exploded with their position, joined to the fingerprint
+    table on path (a join: the fingerprint table may be large, e.g. one row
+    per partition) and regrouped per finding (bounded by its own sources).
+    Findings are keyed by (project, id), unique at both call sites."""
     if fingerprints is None:
         return t
-    fp = fingerprints.select(F.col("source").alias("_s"), F.col("sha256").alias("_h"))
-    m = F.broadcast(fp.agg(F.map_from_entries(F.collect_list(F.struct("_s", "_h"))).alias("_fp")))
-    t = t.withColumn("_k", F.lit(1)).join(m.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    t = t.withColumn("sources", F.transform("sources", lambda s: F.struct(
-        s["path"].alias("path"), F.coalesce(s["sha256"], F.col("_fp")[s["path"]]).alias("sha256"))))
-    return t.drop("_fp")
+    fp = fingerprints.select(F.col("source").alias("_p"), F.col("sha256").alias("_h"))
+    ex = t.select(F.col("project").alias("_pj"), F.col("id").alias("_id"),
+                  F.posexplode("sources").alias("_pos", "_s"))
+    ex = ex.join(fp, ex["_s"]["path"] == fp["_p"], "left")
+    re = ex.groupBy("_pj", "_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        "_pos", F.struct(F.col("_s")["path"].alias("path"),
+                         F.coalesce(F.col("_s")["sha256"], F.col("_h")).alias("sha256")).alias("_v")))),
+        lambda x: x["_v"]).alias("_sources"))
+    out = t.join(re, (t["project"] == re["_pj"]) & (t["id"] == re["_id"]), "left")
+    return out.withColumn("sources", F.when(F.col("_sources").isNotNull(), F.col("_sources"))
+                          .otherwise(F.col("sources"))).drop("_pj", "_id", "_sources")
 
 
 def register(ledger: DataFrame, incoming: DataFrame, reason: str, now: str | Column,

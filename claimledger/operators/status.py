@@ -217,20 +217,33 @@ def trust_buckets(memo: DataFrame) -> DataFrame:
     return cites.groupBy("project", "id").agg(F.min_by("bucket", F.struct("doc_id", "pos")).alias("bucket"))
 
 
+def backlog_answers(claims: DataFrame) -> DataFrame:
+    """G10, long form: (project, aid, id) for every claim addressing a
+    question - no list per question, however many claims answer it."""
+    return claims.select("project", "id", F.explode("addresses").alias("aid")).distinct()
+
+
 def backlog_coverage(backlog: DataFrame, claims: DataFrame) -> DataFrame:
-    """Question -> status -> every claim that addresses it."""
-    addr = claims.select("project", "id", F.explode("addresses").alias("aid"))
-    by_q = addr.groupBy("project", "aid").agg(F.sort_array(F.collect_set("id")).alias("answered_by"))
+    """Question -> status -> how many claims address it and the first
+    one (by id).  Aggregates only; the full mapping is ``backlog_answers``."""
+    by_q = backlog_answers(claims).groupBy("project", "aid").agg(
+        F.count(F.lit(1)).alias("n_claims"), F.min("id").alias("first_claim"))
     return backlog.join(by_q, ["project", "aid"], "left").select(
-        "project", "aid", "status", "question", F.coalesce("answered_by", F.array().cast("array<string>")).alias("answered_by"))
+        "project", "aid", "status", "question", F.coalesce("n_claims", F.lit(0)).cast("int").alias("n_claims"),
+        "first_claim")
+
+
+def rule_applications(claims: DataFrame) -> DataFrame:
+    """G11, long form: (project, rid, id) for every claim applying a rule."""
+    return claims.select("project", "id", F.explode("filters").alias("rid")).distinct()
 
 
 def rule_usage(rules: DataFrame, claims: DataFrame) -> DataFrame:
-    """Rule -> status -> claims that apply it."""
-    used = claims.select("project", "id", F.explode("filters").alias("rid"))
-    by_rule = used.groupBy("project", "rid").agg(F.sort_array(F.collect_set("id")).alias("claims"))
+    """Rule -> status -> number of claims applying it and the first."""
+    by_rule = rule_applications(claims).groupBy("project", "rid").agg(
+        F.count(F.lit(1)).alias("n_claims"), F.min("id").alias("first_claim"))
     return rules.join(by_rule, ["project", "rid"], "left").select(
-        "project", "rid", "status", F.coalesce("claims", F.array().cast("array<string>")).alias("claims"))
+        "project", "rid", "status", F.coalesce("n_claims", F.lit(0)).cast("int").alias("n_claims"), "first_claim")
 
 
 def caveat_register(docs: DataFrame) -> DataFrame:
