@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimledger.operators import profile as pf
-from claimledger.operators.checks import group_checks, structural_checks, verdict
+from claimledger.operators.checks import group_checks, structural_checks, user_checks, verdict
+from claimledger.sources.manifest import load_manifests
 from claimledger.plans import oracle_ledger as OL
 from claimledger.operators import rules as rl
 from claimledger.operators.ordered import exact_quantiles
@@ -1104,6 +1105,56 @@ SQL_LEDGER_ROUND_TRIP = """
 SELECT 'proj-' || (o_custkey % 10) AS project, count(*)::BIGINT AS n FROM orders WHERE o_orderkey % 20 <> 2 GROUP BY 1"""
 
 
+# ---------------------------------------------------------------- A7 / F21
+
+def q_load_manifests(spark, sf):
+    """Manifests stored as JSON documents, one per derived day; every
+    9th is truncated, every 10th has no output: (outcome, n)."""
+    reg = sc.registry(sf)
+    m = sc.daily_manifests(spark, sf, reg)
+    dom = F.dayofmonth(F.try_to_date(F.substring_index("output", "=", -1)))  # NULL for the missing output
+    doc = F.to_json(F.struct("output", "output_sha256", "sources", "dr_set", "rules_fingerprint", "built_at"))
+    raw = m.select(F.col("output").alias("manifest_id"),
+                   F.when(dom % 9 == 0, F.substring(doc, 1, 20))
+                    .when(dom % 10 == 0, F.to_json(F.struct("output_sha256", "built_at")))
+                    .otherwise(doc).alias("doc"))
+    ok, bad = load_manifests(raw)
+    return (ok.agg(F.count(F.lit(1)).alias("n")).select(F.lit("loaded").alias("outcome"), "n")
+            .unionByName(bad.groupBy(F.col("detail").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))))
+
+
+SQL_LOAD_MANIFESTS = """
+WITH d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type <> 'error'),
+m AS (SELECT day(day::DATE) AS dom FROM d)
+SELECT 'loaded' AS outcome, count(*) FILTER (WHERE dom % 9 <> 0 AND (dom % 10 <> 0 OR dom = 30))::BIGINT AS n FROM m
+UNION ALL SELECT 'manifest does not parse', count(*)::BIGINT FROM m WHERE dom % 9 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'manifest has no output field', count(*)::BIGINT FROM m
+  WHERE dom % 10 = 0 AND dom % 9 <> 0 AND dom <> 30 HAVING count(*) > 0"""
+
+
+def q_user_checks(spark, sf):
+    """a project-specific check registered by the user - claims about
+    a priority order must apply the date rule DR-201."""
+    reg = sc.registry(sf)
+
+    def priority_needs_rule(ledger):
+        t = typed(ledger)
+        bad = t.where(F.col("claim").rlike("order [0-9]*5$") & ~F.array_contains("filters", "DR-201"))
+        return bad.select("project", F.lit("project:priority_rule").alias("check"), F.lit("FAIL").alias("severity"),
+                          F.col("id").alias("finding_id"), F.lit("claim must apply DR-201").alias("detail"))
+    reg.register_check("priority_needs_rule", priority_needs_rule)
+    return user_checks(sc.orders_ledger(spark, sf), reg.checks)
+
+
+SQL_USER_CHECKS = f"""WITH {OL.BASE}
+SELECT project, 'project:priority_rule' AS "check", 'FAIL' AS severity, id AS finding_id,
+       'claim must apply DR-201' AS detail
+FROM t WHERE k % 10 = 5 AND NOT (k % 3 = 0 OR k % 3 = 1) AND m40 NOT IN (24, 25, 26)
+UNION ALL
+SELECT project, 'project:priority_rule', 'FAIL', id, 'claim must apply DR-201'
+FROM t WHERE k % 10 = 5 AND m40 IN (24, 25, 26)"""
+
+
 # ---------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -1165,6 +1216,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_tree": q_scan_tree,
         "json_array_ingest": q_json_array_ingest,
         "ledger_round_trip": q_ledger_round_trip,
+        "load_manifests": q_load_manifests,
+        "user_checks": q_user_checks,
     }
 
 
@@ -1253,6 +1306,8 @@ def _oracle_sql() -> dict[str, str]:
         "scan_tree": _sql_scan_tree(),
         "json_array_ingest": SQL_JSON_ARRAY_INGEST,
         "ledger_round_trip": SQL_LEDGER_ROUND_TRIP,
+        "load_manifests": SQL_LOAD_MANIFESTS,
+        "user_checks": SQL_USER_CHECKS,
     }
 
 

@@ -51,11 +51,15 @@ def load_manifests(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     manifest document per row in column ``doc``; rows that do not parse or
     have no output are returned separately and skipped."""
     from claimledger.model import FAIL
-    parsed = raw.withColumn("m", F.from_json("doc", MANIFEST_SCHEMA))
-    ok = parsed.where(F.col("m").isNotNull() & F.col("m.output").isNotNull()).select("manifest_id", "m.*")
-    bad = parsed.where(F.col("m").isNull() | F.col("m.output").isNull()).select(
+    # from_json is permissive (a broken document becomes an all-NULL struct),
+    # so parseability is decided by try_parse_json
+    parsed = (raw.withColumn("_parses", F.expr("try_parse_json(doc)").isNotNull())
+                 .withColumn("m", F.from_json("doc", MANIFEST_SCHEMA)))
+    good = F.col("_parses") & F.col("m.output").isNotNull()
+    ok = parsed.where(good).select("manifest_id", "m.*")
+    bad = parsed.where(~good).select(
         "manifest_id", F.lit("aggregate:freshness").alias("check"), F.lit(FAIL).alias("severity"),
-        F.when(F.col("m").isNull(), F.lit("manifest does not parse")).otherwise(
+        F.when(~F.col("_parses"), F.lit("manifest does not parse")).otherwise(
             F.lit("manifest has no output field")).alias("detail"))
     return ok, bad
 
