@@ -43,18 +43,18 @@ def row_any(cols: list[str], pred) -> Column:
 def keep_where(rid: str, pred, description: str = "") -> Rule:
     """Keep rows meeting ``pred`` (a function of a column accessor, e.g.
     ``lambda c: c("x") > 5``); missing inputs count as false."""
-    return Rule(rid, keep=lambda c: F.coalesce(pred(c), F.lit(False)), description=description)
+    return Rule(rid, keep=pred, description=description)
 
 
 def range_rule(rid: str, col: str, lower=None, upper=None) -> Rule:
     """C4: time/range cutoff, inclusive lower bound, exclusive upper bound."""
     def keep(c):
-        pred = F.lit(True)
+        preds = []
         if lower is not None:
-            pred = pred & (c(col) >= F.lit(lower))
+            preds.append(c(col) >= F.lit(lower))
         if upper is not None:
-            pred = pred & (c(col) < F.lit(upper))
-        return F.coalesce(pred, F.lit(False))
+            preds.append(c(col) < F.lit(upper))
+        return reduce(lambda a, b: a & b, preds) if preds else F.lit(True)
     return Rule(rid, keep=keep, description=f"{col} in [{lower}, {upper})")
 
 

@@ -206,13 +206,18 @@ def stack_groups(df: DataFrame, groups: list[tuple[list[Rule], str | None]], nee
     """One scan, many rule chains: (_g, _gk, needed columns...) with one row
     per (input row, group it survives).  Only row-local chains are allowed."""
     cols = [c for c in df.columns if c in needed]
-    structs = []
+    structs, flags = [], []
     for g, (chain, key) in enumerate(groups):
         acc, flag = chain_columns(chain, cols)
+        flags.append(flag)
         gk = acc.get(key, F.col(key)).cast("string") if key else F.lit(None).cast("string")
         structs.append(F.struct(F.lit(g).alias("_g"), gk.alias("_gk"), flag.alias("_keep"),
                                 *[acc[c].alias(c) for c in cols]))
     kept = F.filter(F.array(*structs), lambda s: s["_keep"])
+    # rows no chain keeps never leave the scan (flags are written over the
+    # original columns, so their OR is a valid, pushable pre-filter)
+    if flags:
+        df = df.where(reduce(lambda a, b: a | b, flags))
     return (df.select(F.explode(kept).alias("_s"))
               .select(F.col("_s._g").alias("_g"), F.col("_s._gk").alias("_gk"), *[F.col(f"_s.{c}") for c in cols]))
 

@@ -43,7 +43,9 @@ class Rule:
         if self.masks:
             df = df.withColumns({c: m(F.col) for c, m in self.masks})
         if self.keep is not None:
-            df = df.filter(F.coalesce(self.keep(F.col), F.lit(False)))
+            # in a filter NULL drops the row like false; no coalesce, so the
+            # predicate can reach the scan (PushedFilters)
+            df = df.filter(self.keep(F.col))
         return df
 
     def definition(self) -> str:
