@@ -23,7 +23,7 @@ from claimledger.operators.registration import current_ledger, next_ids, registe
 from claimledger.functions.compare import is_close, resolve_tolerance
 from claimledger.operators.quotes import verify_quotes
 from claimledger.plans import showcase as sc
-from claimledger.plans.evaluate import assemble, evaluate
+from claimledger.plans.evaluate import evaluate
 from claimledger.plans.replay import replay, replay_summary
 from claimledger.sources.ledger_io import to_document, typed
 from claimledger.sources.scan import scan, scan_json_records
@@ -1292,7 +1292,7 @@ def _oracle_sql() -> dict[str, str]:
         "rule_caveat_sync": SQL_RULE_CAVEAT_SYNC,
         "caveat_register": SQL_CAVEAT_REGISTER,
         "backlog_coverage": SQL_BACKLOG_COVERAGE,
-        "rule_usage": _sql_rule_usage(sorted(sc.registry("").rules)),
+        "rule_usage": _sql_rule_usage(sorted(sc.RULE_IDS)),
         "replay_keyed_customers": SQL_REPLAY_KEYED,
         "claim_status": SQL_CLAIM_STATUS,
         "status_banner": SQL_STATUS_BANNER,
@@ -1312,4 +1312,4 @@ def _oracle_sql() -> dict[str, str]:
 
 
 def _measure_names() -> list[str]:
-    return sorted(sc.registry("").measures)
+    return sorted(sc.MEASURE_NAMES)

@@ -23,6 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Names of the registered measures and rules, as plain data (SQL oracles
+# need them without a Spark session); ``registry`` checks it matches them.
+MEASURE_NAMES = [
+    "mean_discount", "median_discount", "mean_tax", "median_price", "l2_quantity", "share_qty_over_25",
+    "row_count", "net_price_ratio", "any_zero_tax", "no_negative_quantity", "tax_has_missing",
+    "price_distribution", "corr_qty_price_disc", "spearman_qty_price", "discount_masked_vs_unmasked",
+    "lines_per_order", "orders_count", "mean_totalprice", "median_totalprice", "events_per_user",
+    "mean_event_value", "quality_vs_toxic",
+]
+RULE_IDS = ["DR-001", "DR-002", "DR-003", "DR-004", "DR-005", "DR-101", "DR-201"]
+
+
 def registry(sf_dir: str) -> Registry:
     reg = Registry()
     for t in TABLES:
@@ -62,6 +74,7 @@ def registry(sf_dir: str) -> Registry:
         ms.confusion_matrix("quality_vs_toxic", "quality", "toxic", [0, 1]),
     ]:
         reg.register_measure(m)
+    assert sorted(reg.measures) == sorted(MEASURE_NAMES) and sorted(reg.rules) == sorted(RULE_IDS)
     return reg
 
 
