@@ -200,9 +200,13 @@ def group_checks(ledger: DataFrame) -> DataFrame:
             .select("project", F.lit("ids:unique").alias("check"), F.lit(M.FAIL).alias("severity"),
                     F.col("id").alias("finding_id"),
                     F.format_string("duplicate id %s (%d copies)", F.col("id"), F.col("n")).alias("detail")))
-    per = x.groupBy("project").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("s_tag") == "OBSERVED").alias("n_obs"),
-        F.count_if(is_object(_t("tolerance"))).alias("n_custom"), F.count_if(_tolerance_fails()).alias("n_bad"))
+    # tolerance flags are computed in a projection and aggregated as plain
+    # booleans, which keeps the aggregate small enough to compile
+    flags = x.select("project", (F.col("s_tag") == "OBSERVED").alias("_obs"),
+                     is_object(_t("tolerance")).alias("_custom"), _tolerance_fails().alias("_bad"))
+    per = flags.groupBy("project").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_obs")).alias("n_obs"),
+        F.count_if(F.col("_custom")).alias("n_custom"), F.count_if(F.col("_bad")).alias("n_bad"))
     obs = (per.where((F.col("n_obs") / F.col("n") > M.OBSERVED_SHARE_LIMIT) & (F.col("n") > M.OBSERVED_MIN_FINDINGS))
               .select("project", F.lit("counterfactual:tag_distribution").alias("check"),
                       F.lit(M.WARN).alias("severity"), F.lit(None).cast("string").alias("finding_id"),
