@@ -9,6 +9,8 @@ places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1157,6 +1159,16 @@ FROM t WHERE k % 10 = 5 AND m40 IN (24, 25, 26)"""
 
 # ---------------------------------------------------------------- registry
 
+def _optional(name: str):
+    """The module ``name``, or None where it isn't part of this checkout."""
+    return import_module(name) if find_spec(name) else None
+
+
+#: The training-data operators live in a subpackage that may be absent.
+_LLM = _optional("claimledger.llm") and import_module("claimledger.llm.queries")
+_PIPELINE = _optional("corpus_pipeline")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: replay the lineitem claims ledger at sf0.001."""
     return q_replay_lineitem(spark, "/root/testdata/sf0.001")
@@ -1164,6 +1176,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        **(_LLM.queries() if _LLM else {}),
+        **({"pipeline": _PIPELINE.run} if _PIPELINE else {}),
         "scan_orders": q_scan_orders,
         "events_props": q_events_props,
         "sample_and_count": q_sample_and_count,
@@ -1251,7 +1265,12 @@ def _nudge_rounds(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: _nudge_rounds(v) for k, v in _oracle_sql().items()}
+    out = {k: _nudge_rounds(v) for k, v in _oracle_sql().items()}
+    if _LLM:
+        out |= _LLM.oracle_sql()
+    if _PIPELINE and _PIPELINE.ORACLE_SQL:
+        out["pipeline"] = _PIPELINE.ORACLE_SQL
+    return out
 
 
 def _oracle_sql() -> dict[str, str]:
