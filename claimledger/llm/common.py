@@ -47,3 +47,24 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
 def held_out(doc_id, modulus: int, remainder: int):
     """The contracts' split: crc32 of the id's decimal text."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
+
+
+#: A key with more than one in HEAVY of all rows is heavy: there are fewer than HEAVY such keys.
+HEAVY = 10_000
+
+
+def join_by_key(rows: DataFrame, answers: DataFrame, key: str, values: list[str], n: str, total: int,
+                spread: list[str]) -> DataFrame:
+    """Left join of ``answers`` (unique string ``key``, its row count ``n``)
+    onto ``rows``, whatever one key holds: heavy keys, fewer than HEAVY by
+    definition, come by broadcast, all others by a shuffle in which heavy
+    rows are dealt out by a hash of the columns ``spread``."""
+    tag = lambda df, p: df.select(F.col(key).alias(f"__{p}k"), *[F.col(v).alias(f"__{p}{v}") for v in values])
+    big = F.col(n) * F.lit(HEAVY) > F.lit(total)
+    out = rows.join(F.broadcast(tag(answers.where(big), "h")), F.col(key) == F.col("__hk"), "left")
+    out = out.withColumn("__k", F.when(F.col("__hk").isNotNull(), F.concat(
+        F.lit("\0"), F.xxhash64(*spread).cast("string"))).otherwise(F.col(key)))
+    out = out.join(tag(answers.where(~big), "l"), F.col("__k") == F.col("__lk"), "left")
+    for v in values:
+        out = out.withColumn(v, F.coalesce(f"__h{v}", f"__l{v}"))
+    return out.drop("__k", "__hk", "__lk", *[f"__{p}{v}" for p in "hl" for v in values])

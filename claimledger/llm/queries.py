@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from claimledger.llm import mixing
+from claimledger.llm import chat, mixing, zipwarc
 
 
 def queries():
     return {
+        "op4_warc": zipwarc.q_warc,
         "op6_mixing": mixing.q_mixing,
+        "op8_chat": chat.q_chat,
     }
 
 
 def oracle_sql():
     return {
+        "op4_warc": zipwarc.SQL,
         "op6_mixing": mixing.SQL,
+        "op8_chat": chat.SQL,
     }
