@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
     row each, so that the memory of vectorised work does not follow the
     batch size."""
     i = batch.schema.get_field_index(column)
-    lens = pa.compute.fill_null(pa.compute.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
+    lens = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
     for row, n in enumerate(lens):
         if size and size + n > max_bytes:

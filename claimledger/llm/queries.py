@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from claimledger.llm import chat, mixing, zipwarc
+from claimledger.llm import chat, language, mixing, tokens, zipwarc
 
 
 def queries():
     return {
+        "op1_tokens": tokens.q_tokens,
         "op4_warc": zipwarc.q_warc,
         "op6_mixing": mixing.q_mixing,
         "op8_chat": chat.q_chat,
+        "op9_language": language.q_language,
     }
 
 
