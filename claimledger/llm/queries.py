@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimledger.llm import chat, language, mixing, tokens, zipwarc
+from claimledger.llm import chat, embeddings, language, mixing, tokens, zipwarc
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op6_mixing": mixing.q_mixing,
         "op8_chat": chat.q_chat,
         "op9_language": language.q_language,
+        "op10_embeddings": embeddings.q_embeddings,
     }
 
 
@@ -20,4 +21,5 @@ def oracle_sql():
         "op4_warc": zipwarc.SQL,
         "op6_mixing": mixing.SQL,
         "op8_chat": chat.SQL,
+        "op10_embeddings": embeddings.SQL,
     }
