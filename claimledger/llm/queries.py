@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from claimledger.llm import chat, embeddings, language, mixing, tokens, zipwarc
+from claimledger.llm import chat, embeddings, language, mixing, ngram_join, tokens, zipwarc
 
 
 def queries():
     return {
         "op1_tokens": tokens.q_tokens,
+        "op2_ngram_join": ngram_join.q_ngram_join,
         "op4_warc": zipwarc.q_warc,
         "op6_mixing": mixing.q_mixing,
         "op8_chat": chat.q_chat,
