@@ -43,7 +43,7 @@ from claimledger.llm.files import Ranges, committed, make_dir
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Pieces kept by a process, and the longest one that is kept.
-CACHED, CACHED_CHARS = 1 << 20, 48
+CACHED, CACHED_CHARS = 3 << 19, 48
 
 # Fixed value: the characters of Unicode's White_Space property.
 BLANK = "\t-\r \x85\xa0  -     　"
@@ -55,8 +55,6 @@ WORD = re.compile(f" ?(?:[{LATIN}]+|[0-9]+)")
 #: Byte-level vocabularies write printable bytes as themselves, all others as characters from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-#: Pieces that start with one blank at most and hold no other white space.
-PLAIN = re.compile(f" ?[^{BLANK}]+")
 
 
 class Encoder:
@@ -76,7 +74,7 @@ class Encoder:
         special = sorted((t["content"] for t in rules.get("added_tokens", [])), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Pieces(self)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -84,45 +82,37 @@ class Encoder:
             cls._built = {path: cls(path)}
         return cls._built[path]
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids per word: the splitter leaves these whole, so they go to the
-        library's model directly, as the characters it has for their bytes."""
-        merge = self.tokenizer.model.tokenize
-        return [array("I", [t.id for t in merge(w.encode().decode("latin-1").translate(BYTES))]).tobytes() for w in words]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids per piece from one call: pieces on lines of their own.  A line
-        end is always split from what follows and has an id of its own, so
-        the ids between line ends are the piece's."""
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        ids = np.array(self.tokenizer.encode("\n".join(pieces), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == line[0]) if len(line) == 1 else []
-        if len(cuts) != len(pieces) - 1:
-            return self._library(pieces)
-        raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-        return [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends)]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """A piece that the splitter leaves whole goes to the library's model
+        directly, as the characters that it has for the piece's bytes."""
+        if not WORD.fullmatch(piece):
+            return self.whole(piece)
+        chars = piece.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if not self.by_piece or (self.special and self.special.search(t)) else PIECE.findall(t)
-               for t in texts]
-        missing = set().union(*[x for x in cut if x]).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHED:
-            self.cache.clear()
-            missing = set().union(*[x for x in cut if x])
-        known, long = self.cache, {}
-        word = [p for p in missing if WORD.fullmatch(p)]
-        rest = missing.difference(word)
-        plain = [p for p in rest if PLAIN.fullmatch(p)]
-        for some, by in ((word, self._words), (plain, self._pieces), (list(rest.difference(plain)), self._library)):
-            for i in range(0, len(some), 4096):
-                for piece, raw in zip(some[i:i + 4096], by(some[i:i + 4096])):
-                    (known if len(piece) <= CACHED_CHARS else long)[piece] = raw
-        look = known.__getitem__ if not long else lambda p: known[p] if p in known else long[p]
-        return [self._library([t])[0] if c is None else b"".join(map(look, c)) for t, c in zip(texts, cut)]
+        look = self.cache.__getitem__
+        return [self.whole(t) if not self.by_piece or (self.special and self.special.search(t))
+                else b"".join(map(look, PIECE.findall(t))) for t in texts]
+
+
+class _Pieces(dict):
+    """Pieces and their ids, encoded at first sight; starts anew when full."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = self.encoder.piece(piece)
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[piece] = raw
+        return raw
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
