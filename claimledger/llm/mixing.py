@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
 
     Sources in code-point order take the weights in turn.  The shares are a
     water level: sources sorted by cap / weight fill up first, and the level
-    is the one at the first source that stays below its cap.  One row per
+    is the one at the first source that stays below its cap, the highest.  One row per
     source name, so the ordered windows here hold names, not documents.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -61,11 +61,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     s = s.withColumn("total", F.sum("source_size").over(whole))
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("room").over(before), F.lit(0.0)))
                      / F.sum("w").over(after))
-    s = s.withColumn("full", F.col("room") / F.col("w") < F.col("level"))
-    # the level only rises while sources fill up: the first open source fixes it
-    s = s.withColumn("final", F.min(F.when(~F.col("full"), F.col("level"))).over(whole))
-    target = F.when(F.col("full"), F.col("room")).otherwise(F.col("final") * F.col("w"))
-    s = s.withColumn("target", F.coalesce(F.least(target, F.col("room")), F.lit(0.0)))
+    # the level rises with every source that fills up and falls from the first open one on
+    s = s.withColumn("final", F.max("level").over(whole))
+    s = s.withColumn("target", F.least(F.col("final") * F.col("w"), F.col("room")))
     return s.select("source", "source_size", "target",
                     F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
                     .alias("rate"))
@@ -112,6 +110,12 @@ def emit(mixed: DataFrame) -> DataFrame:
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("__copy"))
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix has it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return emit(mix(docs.select(row, "doc_id", "source", word_count(F.col("text")).alias("size")))).select("row.*")
+
+
 def q_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     # narrow rows, written once: the counts and the numbering read them, not the texts
@@ -129,15 +133,13 @@ e AS (
 f AS (SELECT *, CASE WHEN s1 < 8 THEN s1 ELSE (bits - 4) * 8 + (s1 >> (bits - 4)) END AS cls FROM e),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s),
-l AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0 * source_size) OVER (ORDER BY 3.0 * source_size / w,
-      source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(w) OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST
-      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
-  FROM w),
-g AS (SELECT *, min(lvl) FILTER (WHERE 3.0 * source_size / w >= lvl) OVER () AS final FROM l),
-t AS (SELECT source, source_size,
-        (CASE WHEN 3.0 * source_size / w < lvl THEN 3.0 * source_size ELSE final * w END)::DOUBLE AS target FROM g),
+b AS (
+  SELECT a.source, 3.0 * a.source_size / a.w AS mark, sum(least(3.0 * b.source_size, 3.0 * a.source_size / a.w * b.w)) AS held,
+    sum(CASE WHEN b.source_size / b.w < a.source_size / a.w THEN 3.0 * b.source_size ELSE 0 END) AS below,
+    sum(CASE WHEN b.source_size / b.w >= a.source_size / a.w THEN b.w ELSE 0 END) AS w, sum(b.source_size) AS whole
+  FROM w a CROSS JOIN w b GROUP BY a.source, a.source_size, a.w),
+v AS (SELECT arg_min((whole - below) / w, mark) AS lvl FROM b WHERE held >= whole),
+t AS (SELECT source, source_size, least(3.0 * source_size, lvl * w)::DOUBLE AS target FROM w, v),
 n AS (
   SELECT f.doc_id, f.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
