@@ -308,5 +308,19 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def first_of_class(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one document of each class, that of the smallest id;
+    of rows that share this id one stays.  Rows without an id stay."""
+    c = materialize(classes(docs, k, num, den)).where("doc_id IS NOT NULL")
+    later = c.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(later, "doc_id", "left_anti")
+    again = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    again = materialize(again)
+    once = kept.join(again, "doc_id", "left_anti")
+    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+
 def q_ngram_join(spark, sf_dir):
     return classes(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90, 100)

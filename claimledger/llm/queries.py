@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from claimledger.llm import chat, embeddings, language, mixing, ngram_join, tokens, zipwarc
+from claimledger.llm import chat, decontaminate, embeddings, language, mixing, ngram_join, secrets, tokens, toxicity, zipwarc
 
 
 def queries():
     return {
         "op1_tokens": tokens.q_tokens,
         "op2_ngram_join": ngram_join.q_ngram_join,
+        "op3_decontaminate": decontaminate.q_decontaminate,
         "op4_warc": zipwarc.q_warc,
+        "op5_secrets": secrets.q_secrets,
         "op6_mixing": mixing.q_mixing,
+        "op7_toxicity": toxicity.q_toxicity,
         "op8_chat": chat.q_chat,
         "op9_language": language.q_language,
         "op10_embeddings": embeddings.q_embeddings,
