@@ -3,7 +3,7 @@
 Every round is a few joins and aggregates on the edges; their number never
 grows, and each round is written to the shared folder, so a lost executor
 repeats one round at most.  A hub's edges are summed before the shuffle
-(min), and its join is one that AQE can split.
+(min), and its answer comes to them by broadcast (join_by_key).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimledger.llm.common import materialize
+from claimledger.llm.common import join_by_key, materialize
 
 
 def _edges(df: DataFrame) -> DataFrame:
@@ -31,8 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         # large star: larger neighbours of a node move to the smallest of its neighbourhood
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(e.select("hi", "lo"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
-        large = e.join(least, e.lo == least.u, "left").select(F.coalesce("m", "lo").alias("lo"), "hi")
+        least = (both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where("m < u")
+                 .select(F.col("u").cast("string").alias("key"), "m", "n"))
+        large = join_by_key(e.withColumn("key", F.col("lo").cast("string")), least, "key", ["m"], "n", 2 * mark[0], ["hi"])
+        large = large.select(F.coalesce("m", "lo").alias("lo"), "hi")
         large = materialize(_edges(large))
         # small star: smaller neighbours of a node, and the node, move to the smallest of them
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
