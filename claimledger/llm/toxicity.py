@@ -46,8 +46,9 @@ TOKEN = re.compile(r"[^\W\d_]+")
 
 
 def forms(word: str) -> tuple[str, ...]:
-    """A word's features, most special first."""
-    return (word, *[f"{word[:n]}-" for n in (5, 4) if len(word) > n])
+    """A word's features, most general first: a stem that is a cue stands for
+    all words that start so, also for unseen ones."""
+    return (*[f"{word[:n]}-" for n in (4, 5) if len(word) > n], word)
 
 
 # ---------------------------------------------------------------- the field
@@ -136,7 +137,9 @@ def cut(classes: np.ndarray, lengths: np.ndarray):
 
 def summary(field: Field, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(features per document, marginal per token).  Chains without any cue
-    are alike for their length, so one of each length is run."""
+    are alike for their length, so one of each length is run.  What counts
+    is by how much marginals exceed those of such a chain: a long text gets
+    no score for its length."""
     chains, mask, doc = cut(classes, lengths)
     p = np.zeros(mask.shape)
     plain = ~chains.any(axis=1)
@@ -145,10 +148,11 @@ def summary(field: Field, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.
         own = some[k:k + 4096]
         p[own] = field.marginals(chains[own], mask[own])
     size = mask.sum(axis=1)
-    if plain.any():
-        table_ = field.marginals(np.zeros((CHAIN, CHAIN), np.int64), np.tri(CHAIN, dtype=bool))
-        p[plain] = table_[size[plain] - 1]
-    total = np.bincount(doc, p.sum(axis=1), len(lengths))
+    background = field.marginals(np.zeros((CHAIN, CHAIN), np.int64), np.tri(CHAIN, dtype=bool))
+    p[plain] = background[size[plain] - 1]
+    excess = np.zeros(len(p))
+    excess[some] = np.maximum(p[some] - background[size[some] - 1], 0).sum(axis=1)
+    total = np.bincount(doc, excess, len(lengths))
     top = np.zeros(len(lengths))
     np.maximum.at(top, doc, p.max(axis=1, initial=0) if len(p) else np.zeros(0))
     return np.stack([top, np.log1p(total), 20 * total / np.maximum(lengths, 1)], axis=1), p[mask]
