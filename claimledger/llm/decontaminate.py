@@ -150,17 +150,25 @@ class Benchmark:
         return np.concatenate(out)
 
 
-def edit_distances(item: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """Smallest edit distance of ``item`` to any part of each row of ``around``."""
+def edit_rows(item: np.ndarray, around: np.ndarray, anchored: bool = False) -> np.ndarray:
+    """Per row of ``around`` and place in it, the smallest edit distance of
+    ``item`` to a part that ends there (and starts anywhere, or at 0)."""
     n, width = around.shape
     ramp = np.arange(width + 1, dtype=np.int32)
-    row = np.zeros((n, width + 1), np.int32)
+    row = np.tile(ramp, (n, 1)) if anchored else np.zeros((n, width + 1), np.int32)
     for i, w in enumerate(item):
         new = np.empty_like(row)
         new[:, 0] = i + 1
         new[:, 1:] = np.minimum(row[:, :-1] + (around != w), row[:, 1:] + 1)
         row = np.minimum.accumulate(new - ramp, axis=1) + ramp
-    return row.min(axis=1)
+    return row
+
+
+def first_word(item: np.ndarray, around: np.ndarray, row: np.ndarray) -> int:
+    """Where in ``around`` the nearest part starts, from its last ``row``."""
+    end = int(row.argmin())
+    back = edit_rows(item[::-1], around[None, :end][:, ::-1], anchored=True)[0]
+    return end - int(np.flatnonzero(back == row.min())[0])
 
 
 def find(bench: Benchmark, column) -> dict[int, list[tuple[int, int, int]]]:
@@ -199,12 +207,13 @@ def find(bench: Benchmark, column) -> dict[int, list[tuple[int, int, int]]]:
             span = at_word[:, None] + reach
             inside = (span >= begin[row][:, None]) & (span < (begin + count)[row][:, None])
             around = np.where(inside, words[np.clip(span, 0, len(words) - 1)], np.uint64(0))
-            d = edit_distances(bench.items[item], around)
-            good = d <= most
-            for r, p, e in zip(row[good].tolist(), at_word[good].tolist(), d[good].tolist()):
-                best = found.setdefault(r, {}).get(int(item))
-                if best is None or (e, p) < best:
-                    found[r][int(item)] = (e, p)
+            ends = edit_rows(bench.items[item], around)
+            d = ends.min(axis=1)
+            for g in np.flatnonzero(d <= most):
+                p = int(span[g, 0]) + first_word(bench.items[item], around[g], ends[g])
+                best = found.setdefault(int(row[g]), {}).get(int(item))
+                if best is None or (int(d[g]), p) < best:
+                    found[int(row[g])][int(item)] = (int(d[g]), p)
     out = {}
     for row, got in found.items():
         out[row] = []
@@ -226,7 +235,7 @@ def passes(benchmark: DataFrame) -> Iterator[Benchmark]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, at) for every item in a document; ``at`` is
-    the code point where it starts, give or take its edits."""
+    the code point where the nearest part starts."""
     names = ["doc_id", "item_id", "edits", "at"]
 
     def search(bench: Benchmark) -> DataFrame:
