@@ -26,7 +26,7 @@ from claimledger.functions.compare import is_close, resolve_tolerance
 from claimledger.operators.quotes import verify_quotes
 from claimledger.plans import showcase as sc
 from claimledger.plans.evaluate import evaluate
-from claimledger.plans.replay import replay, replay_summary
+from claimledger.plans.replay import replay, replay_keyed, replay_summary
 from claimledger.sources.ledger_io import to_document, typed
 from claimledger.sources.scan import scan, scan_json_records
 from claimledger.sources.fingerprint import (byte_fingerprint, content_fingerprint, large_source_warnings,
@@ -816,8 +816,13 @@ def _customers_replay(spark, sf):
 
 
 def q_replay_keyed_customers(spark, sf):
-    """One claim per (customer, measure), all replayed from one scan."""
-    _, _, res = _customers_replay(spark, sf)
+    """One claim per (customer, measure), matched both ways: every 11th
+    customer has no claims, every 13th one's claims name a key without data."""
+    reg = sc.registry(sf)
+    led, key = typed(customers_ledger(spark, sf, reg)), F.col("group_key").cast("long")
+    led = led.where(key % 11 != 0).withColumn("group_key", F.when(key % 13 == 0, F.concat(F.lit("-"), "group_key"))
+                                              .otherwise(F.col("group_key")))
+    res = replay_keyed(led, reg)
     return res.select("id", "status", "reason", "rows", _r(F.col("actual_num")).alias("actual"))
 
 
@@ -841,9 +846,18 @@ res AS (SELECT 'customers-project' AS project, id, c_custkey, measure, rows, act
                THEN 'ok' ELSE 'value_mismatch' END AS reason FROM reg)"""
 
 
-SQL_REPLAY_KEYED = f"""WITH {_SQL_KEYED}
+SQL_REPLAY_KEYED = f"""WITH {_SQL_KEYED},
+lost AS (SELECT * FROM res WHERE c_custkey % 11 <> 0 AND c_custkey % 13 = 0),
+kept AS (SELECT * FROM res WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0),
+u AS (
+  SELECT 'orders_count' AS m, o_custkey, n::DOUBLE AS actual FROM n_f
+  WHERE o_custkey % 2 <> 0 OR o_custkey % 11 = 0 OR o_custkey % 13 = 0
+  UNION ALL SELECT 'orders_count', o_custkey, n FROM n_a WHERE o_custkey % 2 = 0 OR o_custkey % 11 = 0 OR o_custkey % 13 = 0
+  UNION ALL SELECT 'mean_totalprice', o_custkey, mean FROM n_a WHERE o_custkey % 11 = 0 OR o_custkey % 13 = 0)
 SELECT id, CASE reason WHEN 'ok' THEN 'PASS' ELSE 'FAIL' END AS status, reason, rows::BIGINT AS rows,
-       round(actual, 6) AS actual FROM res"""
+       round(actual, 6) AS actual FROM kept
+UNION ALL SELECT id, 'FAIL', 'no_result', NULL, NULL FROM lost
+UNION ALL SELECT m || '[' || o_custkey || ']', 'FAIL', 'unclaimed_key', NULL, round(actual, 6) FROM u"""
 
 
 def q_claim_status(spark, sf):

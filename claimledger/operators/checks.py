@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimledger import model as M
-from claimledger.session import spread
 from claimledger.sources.ledger_io import get, is_array, is_number, is_object, parse, vtype
 
 VCOLS = ["project", "check", "severity", "finding_id", "detail"]
@@ -91,8 +90,6 @@ def _tolerance_fails() -> Column:
 def _objects(ledger: DataFrame) -> DataFrame:
     """Non-objects get a NULL variant rather than being filtered out: a
     filter on ``v`` would be pushed below the parse and copy it."""
-    if "v" not in ledger.columns:
-        ledger = spread(ledger)  # a small ledger file arrives as one partition
     p = parse(ledger) if "v" not in ledger.columns else ledger
     return p.withColumn("v", F.when(is_object(F.expr("schema_of_variant(v)")), F.col("v")))
 

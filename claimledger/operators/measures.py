@@ -36,7 +36,8 @@ def count_rows(name: str) -> Measure:
 
 
 def total(name: str, col) -> Measure:
-    return Measure(name, "scalar", (("value", Agg(F.sum(_col(col)).cast("double"))),))
+    """Sum of a column; 0 when there is nothing to add."""
+    return Measure(name, "scalar", (("value", Agg(F.coalesce(F.sum(_col(col)).cast("double"), F.lit(0.0)))),))
 
 
 def ratio(name: str, num, den) -> Measure:
@@ -63,17 +64,8 @@ def proportion(name: str, pred: Column) -> Measure:
 # -- D14 -----------------------------------------------------------------------
 
 def rate(name: str, unit) -> Measure:
-    """Rows per distinct unit (sessions per user), inside the shared
-    aggregate (a separate pass would rescan the source)."""
-    return Measure(name, "scalar", (("value", Agg(
-        F.try_divide(F.count(F.lit(1)).cast("double"),
-                     F.count_distinct(_col(unit)).cast("double")))),))
-
-
-def rate_separate(name: str, unit) -> Measure:
-    """Rows per distinct unit, evaluated as its own two-step aggregation:
-    preferable when the unit has very many distinct values per group and
-    the source is cheap to rescan."""
+    """Rows per distinct unit (sessions per user), from rows counted per
+    unit: no distinct count sits in the shared aggregate."""
     return Measure(name, "scalar", (("value", RowsPerUnit(_col(unit))),))
 
 

@@ -5,8 +5,6 @@ merges them in one task; a hot group (a third of all rows) or a whole-table
 median over a high-cardinality column would then sit in one executor.  Here
 the work is spread instead:
 
-0. (small inputs) when the (keys, value) count table is under a fixed row
-   bound, one window per key group: no group can exceed the bound.
 1. count rows per (keys, value)             -- partial aggregation, hash shuffle
 2. range-partition those counts on (keys, value) and tag each row with its
    partition id; write them to the checkpoint folder so both consumers
@@ -32,40 +30,24 @@ def _num_partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-# Distinct (keys, value) pairs up to which one window per key group is used:
-# no task then holds more than this many rows, whatever the skew.
-WINDOW_PATH_MAX_ROWS = 2_000_000
-
-
-def cumulative_counts(df: DataFrame, keys: list[str], value: str,
-                      partitions: int | None = None, window_max_rows: int | None = None) -> DataFrame:
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, partitions: int | None = None) -> DataFrame:
     """(keys..., value, cnt, before, n) for every distinct non-null value.
 
     ``before`` = rows of the same key group with a strictly smaller value,
     ``n`` = non-null rows of the group.
-
-    The (keys, value) -> count table is written once.  Its row count (file
-    metadata) bounds the size of any key group, so when it is small a
-    plain window per key group is safe; otherwise the range-partitioned
-    path spreads every group over many tasks.
     """
-    spark = df.sparkSession
-    limit = WINDOW_PATH_MAX_ROWS if window_max_rows is None else window_max_rows
-    counts = materialize(df.where(F.col(value).isNotNull())
-                           .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")))
-    if counts.count() <= limit:
-        part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        return (counts.withColumn("before", F.coalesce(F.sum("cnt").over(
-                    part.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                      .withColumn("n", F.sum("cnt").over(part))
-                      .select(*keys, value, "cnt", "before", "n"))
-    p = _num_partitions(df, partitions)
-    ranged = (counts.repartitionByRange(p, *[F.col(k) for k in keys], F.col(value))
-                    .withColumn("_pid", F.spark_partition_id()))
-    ranged = materialize(ranged)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    return cumulate(counts, keys, value, partitions)
+
+
+def cumulate(counts: DataFrame, keys: list[str], value: str, partitions: int | None = None) -> DataFrame:
+    """``cumulative_counts`` from a table (keys..., value, cnt).  The range-
+    partitioned counts are written once; both consumers read them."""
+    p = _num_partitions(counts, partitions)
+    ranged = materialize(counts.repartitionByRange(p, *[F.col(k) for k in keys], F.col(value))
+                         .withColumn("_pid", F.spark_partition_id()))
     grp = ["_pid", *keys]
-    w_local = (Window.partitionBy(*grp).orderBy(value)
-                     .rowsBetween(Window.unboundedPreceding, -1))
+    w_local = Window.partitionBy(*grp).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_lb", F.coalesce(F.sum("cnt").over(w_local), F.lit(0)))
     sub = ranged.groupBy(*grp).agg(F.sum("cnt").alias("_ps"))
     key_part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -73,9 +55,8 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str,
                     key_part.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .withColumn("n", F.sum("_ps").over(key_part))
                .drop("_ps"))
-    out = (join_null_safe(local, offs, grp)
-           .select(*keys, value, "cnt", (F.col("_off") + F.col("_lb")).alias("before"), "n"))
-    return out
+    return (join_null_safe(local, offs, grp)
+            .select(*keys, value, "cnt", (F.col("_off") + F.col("_lb")).alias("before"), "n"))
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -108,12 +89,3 @@ def exact_quantiles(df: DataFrame, keys: list[str], value, probs: list[float],
                               (F.col(f"lo{i}") + F.col(f"fr{i}") * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias("q"))
                      for i, p in enumerate(probs)])
     return g.select(*keys, F.inline(rows))
-
-
-def average_ranks(df: DataFrame, keys: list[str], value: str,
-                  partitions: int | None = None) -> DataFrame:
-    """(keys..., value, rank): 1-based average rank of each distinct value
-    (ties share the mean of their positions), as pandas ``rank()``."""
-    cum = cumulative_counts(df, keys, value, partitions)
-    return cum.select(*keys, value,
-                      (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank"))

@@ -29,15 +29,25 @@ def mask_equal(rid: str, col: str, value) -> Rule:
                 description=f"mask {col} == {value!r}")
 
 
-def row_all(cols: list[str], pred) -> Column:
+def row_all(cols: list[str], pred, c=F.col) -> Column:
     """Every listed column satisfies ``pred``; missing counts as false.
-    Usable inside rules as ``keep_where(id, lambda c: row_all(...))``."""
-    return reduce(lambda a, b: a & b, [F.coalesce(pred(F.col(c)), F.lit(False)) for c in cols])
+    Inside a rule pass the rule's accessor, so that the columns are read as
+    the rules before it left them (``keep_all`` does)."""
+    return reduce(lambda a, b: a & b, [F.coalesce(pred(c(col)), F.lit(False)) for col in cols])
 
 
-def row_any(cols: list[str], pred) -> Column:
+def row_any(cols: list[str], pred, c=F.col) -> Column:
     """At least one listed column satisfies ``pred``; missing is false."""
-    return reduce(lambda a, b: a | b, [F.coalesce(pred(F.col(c)), F.lit(False)) for c in cols])
+    return reduce(lambda a, b: a | b, [F.coalesce(pred(c(col)), F.lit(False)) for col in cols])
+
+
+def keep_all(rid: str, cols: list[str], pred) -> Rule:
+    """C3 as a rule: keep rows whose listed columns all satisfy ``pred``."""
+    return Rule(rid, keep=lambda c: row_all(cols, pred, c), description=f"all of {', '.join(cols)}")
+
+
+def keep_any(rid: str, cols: list[str], pred) -> Rule:
+    return Rule(rid, keep=lambda c: row_any(cols, pred, c), description=f"any of {', '.join(cols)}")
 
 
 def keep_where(rid: str, pred, description: str = "") -> Rule:

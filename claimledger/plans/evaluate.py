@@ -1,14 +1,18 @@
-"""evaluate(): compute many measures over filtered frames.
+"""evaluate(): compute many measures over filtered frames in two scans.
 
 All algebraic parts of all measures go into ONE aggregate together with the
-row count (partial aggregation map-side).  All exact quantiles share ONE
-distributed cumulative-count pass, and all rank correlations share another,
+row count (partial aggregation map-side).  Everything that needs values in
+order or distinct (exact quantiles, rank correlations, rows per unit) reads
+ONE pre-aggregated table: every row becomes one entry per such part, equal
+entries are counted map-side, and the counts are written once.  Quantiles
+and ranks then share one distributed cumulative pass over these counts,
 however many measures and groups ask for them.
 
 ``evaluate_groups`` goes further for replay: every (rule chain, key column)
-group over one source is evaluated from a SINGLE scan.  Each row is expanded
-into one copy per group it survives (masks applied per group, dropped copies
-never materialised); the group index then becomes an ordinary grouping key.
+group over one source is evaluated from the same two scans.  Each row is
+expanded into one copy per group it survives (masks applied per group,
+dropped copies never materialised); the group index then becomes an ordinary
+grouping key.
 """
 
 from __future__ import annotations
@@ -18,9 +22,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimledger.operators.measures import pearson
-from claimledger.operators.ordered import cumulative_counts, join_null_safe
+from claimledger.operators.ordered import cumulate, join_null_safe
 from claimledger.registry import Agg, Measure, Quantile, RankCorr, RowsPerUnit, Rule, chain_columns
+from claimledger.session import materialize
 
 VALUE_COLS = ["measure", "part", "num", "flag"]
 
@@ -62,7 +66,7 @@ def analyse(df: DataFrame, measures: list[Measure]) -> tuple[list[Measure], dict
             empty.agg(*_part_exprs(m)).schema  # noqa: B018 - forces analysis
             good.append(m)
         except Exception as e:  # AnalysisException and friends
-            bad[m.name] = f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"
+            bad[m.name] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
     return good, bad
 
 
@@ -74,14 +78,14 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
     values: (keys..., measure, part, num, flag)   one row per measure part
 
     ``usage`` (fused groups only) maps a measure to the ``_g`` values whose
-    claims use it: the ordered passes (quantiles, ranks) then only see rows
-    of those groups.
+    claims use it: the counted entries (quantiles, ranks, units) then only
+    hold rows of those groups.
     """
     keys = list(keys or [])
     aggs: list[tuple[str, str, Column, bool]] = []
     quants: dict[str, tuple[Column, list[tuple[str, str, float]]]] = {}
     ranks: dict[tuple[str, str], list[tuple[str, str]]] = {}
-    per_unit: list[tuple[str, str, Column]] = []
+    units: dict[str, tuple[Column, list[tuple[str, str]]]] = {}
     for m in measures:
         for pname, spec in m.parts:
             if isinstance(spec, Agg):
@@ -89,15 +93,18 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
             elif isinstance(spec, Quantile):
                 quants.setdefault(str(spec.expr), (spec.expr, []))[1].append((m.name, pname, float(spec.p)))
             elif isinstance(spec, RankCorr):
-                ranks.setdefault((spec.x, spec.y), []).append((m.name, pname))
+                # symmetric: (y, x) is (x, y)
+                ranks.setdefault(tuple(sorted((spec.x, spec.y))), []).append((m.name, pname))
             elif isinstance(spec, RowsPerUnit):
-                per_unit.append((m.name, pname, spec.unit))
+                units.setdefault(str(spec.unit), (spec.unit, []))[1].append((m.name, pname))
             else:
                 raise TypeError(f"unknown measure part {spec!r}")
 
     main = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[expr.alias(f"_a{i}") for i, (_, _, expr, _) in enumerate(aggs)])
+    if keys and aggs:
+        main = materialize(main)  # one row per group: row counts and values read it
     rows = main.select(*keys, F.col("_rows").cast("long").alias("rows"))
 
     frames = []
@@ -107,14 +114,16 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
                             (F.col(f"_a{i}").cast("boolean") if b else F.lit(None).cast("boolean")).alias("flag"))
                    for i, (mn, pn, _, b) in enumerate(aggs)]
         frames.append(main.select(*keys, F.inline(F.array(*structs))))
-    if quants:
-        frames.append(_quantiles(df, keys, list(quants.values()), usage))
-    if ranks:
-        frames.append(_rank_corrs(df, keys, ranks, usage))
-    for mn, pn, unit in per_unit:
-        frames.append(_rows_per_unit(df, keys, unit, _needed_by(usage, [mn]))
-                      .select(*keys, F.lit(mn).alias("measure"), F.lit(pn).alias("part"), "num",
-                              F.lit(None).cast("boolean").alias("flag")))
+    if quants or ranks or units:
+        counted = _counted(df, keys, list(quants.values()), ranks, list(units.values()), usage)
+        if quants or ranks:
+            cum = _cumulated(counted, keys)
+            if quants:
+                frames.append(_quantiles(cum, keys, list(quants.values())))
+            if ranks:
+                frames.append(_rank_corrs(counted, cum, keys, ranks))
+        if units:
+            frames.append(_rows_per_unit(counted, keys, list(units.values())))
 
     if not frames:
         schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
@@ -133,16 +142,41 @@ def _needed_by(usage: dict[str, list[int]] | None, names: list[str]) -> Column:
     return F.col("_g").isin(groups) if groups else F.lit(False)
 
 
-def _quantiles(df: DataFrame, keys: list[str], specs: list[tuple[Column, list[tuple[str, str, float]]]],
-               usage: dict[str, list[int]] | None = None) -> DataFrame:
-    """Every quantile of every expression in one cumulative pass."""
-    structs = F.array(*[
-        F.struct(F.lit(e).alias("_e"), expr.cast("double").alias("_v"),
-                 _needed_by(usage, [mn for mn, _, _ in uses]).alias("_use"))
-        for e, (expr, uses) in enumerate(specs)])
-    stacked = df.select(*keys, F.explode(F.filter(structs, lambda s: s["_use"])).alias("_s")).select(
-        *keys, "_s._e", "_s._v")
-    cum = cumulative_counts(stacked, keys + ["_e"], "_v")
+def _counted(df: DataFrame, keys: list[str], quants, ranks, units, usage) -> DataFrame:
+    """(keys..., _s, _x, _y, _u, cnt): how often each value, pair of values
+    or unit occurs.  ``_s`` names the part: q<i>, r<i>, u<i>."""
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+
+    def entry(name, x, y, u, names, good):
+        return F.struct(F.lit(name).alias("_s"), x.alias("_x"), y.alias("_y"), u.alias("_u"),
+                        (_needed_by(usage, names) & good).alias("_use"))
+    entries = []
+    for i, (expr, uses) in enumerate(quants):
+        v = expr.cast("double")
+        entries.append(entry(f"q{i}", v, none, text, [n for n, _, _ in uses], v.isNotNull()))
+    for i, ((x, y), uses) in enumerate(ranks.items()):
+        a, b = F.col(x).cast("double"), F.col(y).cast("double")
+        entries.append(entry(f"r{i}", a, b, text, [n for n, _ in uses], a.isNotNull() & b.isNotNull()))
+    for i, (unit, uses) in enumerate(units):
+        entries.append(entry(f"u{i}", none, none, unit.cast("string"), [n for n, _ in uses], F.lit(True)))
+    one = df.select(*keys, F.explode(F.filter(F.array(*entries), lambda e: e["_use"])).alias("_e"))
+    one = one.select(*keys, "_e._s", "_e._x", "_e._y", "_e._u")
+    return materialize(one.groupBy(*keys, "_s", "_x", "_y", "_u").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def _cumulated(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Cumulative counts of every quantile's values and of either side of
+    every pair: one pass; ``_side`` is q<i>, r<i>x or r<i>y."""
+    side = lambda s, v: F.struct(s.alias("_side"), v.alias("_v"))
+    pair = F.col("_s").startswith("r")
+    sides = F.when(pair, F.array(side(F.concat("_s", F.lit("x")), F.col("_x")), side(F.concat("_s", F.lit("y")), F.col("_y"))))
+    sides = sides.otherwise(F.array(side(F.col("_s"), F.col("_x"))))
+    each = counted.where(~F.col("_s").startswith("u")).select(*keys, "cnt", F.inline(sides))
+    return cumulate(each.groupBy(*keys, "_side", "_v").agg(F.sum("cnt").alias("cnt")), [*keys, "_side"], "_v")
+
+
+def _quantiles(cum: DataFrame, keys: list[str], specs: list[tuple[Column, list[tuple[str, str, float]]]]) -> DataFrame:
+    """Every quantile of every expression from the cumulative counts."""
     probs = sorted({p for _, uses in specs for _, _, p in uses})
     aggs = []
     for i, p in enumerate(probs):
@@ -152,52 +186,49 @@ def _quantiles(df: DataFrame, keys: list[str], specs: list[tuple[Column, list[tu
         aggs += [F.max(F.when(covers(lo), F.col("_v"))).alias(f"lo{i}"),
                  F.max(F.when(covers(hi), F.col("_v"))).alias(f"hi{i}"),
                  F.first(h - lo).alias(f"fr{i}")]
-    g = cum.groupBy(*keys, "_e").agg(*aggs)
+    g = cum.where(F.col("_side").startswith("q")).groupBy(*keys, "_side").agg(*aggs)
     qs = F.array(*[F.struct(F.lit(p).alias("p"),
                             (F.col(f"lo{i}") + F.col(f"fr{i}") * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias("q"))
                    for i, p in enumerate(probs)])
-    mapping = F.array(*[F.struct(F.lit(e).alias("_me"), F.lit(p).alias("_mp"), F.lit(mn).alias("measure"),
+    mapping = F.array(*[F.struct(F.lit(f"q{e}").alias("_me"), F.lit(p).alias("_mp"), F.lit(mn).alias("measure"),
                                  F.lit(pn).alias("part"))
                         for e, (_, uses) in enumerate(specs) for mn, pn, p in uses])
-    return (g.select(*keys, "_e", F.inline(qs)).select(*keys, "_e", "p", "q", F.inline(mapping))
-             .where((F.col("_e") == F.col("_me")) & (F.col("p") == F.col("_mp")))
+    return (g.select(*keys, "_side", F.inline(qs)).select(*keys, "_side", "p", "q", F.inline(mapping))
+             .where((F.col("_side") == F.col("_me")) & (F.col("p") == F.col("_mp")))
              .select(*keys, "measure", "part", F.col("q").alias("num"), F.lit(None).cast("boolean").alias("flag")))
 
 
-def _rows_per_unit(df: DataFrame, keys: list[str], unit: Column, use: Column) -> DataFrame:
-    """count(*) / count(distinct unit), exactly, as two partial aggregations:
-    rows per (key, unit) first (the NULL unit is a group of its own and
-    still counts rows), then totals and non-NULL units per key."""
-    per = df.where(use).groupBy(*keys, unit.alias("_u")).agg(F.count(F.lit(1)).alias("_n"))
-    return per.groupBy(*keys).agg(F.try_divide(F.sum("_n").cast("double"),
-                                               F.count_if(F.col("_u").isNotNull()).cast("double")).alias("num"))
-
-
-def _rank_corrs(df: DataFrame, keys: list[str], pairs: dict[tuple[str, str], list[tuple[str, str]]],
-                usage: dict[str, list[int]] | None = None) -> DataFrame:
-    """Spearman r of every pair: Pearson of average ranks over the
-    pairwise-complete rows; all ranks come from one cumulative pass."""
-    plist = list(pairs)
-    structs = F.array(*[
-        F.struct(F.lit(r).alias("_r"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
-                 _needed_by(usage, [mn for mn, _ in pairs[(x, y)]]).alias("_use"))
-        for r, (x, y) in enumerate(plist)])
-    rows = df.select(*keys, F.explode(F.filter(structs, lambda s: s["_use"])).alias("_s")).select(
-        *keys, "_s._r", "_s._x", "_s._y")
-    rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    sides = rows.select(*keys, "_r", F.explode(F.array(
-        F.struct(F.lit(0).alias("_side"), F.col("_x").alias("_val")),
-        F.struct(F.lit(1).alias("_side"), F.col("_y").alias("_val")))).alias("_t")).select(
-        *keys, "_r", "_t._side", "_t._val")
-    cum = cumulative_counts(sides, keys + ["_r", "_side"], "_val")
-    rk = cum.select(*keys, "_r", "_side", "_val", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("_rank"))
-    rx = rk.where(F.col("_side") == 0).select(*keys, "_r", F.col("_val").alias("_x"), F.col("_rank").alias("_rx"))
-    ry = rk.where(F.col("_side") == 1).select(*keys, "_r", F.col("_val").alias("_y"), F.col("_rank").alias("_ry"))
-    ranked = join_null_safe(join_null_safe(rows, rx, [*keys, "_r", "_x"]), ry, [*keys, "_r", "_y"])
-    corr = ranked.groupBy(*keys, "_r").agg(pearson(F.col("_rx"), F.col("_ry")).alias("_rho"))
-    mapping = F.array(*[F.struct(F.lit(r).alias("_mr"), F.lit(mn).alias("measure"), F.lit(pn).alias("part"))
-                        for r, pair in enumerate(plist) for mn, pn in pairs[pair]])
-    return (corr.select(*keys, "_r", "_rho", F.inline(mapping)).where(F.col("_r") == F.col("_mr"))
+def _rows_per_unit(counted: DataFrame, keys: list[str], specs) -> DataFrame:
+    """count(*) / count(distinct unit), exactly: the NULL unit is a group of
+    its own and still counts rows."""
+    g = counted.where(F.col("_s").startswith("u")).groupBy(*keys, "_s").agg(F.try_divide(
+        F.sum("cnt").cast("double"), F.count_if(F.col("_u").isNotNull()).cast("double")).alias("num"))
+    mapping = F.array(*[F.struct(F.lit(f"u{i}").alias("_ms"), F.lit(mn).alias("measure"), F.lit(pn).alias("part"))
+                        for i, (_, uses) in enumerate(specs) for mn, pn in uses])
+    return (g.select(*keys, "_s", "num", F.inline(mapping)).where(F.col("_s") == F.col("_ms"))
+             .select(*keys, "measure", "part", "num", F.lit(None).cast("boolean").alias("flag")))
+
+
+def _rank_corrs(counted: DataFrame, cum: DataFrame, keys: list[str],
+                pairs: dict[tuple[str, str], list[tuple[str, str]]]) -> DataFrame:
+    """Spearman r of every pair: weighted Pearson of average ranks over the
+    distinct pairs of values (pairwise-complete rows).  Average ranks have
+    the mean (n + 1) / 2, so centred ranks need no second pass."""
+    centred = F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("n") + 1) / 2.0
+    rk = cum.where(F.col("_side").startswith("r")).select(*keys, "_side", "_v", centred.alias("_rank"))
+
+    def side(name: str) -> DataFrame:
+        return rk.where(F.col("_side").endswith(name)).select(
+            *keys, F.expr("left(_side, length(_side) - 1)").alias("_s"), F.col("_v").alias(f"_{name}"),
+            F.col("_rank").alias(f"_r{name}"))
+    w = counted.where(F.col("_s").startswith("r")).select(*keys, "_s", "_x", "_y", "cnt")
+    ranked = join_null_safe(join_null_safe(w, side("x"), [*keys, "_s", "_x"]), side("y"), [*keys, "_s", "_y"])
+    a, b, c = F.col("_rx"), F.col("_ry"), F.col("cnt")
+    corr = ranked.groupBy(*keys, "_s").agg(F.try_divide(
+        F.sum(c * a * b), F.sqrt(F.sum(c * a * a)) * F.sqrt(F.sum(c * b * b))).alias("_rho"))
+    mapping = F.array(*[F.struct(F.lit(f"r{i}").alias("_mr"), F.lit(mn).alias("measure"), F.lit(pn).alias("part"))
+                        for i, pair in enumerate(pairs) for mn, pn in pairs[pair]])
+    return (corr.select(*keys, "_s", "_rho", F.inline(mapping)).where(F.col("_s") == F.col("_mr"))
                 .select(*keys, "measure", "part", F.col("_rho").alias("num"),
                         F.lit(None).cast("boolean").alias("flag")))
 
@@ -224,9 +255,9 @@ def stack_groups(df: DataFrame, groups: list[tuple[list[Rule], str | None]], nee
 
 def evaluate_groups(df: DataFrame, groups: list[tuple[list[Rule], str | None]], measures: list[Measure],
                     usage: dict[str, list[int]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """All groups over one source from one scan: (rows, values) keyed by
-    (_g, _gk).  Measures are evaluated for every group (the extra work is
-    CPU on rows already in memory; the scan is shared)."""
+    """All groups over one source from two scans: (rows, values) keyed by
+    (_g, _gk).  Algebraic measures are evaluated for every group (the extra
+    work is CPU on rows already in memory; the scan is shared)."""
     exprs = [e for m in measures for e in _part_exprs(m)]
     rule_exprs = []
     for chain, key in groups:

@@ -51,17 +51,30 @@ class Rule:
     def definition(self) -> str:
         """Text that changes whenever the rule's logic changes."""
         if self.fn is not None:
-            import inspect
-            try:
-                body = inspect.getsource(self.fn)
-            except (OSError, TypeError):
-                body = repr(self.fn)
+            body = describe_function(self.fn)
         else:
             keep = str(self.keep(F.col)) if self.keep is not None else ""
             body = f"keep={keep};masks=" + ";".join(f"{k}={m(F.col)!s}" for k, m in self.masks)
         return f"{self.id}\n{body}"
 
 
+def _describe_code(code) -> str:
+    return "|".join([code.co_code.hex(), *code.co_names,
+                     *[_describe_code(c) if hasattr(c, "co_code") else repr(c) for c in code.co_consts]])
+
+
+def describe_function(value) -> str:
+    """Text of a function: its code and what it closes over or defaults to,
+    so that two functions from one factory differ where their values do."""
+    code = getattr(value, "__code__", None)
+    if code is None:
+        text = repr(value)
+        return type(value).__qualname__ if " at 0x" in text else text
+    held = [describe_function(c.cell_contents) for c in (value.__closure__ or ())]
+    defaults = [describe_function(d) for d in (*(value.__defaults__ or ()), *(value.__kwdefaults__ or {}).values())]
+    return "|".join([_describe_code(code), *held, *defaults])
+
+
 def chain_columns(rules: list[Rule], columns: list[str]) -> tuple[dict[str, Column], Column]:
     """Evaluate a row-local chain symbolically: (column -> expression after
     the chain's masks, keep flag).  Each rule sees the columns as the rules

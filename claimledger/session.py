@@ -74,14 +74,3 @@ def materialize(df):
     path = f"{checkpoint_dir(spark).rstrip('/')}/mat-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
-
-
-def spread(df):
-    """Round-robin a frame whose scan yields fewer partitions than the
-    cluster has cores (one small file, one row group).  Large inputs already
-    arrive in many splits and are returned unchanged, so no shuffle is
-    added at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df

@@ -49,32 +49,15 @@ def test_unknown_rule_is_an_error_before_any_job(sessions, registry):
        st.sampled_from([0.0, 0.25, 0.5, 0.9, 1.0]))
 def test_exact_quantile_equals_numpy(spark, values, p):
     df = spark.createDataFrame([(i % 3, float(v)) for i, v in enumerate(values)], "k int, v double")
-    for limit in (None, 0):  # window path and range-partitioned path
-        got = {r["k"]: r["q"] for r in exact_quantiles_forced(df, p, limit).collect()}
-        for k in got:
-            xs = [float(v) for i, v in enumerate(values) if i % 3 == k]
-            assert abs(got[k] - float(np.percentile(xs, p * 100))) < 1e-9
+    got = {r["k"]: r["q"] for r in exact_quantiles(df, ["k"], "v", [p]).collect()}
+    for k in got:
+        xs = [float(v) for i, v in enumerate(values) if i % 3 == k]
+        assert abs(got[k] - float(np.percentile(xs, p * 100))) < 1e-9
 
 
-def exact_quantiles_forced(df, p, limit):
-    import claimledger.operators.ordered as od
-    old = od.WINDOW_PATH_MAX_ROWS
-    try:
-        if limit is not None:
-            od.WINDOW_PATH_MAX_ROWS = limit
-        return _collectable(exact_quantiles(df, ["k"], "v", [p]))
-    finally:
-        od.WINDOW_PATH_MAX_ROWS = old
-
-
-def _collectable(df):
-    rows = df.collect()
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def test_cumulative_counts_range_path(spark):
+def test_cumulative_counts(spark):
     df = spark.createDataFrame([(0, float(v)) for v in [3, 1, 2, 2, 5]], "k int, v double")
-    got = sorted((r["v"], r["before"], r["n"]) for r in cumulative_counts(df, ["k"], "v", 3, 0).collect())
+    got = sorted((r["v"], r["before"], r["n"]) for r in cumulative_counts(df, ["k"], "v", 3).collect())
     assert got == [(1.0, 0, 5), (2.0, 1, 5), (3.0, 3, 5), (5.0, 4, 5)]
 
 
@@ -160,9 +143,46 @@ def test_streaming_gate(spark):
     assert ("F-001", "ids:exists") in rej and ("F-002", "conditional:value") in rej
 
 
-def test_rate_shared_and_separate_agree(sessions):
+def test_rate_counts_rows_of_missing_units(spark):
     from claimledger.operators import measures as ms
     from claimledger.plans.evaluate import evaluate
-    _, vals = evaluate(sessions, [ms.rate("a", "coach_id"), ms.rate_separate("b", "coach_id")])
-    got = {r["measure"]: r["num"] for r in vals.collect()}
-    assert abs(got["a"] - 10 / 3) < 1e-12 and abs(got["b"] - 10 / 3) < 1e-12
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "u string")
+    _, vals = evaluate(df, [ms.rate("r", "u")])
+    assert [r["num"] for r in vals.collect()] == [2.0]
+
+
+def test_spearman_against_ranks(spark):
+    from claimledger.operators import measures as ms
+    from claimledger.plans.evaluate import evaluate
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 6, 60).astype(float), rng.integers(0, 9, 60).astype(float)
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    df = spark.createDataFrame([*zip(x.tolist(), y.tolist()), (None, 1.0), (2.0, None)], "x double, y double")
+    _, vals = evaluate(df, [ms.spearman_matrix("s", ["y", "x"]), ms.spearman("one", "x", "y")])
+    want = np.corrcoef(rank(x), rank(y))[0, 1]
+    got = {(r["measure"], r["part"]): r["num"] for r in vals.collect()}
+    assert abs(got["s", "0,0"] - 1) < 1e-12 and abs(got["one", "value"] - want) < 1e-12
+    assert abs(got["s", "0,1"] - want) < 1e-12 and abs(got["s", "1,0"] - want) < 1e-12
+
+
+def test_row_all_reads_the_columns_as_the_chain_left_them(spark):
+    from claimledger.operators import measures as ms
+    from claimledger.plans.evaluate import evaluate_groups
+    from claimledger.registry import Registry
+    df = spark.createDataFrame([(0.0, 1.0), (1.0, 1.0), (2.0, 2.0)], "x double, y double")
+    reg = Registry().register_rule(rl.mask_equal("DR-001", "x", 0.0)).register_rule(
+        rl.keep_all("DR-002", ["x", "y"], lambda c: c >= 0)).register_rule(rl.keep_any("DR-003", ["x"], lambda c: c >= 0))
+    for ids in (["DR-001", "DR-002"], ["DR-001", "DR-003"]):
+        assert rl.apply_rules(df, ids, reg).count() == 2
+        assert [r["rows"] for r in rl.attrition(df, ids, reg).orderBy("step").collect()] == [3, 3, 2]
+        rows, _ = evaluate_groups(df, [([reg.rules[i] for i in ids], None)], [ms.count_rows("n")])
+        assert [r["rows"] for r in rows.collect()] == [2]
+
+
+def test_rules_fingerprint_sees_closures():
+    from claimledger.registry import Registry, Rule
+
+    def factory(limit):
+        return Rule("DR-001", fn=lambda df: df.where(F.col("x") > limit))
+    one, two, same = (Registry().register_rule(factory(k)).rules_fingerprint() for k in (1, 2, 1))
+    assert one != two and one == same

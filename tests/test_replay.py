@@ -154,3 +154,62 @@ def test_is_close_matches_python(spark, e, a):
     from claimledger.functions.compare import is_close
     got = spark.range(1).select(is_close(F.lit(e), F.lit(a)).alias("c")).collect()[0]["c"]
     assert got == math.isclose(e, a, rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_bad_groups_fail_alone(spark, registry):
+    from pyspark.sql import functions as F
+
+    from claimledger.operators import measures as ms
+    from claimledger.operators import rules as rl
+
+    def gone(s):
+        return s.read.parquet("/nowhere/at/all.parquet")
+    registry.register_source("gone", gone)
+    registry.register_rule(rl.drop_equal("DR-050", "no_such_column", 1))
+    registry.register_rule(rl.keep_where("DR-051", lambda c: c("session_id").cast("int") > 0))
+    registry.register_measure(ms.mean("raises", F.col("coach_id").cast("int")))
+    registry.register_measure(ms.mean("unfit", "no_such_column"))
+    other = {"sources": [{"path": "gone"}], "columns": []}
+    filters = lambda r: {"filters": [r], "row_count_after_filter": 10}
+    out, res = run(spark, registry, finding(), finding(id="F-002", input=other),
+                   finding(id="F-003", reproducibility=filters("DR-050")), finding(id="F-004", group_by="nope", group_key="1"),
+                   finding(id="F-005", code_path="a.py:raises"), finding(id="F-006", code_path="a.py:unfit"),
+                   finding(id="F-007", reproducibility=filters("DR-051")),
+                   finding(id="F-008", check_type="boolean", code_path="a.py:any_zero_rating", value=True))
+    assert out == {"F-001": ("PASS", "ok"), "F-002": ("FAIL", "source_missing"), "F-003": ("FAIL", "rule_error"),
+                   "F-004": ("FAIL", "group_key_unknown"), "F-005": ("FAIL", "measure_error"),
+                   "F-006": ("FAIL", "measure_error"), "F-007": ("FAIL", "measure_error"), "F-008": ("PASS", "ok")}
+    assert all(r["error"] for r in res if r["reason"] in ("source_missing", "rule_error", "measure_error"))
+
+
+def test_no_rows_left_is_a_result(spark, registry):
+    from claimledger.operators import measures as ms
+    from claimledger.operators import rules as rl
+    registry.register_rule(rl.keep_where("DR-060", lambda c: c("session_rating") > 100))
+    registry.register_measure(ms.count_rows("n_rows"))
+    registry.register_measure(ms.total("sum_rating", "session_rating"))
+    none = {"filters": ["DR-060"], "row_count_after_filter": 0}
+    out, _ = run(spark, registry, finding(code_path="a.py:n_rows", value=0, reproducibility=none),
+                 finding(id="F-002", check_type="boolean", code_path="a.py:any_zero_rating", value=False, reproducibility=none),
+                 finding(id="F-003", code_path="a.py:n_rows", value=1, reproducibility=none),
+                 finding(id="F-004", code_path="a.py:mean_session_rating", value=4.0, reproducibility=none),
+                 finding(id="F-005", code_path="a.py:sum_rating", value=0, reproducibility=none),
+                 finding(id="F-006", code_path="a.py:n_rows", value=0,
+                         reproducibility={"filters": ["DR-060"], "row_count_after_filter": 3}))
+    assert {k: v[1] for k, v in out.items()} == {"F-001": "ok", "F-002": "ok", "F-003": "value_mismatch",
+                                                 "F-004": "value_mismatch", "F-005": "ok", "F-006": "row_count"}
+    acc, rej = register_computed(spark.createDataFrame([], "project string, doc string"), ledger_df(
+        spark, finding(code_path="a.py:n_rows", value=5, reproducibility=none)), registry, "r", "t")
+    assert rej.count() == 0 and typed(acc).collect()[0]["value_num"] == 0
+
+
+def test_keyed_claims_are_matched_both_ways(spark, registry):
+    from claimledger.operators import measures as ms
+    from claimledger.plans.replay import replay_keyed
+    registry.register_measure(ms.count_rows("n_rows"))
+    keyed = lambda i, k, v, n: finding(id=i, code_path="a.py:n_rows", value=v, group_by="coach_id", group_key=k,
+                                       reproducibility={"filters": [], "row_count_after_filter": n})
+    led = ledger_df(spark, keyed("F-001", "C1", 3, 3), keyed("F-002", "C9", 1, 1))
+    got = {(r["id"], r["status"], r["reason"]) for r in replay_keyed(typed(led), registry).collect()}
+    assert got == {("F-001", "PASS", "ok"), ("F-002", "FAIL", "no_result"),
+                   ("n_rows[C2]", "FAIL", "unclaimed_key"), ("n_rows[C3]", "FAIL", "unclaimed_key")}
