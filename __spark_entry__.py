@@ -1008,9 +1008,10 @@ bad_check AS (SELECT DISTINCT project, finding_id AS id FROM v
 ids AS (SELECT project, id, k FROM t WHERE id IS NOT NULL),
 dup AS (SELECT project, id FROM ids GROUP BY 1, 2 HAVING count(*) > 1),
 ex AS (SELECT DISTINCT project, id FROM ids WHERE k % 10 = 0),
-bad AS (SELECT * FROM bad_check UNION SELECT * FROM dup UNION SELECT * FROM ex)
-SELECT 'accepted' AS outcome, count(*)::BIGINT AS n FROM ids WHERE (project, id) NOT IN (SELECT (project, id) FROM bad)
-UNION ALL SELECT 'rejected_ids', count(*)::BIGINT FROM bad"""
+bad AS (SELECT * FROM bad_check UNION SELECT * FROM ex)
+SELECT 'accepted' AS outcome, count(DISTINCT (project, id))::BIGINT AS n FROM ids
+WHERE (project, id) NOT IN (SELECT (project, id) FROM bad)
+UNION ALL SELECT 'rejected_ids', count(*)::BIGINT FROM (SELECT * FROM bad UNION SELECT * FROM dup)"""
 
 
 def q_next_ids(spark, sf):
@@ -1043,25 +1044,35 @@ def q_update_revisions(spark, sf):
     changes = revs.where(key % 3 == 0).select(
         "project", "id",
         F.when(key % 9 == 0, F.lit('{"claim": "revised", "input": {"sources": [{"path": "orders"}], "columns": []}}'))
+         .when(key % 15 == 0, F.lit('{"claim": "revised", "check_type": "bogus"}'))
+         .when(key % 21 == 0, F.lit('{"claim": "revised", "decisions": ["DR-009"], "addresses": ["A-1"], "n": 7, '
+                                    '"owner": {"team": "data"}}'))
          .otherwise(F.lit('{"claim": "revised"}')).alias("doc"))
     fps = content_fingerprint(_t(spark, sf, "orders")).select(F.lit("orders").alias("source"),
                                                                  F.col("fingerprint").alias("sha256"))
-    new, unknown = update(revs, changes, "revise", NOW, fps)
+    new, rejected = update(revs, changes, "revise", NOW, fps)
     cur = current_ledger(revs.unionByName(new))
     t = typed(cur.select("project", "doc")).join(cur.select("project", "id", "rev"), ["project", "id"])
+    t = t.join(rejected.select("project", "id", F.lit(True).alias("rejected")), ["project", "id"], "left")
     return t.groupBy("rev", "claim").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("source_sha256").isNotNull()).alias("n_pinned"),
-        F.count_if(F.size("revision_history") == F.col("rev")).alias("n_history_ok"))
+        F.count_if(F.size("revision_history") == F.col("rev")).alias("n_history_ok"),
+        F.count_if(F.col("rejected")).alias("n_rejected"),
+        F.count_if((F.get_json_object("doc", "$.owner.team") == "data") & (F.col("n") == 7)
+                   & (F.array_join("decisions", ",") == "DR-009") & (F.array_join("addresses", ",") == "A-1"))
+        .alias("n_open_fields"))
 
 
 SQL_UPDATE_REVISIONS = f"""WITH {_SQL_KEYED},
-r AS (SELECT c_custkey, measure,
-             CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS rev,
-             CASE WHEN c_custkey % 3 = 0 THEN 'revised' ELSE measure || ' of customer ' || c_custkey END AS claim,
-             c_custkey % 3 = 0 AS pinned FROM res)
-SELECT rev, claim, count(*)::BIGINT AS n, count(*) FILTER (WHERE pinned)::BIGINT AS n_pinned,
-       count(*)::BIGINT AS n_history_ok FROM r GROUP BY rev, claim"""
+r AS (SELECT c_custkey, measure, c_custkey % 3 = 0 AND c_custkey % 9 <> 0 AND c_custkey % 15 = 0 AS rejected FROM res),
+s AS (SELECT *, c_custkey % 3 = 0 AND NOT rejected AS done,
+        c_custkey % 21 = 0 AND c_custkey % 9 <> 0 AND c_custkey % 15 <> 0 AS open FROM r)
+SELECT CASE WHEN done THEN 2 ELSE 1 END AS rev,
+       CASE WHEN done THEN 'revised' ELSE measure || ' of customer ' || c_custkey END AS claim,
+       count(*)::BIGINT AS n, count(*) FILTER (WHERE done)::BIGINT AS n_pinned,
+       count(*)::BIGINT AS n_history_ok, count(*) FILTER (WHERE rejected)::BIGINT AS n_rejected,
+       count(*) FILTER (WHERE open)::BIGINT AS n_open_fields FROM s GROUP BY 1, 2"""
 
 
 # ---------------------------------------------------------------- A2 / A4 / A5

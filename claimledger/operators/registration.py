@@ -8,6 +8,8 @@ write time for exactly the defects the validator would report.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from claimledger.operators.checks import structural_checks
 from claimledger.plans.replay import compute_groups, distinct_groups, precheck
 from claimledger.registry import Registry
 from claimledger.session import materialize
-from claimledger.sources.ledger_io import parse, to_document, typed
+from claimledger.sources.ledger_io import merge_documents, parse, to_document, typed
 
 # Checks that registration does not enforce: history and caveats are
 # stamped by registration itself; measure resolution happens at replay.
@@ -68,20 +70,25 @@ def register(ledger: DataFrame, incoming: DataFrame, reason: str, now: str | Col
     """(accepted revisions, rejected).
 
     ``ledger`` and ``incoming`` are (project, doc).  A finding is rejected when
-    its id already exists in the project, appears twice in the batch, or fails
-    write-time validation.  Accepted findings get default caveats, a first
-    revision, and stamped fingerprints.
+    its id already exists in the project or fails write-time validation; of
+    findings that share an id in the batch the first (by text: rows have no
+    order) is taken.  Accepted findings get default caveats, a first revision,
+    and stamped fingerprints; all their other fields are kept.
     """
     now_c = now if isinstance(now, Column) else F.lit(now)
     existing = typed(ledger).select("project", "id").distinct()
     t = typed(incoming)
-    dup_batch = (t.groupBy("project", "id").count().where("count > 1")
-                  .select("project", "id", F.lit("ids:duplicate_in_batch").alias("reason")))
+    copies = t.where(F.col("id").isNotNull()).groupBy("project", "id").agg(
+        F.count(F.lit(1)).alias("count"), F.min("doc").alias("first"))
+    dup_batch = copies.where("count > 1").select("project", "id", F.lit("ids:duplicate_in_batch").alias("reason"))
     exists = t.join(existing, ["project", "id"], "left_semi").select(
         "project", "id", F.lit("ids:exists").alias("reason"))
-    rejected = _reject_reasons(incoming).unionByName(dup_batch).unionByName(exists)
+    rejected = _reject_reasons(incoming).unionByName(exists)
     bad_keys = rejected.select("project", "id").where(F.col("id").isNotNull()).distinct()
+    rejected = rejected.unionByName(dup_batch)
     ok = t.where(F.col("id").isNotNull()).join(bad_keys, ["project", "id"], "left_anti")
+    ok = (ok.join(copies.select("project", "id", F.col("first").alias("doc")), ["project", "id", "doc"], "left_semi")
+            .dropDuplicates(["project", "id"]))  # equal copies
     ok = (ok.withColumn("caveats", F.coalesce("caveats", F.array().cast("array<string>")))
             .withColumn("revision_history", F.array(F.struct(now_c.alias("timestamp"),
                                                              F.lit(reason).alias("reason")))))
@@ -129,50 +136,40 @@ def update(revisions: DataFrame, changes: DataFrame, reason: str, now: str | Col
            fingerprints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Merge changed fields into the current finding, append a revision.
 
-    ``changes`` is (project, id, doc) where doc holds only the changed fields.
-    Returns (new revision rows, unknown ids).  When ``input`` changes, stale
+    ``changes`` is (project, id, doc) where doc holds only the changed fields;
+    any field but id and revision_history can change.  Returns (new revision
+    rows, rejected): unknown ids, several changes of one id, and changes whose
+    result fails write-time validation.  When ``input`` changes, stale
     fingerprints are dropped and re-pinned.
     """
     now_c = now if isinstance(now, Column) else F.lit(now)
     cur = current_ledger(revisions)
-    old = typed(cur).join(cur.select("project", "id", "rev"), ["project", "id"])
-    ch = parse(changes).select("project", "id", "v")
-    unknown = ch.join(cur, ["project", "id"], "left_anti").select(
+    several = changes.groupBy("project", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("project", "id")
+    unknown = changes.join(cur, ["project", "id"], "left_anti").select(
         "project", "id", F.lit("update:unknown_id").alias("reason"))
-    new = typed(ch.withColumnRenamed("id", "_cid"), carry=["_cid"]).drop("id").withColumnRenamed("_cid", "id")
-    pres = ch.select("project", "id", *[F.expr(f"variant_get(v, '$.{f}', 'variant') is not null").alias(f"_has_{f}")
-                                        for f in ["input", "value", "distribution", "matrix", "claim", "caveats",
-                                                  "counterfactual_tag", "measurement_ref", "reproducibility",
-                                                  "tolerance", "check_type", "code_path", "quote", "source_locator"]])
-    o, n = old.alias("o"), new.alias("n")
-    j = o.join(n, ["project", "id"]).join(pres.alias("h"), ["project", "id"])
-
-    def pick(field: str, has: str) -> Column:
-        return F.when(F.col(f"h._has_{has}"), F.col(f"n.{field}")).otherwise(F.col(f"o.{field}"))
-
-    sources = F.when(F.col("h._has_input"), F.transform(F.col("n.sources"), lambda s: F.struct(
-        s["path"].alias("path"), F.lit(None).cast("string").alias("sha256")))).otherwise(F.col("o.sources"))
-    merged = j.select(
-        "project", "id", pick("claim", "claim").alias("claim"), pick("check_type", "check_type").alias("check_type"),
-        pick("code_path", "code_path").alias("code_path"), pick("value_v", "value").alias("value_v"),
-        pick("value_num", "value").alias("value_num"), pick("value_bool", "value").alias("value_bool"),
-        pick("value_str", "value").alias("value_str"), pick("distribution", "distribution").alias("distribution"),
-        pick("matrix", "matrix").alias("matrix"), pick("quote", "quote").alias("quote"),
-        pick("source_locator", "source_locator").alias("source_locator"), F.col("o.n").alias("n"),
-        sources.alias("sources"), pick("columns", "input").alias("columns"),
-        pick("filters", "reproducibility").alias("filters"), pick("row_count", "reproducibility").alias("row_count"),
-        pick("caveats", "caveats").alias("caveats"), pick("tag", "counterfactual_tag").alias("tag"),
-        pick("measurement_ref", "measurement_ref").alias("measurement_ref"),
-        pick("tol_abs", "tolerance").alias("tol_abs"), pick("tol_rel", "tolerance").alias("tol_rel"),
-        F.concat(F.coalesce(F.col("o.revision_history"),
-                            F.array().cast("array<struct<timestamp:string,reason:string>>")),
-                 F.array(F.struct(now_c.alias("timestamp"), F.lit(reason).alias("reason")))).alias("revision_history"),
-        F.col("o.decisions").alias("decisions"), F.col("o.addresses").alias("addresses"),
-        F.col("o.group_by").alias("group_by"), F.col("o.group_key").alias("group_key"),
-        (F.col("o.rev") + 1).alias("rev"))
-    merged = stamp_fingerprints(merged, fingerprints)
-    out = to_document(merged).join(merged.select("project", "id", "rev"), ["project", "id"])
-    return out.select("project", "id", "rev", "doc"), unknown
+    one = parse(changes.join(several, ["project", "id"], "left_anti"))
+    is_doc = F.coalesce(F.expr("schema_of_variant(v)").startswith("OBJECT"), F.lit(False))
+    broken = one.where(~is_doc).select("project", "id", F.lit("ledger:parses").alias("reason"))
+    one = one.where(is_doc).select("project", "id", F.col("doc").alias("_change"))
+    merged = cur.join(one, ["project", "id"]).select(
+        "project", F.col("id").alias("_id"), (F.col("rev") + 1).alias("_rev"),
+        F.expr("variant_get(try_parse_json(_change), '$.input', 'variant') IS NOT NULL").alias("_repin"),
+        merge_documents(F.col("doc"), F.col("_change"), ["id", "revision_history"]).alias("doc"))
+    t = typed(merged, carry=["_id", "_rev", "_repin"])
+    t = t.withColumn("id", F.col("_id")).withColumn("sources", F.when(F.col("_repin"), F.transform(
+        "sources", lambda s: F.struct(s["path"].alias("path"), F.lit(None).cast("string").alias("sha256"))))
+        .otherwise(F.col("sources")))
+    t = t.withColumn("revision_history", F.concat(
+        F.coalesce("revision_history", F.array().cast("array<struct<timestamp:string,reason:string>>")),
+        F.array(F.struct(now_c.alias("timestamp"), F.lit(reason).alias("reason")))))
+    t = stamp_fingerprints(t, fingerprints)
+    new = materialize(to_document(t).join(t.select("project", "id", F.col("_rev").alias("rev")), ["project", "id"])
+                      .select("project", "id", "rev", "doc"))
+    invalid = _reject_reasons(new.select("project", "doc")).distinct()
+    rejected = reduce(DataFrame.unionByName, [
+        unknown, broken, invalid, several.withColumn("reason", F.lit("update:duplicate_in_batch"))])
+    accepted = new.join(invalid.select("project", "id").distinct(), ["project", "id"], "left_anti")
+    return accepted.select("project", "id", "rev", "doc"), rejected.distinct()
 
 
 def current_ledger(revisions: DataFrame) -> DataFrame:

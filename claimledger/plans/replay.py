@@ -240,7 +240,7 @@ def replay(claims: DataFrame, registry: Registry, fingerprints: DataFrame | None
     rule or source said when it failed).
     """
     spark = claims.sparkSession
-    c = materialize(precheck(claims, registry, fingerprints))
+    c = materialize(precheck(claims.drop("doc"), registry, fingerprints))
     replayable = F.col("check_type").isin(M.REPLAYABLE_TYPES)
     pending = c.where(F.col("pre_reason").isNull() & replayable)
     groups = distinct_groups(pending)

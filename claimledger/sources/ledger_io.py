@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,31 +148,53 @@ def typed(ledger: DataFrame, carry: list[str] | None = None) -> DataFrame:
         get("$.addresses", "array<string>").alias("addresses"),
         get("$.group_by", "string").alias("group_by"),
         get("$.group_key", "string").alias("group_key"),
+        (F.col("doc") if "doc" in p.columns else F.expr("to_json(v)")).alias("doc"),
     )
 
 
 def write_ledger(ledger: DataFrame, root: str) -> str:
-    """A5: write a new immutable version directory, then publish it by
-    writing a pointer.  Non-finite values are rejected before writing.
+    """A5: write a new immutable version, then publish it by a new numbered
+    pointer; nothing is overwritten.  Documents that are not JSON objects and
+    non-finite numbers anywhere in value, distribution or matrix are rejected
+    before writing.
 
-    Returns the version path.  Readers read ``root/_CURRENT`` to find it; a
-    failed job leaves the previous version published.
+    Returns the version path.  Readers follow the highest pointer; a failed
+    job leaves the version before it published.
     """
     spark = ledger.sparkSession
-    bad = typed(ledger).where(F.col("value_num").isNotNull() & (
-        F.isnan("value_num") | (F.abs("value_num") == float("inf")))).limit(1).count()
-    if bad:
-        raise ValueError("value must be finite (no NaN/Inf)")
-    version = f"{root.rstrip('/')}/v={uuid.uuid4().hex}"
+    if not document_violations(ledger).isEmpty():
+        raise ValueError("every document must be a JSON object")
+    infinite = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+    t = typed(ledger)
+    bad = t.where(infinite(F.col("value_num")) | F.exists(F.map_values("distribution"), infinite)
+                  | F.exists("matrix", lambda row: F.exists(row, infinite)))
+    if not bad.isEmpty():
+        raise ValueError("numbers must be finite (no NaN/Inf)")
+    root = root.rstrip("/")
+    version = f"{root}/version={uuid.uuid4().hex}"
     ledger.select("project", "doc").write.mode("error").parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").text(
-        f"{root.rstrip('/')}/_CURRENT")
+    last = _pointers(spark, root)
+    n = (last[0][0] if last else 0) + 1
+    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("error").text(f"{root}/pointers/n={n}")
     return version
 
 
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, version path), the highest first; at most one row is read."""
+    try:
+        found = spark.read.schema("value string, n long").text(f"{root}/pointers")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return [(r["n"], r["value"]) for r in found.orderBy(F.desc("n")).limit(1).collect()]
+
+
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    current = spark.read.text(f"{root.rstrip('/')}/_CURRENT").first()[0]
-    return spark.read.parquet(current)
+    last = _pointers(spark, root.rstrip("/"))
+    if not last:
+        raise FileNotFoundError(f"no ledger is published in {root}")
+    return spark.read.parquet(last[0][1])
 
 
 def _null_if_empty_struct(fields: list[Column], names: list[str]) -> Column:
@@ -181,27 +204,60 @@ def _null_if_empty_struct(fields: list[Column], names: list[str]) -> Column:
     return F.when(any_set, F.struct(*[f.alias(n) for f, n in zip(fields, names)]))
 
 
+#: Fields that the typed view always decides, also by leaving them out.
+_REPLACED = ["value", "distribution", "matrix", "input", "reproducibility", "revision_history"]
+
+
+def _fields(json: Column, path: str = "$") -> Column:
+    """Fields of an object as map<string, variant>; empty if it is none."""
+    v = F.call_function("try_variant_get", F.call_function("try_parse_json", json), F.lit(path),
+                        F.lit("map<string,variant>"))
+    return F.coalesce(v, F.expr("cast(map() as map<string,variant>)"))
+
+
+def _overlay(base: Column, over: Column, drop: list[str] | None = None) -> Column:
+    """Fields of ``over``, and of ``base`` those that ``over`` lacks."""
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k) & ~k.isin(drop or [""])), over)
+
+
+def merge_documents(base: Column, change: Column, keep: list[str]) -> Column:
+    """The document ``base`` with the fields of ``change``, but for ``keep``."""
+    return F.to_json(_overlay(_fields(base), F.map_filter(_fields(change), lambda k, _: ~k.isin(keep))))
+
+
 def to_document(t: DataFrame) -> DataFrame:
     """Typed view -> (project, id, doc).  Absent (NULL) fields are omitted.
 
-    The canonical field set of the ledger is written; fields outside it are
-    not carried (the typed view does not hold them).
+    The typed fields are laid over the document that the view came from
+    (column ``doc``), so fields that the view doesn't know stay, also inside
+    input, its sources and reproducibility.
     """
+    if "doc" not in t.columns:
+        t = t.withColumn("doc", F.lit(None).cast("string"))
     value = F.coalesce(F.col("value_v"),
                        F.when(F.col("value_bool").isNotNull(), F.col("value_bool").cast("variant")),
                        F.when(F.col("value_num").isNotNull(), F.col("value_num").cast("variant")),
                        F.when(F.col("value_str").isNotNull(), F.col("value_str").cast("variant")))
-    sources = F.transform(F.col("sources"), lambda s: F.struct(
-        s["path"].alias("path"), s["sha256"].alias("sha256")))
-    doc = F.to_json(F.struct(
+    known = F.to_json(F.struct(
         F.col("id"), F.col("claim"), F.col("check_type"), F.col("code_path"),
         value.alias("value"), F.col("distribution"), F.col("matrix"), F.col("quote"),
         F.col("source_locator"), F.col("n"),
-        F.struct(sources.alias("sources"), F.coalesce(F.col("columns"), F.array().cast("array<string>"))
-                 .alias("columns")).alias("input"),
-        F.struct(F.col("filters"), F.col("row_count").alias("row_count_after_filter")).alias("reproducibility"),
         F.col("caveats"), F.col("tag").alias("counterfactual_tag"), F.col("measurement_ref"),
         _null_if_empty_struct([F.col("tol_abs"), F.col("tol_rel")], ["abs", "rel"]).alias("tolerance"),
         F.col("revision_history"), F.col("decisions"), F.col("addresses"),
         F.col("group_by"), F.col("group_key")))
+    pinned = F.transform("sources", lambda s: F.struct(s["path"].alias("path"), s["sha256"].alias("sha256")))
+    before = F.call_function("try_variant_get", F.call_function("try_parse_json", F.col("doc")), F.lit("$.input.sources"),
+                             F.lit("array<map<string,variant>>"))
+    sources = F.when(F.size(before) == F.size("sources"), F.zip_with(
+        before, pinned, lambda b, s: _overlay(b, _fields(F.to_json(s)), ["sha256"])))
+    sources = F.coalesce(sources, F.transform(pinned, lambda s: _fields(F.to_json(s))))
+    inputs = F.to_json(F.struct(sources.alias("sources"),
+                                F.coalesce(F.col("columns"), F.array().cast("array<string>")).alias("columns")))
+    repro = F.to_json(F.struct(F.col("filters"), F.col("row_count").alias("row_count_after_filter")))
+    part = lambda path, json: F.call_function("parse_json", F.to_json(
+        _overlay(_fields(F.col("doc"), path), _fields(json), ["row_count_after_filter"])))
+    nested = F.create_map(F.lit("input"), part("$.input", inputs),
+                          F.lit("reproducibility"), part("$.reproducibility", repro))
+    doc = F.to_json(_overlay(_fields(F.col("doc")), F.map_concat(_fields(known), nested), _REPLACED))
     return t.select("project", "id", doc.alias("doc"))
