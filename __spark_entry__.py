@@ -526,13 +526,13 @@ m AS (SELECT day, day(day::DATE) AS dom,
 SELECT 'events-project' AS project, 'aggregate:freshness' AS "check", 'FAIL' AS severity, output AS finding_id,
        'output is missing - rebuild' AS detail FROM m WHERE dom = 30
 UNION ALL SELECT 'events-project', 'aggregate:freshness', 'FAIL', output, 'output changed since build'
-  FROM m WHERE dom <> 30 AND dom % 7 = 0
+  FROM m WHERE dom <> 30 AND (dom % 7 = 0 OR dom = 17)
 UNION ALL SELECT 'events-project', 'aggregate:freshness', 'FAIL', output, 'source events/day=' || day || ' changed since build'
-  FROM m WHERE dom <> 30 AND dom % 5 = 0
+  FROM m WHERE dom <> 30 AND (dom % 5 = 0 OR dom = 19)
 UNION ALL SELECT 'events-project', 'aggregate:unverifiable', 'WARN', output, 'source archive/day=' || day || ' not present'
   FROM m WHERE dom <> 30 AND dom % 11 = 0
 UNION ALL SELECT 'events-project', 'aggregate:freshness', 'FAIL', output, 'a rule definition changed since build (rules DR-101)'
-  FROM m WHERE dom <> 30 AND dom % 13 = 0"""
+  FROM m WHERE dom = 13"""
 
 
 def q_lineage_daily(spark, sf):
@@ -775,7 +775,7 @@ FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey
 
 
 def q_rule_usage(spark, sf):
-    """Rule -> status -> claims applying it (orders-derived ledger)."""
+    """Rule -> status -> claims citing it (orders-derived ledger)."""
     reg = sc.registry(sf)
     rules = spark.createDataFrame([(p, rid, r.description) for rid, r in sorted(reg.rules.items())
                                    for p in [f"proj-{i}" for i in range(10)]], "project string, rid string, status string")
@@ -786,8 +786,8 @@ def q_rule_usage(spark, sf):
 def _sql_rule_usage(reg_ids: list[str]) -> str:
     vals = ", ".join(f"('{r}')" for r in reg_ids)
     return f"""WITH {OL.BASE},
-f AS (SELECT project, id, CASE WHEN k % 3 = 0 THEN ['DR-201'] WHEN k % 3 = 1 THEN ['DR-201', 'DR-001'] ELSE [] END AS fl
-      FROM t WHERE id IS NOT NULL AND m40 NOT IN (24, 25, 26)),
+f AS (SELECT project, id, CASE WHEN k % 5 = 0 THEN ['DR-201'] WHEN k % 5 = 1 THEN ['DR-201', 'DR-001'] ELSE [] END AS fl
+      FROM t WHERE id IS NOT NULL),
 u AS (SELECT project, unnest(fl) AS rid, id FROM f),
 r AS (SELECT 'proj-' || i AS project, rid FROM range(10) AS x(i), (VALUES {vals}) AS v(rid))
 SELECT r.project, r.rid, count(DISTINCT u.id)::INT AS n_claims FROM r LEFT JOIN u USING (project, rid)
@@ -871,13 +871,9 @@ def q_claim_status(spark, sf):
 
 SQL_CLAIM_STATUS = f"""WITH {_SQL_KEYED}
 SELECT id, CASE reason WHEN 'ok' THEN 'verified' ELSE 'drifted' END AS health,
-       CASE WHEN abs(stored - round(stored)) <= 1e-9 * greatest(1.0, abs(stored)) THEN format('{{:,}}', round(stored)::BIGINT)
-            WHEN floor(log10(abs(stored))) - 3 >= 0
-            THEN CAST(CAST(round(stored / pow(10, floor(log10(abs(stored))) - 3)) * pow(10, floor(log10(abs(stored))) - 3)
-                           AS DECIMAL(38,12)) AS DOUBLE)::VARCHAR
-            ELSE CAST(CAST(round(stored * pow(10, 3 - floor(log10(abs(stored))))) / pow(10, 3 - floor(log10(abs(stored))))
-                           AS DECIMAL(38,12)) AS DOUBLE)::VARCHAR
-       END AS shown_value,
+       CASE WHEN stored = floor(stored) THEN format('{{:,}}', stored::BIGINT)
+            WHEN abs(stored) >= 999.5 AND abs(stored) < 9999.5 THEN format('{{:,}}', format('{{:.4g}}', stored)::DOUBLE::BIGINT)
+            ELSE format('{{:.4g}}', stored) END AS shown_value,
        reason = 'ok' AND c_custkey % 5 <> 0 AS publishable FROM res"""
 
 
@@ -902,11 +898,11 @@ def q_action_items(spark, sf):
 
 SQL_ACTION_ITEMS = f"""WITH {_SQL_KEYED}
 SELECT project, 'replay:' || id AS item, 'FAIL' AS severity,
-       'The stored number no longer matches the measure: re-register it or fix the measure.' AS fix
+       'Stored and computed value differ: register the claim again, or correct its measure.' AS fix
 FROM res WHERE reason <> 'ok'
 UNION ALL
 SELECT 'customers-project', 'source_hash:unpinned:', 'WARN',
-       'Claims disagree on a source snapshot, or a fingerprint is unpinned.'"""
+       'Pins of one source are absent or differ between claims: pin one version.'"""
 
 
 # ---------------------------------------------------------------- D1 / D2 / D7
@@ -1140,7 +1136,8 @@ def q_load_manifests(spark, sf):
     reg = sc.registry(sf)
     m = sc.daily_manifests(spark, sf, reg)
     dom = F.dayofmonth(F.try_to_date(F.substring_index("output", "=", -1)))  # NULL for the missing output
-    doc = F.to_json(F.struct("output", "output_sha256", "sources", "dr_set", "rules_fingerprint", "built_at"))
+    doc = F.to_json(F.struct("output", "output_sha256", F.struct(
+        "sources", "dr_set", F.col("rules_fingerprint").alias("decisions_fingerprint")).alias("inputs"), "built_at"))
     raw = m.select(F.col("output").alias("manifest_id"),
                    F.when(dom % 9 == 0, F.substring(doc, 1, 20))
                     .when(dom % 10 == 0, F.to_json(F.struct("output_sha256", "built_at")))

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimledger import model as M
 
@@ -112,33 +114,35 @@ def freshness(manifests: DataFrame, current: DataFrame, rules_fingerprint: str |
     only a WARN (cannot verify); a changed rule set marks it stale.
     """
     sev = M.WARN if fast else M.FAIL
-    cur = current.select(F.col("path").alias("_p"), F.col("sha256").alias("_cur"))
-    m = manifests.join(cur, manifests["output"] == cur["_p"], "left").drop("_p")
-    missing = m.where(F.col("_cur").isNull())
-    present = m.where(F.col("_cur").isNotNull())
-    out_changed = present.where(F.col("_cur") != F.col("output_sha256"))
-    src = present.select("project", "output", F.explode("sources").alias("source", "pinned"))
-    src = src.join(cur, src["source"] == cur["_p"], "left").drop("_p")
-    absent = src.where(F.col("_cur").isNull())
-    changed = src.where(F.col("_cur").isNotNull() & (F.col("_cur") != F.col("pinned")))
+    now = lambda key, name: current.select(F.col("path").alias(key), F.col("sha256").alias(name))
+    # one row per manifest and source (one where there is none); the tests of
+    # the manifest itself go with its first row
+    m = manifests.join(now("_op", "_out"), F.col("output") == F.col("_op"), "left")
+    m = m.select("*", F.posexplode_outer(F.map_entries("sources")).alias("_pos", "_s"))
+    m = m.withColumn("_source", F.col("_s.key")).withColumn("_pin", F.col("_s.value"))
+    m = m.join(now("_sp", "_now"), F.col("_source") == F.col("_sp"), "left")
+    first, there = F.coalesce(F.col("_pos"), F.lit(0)) == 0, F.col("_out").isNotNull()
+    pinned_rules = F.col("rules_fingerprint").isNotNull()
     if rules_fingerprint is None:
-        rules_bad = present.where(F.col("rules_fingerprint").isNotNull()).withColumn(
-            "_msg", F.lit("cannot verify the rules fingerprint"))
+        rules_bad, said = pinned_rules, F.lit("cannot verify the rules fingerprint")
     else:
-        rules_bad = present.where(F.col("rules_fingerprint").isNotNull()
-                                  & (F.col("rules_fingerprint") != F.lit(rules_fingerprint))).withColumn(
-            "_msg", F.concat(F.lit("a rule definition changed since build (rules "),
-                             F.array_join("dr_set", ","), F.lit(")")))
-    fid = F.col("output")
-    return reduce(DataFrame.unionByName, [
-        _v(missing, "aggregate:freshness", sev, fid, F.lit("output is missing - rebuild")),
-        _v(out_changed, "aggregate:freshness", sev, fid, F.lit("output changed since build")),
-        _v(changed, "aggregate:freshness", sev, fid, F.concat(F.lit("source "), F.col("source"),
-                                                              F.lit(" changed since build"))),
-        _v(absent, "aggregate:unverifiable", M.WARN, fid, F.concat(F.lit("source "), F.col("source"),
-                                                                   F.lit(" not present"))),
-        _v(rules_bad, "aggregate:freshness", sev, fid, F.col("_msg")),
-    ])
+        rules_bad = pinned_rules & (F.col("rules_fingerprint") != F.lit(rules_fingerprint))
+        said = F.concat(F.lit("a rule definition changed since build (rules "), F.array_join("dr_set", ","), F.lit(")"))
+
+    def found(test: Column, severity: str, check: str, detail: Column) -> Column:
+        return F.when(test, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"),
+                                     F.col("output").alias("finding_id"), detail.alias("detail")))
+    stale, source = "aggregate:freshness", F.concat(F.lit("source "), F.col("_source"))
+    tests = F.array(
+        found(first & ~there, sev, stale, F.lit("output is missing - rebuild")),
+        found(first & there & ~F.col("_out").eqNullSafe(F.col("output_sha256")), sev, stale,
+              F.lit("output changed since build")),
+        found(there & F.col("_now").isNotNull() & ~F.col("_now").eqNullSafe(F.col("_pin")), sev, stale,
+              F.concat(source, F.lit(" changed since build"))),
+        found(there & F.col("_source").isNotNull() & F.col("_now").isNull(), M.WARN, "aggregate:unverifiable",
+              F.concat(source, F.lit(" not present"))),
+        found(first & there & rules_bad, sev, stale, said))
+    return m.select("project", F.inline(F.array_compact(tests))).select(*VCOLS)
 
 
 # -- G6 / G7 / G8 ----------------------------------------------------------------
@@ -149,24 +153,32 @@ def health(results: DataFrame) -> DataFrame:
     return results.withColumn("health", F.coalesce(mapping[F.col("reason")], F.lit("drifted")))
 
 
-# Fix text per reason code / check prefix.
+# What to do about each reason a claim did not replay, and about each check.
 FIX_BY_REASON = {
-    M.R_VALUE: "The stored number no longer matches the measure: re-register it or fix the measure.",
-    M.R_ROW_COUNT: "The source data changed since this was recorded: rebuild, then re-register.",
-    M.R_SOURCE_CHANGED: "The source data changed since this was recorded: rebuild, then re-register.",
-    M.R_SOURCE_MISSING: "The source is not present: fetch it to verify.",
+    M.R_VALUE: "Stored and computed value differ: register the claim again, or correct its measure.",
+    M.R_ROW_COUNT: "Another number of rows passes the rules than was stored: compare the source's versions, then register again.",
+    M.R_SOURCE_CHANGED: "The claim pins an older version of its source: restore that version or update the claim's input.",
+    M.R_SOURCE_MISSING: "The claim's source is not registered or can't be opened: provide it, then replay.",
+    M.R_RULE_UNKNOWN: "The claim names a rule without code: implement the rule or correct the claim's filters.",
+    M.R_MEASURE_UNKNOWN: "The claim names a measure without code: implement it or correct the claim's code path.",
+    M.R_NO_RESULT: "The data has no rows for the claim's key: correct the key or retire the claim.",
+    "measure_error": "The measure fails on this source: see the error text of the replay.",
+    "rule_error": "A rule of the chain doesn't fit this source: see the error text of the replay.",
+    "group_key_unknown": "The source has no such key column: correct group_by.",
+    "unclaimed_key": "The data holds a key that no claim covers: register a claim for it.",
 }
 FIX_BY_CHECK = {
-    "aggregate:freshness": "A derived table is stale versus its inputs: rebuild it.",
-    "aggregate:unverifiable": "A raw source is not present: fetch it to verify fully.",
-    "source_size": "The source is large: consider a derived table.",
-    "decisions_caveats:pending": "A caveat is still pending: decide it or defer it explicitly.",
-    "decisions_caveats": "A rule and the caveats register disagree: reconcile them.",
-    "trust_memo": "The memo cites ids that do not line up with the ledger: fix the memo.",
-    "source_hash": "Claims disagree on a source snapshot, or a fingerprint is unpinned.",
-    "schema_drift": "A source no longer matches its locked schema.",
+    "aggregate:freshness": "An output no longer matches what it was built from: build it again.",
+    "aggregate:unverifiable": "A pinned input can't be read here: provide it and check again.",
+    "source_size": "Replay reads a large source: derive a smaller table with a manifest.",
+    "decisions_caveats:pending": "The register leaves a question open: decide it.",
+    "decisions_caveats": "Register and implemented rules differ: bring them to the same list.",
+    "trust_memo": "Memo and ledger differ in the ids they use: correct the memo's citations.",
+    "source_hash": "Pins of one source are absent or differ between claims: pin one version.",
+    "schema_drift": "A source left its contract: adapt the source or lock a new contract.",
+    "ledger": "A document can't be read as a finding: correct its JSON.",
 }
-DEFAULT_FIX = "Run the full validation for details."
+DEFAULT_FIX = "See the detail of this check."
 
 
 def action_items(results: DataFrame, violations: DataFrame) -> DataFrame:
@@ -233,14 +245,15 @@ def backlog_coverage(backlog: DataFrame, claims: DataFrame) -> DataFrame:
         "first_claim")
 
 
-def rule_applications(claims: DataFrame) -> DataFrame:
-    """G11, long form: (project, rid, id) for every claim applying a rule."""
-    return claims.select("project", "id", F.explode("filters").alias("rid")).distinct()
+def rule_citations(claims: DataFrame) -> DataFrame:
+    """G11, long form: (project, rid, id) for every claim citing a rule among
+    its decisions."""
+    return claims.select("project", "id", F.explode("decisions").alias("rid")).distinct()
 
 
 def rule_usage(rules: DataFrame, claims: DataFrame) -> DataFrame:
-    """Rule -> status -> number of claims applying it and the first."""
-    by_rule = rule_applications(claims).groupBy("project", "rid").agg(
+    """Rule -> status -> number of claims citing it and the first."""
+    by_rule = rule_citations(claims).groupBy("project", "rid").agg(
         F.count(F.lit(1)).alias("n_claims"), F.min("id").alias("first_claim"))
     return rules.join(by_rule, ["project", "rid"], "left").select(
         "project", "rid", "status", F.coalesce("n_claims", F.lit(0)).cast("int").alias("n_claims"), "first_claim")
@@ -257,22 +270,24 @@ def caveat_register(docs: DataFrame) -> DataFrame:
 
 # -- G12 / G13 / G15 -------------------------------------------------------------
 
-def format_value(check_type: Column, value: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def _shown(kind: pd.Series, value: pd.Series) -> pd.Series:
+    """Numbers as Python formats them (exact binary value, ties to even)."""
+    return pd.Series([None if pd.isna(v) else f"{v:.1%}" if k == "proportion" else f"{v:,.4g}" for k, v in zip(kind, value)],
+                     dtype=object)
+
+
+def format_value(check_type: Column, value: Column, flag: Column | None = None, text: Column | None = None) -> Column:
     """Proportion as a percentage with one decimal, integral scalars and
-    rates with thousands separators, other numbers to 4 significant digits."""
-    # integral up to float noise, so engines that sum in another order agree
-    is_int = F.abs(value - F.round(value)) <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(value))
-    e = F.floor(F.log10(F.abs(value))) - 3
-    p = F.pow(F.lit(10.0), F.abs(e))
-    four_sig = F.when(e >= 0, F.round(value / p) * p).otherwise(F.round(value * p) / p) \
-        .cast("decimal(38,12)").cast("double")
-    return (F.when(value.isNull(), F.lit(None).cast("string"))
-             .when(check_type == "proportion", F.concat(F.format_number(value * 100, 1), F.lit("%")))
-             .when(check_type.isin("scalar", "rate") & is_int, F.format_number(F.round(value), 0))
-             .when(check_type.isin("scalar", "rate") & (value == 0), F.lit("0"))
-             .when(check_type.isin("scalar", "rate"), four_sig.cast("string"))
-             .when(check_type == "distribution", F.lit("distribution (see detail)"))
+    rates with thousands separators, other numbers to 4 significant digits;
+    other values as they are."""
+    plain = F.coalesce(text if text is not None else F.lit(None).cast("string"),
+                       F.initcap(flag.cast("string")) if flag is not None else F.lit(None).cast("string"))
+    return (F.when(check_type == "distribution", F.lit("distribution (see detail)"))
              .when(check_type == "matrix", F.lit("matrix (see detail)"))
+             .when(value.isNull(), plain)
+             .when(check_type.isin("scalar", "rate") & (value == F.floor(value)), F.format_number(value, 0))
+             .when(check_type.isin("proportion", "scalar", "rate"), _shown(check_type, value))
              .otherwise(value.cast("string")))
 
 
@@ -280,14 +295,15 @@ def claim_detail(claims: DataFrame, results: DataFrame, buckets: DataFrame | Non
     """One wide row per claim: value, replay state, tag, bucket,
     sources, filters, decisions, addresses, caveats."""
     h = health(results).select("project", "id", "status", "reason", "health")
-    c = claims.select("project", "id", "claim", "check_type", "value_num", "tag", "filters", "decisions",
+    c = claims.select("project", "id", "claim", "check_type", "value_num", "value_bool", "value_str", "tag", "filters", "decisions",
                       "addresses", "caveats", F.transform("sources", lambda s: s["path"]).alias("sources"))
     j = c.join(h, ["project", "id"], "left")
     if buckets is not None:
         j = j.join(buckets, ["project", "id"], "left")
     else:
         j = j.withColumn("bucket", F.lit(None).cast("string"))
-    return j.withColumn("shown_value", format_value(F.col("check_type"), F.col("value_num")))
+    return j.withColumn("shown_value", format_value(
+        F.col("check_type"), F.col("value_num"), F.col("value_bool"), F.col("value_str"))).drop("value_bool", "value_str")
 
 
 def publishable(claims: DataFrame, results: DataFrame) -> DataFrame:

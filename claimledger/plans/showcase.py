@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from claimledger.operators import measures as ms
 from claimledger.operators import rules as rl
 from claimledger.registry import Registry
+from claimledger.sources.manifest import load_manifests, manifest_documents
 
 TABLES = ["lineitem", "orders", "events", "labels", "customer", "documents", "part", "supplier"]
 
@@ -216,7 +217,9 @@ def orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         code_path.alias("code_path"), value.alias("value"), dist.alias("distribution"), matrix.alias("matrix"),
         quote.alias("quote"), locator.alias("source_locator"), inp.alias("input"), repro.alias("reproducibility"),
         caveats.alias("caveats"), tag.alias("counterfactual_tag"), mref.alias("measurement_ref"),
-        tol.alias("tolerance"), rev.alias("revision_history")))
+        tol.alias("tolerance"), rev.alias("revision_history"),
+        F.when(k % 5 == 0, F.array(F.lit("DR-201"))).when(k % 5 == 1, F.array(F.lit("DR-201"), F.lit("DR-001")))
+        .alias("decisions")))
     return o.select(F.concat(F.lit("proj-"), cust10.cast("string")).alias("project"), doc.alias("doc"))
 
 
@@ -251,28 +254,36 @@ def day_fingerprints(spark: SparkSession, sf_dir: str, reg: Registry) -> DataFra
 
 
 def daily_manifests(spark: SparkSession, sf_dir: str, reg: Registry) -> DataFrame:
-    """One manifest per derived day as pinned at build time, with seeded
-    staleness by day of month: 7s edited output, 5s changed source, 11s an
-    extra absent source, 13s old rules, 30 a missing output."""
+    """One manifest per derived day as pinned at build time, written and read
+    as documents, with seeded staleness by day of month: 7s edited output, 5s
+    changed source, 11s an extra absent source, 13s old rules, 17s an output
+    and 19s a source without a pin, 30 a missing output."""
+    docs, _ = manifest_documents(_daily_builds(spark, sf_dir, reg), reg.rules_fingerprint())
+    dom = F.dayofmonth(F.try_to_date(F.substring_index("manifest_id", "=", -1)))
+    docs = docs.withColumn("doc", F.when(dom == 13, F.regexp_replace(
+        "doc", '"decisions_fingerprint":"[0-9a-f]+"', '"decisions_fingerprint":"old-rules"'))
+        .when(dom == 17, F.regexp_replace("doc", '"output_sha256":"[^"]*"', '"output_sha256":null'))
+        .when(dom == 19, F.regexp_replace("doc", '(events/day=[0-9-]+":)"[^"]*"', '$1null')).otherwise(F.col("doc")))
+    ok, _ = load_manifests(docs.withColumn("project", F.lit("events-project")))
+    return ok.drop("manifest_id")
+
+
+def _daily_builds(spark: SparkSession, sf_dir: str, reg: Registry) -> DataFrame:
     cur = day_fingerprints(spark, sf_dir, reg)
-    days = cur.where(F.col("path").startswith("daily/")).select(
-        F.substring_index("path", "=", -1).alias("day"), F.col("sha256").alias("out_sha"))
-    raw = cur.where(F.col("path").startswith("events/")).select(
-        F.substring_index("path", "=", -1).alias("day"), F.col("sha256").alias("raw_sha"))
+    day = F.substring_index("path", "=", -1)
+    j = cur.groupBy(day.alias("day")).agg(
+        F.max(F.when(F.col("path").startswith("daily/"), F.col("sha256"))).alias("out_sha"),
+        F.max(F.when(F.col("path").startswith("events/"), F.col("sha256"))).alias("raw_sha"))
+    j = j.where("out_sha IS NOT NULL AND raw_sha IS NOT NULL")
     dom = F.dayofmonth(F.to_date("day"))
-    j = days.join(raw, "day")
-    rules_fp = reg.rules_fingerprint()
     src = F.create_map(F.concat(F.lit("events/day="), F.col("day")),
                        F.when(dom % 5 == 0, F.lit("stale")).otherwise(F.col("raw_sha")))
     src = F.when(dom % 11 == 0, F.map_concat(src, F.create_map(F.concat(F.lit("archive/day="), F.col("day")),
                                                                F.lit("x")))).otherwise(src)
     return j.select(
-        F.lit("events-project").alias("project"),
         F.when(dom == 30, F.lit("daily/day=missing")).otherwise(F.concat(F.lit("daily/day="), F.col("day"))).alias("output"),
         F.when(dom % 7 == 0, F.lit("edited")).otherwise(F.col("out_sha")).alias("output_sha256"),
-        src.alias("sources"), F.array(F.lit("DR-101")).alias("dr_set"),
-        F.when(dom % 13 == 0, F.lit("old-rules")).otherwise(F.lit(rules_fp)).alias("rules_fingerprint"),
-        F.lit("2026-01-01T00:00:00Z").alias("built_at"))
+        src.alias("sources"), F.array(F.lit("DR-101")).alias("dr_set"), F.lit("2026-01-01T00:00:00Z").alias("built_at"))
 
 
 ORDERS_CONTRACT_COLUMNS = [

@@ -8,16 +8,15 @@ from, the rule set and the rules fingerprint.  Manifests are rows of a table
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimledger.operators.rules import apply_rules
 from claimledger.registry import Registry
 
-MANIFEST_SCHEMA = ("output string, output_sha256 string, sources map<string,string>, "
-                   "dr_set array<string>, rules_fingerprint string, built_at string")
+# Fixed value: the manifest record.
+MANIFEST_SCHEMA = ("output string, output_sha256 string, inputs struct<sources: map<string,string>, "
+                   "dr_set: array<string>, decisions_fingerprint: string>, built_at string")
 
 
 def build_daily(df: DataFrame, ts_col: str, rule_ids: list[str], registry: Registry,
@@ -29,40 +28,35 @@ def build_daily(df: DataFrame, ts_col: str, rule_ids: list[str], registry: Regis
     return out.select("day", *aggs.keys()).orderBy("day")
 
 
-def write_derived(df: DataFrame, path: str) -> None:
-    """Sorted output written with one file per range of days (range
-    partitioning keeps the layout deterministic for a given input)."""
-    df.repartitionByRange(1 if df.sparkSession.sparkContext.defaultParallelism < 2 else 4, "day") \
-      .sortWithinPartitions("day").write.mode("overwrite").parquet(path)
-
-
-def manifest_row(spark: SparkSession, output: str, output_sha256: str | None, sources: dict[str, str],
-                 rule_ids: list[str], rules_fingerprint: str | None, built_at: str) -> DataFrame:
-    """One manifest row.  Raises when the output fingerprint is absent
-    (the output must exist before its manifest)."""
-    if output_sha256 is None:
-        raise FileNotFoundError(f"output {output} does not exist - write it before the manifest")
-    return spark.createDataFrame([(output, output_sha256, sources, list(rule_ids), rules_fingerprint, built_at)],
-                                 MANIFEST_SCHEMA)
+def manifest_documents(builds: DataFrame, rules_fingerprint: str | None) -> tuple[DataFrame, DataFrame]:
+    """(documents, missing).  ``builds`` (output, output_sha256, sources
+    map, dr_set, built_at) has one row per derived table; a document pins
+    them all.  An output without a fingerprint doesn't exist: it gets no
+    manifest and is returned as missing."""
+    doc = F.to_json(F.struct(
+        "output", "output_sha256",
+        F.struct("sources", "dr_set", F.lit(rules_fingerprint).alias("decisions_fingerprint")).alias("inputs"), "built_at"))
+    there = F.col("output_sha256").isNotNull()
+    return (builds.where(there).select(F.col("output").alias("manifest_id"), doc.alias("doc")),
+            builds.where(~there).select("output"))
 
 
 def load_manifests(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(manifests keyed by output, unparsable rows).  ``raw`` holds one
-    manifest document per row in column ``doc``; rows that do not parse or
-    have no output are returned separately and skipped."""
+    manifest document per row in column ``doc`` (see manifest_documents);
+    rows that do not parse or have no output are returned separately and
+    skipped; further columns of ``raw`` pass through."""
     from claimledger.model import FAIL
     # from_json is permissive (a broken document becomes an all-NULL struct),
     # so parseability is decided by try_parse_json
     parsed = (raw.withColumn("_parses", F.expr("try_parse_json(doc)").isNotNull())
                  .withColumn("m", F.from_json("doc", MANIFEST_SCHEMA)))
     good = F.col("_parses") & F.col("m.output").isNotNull()
-    ok = parsed.where(good).select("manifest_id", "m.*")
+    ok = parsed.where(good).select(
+        *[c for c in raw.columns if c != "doc"], "m.output", "m.output_sha256", "m.inputs.sources", "m.inputs.dr_set",
+        F.col("m.inputs.decisions_fingerprint").alias("rules_fingerprint"), "m.built_at")
     bad = parsed.where(~good).select(
         "manifest_id", F.lit("aggregate:freshness").alias("check"), F.lit(FAIL).alias("severity"),
         F.when(~F.col("_parses"), F.lit("manifest does not parse")).otherwise(
             F.lit("manifest has no output field")).alias("detail"))
     return ok, bad
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
