@@ -29,6 +29,15 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lean(spark: SparkSession, size: str = "4m") -> None:
+    """Whole texts travel between Spark and Python in batches of a few MB:
+    the default batch of 64 MB is held several times over by every task,
+    outside the heap.  A session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, size)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
     """Cut a batch into slices of about ``max_bytes`` of text, at least one
     row each, so that the memory of vectorised work does not follow the

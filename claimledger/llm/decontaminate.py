@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimledger.llm import shingles
-from claimledger.llm.common import table, text_slices
+from claimledger.llm.common import lean, table, text_slices
 
 EDITS, REPEATS, SAMPLES, STRIDE = 0.15, 8, 4, 4
 #: Longest walk, and items under this many words, for which windows start at every word.
@@ -225,6 +225,7 @@ def find(bench: Benchmark, column) -> dict[int, list[tuple[int, int, int]]]:
 
 def passes(benchmark: DataFrame) -> Iterator[Benchmark]:
     """The items in portions of bounded size."""
+    lean(benchmark.sparkSession)
     b = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // PASS_BYTES)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimledger.llm import shingles
-from claimledger.llm.common import join_by_key, materialize, table, text_slices
+from claimledger.llm.common import join_by_key, lean, materialize, table, text_slices
 from claimledger.llm.components import components
 
 #: Shingles of a tile's side; bits of the bitmap of candidate keys.
@@ -71,7 +71,7 @@ def scan(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", 1 << 20):
                 found = shingles.sets(part.column("text"), k)
                 keys, rs, lists, owners = _keys(found), [], [], []
                 for s, key in zip(found, keys):
@@ -141,7 +141,7 @@ def candidate_sets(docs: DataFrame, k: int, bits: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, known = set(), shared.value
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", 1 << 20):
                 out = []
                 found = shingles.sets(part.column("text"), k)
                 for s, key in zip(found, _keys(found)):
@@ -283,6 +283,7 @@ def links(tiled: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
 def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_shingles, component_id: documents
     link when den * overlap >= num * union of their k-word shingle sets."""
+    lean(docs.sparkSession)
     scanned = materialize(scan(docs, k, num, den))
     rows = scanned.where("n IS NOT NULL").select("doc_id", "n", "r", "key")
     per_key = rows.where("key IS NOT NULL").groupBy("key").agg(

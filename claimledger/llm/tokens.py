@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimledger.llm import huffman
-from claimledger.llm.common import materialize, parts, scratch, table, text_slices
+from claimledger.llm.common import lean, materialize, parts, scratch, table, text_slices
 from claimledger.llm.files import Ranges, committed, make_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Pieces kept by a process, and the longest one that is kept.
-CACHED, CACHED_CHARS = 3 << 19, 48
+CACHED, CACHED_CHARS = 1 << 20, 48
 
 # Fixed value: the characters of Unicode's White_Space property.
 BLANK = "\t-\r \x85\xa0  -     　"
@@ -230,6 +230,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
 def store(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 16) -> DataFrame:
     """Encode, code and write ``docs``; returns the stored manifest."""
     spark = docs.sparkSession
+    lean(spark)
     encoded = materialize(encode_documents(docs, public_tokenizers.path(vocabulary)))
     lengths = huffman.code_lengths(global_counts(encoded), limit)
     return materialize(write_files(encoded, lengths, scratch(spark, "tokens")))

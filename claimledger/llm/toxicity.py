@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimledger.llm.common import held_out, materialize, table, text_slices
+from claimledger.llm.common import held_out, lean, materialize, table, text_slices
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
 CUES, MIN_CONTEXTS, MIN_RATIO = 40_000, 8, 20.0
@@ -253,6 +253,7 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
+    lean(docs.sparkSession)
     sample = materialize(labelled_sample(docs, labels))
     cues = find_cues(sample)
 
