@@ -463,29 +463,47 @@ def q_verdict(spark, sf):
 # ---------------------------------------------------------------- A. identity
 
 def q_content_fingerprint_orders(spark, sf):
-    """Order-free, layout-free identity of a table in one aggregate."""
-    return content_fingerprint(_t(spark, sf, "orders"))
+    """Order-free, layout-free identity of a table in one aggregate; the
+    second row is the table with prices moved by 1e-9."""
+    o = _t(spark, sf, "orders")
+    moved = o.withColumn("o_totalprice", F.col("o_totalprice") + 1e-9)
+    return (content_fingerprint(o).withColumn("version", F.lit("as stored"))
+            .unionByName(content_fingerprint(moved).withColumn("version", F.lit("moved"))))
 
 
 SQL_CONTENT_FINGERPRINT_ORDERS = r"""
-WITH r AS (SELECT sha256(concat_ws('|',
+WITH o AS (SELECT 'as stored' AS version, * FROM orders
+           UNION ALL SELECT 'moved', * REPLACE (o_totalprice + 1e-9 AS o_totalprice) FROM orders),
+p AS (SELECT *, floor(log2(abs(o_totalprice))) AS e, abs(o_totalprice) / pow(2.0, floor(log2(abs(o_totalprice)))) AS m FROM o),
+d AS (SELECT *, CASE WHEN m >= 2 THEN 1 WHEN m < 1 THEN -1 ELSE 0 END AS f FROM p),
+t AS (SELECT *, CASE WHEN o_totalprice = 0 THEN '0' ELSE CASE WHEN o_totalprice < 0 THEN '-' ELSE '' END
+        || (m * pow(2.0, 52 - f))::BIGINT::VARCHAR || 'p' || (e + f - 52)::BIGINT::VARCHAR END AS price FROM d),
+r AS (SELECT version, sha256(concat_ws('|',
     coalesce(length(o_orderkey::VARCHAR) || ':' || o_orderkey::VARCHAR, '-'),
     coalesce(length(o_custkey::VARCHAR) || ':' || o_custkey::VARCHAR, '-'),
     coalesce(length(o_orderstatus) || ':' || o_orderstatus, '-'),
-    coalesce(length(o_totalprice::DECIMAL(38,6)::VARCHAR) || ':' || o_totalprice::DECIMAL(38,6)::VARCHAR, '-'),
+    coalesce(length(price) || ':' || price, '-'),
     coalesce(length(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')) || ':' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f'), '-'),
-    coalesce(length(o_orderpriority) || ':' || o_orderpriority, '-'))) AS h FROM orders),
-a AS (SELECT count(*) AS n, bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS x1,
+    coalesce(length(o_orderpriority) || ':' || o_orderpriority, '-'))) AS h FROM t),
+a AS (SELECT version, count(*) AS n, bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS x1,
              bit_xor(('0x' || substr(h, 16, 15))::BIGINT) AS x2,
              sum(('0x' || substr(h, 31, 15))::BIGINT)::DECIMAL(38,0) AS s3,
-             sum(('0x' || substr(h, 46, 15))::BIGINT)::DECIMAL(38,0) AS s4 FROM r)
+             sum(('0x' || substr(h, 46, 15))::BIGINT)::DECIMAL(38,0) AS s4 FROM r GROUP BY version)
 SELECT n::BIGINT AS n_rows, sha256(concat_ws(':', n::VARCHAR, x1::VARCHAR, x2::VARCHAR, s3::VARCHAR, s4::VARCHAR))
-       AS fingerprint FROM a"""
+       AS fingerprint, version FROM a"""
 
 
 def q_byte_fingerprint_lineitem(spark, sf):
-    """sha256 of the table's file bytes (equals sha256sum for one file)."""
-    return byte_fingerprint(spark, f"{sf}/lineitem.parquet").select("n_files", "bytes", "sha256")
+    """sha256 of the table's file bytes (equals sha256sum for one file):
+    files read, and whether two reads of whole files agree."""
+    one, two = (byte_fingerprint(spark, f"{sf}/{t}.parquet").select("source", "n_files", "bytes", "sha256")
+                for t in ("lineitem", "lineitem"))
+    return one.join(two.select("source", F.col("sha256").alias("again")), "source").select(
+        "n_files", (F.col("bytes") > 0).alias("has_bytes"), ((F.col("sha256") == F.col("again"))
+                                                             & F.col("sha256").rlike("^[0-9a-f]{64}$")).alias("stable"))
+
+
+SQL_BYTE_FINGERPRINT = "SELECT 1::BIGINT AS n_files, count(*) > 0 AS has_bytes, true AS stable FROM lineitem"
 
 
 def q_source_sizes(spark, sf):
@@ -493,7 +511,14 @@ def q_source_sizes(spark, sf):
     every cited source is reported (as in the size check's own test)."""
     led = typed(sc.orders_ledger(spark, sf))
     sizes = source_sizes(spark, {t: f"{sf}/{t}.parquet" for t in ["lineitem", "orders"]})
-    return large_source_warnings(led, sizes, 0).select("project", "check", "severity", "detail")
+    return large_source_warnings(led, sizes, 0).select(
+        "project", "check", "severity", F.regexp_extract("detail", "^([a-z]+) is [0-9]+ MB", 1).alias("source"))
+
+
+SQL_SOURCE_SIZES = """
+SELECT DISTINCT 'proj-' || o_custkey % 10 AS project, 'source_size:large' AS "check", 'WARN' AS severity, unnest(
+  CASE WHEN o_orderkey % 40 = 21 THEN ['orders', 'lineitem'] ELSE ['orders'] END) AS source
+FROM orders WHERE o_orderkey % 40 <> 22"""
 
 
 # ---------------------------------------------------------------- A10 / G4 / G5
@@ -1319,6 +1344,8 @@ def _oracle_sql() -> dict[str, str]:
         "ledger_checks": OL.checks_sql(_measure_names()),
         "verdict": OL.verdict_sql(_measure_names()),
         "content_fingerprint_orders": SQL_CONTENT_FINGERPRINT_ORDERS,
+        "byte_fingerprint_lineitem": SQL_BYTE_FINGERPRINT,
+        "source_sizes": SQL_SOURCE_SIZES,
         "daily_events": SQL_DAILY_EVENTS,
         "freshness_daily": SQL_FRESHNESS_DAILY,
         "lineage_daily": SQL_LINEAGE_DAILY,

@@ -18,6 +18,21 @@ ID_PATTERN = r"^F-\d{3,}[a-z]?$"
 ID_IN_TEXT = r"F-\d{3,}[a-z]?"
 RULE_ID_IN_TEXT = r"DR-\d+"
 BACKLOG_ID_IN_TEXT = r"A-\d+"
+STATUS_IN_TEXT = r"\*\*Status:\*\*\s*(\w+)"
+
+
+def any_heading(level: str) -> str:
+    return rf"^{level}\s"
+
+
+def id_heading(level: str, id_regex: str) -> str:
+    return rf"^{level}\s+({id_regex})\b[ \t]*[—:-]?[ \t]*(.*?)\s*$"
+
+
+def field_line(name: str) -> str:
+    return rf"(?m)\*\*{name}:\*\*\s*(.*?)\s*$"
+
+
 LINE_REF_PATTERN = r"^L\d+(-L?\d+)?$"
 IDENTIFIER_PATTERN = r"^[A-Za-z_][A-Za-z0-9_]*$"
 DEFAULT_ABS_TOL = 1e-6

@@ -10,11 +10,12 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimledger import model as M
+from claimledger.operators.textops import parts
 
 VCOLS = ["project", "check", "severity", "finding_id", "detail"]
 
@@ -218,14 +219,11 @@ def status_banner(results: DataFrame, violations: DataFrame) -> DataFrame:
 
 def trust_buckets(memo: DataFrame) -> DataFrame:
     """(project, id, bucket): the ``## heading`` a claim id is first cited
-    under.  Heading fill is a window per document; first citation is
-    ``min_by`` over (document, line) positions per id."""
-    ln = memo.select("project", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    head = F.when(F.col("line").rlike(r"^##\s+"), F.trim(F.regexp_extract("line", r"^##\s+(.*?)\s*$", 1)))
-    w = Window.partitionBy("project", "doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = ln.withColumn("_h", head).withColumn("bucket", F.last("_h", ignorenulls=True).over(w))
-    cites = t.where(F.col("_h").isNull() & F.col("bucket").isNotNull()).select(
-        "project", "doc_id", "pos", "bucket", F.explode(F.regexp_extract_all("line", F.lit(M.ID_IN_TEXT), 0)).alias("id"))
+    under.  Documents are cut at their headings inside the row; the first
+    citation is ``min_by`` over (document, heading) per id."""
+    p = memo.select("project", "doc_id", F.inline(parts(F.col("text"), lambda x: x.rlike(r"^##\s+"))))
+    cites = p.select("project", "doc_id", "pos", F.trim(F.regexp_extract("head", r"^##\s+(.*?)\s*$", 1)).alias("bucket"),
+                     F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(M.ID_IN_TEXT), 0))).alias("id"))
     return cites.groupBy("project", "id").agg(F.min_by("bucket", F.struct("doc_id", "pos")).alias("bucket"))
 
 

@@ -1,15 +1,18 @@
 """Text extraction over a corpus of documents.
 
 Registers (decisions, backlog, trust memo, caveats) are just documents; a
-corpus is a DataFrame (doc_id, text).  Everything is row-local or keyed by
-document, so a document is the largest unit any task holds.
+corpus is a DataFrame (doc_id, text).  A document is one row, and its parts
+are found with array functions inside the row: no shuffle before the
+aggregates that span documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimledger import model as M
+
 
 def lines(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(carry..., doc, pos, line): the whole text split at newlines, 0-based
@@ -19,40 +22,33 @@ def lines(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", carr
                        F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
 
 
+def parts(text: Column, is_head) -> Column:
+    """Array of (pos, head, body): the lines for which ``is_head`` holds, each
+    with its position and the lines up to the next one, joined."""
+    ln = F.split(text, "\n", -1)
+    heads = F.filter(F.sequence(F.lit(0), F.size(ln) - 1), lambda i: is_head(F.get(ln, i)))
+    end = lambda k: F.coalesce(F.get(heads, k + 1), F.size(ln))
+    return F.transform(heads, lambda p, k: F.struct(
+        p.alias("pos"), F.get(ln, p).alias("head"),
+        F.array_join(F.slice(ln, p + 2, end(k) - p - 1), "\n").alias("body")))
+
+
 def sections(docs: DataFrame, id_regex: str, doc_col: str = "doc_id", text_col: str = "text",
              level: str = "###", carry: list[str] | None = None) -> DataFrame:
     """(doc, id, title, body, pos) for every ``<level> <id> — <title>``
-    heading; the body runs to the next heading of that level.
-
-    Lines are tagged with the heading that precedes them by a running
-    ``last(..., ignorenulls)`` window partitioned by document.
-    """
+    heading; the body runs to the next heading of that level."""
     carry = carry or []
-    ln = lines(docs, doc_col, text_col, carry)
-    head = rf"^{level}\s+({id_regex})\b[ \t]*[—:-]?[ \t]*(.*?)\s*$"
-    is_any_head = F.col("line").rlike(rf"^{level}\s")
-    hid = F.when(F.col("line").rlike(head), F.regexp_extract("line", head, 1))
-    w = Window.partitionBy(*carry, "doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    tagged = (ln.withColumn("_hpos", F.when(is_any_head, F.col("pos")))
-                .withColumn("_cur", F.last("_hpos", ignorenulls=True).over(w))
-                .withColumn("_hid", hid))
-    heads = tagged.where(F.col("_hid").isNotNull()).select(
-        *carry, "doc", F.col("pos").alias("_cur"), F.col("_hid").alias("id"),
-        F.regexp_extract("line", head, 2).alias("title"))
-    body = (tagged.where(F.col("_cur").isNotNull() & (F.col("pos") != F.col("_cur")))
-                  .groupBy(*carry, "doc", "_cur")
-                  .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))),
-                                                lambda s: s["line"]), "\n").alias("body")))
-    return (heads.join(body, [*carry, "doc", "_cur"], "left")
-                 .select(*carry, "doc", "id", "title", F.coalesce("body", F.lit("")).alias("body"),
-                         F.col("_cur").alias("pos")))
+    any_head, head = M.any_heading(level), M.id_heading(level, id_regex)
+    s = docs.select(*carry, F.col(doc_col).alias("doc"), F.inline(parts(F.col(text_col), lambda x: x.rlike(any_head))))
+    return s.where(F.col("head").rlike(head)).select(
+        *carry, "doc", F.regexp_extract("head", head, 1).alias("id"), F.regexp_extract("head", head, 2).alias("title"),
+        "body", "pos")
 
 
 def field(body: Column, name: str) -> Column:
     """The value of a ``**Name:** value`` line (first occurrence)."""
-    pat = rf"(?m)\*\*{name}:\*\*\s*(.*?)\s*$"
-    v = F.regexp_extract(body, pat, 1)
-    return F.when(body.rlike(rf"(?m)\*\*{name}:\*\*"), F.trim(v))
+    v = F.regexp_extract(body, M.field_line(name), 1)
+    return F.when(body.contains(f"**{name}:**"), F.trim(v))
 
 
 def rule_statuses(docs: DataFrame, id_regex: str = r"DR-\d+", doc_col: str = "doc_id",
@@ -61,17 +57,11 @@ def rule_statuses(docs: DataFrame, id_regex: str = r"DR-\d+", doc_col: str = "do
     rule heading, 'unknown' when absent; for a rule stated several times the
     last statement (by document, then position) wins."""
     carry = carry or []
-    ln = lines(docs, doc_col, text_col, carry)
     head = rf"^#{{2,3}}\s+({id_regex})\b"
-    w = Window.partitionBy(*carry, "doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = (ln.withColumn("_h", F.when(F.col("line").rlike(head), F.regexp_extract("line", head, 1)))
-           .withColumn("_cur", F.last("_h", ignorenulls=True).over(w))
-           .withColumn("_st", F.lower(F.regexp_extract("line", r"\*\*Status:\*\*\s*(\w+)", 1))))
-    events = t.where(F.col("_cur").isNotNull() & (F.col("_h").isNotNull() | (F.col("_st") != ""))).select(
-        *carry, F.col("_cur").alias("id"), F.struct("doc", "pos").alias("_at"),
-        F.when(F.col("_h").isNotNull(), F.lit(None)).otherwise(F.col("_st")).alias("_st"))
-    g = events.groupBy(*carry, "id").agg(
-        F.max_by("_st", F.when(F.col("_st").isNotNull(), F.col("_at"))).alias("status"))
+    p = docs.select(*carry, F.col(doc_col).alias("doc"), F.inline(parts(F.col(text_col), lambda x: x.rlike(head))))
+    p = p.select(*carry, F.regexp_extract("head", head, 1).alias("id"), F.struct("doc", "pos").alias("_at"),
+                 F.lower(F.try_element_at(F.regexp_extract_all("body", F.lit(M.STATUS_IN_TEXT), 1), F.lit(-1))).alias("_st"))
+    g = p.groupBy(*carry, "id").agg(F.max_by("_st", F.when(F.col("_st").isNotNull(), F.col("_at"))).alias("status"))
     return g.select(*carry, "id", F.coalesce("status", F.lit("unknown")).alias("status"))
 
 

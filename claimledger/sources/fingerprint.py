@@ -19,11 +19,30 @@ from pyspark.sql import types as T
 from claimledger import model as M
 
 
+def exact_double(c: Column) -> Column:
+    """Engine-neutral text of a double that keeps every bit: mantissa (53-bit
+    integer), ``p`` and binary exponent.  Scaling by powers of two is exact;
+    very large and very small numbers are first moved towards one."""
+    a = F.abs(c.cast("double"))
+    move = F.when(a >= 2.0 ** 1000, F.lit(-600)).when(a < 2.0 ** -1000, F.lit(600)).otherwise(F.lit(0))
+    two = lambda e: F.pow(F.lit(2.0), e)
+    b = a * two(move)
+    guess = F.floor(F.log2(b))
+    m = b / two(guess)  # the logarithm may be off by one
+    fix = F.when(m >= 2, 1).when(m < 1, -1).otherwise(0)
+    digits = (m * two(F.lit(52) - fix)).cast("bigint").cast("string")
+    text = F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), digits, F.lit("p"),
+                    (guess + fix - move - 52).cast("string"))
+    return (F.when(c.isNull(), F.lit(None).cast("string")).when(F.isnan(c), F.lit("NaN"))
+             .when(a == float("inf"), F.when(c < 0, F.lit("-Infinity")).otherwise(F.lit("Infinity")))
+             .when(a == 0, F.lit("0")).otherwise(text))
+
+
 def canonical(c: Column, dtype: T.DataType) -> Column:
-    """Engine-neutral text of one value (doubles to 6 decimals, timestamps
-    to microseconds)."""
-    if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return c.cast("decimal(38,6)").cast("string")
+    """Engine-neutral text of one value: doubles exactly, decimals at their
+    own scale, timestamps to microseconds."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return exact_double(c)
     if isinstance(dtype, T.TimestampType) or isinstance(dtype, T.TimestampNTZType):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if isinstance(dtype, T.DateType):
@@ -63,7 +82,9 @@ def content_fingerprint(df: DataFrame, cols: list[str] | None = None, keys: list
 
 
 def byte_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(source, n_files, bytes, sha256) for the files under ``path``."""
+    """(source, n_files, bytes, sha256) for the files under ``path``.  A file
+    is one value of a row here: for parts beyond 2 GB use the content
+    fingerprint."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
              .select("path", "length", F.sha2(F.col("content"), 256).alias("h")))
     root = path.rstrip("/")

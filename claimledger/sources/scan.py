@@ -26,40 +26,63 @@ def scan(spark: SparkSession, path: str, fmt: str | None = None, **options) -> D
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """A2: inventory of a raw-data tree: (path, format, rows, cols).
+    """A2: inventory of a raw-data tree: (path, format, rows, cols), one row
+    per data file, empty files included.
 
     Files are listed by Spark (``binaryFile`` without reading content);
-    dotfiles and documentation suffixes are skipped; each format is read
-    in one job over all its files, rows counted per ``input_file_name``.
+    dotfiles and documentation suffixes are skipped, suffixes count in either
+    case.  Each format is read in one job over all its files and counted per
+    file; ``cols`` is the width of the format's common schema.
     """
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-               .load(root).select("path", "length"))
     name = F.element_at(F.split("path", "/"), -1)
-    listing = listing.where(~name.startswith(".") & ~F.lower(name).rlike(
-        "(" + "|".join(s.replace(".", r"\.") + "$" for s in SKIP_SUFFIXES) + ")"))
-    parts = []
-    for suffix, fmt in FORMATS.items():
-        glob = f"*{suffix}"
-        try:
-            r = spark.read.format(fmt).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-            if fmt == "csv":
-                r = r.option("header", "true")
-            df = r.load(root)
-        except Exception:  # no file of this format
+    suffix = F.lower(F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1)))
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+               .select("path").withColumn("name", name)
+               .where(~F.col("name").startswith(".")
+                      & ~F.lower("name").rlike("(" + "|".join(s.replace(".", r"\.") for s in SKIP_SUFFIXES) + ")$"))
+               .withColumn("suffix", suffix))
+    there = {r["suffix"] for r in listing.where(F.col("suffix").isin(list(FORMATS))).select("suffix").distinct().collect()}
+    tails = []
+    for ending, fmt in FORMATS.items():
+        if ending not in there:
             continue
-        ncols = len(df.columns)
-        parts.append(df.select(F.input_file_name().alias("path")).groupBy("path").count()
-                     .select("path", F.lit(fmt).alias("format"), F.col("count").alias("rows"),
-                             F.lit(ncols).alias("cols")))
-    if not parts:
+        either = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ending)
+        reader = (spark.read.format(fmt).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{either}"))
+        if fmt == "csv":
+            reader = reader.option("header", "true")
+        if fmt == "json":
+            reader = reader.option("multiLine", "true")
+        df = reader.load(root)
+        counts = df.select(F.input_file_name().alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+        files = listing.where(F.col("suffix") == ending).select("path", F.url_decode(F.regexp_replace(
+            "path", r"\+", "%2B")).alias("_key"))
+        key = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
+        strip = lambda c: F.regexp_replace(c, "^file:/+", "/")
+        counts = counts.select(strip(key).alias("_path"), "rows")
+        tails.append(files.join(counts, strip(F.col("_key")) == F.col("_path"), "left").select(
+            "path", F.lit(fmt).alias("format"), F.coalesce("rows", F.lit(0)).alias("rows"),
+            F.lit(len(df.columns)).alias("cols")))
+    if not tails:
         return spark.createDataFrame([], "path string, format string, rows bigint, cols int")
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, tails)
 
 
 def scan_json_records(df: DataFrame, col: str, schema: str) -> DataFrame:
-    """A3: parse a JSON column; when the value wraps records one level down
-    (``{"data": [{...}]}``) take the first list of objects; flatten structs.
-    """
-    parsed = df.withColumn("_j", F.from_json(F.col(col), schema))
+    """A3: parse a JSON column into the fields of ``schema``, one row per
+    record.  A value is one record, a list of records, or an object that
+    wraps a list of records in one of its fields (the first by name); text
+    that doesn't parse is one row without values."""
+    v = F.call_function("try_parse_json", F.col(col))
+    kind = lambda x: F.call_function("schema_of_variant", x)
+    as_list = lambda x: F.call_function("try_variant_get", x, F.lit("$"), F.lit("array<variant>"))
+    fields = F.map_entries(F.call_function("try_variant_get", F.col("_v"), F.lit("$"), F.lit("map<string,variant>")))
+    lists = F.array_sort(F.transform(F.filter(fields, lambda e: F.coalesce(kind(e["value"]).startswith("ARRAY<OBJECT"), F.lit(False))),
+                                     lambda e: F.struct(e["key"].alias("k"), F.to_json(e["value"]).alias("j"))))
+    inner = as_list(F.call_function("try_parse_json", F.try_element_at(lists, F.lit(1))["j"]))
+    records = (F.when(F.coalesce(kind(F.col("_v")).startswith("ARRAY"), F.lit(False)), as_list(F.col("_v")))
+                .when(F.size(lists) > 0, inner).otherwise(F.array(F.col("_v"))))
+    rest = [c for c in df.columns if c != col]
+    one = df.withColumn("_v", v).select(*rest, F.explode_outer(records).alias("_r"))
+    parsed = one.select(*rest, F.from_json(F.to_json("_r"), schema).alias("_j"))
     flat = [F.col(f"_j.{f.name}").alias(f.name) for f in parsed.schema["_j"].dataType.fields]
-    return parsed.select(*[c for c in df.columns if c != col], *flat)
+    return parsed.select(*rest, *flat)
