@@ -25,7 +25,9 @@ from claimledger.operators.registration import current_ledger, next_ids, registe
 from claimledger.functions.compare import is_close, resolve_tolerance
 from claimledger.operators.quotes import verify_quotes
 from claimledger.plans import showcase as sc
-from claimledger.plans.evaluate import evaluate
+from claimledger.operators import measures as ms
+from claimledger.plans.evaluate import evaluate, evaluate_groups
+from claimledger.plans.validate import validate
 from claimledger.plans.replay import replay, replay_keyed, replay_summary
 from claimledger.sources.ledger_io import to_document, typed
 from claimledger.sources.scan import scan, scan_json_records
@@ -1204,6 +1206,135 @@ SELECT project, 'project:priority_rule', 'FAIL', id, 'claim must apply DR-201'
 FROM t WHERE k % 10 = 5 AND m40 IN (24, 25, 26)"""
 
 
+# ---------------------------------------------------------------- whole runs
+
+def q_validate_portfolio(spark, sf):
+    """F1-F22 in one call over a portfolio with every defect of a document:
+    violations by project, check and severity, and the verdict of each project."""
+    reg = sc.registry(sf)
+    found, verdicts = validate(sc.portfolio(spark, sf), reg, contracts={
+        "customer": sc.contract([("c_custkey", "bigint", False, True, 0, None)]), "nowhere": sc.contract([]),
+        "orders": ValueError("no JSON")})
+    found = found.withColumn("check", F.regexp_replace("check", "^replay:F-.*", "replay"))  # one check per claim
+    by = found.groupBy("project", "check", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return by.unionByName(verdicts.select("project", F.lit("verdict").alias("check"),
+                                          F.concat(F.lit("exit "), F.col("exit_code").cast("string")).alias("severity"),
+                                          F.col("failures").alias("n")))
+
+
+SQL_VALIDATE_PORTFOLIO = """
+WITH c AS (SELECT 'team-' || c_custkey % 4 AS project, c_custkey % 18 AS kind FROM customer
+           WHERE c_custkey % 4 <> 0 OR c_custkey % 18 >= 15),
+d AS (SELECT * FROM (VALUES
+  (0, 'ids:present'), (0, 'schema:required'), (1, 'schema:required'), (2, 'schema:required'), (2, 'check_type:valid'),
+  (3, 'schema:required'), (3, 'code_path:form'), (4, 'schema:required'), (4, 'input:shape'), (5, 'schema:required'),
+  (5, 'reproducibility:shape'), (6, 'schema:required'), (6, 'caveats:list'), (7, 'schema:required'),
+  (7, 'counterfactual:valid'), (8, 'schema:required'), (8, 'revision_history:nonempty'), (9, 'input:shape'),
+  (10, 'tolerance:value'), (11, 'tolerance:loose'), (12, 'ledger:parses'), (13, 'ledger:shape'),
+  (14, 'ledger:parses')) AS t(kind, "check")),
+p AS (SELECT DISTINCT project FROM c),
+v AS (
+  SELECT project, "check", 'FAIL' AS severity, count(*)::BIGINT AS n FROM c JOIN d USING (kind) GROUP BY 1, 2
+  -- claims without a type or measure that replay can't run
+  UNION ALL SELECT project, 'replay', 'FAIL', count(*) FROM c WHERE kind IN (2) GROUP BY 1
+  UNION ALL SELECT project, 'replay:manual_findings', 'WARN', 1 FROM c WHERE kind NOT IN (2, 12, 13, 14) GROUP BY 1
+  UNION ALL SELECT project, 'schema_drift', 'FAIL', 1 FROM p
+  UNION ALL SELECT project, 'schema_drift', 'WARN', 1 FROM p)
+SELECT * FROM v
+UNION ALL SELECT project, 'verdict', 'exit 1', sum(n) FILTER (WHERE severity = 'FAIL')::BIGINT FROM v GROUP BY 1"""
+
+
+def _bad_registry(sf):
+    """The showcase with a rule, a measure and a source that do not fit."""
+    reg = sc.registry(sf)
+    reg.register_source("gone", lambda s: s.read.parquet(f"{sf}/no_such_table.parquet"))
+    reg.register_rule(rl.drop_equal("DR-901", "no_such_column", 1))
+    reg.register_rule(rl.keep_where("DR-902", lambda c: c("o_totalprice") < 0))
+    reg.register_measure(ms.mean("price_as_date", F.col("o_orderpriority").cast("date").cast("string").cast("double")))
+    reg.register_measure(ms.any_row("any_urgent", F.col("o_orderpriority") == "1-URGENT"))
+    reg.register_measure(ms.total("sum_totalprice", "o_totalprice"))
+    return reg
+
+
+def _order_claims(spark, sf, claims):
+    """Typed claims on orders: (id, type, measure, filters, further fields);
+    values and row counts come from the table itself."""
+    row = _t(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean")).first()
+    docs = []
+    for i, kind, measure, filters, more in claims:
+        rows = 0 if "DR-902" in filters else row["n"]
+        more = {k: (row[v[1:]] if isinstance(v, str) and v.startswith("$") else v) for k, v in more.items()}
+        docs.append(("orders-project", sc._claim(i, kind, measure, more.pop("on", "orders"), filters, **{
+            "reproducibility": {"filters": filters, "row_count_after_filter": more.pop("rows", rows)}, **more})))
+    return typed(spark.createDataFrame(docs, "project string, doc string"))
+
+
+def q_replay_isolated(spark, sf):
+    """Groups that can't be evaluated, each beside good claims."""
+    led = _order_claims(spark, sf, [
+        (1, "scalar", "mean_totalprice", [], {"value": "$mean"}), (2, "scalar", "orders_count", [], {"value": "$n"}),
+        (3, "scalar", "orders_count", ["DR-901"], {"value": 1}), (4, "scalar", "orders_count", [], {"value": 1, "on": "gone"}),
+        (5, "scalar", "orders_count", [], {"value": 1, "group_by": "nope", "group_key": "1"}),
+        (6, "scalar", "price_as_date", [], {"value": 1}), (7, "scalar", "mean_discount", [], {"value": 1})])
+    return replay(led, _bad_registry(sf)).select("id", "status", "reason", "rows", _r(F.col("actual_num")).alias("actual"))
+
+
+SQL_REPLAY_ISOLATED = """
+SELECT 'F-001' AS id, 'PASS' AS status, 'ok' AS reason, count(*)::BIGINT AS rows, round(avg(o_totalprice), 6) AS actual FROM orders
+UNION ALL SELECT 'F-002', 'PASS', 'ok', count(*), count(*) FROM orders
+UNION ALL SELECT 'F-003', 'FAIL', 'rule_error', NULL, NULL UNION ALL SELECT 'F-004', 'FAIL', 'source_missing', NULL, NULL
+UNION ALL SELECT 'F-005', 'FAIL', 'group_key_unknown', NULL, NULL
+UNION ALL SELECT 'F-006', 'FAIL', 'measure_error', count(*), NULL FROM orders
+UNION ALL SELECT 'F-007', 'FAIL', 'measure_error', count(*), NULL FROM orders"""
+
+
+def q_replay_empty(spark, sf):
+    """D8 + C6: rules that leave no row; claims on nothing hold or drift."""
+    none = ["DR-902"]
+    led = _order_claims(spark, sf, [
+        (1, "scalar", "orders_count", none, {"value": 0}), (2, "boolean", "any_urgent", none, {"value": False}),
+        (3, "scalar", "sum_totalprice", none, {"value": 0}), (4, "scalar", "mean_totalprice", none, {"value": 1}),
+        (5, "scalar", "orders_count", none, {"value": 1}), (6, "boolean", "any_urgent", none, {"value": True}),
+        (7, "scalar", "orders_count", none, {"value": 0, "rows": 3}), (8, "scalar", "orders_count", [], {"value": "$n"})])
+    return replay(led, _bad_registry(sf)).select("id", "status", "reason", "rows", _r(F.col("actual_num")).alias("actual"))
+
+
+SQL_REPLAY_EMPTY = """
+WITH e AS (SELECT * FROM orders WHERE o_totalprice < 0)
+SELECT 'F-001' AS id, 'PASS' AS status, 'ok' AS reason, count(*)::BIGINT AS rows, count(*)::DOUBLE AS actual FROM e
+UNION ALL SELECT 'F-002', 'PASS', 'ok', count(*), coalesce(bool_or(o_orderpriority = '1-URGENT'), false)::DOUBLE FROM e
+UNION ALL SELECT 'F-003', 'PASS', 'ok', count(*), coalesce(sum(o_totalprice), 0) FROM e
+UNION ALL SELECT 'F-004', 'FAIL', 'value_mismatch', count(*), avg(o_totalprice) FROM e
+UNION ALL SELECT 'F-005', 'FAIL', 'value_mismatch', count(*), count(*) FROM e
+UNION ALL SELECT 'F-006', 'FAIL', 'value_mismatch', count(*), coalesce(bool_or(o_orderpriority = '1-URGENT'), false)::DOUBLE FROM e
+UNION ALL SELECT 'F-007', 'FAIL', 'row_count', count(*), count(*) FROM e
+UNION ALL SELECT 'F-008', 'PASS', 'ok', count(*), count(*) FROM orders"""
+
+
+def q_rule_chain_row_all(spark, sf):
+    """C3 in a chain: mask zeros, then keep rows whose discount and tax are
+    there; rule application, attrition and evaluation agree."""
+    reg = sc.registry(sf)
+    reg.register_rule(rl.mask_equal("DR-301", "l_discount", 0.0))
+    reg.register_rule(rl.keep_all("DR-302", ["l_discount", "l_tax"], lambda c: c >= 0))
+    li, ids = _t(spark, sf, "lineitem"), ["DR-301", "DR-302"]
+    chain = [reg.rules[i] for i in ids]
+    rows, values = evaluate_groups(li, [(chain, None)], [reg.measures["mean_discount"]])
+    parts = [rl.apply_rules(li, ids, reg).agg(F.count(F.lit(1)).alias("rows"), F.avg("l_discount").alias("mean"))
+             .select(F.lit("applied").alias("how"), "rows", _r(F.col("mean")).alias("mean")),
+             rl.attrition(li, ids, reg).where("step = 2").select(F.lit("attrition").alias("how"), "rows",
+                                                                 F.lit(None).cast("double").alias("mean")),
+             rows.join(values, "_g").select(F.lit("evaluated").alias("how"), "rows", _r(F.col("num")).alias("mean"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+SQL_RULE_CHAIN_ROW_ALL = """
+WITH k AS (SELECT count(*)::BIGINT AS rows, round(avg(l_discount), 6) AS mean FROM lineitem
+           WHERE l_discount <> 0 AND l_discount >= 0 AND l_tax >= 0)
+SELECT 'applied' AS how, rows, mean FROM k UNION ALL SELECT 'attrition', rows, NULL FROM k
+UNION ALL SELECT 'evaluated', rows, mean FROM k"""
+
+
 # ---------------------------------------------------------------- registry
 
 def _optional(name: str):
@@ -1279,6 +1410,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ledger_round_trip": q_ledger_round_trip,
         "load_manifests": q_load_manifests,
         "user_checks": q_user_checks,
+        "validate_portfolio": q_validate_portfolio,
+        "replay_isolated": q_replay_isolated,
+        "replay_empty": q_replay_empty,
+        "rule_chain_row_all": q_rule_chain_row_all,
     }
 
 
@@ -1376,6 +1511,10 @@ def _oracle_sql() -> dict[str, str]:
         "ledger_round_trip": SQL_LEDGER_ROUND_TRIP,
         "load_manifests": SQL_LOAD_MANIFESTS,
         "user_checks": SQL_USER_CHECKS,
+        "validate_portfolio": SQL_VALIDATE_PORTFOLIO,
+        "replay_isolated": SQL_REPLAY_ISOLATED,
+        "replay_empty": SQL_REPLAY_EMPTY,
+        "rule_chain_row_all": SQL_RULE_CHAIN_ROW_ALL,
     }
 
 

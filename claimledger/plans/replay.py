@@ -209,7 +209,8 @@ def compute_groups(spark: SparkSession, groups: list[tuple[str, str, str | None,
     both = reduce(DataFrame.unionByName, tables)
     return (both.where(F.col("rows").isNull()).select("source", "fkey", "group_by", "group_key", "measure", "kind", "num",
                                                        "flag", "dist", "matrix"),
-            both.where(F.col("rows").isNotNull()).select("source", "fkey", "group_by", "group_key", "rows"), broken)
+            # a group whose batch was split by measures is there once per part
+            both.where(F.col("rows").isNotNull()).select("source", "fkey", "group_by", "group_key", "rows").distinct(), broken)
 
 
 def distinct_groups(pending: DataFrame) -> list[tuple[str, str, str | None, list[str]]]:
@@ -336,7 +337,7 @@ def replay_summary(results: DataFrame) -> DataFrame:
 def replay_violations(results: DataFrame) -> DataFrame:
     """Failed replays and one WARN per project counting manual claims."""
     fails = results.where(F.col("status") == M.FAIL).select(
-        "project", F.concat(F.lit("replay:"), F.col("id")).alias("check"), F.lit(M.FAIL).alias("severity"),
+        "project", F.concat(F.lit("replay:"), F.coalesce("id", F.lit(""))).alias("check"), F.lit(M.FAIL).alias("severity"),
         F.col("id").alias("finding_id"), F.col("reason").alias("detail"))
     manual = (results.where(F.col("status") == M.AUDIT).groupBy("project").count()
               .select("project", F.lit("replay:manual_findings").alias("check"), F.lit(M.WARN).alias("severity"),

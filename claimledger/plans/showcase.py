@@ -391,3 +391,35 @@ def customer_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(k % 2 == 0, F.array(F.lit("DR-201"))).otherwise(F.array().cast("array<string>")))
     b = doc(F.format_string("F-%06d", k + 500000), "mean_totalprice", F.array().cast("array<string>"))
     return c.select(F.lit("customers-project").alias("project"), F.explode(F.array(a, b)).alias("doc"))
+
+
+# ---------------------------------------------------------------------------
+# A portfolio with one finding per customer, most of them broken in one way.
+# ---------------------------------------------------------------------------
+
+PORTFOLIO_DEFECTS = 18
+
+
+def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, doc): by customer key modulo 18, 0-8 lack one required field,
+    9 has an input that is no object, 10 a negative and 11 a loose tolerance,
+    12 doesn't parse, 13 is a number, 14 holds a bare NaN, 15-17 are fine."""
+    from claimledger import model as M
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    fields = {
+        "id": F.format_string('"F-%06d"', k), "claim": F.lit('"customer"'), "check_type": F.lit('"manual"'),
+        "code_path": F.lit('"notes.md:L1"'), "input": F.lit('{"sources": [{"path": "customer", "sha256": "x"}], "columns": []}'),
+        "reproducibility": F.lit('{"filters": []}'), "caveats": F.lit('["seeded"]'),
+        "counterfactual_tag": F.lit('"PLAUSIBLE"'), "revision_history": F.lit('[{"timestamp": "t", "reason": "r"}]'),
+    }
+    kind = k % PORTFOLIO_DEFECTS
+    parts = [F.when(kind != i, F.concat(F.lit(f'"{f}": '), F.when(kind == 9, F.lit('"x"')).otherwise(fields[f])
+                                        if f == "input" else fields[f])) for i, f in enumerate(M.REQUIRED_FIELDS)]
+    parts.append(F.when(kind == 10, F.lit('"tolerance": {"rel": -1}')).when(kind == 11, F.lit('"tolerance": {"rel": 0.5}'))
+                 .when(kind == 14, F.lit('"value": NaN')))
+    doc = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    doc = F.when(kind == 12, F.lit("{broken")).when(kind == 13, F.lit("7")).otherwise(doc)
+    # even projects are clean but for their manual claims
+    return (c.where((k % 4 != 0) | (kind >= 15))
+            .select(F.concat(F.lit("team-"), (k % 4).cast("string")).alias("project"), doc.alias("doc")))
