@@ -118,6 +118,14 @@ LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quan
 LINEITEM_DOUBLES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+def q_first_orders(spark, sf):
+    """B2: the first rows of a table (a top-k by key, no global sort)."""
+    return pf.head(_t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), 5, ["o_orderkey"])
+
+
+SQL_FIRST_ORDERS = "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 5"
+
+
 def q_column_profile_orders(spark, sf):
     p = pf.column_profile(_t(spark, sf, "orders"), "orders")
     return p.select("table", "column", _r(F.col("min")).alias("min"), _r(F.col("max")).alias("max"),
@@ -1360,6 +1368,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "events_props": q_events_props,
         "sample_and_count": q_sample_and_count,
         "describe_lineitem": q_describe_lineitem,
+        "first_orders": q_first_orders,
         "column_profile_orders": q_column_profile_orders,
         "domain_counts": q_domain_counts,
         "top_priorities": q_top_priorities,
@@ -1461,6 +1470,7 @@ def _oracle_sql() -> dict[str, str]:
         "events_props": SQL_EVENTS_PROPS,
         "sample_and_count": SQL_SAMPLE_AND_COUNT,
         "describe_lineitem": _sql_describe("lineitem", LINEITEM_COLS, LINEITEM_DOUBLES),
+        "first_orders": SQL_FIRST_ORDERS,
         "column_profile_orders": _sql_profile("orders", ["o_orderkey", "o_custkey", "o_totalprice"]),
         "domain_counts": SQL_DOMAIN_COUNTS,
         "top_priorities": SQL_TOP_PRIORITIES,

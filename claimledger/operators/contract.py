@@ -136,15 +136,10 @@ def drift_violations(drift: DataFrame, project: str) -> DataFrame:
                                         F.col("check"), F.col("failures")).alias("detail"))
 
 
-def duplicated_keys(df: DataFrame, col: str) -> DataFrame:
-    """H6: the failing keys themselves, with their counts."""
-    return df.where(F.col(col).isNotNull()).groupBy(col).count().where("count > 1")
-
-
 def quarantine(df: DataFrame, contract: SchemaContract) -> tuple[DataFrame, DataFrame]:
     """H2 + H7: (good, bad).  Good rows keep only declared columns, coerced;
     bad rows carry ``reasons``.  Uniqueness is not row-local and is
-    reported by ``schema_drift`` / ``duplicated_keys`` instead."""
+    reported by ``schema_drift`` instead."""
     present = [c for c in contract.columns if c.name in set(df.columns)]
     tagged = df.withColumn("reasons", reasons(df, contract))
     cols = [_coerced(df, c, contract.coerce).alias(c.name) for c in present]

@@ -51,30 +51,26 @@ def column_profile(df: DataFrame, table: str = "", columns: list[str] | None = N
     """Per numeric column: min, max, count, nulls, distinct, zeros and
     the share of rows at the maximum (a ceiling / sentinel hint).
 
-    One aggregate computes everything but the share at max, which needs the
-    max first; that second aggregate reuses the same scan plan.
+    One scan: every column's values are counted (map-side first), and all
+    figures are read off these counts.
     """
     fields = [f for f in df.schema.fields if isinstance(f.dataType, NUMERIC)
               and (columns is None or f.name in columns)]
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`").cast("double")
-        aggs += [F.min(c).alias(f"_min{i}"), F.max(c).alias(f"_max{i}"), F.count(c).alias(f"_cnt{i}"),
-                 F.count_if(c.isNull()).alias(f"_nul{i}"), F.count_distinct(c).alias(f"_dst{i}"),
-                 F.count_if(c == 0).alias(f"_zer{i}")]
-    stats = df.agg(*aggs)
-    maxes = stats.select(*[F.col(f"_max{i}") for i in range(len(fields))])
-    joined = df.withColumn("_k", F.lit(1)).join(F.broadcast(maxes.withColumn("_k", F.lit(1))), "_k")
-    share = joined.agg(*[F.count_if(F.col(f"`{f.name}`").cast("double") == F.col(f"_max{i}")).alias(f"_atm{i}")
-                         for i, f in enumerate(fields)])
-    both = stats.withColumn("_k", F.lit(1)).join(share.withColumn("_k", F.lit(1)), "_k")
-    entries = F.array(*[F.struct(
-        F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
-        F.col(f"_min{i}").alias("min"), F.col(f"_max{i}").alias("max"), F.col(f"_cnt{i}").alias("count"),
-        F.col(f"_nul{i}").alias("nulls"), F.col(f"_dst{i}").alias("distinct"), F.col(f"_zer{i}").alias("zeros"),
-        F.try_divide(F.col(f"_atm{i}").cast("double"), F.col("_rows").cast("double")).alias("share_at_max"))
-        for i, f in enumerate(fields)])
-    return both.select(F.lit(table).alias("table"), F.inline(entries))
+    entry = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"`{f.name}`").cast("double").alias("v"))
+                      for i, f in enumerate(fields)])
+    counts = df.select(F.inline(entry)).groupBy("_i", "v").agg(F.count(F.lit(1)).alias("n"))
+    there = F.col("v").isNotNull()
+    stats = counts.groupBy("_i").agg(
+        F.min("v").alias("min"), F.max("v").alias("max"), F.sum(F.when(there, F.col("n")).otherwise(0)).alias("count"),
+        F.sum(F.when(there, 0).otherwise(F.col("n"))).alias("nulls"), F.count("v").alias("distinct"),
+        F.sum(F.when(F.col("v") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum("n").alias("_rows"),
+        F.max(F.when(there, F.struct("v", "n"))).alias("_top"))
+    names = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)],
+                                            "_i int, column string, dtype string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return names.join(stats, "_i", "left").select(
+        F.lit(table).alias("table"), "column", "dtype", "min", "max", zero("count"), zero("nulls"), zero("distinct"),
+        zero("zeros"), F.try_divide(F.col("_top.n").cast("double"), F.col("_rows").cast("double")).alias("share_at_max"))
 
 
 def domain_counts(df: DataFrame, col: str, k: int | None = None) -> DataFrame:

@@ -57,7 +57,7 @@ def read_json_array_files(spark: SparkSession, path: str, project: str | None =
     Each file must parse, be an array, and each element an object; a bad
     element is reported by position and the good ones are kept.
     """
-    raw = (spark.read.option("wholetext", "true").text(path)
+    raw = (spark.read.text(path, wholetext=True)
            .select(F.coalesce(F.lit(project), F.input_file_name()).alias("project"),
                    F.col("value").alias("text")))
     return split_json_arrays(raw)
