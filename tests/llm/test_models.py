@@ -228,6 +228,11 @@ def test_a_long_text_is_read_whole(spark):
     assert model.predict(text["de"][:500] + " " + text["fr"] * 20)[0] == "fr"
 
 
+def test_numerals_are_no_letters():
+    model = language.Model({"en": b"the words of a language", "fr": b"les mots"})
+    assert [model.predict(t)[0] for t in ("\u00b2 \u00bd \u2167", "12_3", "a")] == ["und", "und", "en"]
+
+
 def test_held_out_is_the_contracts_split(spark):
     import zlib
     rows = spark.range(200).select("id", held_out(F.col("id"), 4, 2).alias("h")).collect()
