@@ -164,17 +164,22 @@ TILE_KEY = ["component", "one", "two", "i", "j"]
 def tiles(members: DataFrame, t: float) -> DataFrame:
     """``members`` (key, component, n) -> (tile, key, side); side 0 is both."""
     band = F.floor(F.log("n") / (math.log(1 / t) * 1.001))
-    small = members.groupBy("component").agg(F.sum("n").alias("all"))
-    m = members.join(small, "component").withColumn("band", F.when(F.col("all") > TILE, band).otherwise(F.lit(-1)))
-    m = materialize(m)
-    sizes = m.groupBy("component", "band").agg(F.ceil(F.sum("n") / TILE).alias("chunks"))
+    members = materialize(members)
+    total = members.count()
+    small = members.groupBy(F.col("component").cast("string").alias("at")).agg(
+        F.sum("n").alias("all"), F.count(F.lit(1)).alias("rows"))
+    m = join_by_key(members.withColumn("at", F.col("component").cast("string")), small, "at", ["all"], "rows", total, ["key"])
+    m = materialize(m.withColumn("band", F.when(F.col("all") > TILE, band).otherwise(F.lit(-1))).drop("at", "all"))
+    sizes = m.groupBy("component", "band").agg(F.ceil(F.sum("n") / TILE).alias("chunks"), F.count(F.lit(1)).alias("rows"))
     near = sizes.where("band >= 0").select("component", F.explode(F.array(
         F.struct((F.col("band") - 1).alias("band"), F.col("chunks").alias("up"), F.lit(0).cast("long").alias("down")),
         F.struct((F.col("band") + 1).alias("band"), F.lit(0).cast("long").alias("up"), F.col("chunks").alias("down")))
     ).alias("x")).select("component", "x.*").groupBy("component", "band").agg(F.sum("up").alias("up"),
                                                                              F.sum("down").alias("down"))
     sizes = sizes.join(near, ["component", "band"], "left").na.fill(0, ["up", "down"])
-    m = m.join(sizes, ["component", "band"]).withColumn("c", F.pmod(F.xxhash64("key"), F.col("chunks")))
+    at = F.concat_ws(":", F.col("component").cast("string"), F.col("band").cast("string"))
+    m = join_by_key(m.withColumn("at", at), sizes.withColumn("at", at), "at", ["chunks", "up", "down"], "rows", total, ["key"])
+    m = m.withColumn("c", F.pmod(F.xxhash64("key"), F.col("chunks")))
     tile = lambda one, two, i, j, side: F.struct(one.alias("one"), two.alias("two"), i.alias("i"), j.alias("j"),
                                                  side.alias("side"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(
@@ -325,3 +330,21 @@ def first_of_class(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
 
 def q_ngram_join(spark, sf_dir):
     return classes(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90, 100)
+
+
+SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3
+    THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)"""

@@ -22,6 +22,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_ngram_join": ngram_join.SQL,
         "op4_warc": zipwarc.SQL,
         "op6_mixing": mixing.SQL,
         "op8_chat": chat.SQL,
