@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimledger.operators import profile as pf
-from claimledger.operators.checks import group_checks, structural_checks, user_checks, verdict
+from claimledger.operators.checks import extracted, group_checks, structural_checks, user_checks, verdict
 from claimledger.sources.manifest import load_manifests
 from claimledger.plans import oracle_ledger as OL
 from claimledger.operators import rules as rl
@@ -456,7 +456,8 @@ SELECT 'lineitem-project' AS project, count(*) FILTER (WHERE status = 'PASS')::B
 def _orders_checks(spark, sf):
     reg = sc.registry(sf)
     led = materialize(sc.orders_ledger(spark, sf))  # a ledger is a stored table
-    return led, structural_checks(led, sorted(reg.measures)).unionByName(group_checks(led))
+    columns = extracted(led)
+    return led, structural_checks(columns, sorted(reg.measures)).unionByName(group_checks(columns))
 
 
 def q_ledger_checks(spark, sf):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimledger import model as M
+from claimledger.session import materialize
 from claimledger.sources.ledger_io import get, is_array, is_number, is_object, parse, vtype
 
 VCOLS = ["project", "check", "severity", "finding_id", "detail"]
@@ -44,7 +45,7 @@ def _extract(p: DataFrame) -> DataFrame:
     def size(path: str) -> Column:
         return F.expr(f"array_size(try_variant_get(v, '{path}', 'array<variant>'))")
     return p.select(
-        "project", "v",
+        "project",
         *[vtype(path).alias(f"t_{name}") for name, path in _TAG_PATHS.items()],
         get("$.id", "string").alias("s_id"), get("$.check_type", "string").alias("s_ct"),
         get("$.code_path", "string").alias("s_cp"), get("$.counterfactual_tag", "string").alias("s_tag"),
@@ -53,7 +54,25 @@ def _extract(p: DataFrame) -> DataFrame:
         get("$.tolerance.abs", "double").alias("d_tol_abs"), get("$.tolerance.rel", "double").alias("d_tol_rel"),
         size("$.matrix").alias("n_matrix"), size("$.revision_history").alias("n_rev"),
         size("$.caveats").alias("n_caveats"), size("$.input.sources").alias("n_sources"),
-        F.expr("try_variant_get(v, '$.input.sources', 'array<variant>')").alias("a_sources"))
+        F.col("v").isNotNull().alias("is_finding"),
+        F.transform(F.expr("try_variant_get(v, '$.input.sources', 'array<variant>')"), _source).alias("a_sources"))
+
+
+def _source(s: Column) -> Column:
+    """(path, sha) of an input source; a path that is no string is NULL."""
+    field = lambda name, kind: F.call_function("try_variant_get", s, F.lit(f"$.{name}"), F.lit(kind))
+    kind = F.call_function("schema_of_variant", field("path", "variant"))
+    return F.struct(F.when(kind == "STRING", field("path", "string")).alias("path"), field("sha256", "string").alias("sha"))
+
+
+def extracted(ledger: DataFrame) -> DataFrame:
+    """The narrow columns that all checks read, extracted from the documents
+    once and stored; both check functions take it in place of a ledger."""
+    return materialize(_extract(_objects(ledger)))
+
+
+def _columns(ledger: DataFrame) -> DataFrame:
+    return ledger if "is_finding" in ledger.columns else _extract(_objects(ledger))
 
 
 def _t(name: str) -> Column:
@@ -96,7 +115,7 @@ def _objects(ledger: DataFrame) -> DataFrame:
 
 def structural_checks(ledger: DataFrame, measure_names: list[str] | None = None) -> DataFrame:
     """F1, F2, F4-F8, F10-F18 (row-local) for every well-formed finding."""
-    x = _extract(_objects(ledger))
+    x = _columns(ledger)
     fid, ct, tag = F.col("s_id"), F.col("s_ct"), F.col("s_tag")
     replayable = F.coalesce(ct.isin(M.REPLAYABLE_TYPES), F.lit(False))
     cp = F.when(_t("code_path") == "STRING", F.col("s_cp")).otherwise(F.lit(""))
@@ -113,11 +132,7 @@ def structural_checks(ledger: DataFrame, measure_names: list[str] | None = None)
     n_src = F.col("n_sources")
     file_ok = has_colon & (cp_file != "")
 
-    def _src_ok(s: Column) -> Column:
-        t = F.call_function("schema_of_variant",
-                            F.call_function("try_variant_get", s, F.lit("$.path"), F.lit("variant")))
-        path = F.call_function("try_variant_get", s, F.lit("$.path"), F.lit("string"))
-        return F.coalesce((t == "STRING") & (path != ""), F.lit(False))
+    source_ok = lambda x: F.coalesce(x["path"] != "", F.lit(False))
 
     viols = [
         _viol(id_missing, "ids:present", M.FAIL, "missing id"),
@@ -171,7 +186,7 @@ def structural_checks(ledger: DataFrame, measure_names: list[str] | None = None)
     ]
     src_viol = F.transform(
         F.when(is_object(_t("input")) & is_array(_t("sources")),
-               F.filter(F.col("a_sources"), lambda s: ~_src_ok(s))),
+               F.filter(F.col("a_sources"), lambda s: ~source_ok(s))),
         lambda s: F.struct(F.lit("input:sources").alias("check"), F.lit(M.FAIL).alias("severity"),
                            F.lit("source without a string path").alias("detail")))
     empty = F.array().cast("array<struct<check:string,severity:string,detail:string>>")
@@ -183,15 +198,15 @@ def structural_checks(ledger: DataFrame, measure_names: list[str] | None = None)
              for i in range(0, len(viols), chunk)]
     parts.append(F.coalesce(src_viol, empty).alias("_src"))
     names = [f"_c{i // chunk}" for i in range(0, len(viols), chunk)] + ["_src"]
-    staged = x.select("project", "v", fid.alias("finding_id"), *parts)
-    arr = F.when(F.col("v").isNotNull(), F.concat(*[F.col(n) for n in names])).otherwise(empty)
+    staged = x.select("project", "is_finding", fid.alias("finding_id"), *parts)
+    arr = F.when(F.col("is_finding"), F.concat(*[F.col(n) for n in names])).otherwise(empty)
     return staged.select("project", "finding_id", F.inline(arr)).select(*VCOLS)
 
 
 def group_checks(ledger: DataFrame) -> DataFrame:
     """F3, F9, F18 (custom tolerance count), F19, F20 as aggregates per
-    project, all from one extraction of the findings."""
-    x = _extract(_objects(ledger)).where(F.col("v").isNotNull())
+    project, all from one stored extraction of the findings."""
+    x = (ledger if "is_finding" in ledger.columns else extracted(ledger)).where("is_finding")
     dup = (x.where(F.col("s_id").isNotNull() & (F.col("s_id") != ""))
             .groupBy("project", F.col("s_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             .select("project", F.lit("ids:unique").alias("check"), F.lit(M.FAIL).alias("severity"),
@@ -214,11 +229,7 @@ def group_checks(ledger: DataFrame) -> DataFrame:
                          F.lit(None).cast("string").alias("finding_id"),
                          F.format_string("%d finding(s) use a custom replay tolerance",
                                          F.col("n_custom")).alias("detail")))
-    src = x.select("project", F.explode("a_sources").alias("s")).select(
-        "project",
-        F.when(F.expr("schema_of_variant(variant_get(s, '$.path', 'variant'))") == "STRING",
-               F.expr("try_variant_get(s, '$.path', 'string')")).alias("path"),
-        F.expr("try_variant_get(s, '$.sha256', 'string')").alias("sha"))
+    src = x.select("project", F.inline("a_sources"))
     src = src.where(F.col("path").isNotNull())
     per_src = src.groupBy("project", "path").agg(
         F.count_distinct(F.when(F.col("sha") != "", F.col("sha"))).alias("n_sha"),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimledger import model as M
-from claimledger.operators.checks import VCOLS, group_checks, structural_checks, user_checks, verdict
+from claimledger.operators.checks import VCOLS, extracted, group_checks, structural_checks, user_checks, verdict
 from claimledger.operators.contract import SchemaContract, drift_violations, schema_drift
 from claimledger.operators.status import freshness, orphan_citations, rule_caveat_sync
 from claimledger.plans.replay import replay, replay_violations
@@ -61,8 +61,8 @@ def validate(ledger: DataFrame, registry: Registry, *, memo: DataFrame | None =
     ``fast`` leaves out what reads the sources (drift, replay) and makes
     stale aggregates warnings; ``strict`` lets warnings fail the verdict.
     """
-    claims = typed(ledger)
-    parts = [document_violations(ledger), structural_checks(ledger, sorted(registry.measures)), group_checks(ledger),
+    claims, columns = typed(ledger), extracted(ledger)
+    parts = [document_violations(ledger), structural_checks(columns, sorted(registry.measures)), group_checks(columns),
              user_checks(ledger, registry.checks)]
     if memo is not None:
         parts.append(orphan_citations(claims, memo))
