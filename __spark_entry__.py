@@ -1347,13 +1347,15 @@ UNION ALL SELECT 'evaluated', rows, mean FROM k"""
 # ---------------------------------------------------------------- registry
 
 def _optional(name: str):
-    """The module ``name``, or None where it isn't part of this checkout."""
-    return import_module(name) if find_spec(name) else None
+    """The module ``name``, or None where it isn't part of this checkout (a
+    folder without its files has no origin)."""
+    spec = find_spec(name)
+    return import_module(name) if spec and spec.origin else None
 
 
 #: The training-data operators live in a subpackage that may be absent.
 _LLM = _optional("claimledger.llm") and import_module("claimledger.llm.queries")
-_PIPELINE = _optional("corpus_pipeline")
+_PIPELINE = _LLM and _optional("corpus_pipeline")
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -7,8 +7,6 @@ replay results, register documents, manifests, current fingerprints.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +14,7 @@ from pyspark.sql import types as T
 
 from claimledger import model as M
 from claimledger.operators.textops import parts
+from claimledger.session import materialize
 
 VCOLS = ["project", "check", "severity", "finding_id", "detail"]
 
@@ -29,30 +28,40 @@ def _v(df: DataFrame, check: str, severity, finding_id: Column | None, detail: C
 
 # -- G1 / G2 -------------------------------------------------------------------
 
-def cited_ids(memo: DataFrame) -> DataFrame:
-    """(project, id) cited anywhere in the memo documents (project, text)."""
-    return memo.select("project", F.explode(F.regexp_extract_all("text", F.lit(M.ID_IN_TEXT), 0)).alias("id")) \
-               .distinct()
+def _violation(test: Column, check: str, severity: str, finding_id: Column | None, detail: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.when(F.coalesce(test, F.lit(False)), F.struct(
+        F.lit(check).alias("check"), F.lit(severity).alias("severity"),
+        (finding_id if finding_id is not None else none).alias("finding_id"), detail.alias("detail")))
 
 
 def orphan_citations(ledger: DataFrame, memo: DataFrame) -> DataFrame:
     """G1: ids cited in the memo but absent from the ledger; G2: abandonment
     WARN when the highest known id outruns the highest cited by more than
     ten - evaluated only for projects without orphans.  Projects without a
-    memo get one WARN and are skipped."""
-    cited = cited_ids(memo)
-    known = ledger.select("project", "id").where(F.col("id").isNotNull()).distinct()
-    orphans = cited.join(known, ["project", "id"], "left_anti")
-    g1 = _v(orphans, "trust_memo:orphans", M.FAIL, F.col("id"), F.concat(F.lit("memo cites unknown "), F.col("id")))
-    num = lambda c: F.regexp_extract(c, r"^F-(\d+)", 1).cast("long")
-    kmax = known.where(F.col("id").rlike(r"^F-\d")).groupBy("project").agg(F.max(num(F.col("id"))).alias("kmax"))
-    cmax = cited.groupBy("project").agg(F.max(num(F.col("id"))).alias("cmax"))
-    clean = kmax.join(cmax, "project").join(orphans.select("project").distinct(), "project", "left_anti")
-    g2 = _v(clean.where(F.col("kmax") - F.col("cmax") > M.ABANDONMENT_GAP), "trust_memo:abandonment", M.WARN, None,
-            F.format_string("highest finding F-%03d but memo cites only up to F-%03d", F.col("kmax"), F.col("cmax")))
-    no_memo = _v(ledger.select("project").distinct().join(memo.select("project").distinct(), "project", "left_anti"),
-                 "trust_memo:exists", M.WARN, None, F.lit("no memo - orphan check skipped"))
-    return g1.unionByName(g2).unionByName(no_memo)
+    memo get one WARN and are skipped.
+
+    Ledger and memo are read once: one row per (project, id) says where the
+    id stands, and both tests read these rows."""
+    yes, no = F.lit(True), F.lit(False)
+    ids = F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(M.ID_IN_TEXT), 0)))
+    both = ledger.select("project", "id", F.col("id").isNotNull().alias("known"), no.alias("cited"), yes.alias("here"),
+                         no.alias("memo")).unionAll(
+        memo.select("project", ids.alias("id")).select("project", "id", no, F.col("id").isNotNull(), no, yes))
+    rows = materialize(both.groupBy("project", "id").agg(*[F.bool_or(c).alias(c) for c in ("known", "cited", "here", "memo")]))
+    orphan = F.col("cited") & ~F.col("known")
+    number = F.regexp_extract("id", r"^F-(\d+)", 1).try_cast("long")
+    per = rows.groupBy("project").agg(
+        F.max(F.when(F.col("known"), number)).alias("kmax"), F.max(F.when(F.col("cited"), number)).alias("cmax"),
+        F.bool_or(orphan).alias("orphans"), F.bool_or("here").alias("here"), F.bool_or("memo").alias("memo"))
+    g1 = rows.select("project", F.inline(F.array_compact(F.array(_violation(
+        orphan, "trust_memo:orphans", M.FAIL, F.col("id"), F.concat(F.lit("memo cites unknown "), F.col("id")))))))
+    g2 = per.select("project", F.inline(F.array_compact(F.array(
+        _violation(~F.col("orphans") & (F.col("kmax") - F.col("cmax") > M.ABANDONMENT_GAP), "trust_memo:abandonment", M.WARN,
+                   None, F.format_string("highest finding F-%03d but memo cites only up to F-%03d", F.col("kmax"), F.col("cmax"))),
+        _violation(F.col("here") & ~F.col("memo"), "trust_memo:exists", M.WARN, None,
+                   F.lit("no memo - orphan check skipped"))))))
+    return g1.unionByName(g2).select(*VCOLS)
 
 
 # -- G3 --------------------------------------------------------------------------
@@ -61,34 +70,34 @@ def rule_caveat_sync(caveats: DataFrame, implemented: DataFrame, statuses: DataF
     """G3 per project.  ``caveats``: (project, text) register documents;
     ``implemented``: (project, id) rules with an implementation;
     ``statuses``: (project, id, status).  Dormant for a project while its
-    register still holds the placeholder token."""
+    register still holds the placeholder token.
+
+    Every input is read once, into one row per (project, rule)."""
     sev = M.WARN if fast else M.FAIL
-    filled = caveats.groupBy("project").agg(F.max(F.col("text").contains(M.PLACEHOLDER_TOKEN).cast("int")).alias("_ph")) \
-                    .where(F.col("_ph") == 0).select("project")
-    refs = (caveats.join(filled, "project", "left_semi")
-                   .select("project", F.explode(F.regexp_extract_all("text", F.lit(M.RULE_ID_IN_TEXT), 0)).alias("id"))
-                   .distinct())
-    impl = implemented.join(filled, "project", "left_semi")
-    st = statuses.select("project", "id", "status")
-    a1 = refs.join(impl, ["project", "id"], "left_anti")
-    a2 = refs.join(impl, ["project", "id"], "left_semi").join(st, ["project", "id"]) \
-             .where(F.col("status").isin(M.RETIRED_RULE_STATUSES))
-    b = (impl.join(st, ["project", "id"], "left")
-             .where(~F.coalesce(F.col("status"), F.lit("unknown")).isin(M.RETIRED_RULE_STATUSES))
-             .join(refs, ["project", "id"], "left_anti"))
-    pending = (caveats.join(filled, "project", "left_semi").groupBy("project")
-               .agg(F.sum(F.regexp_count("text", F.lit(M.PENDING_PATTERN))).alias("n"))
-               .where(F.col("n") > 0))
-    return reduce(DataFrame.unionByName, [
-        _v(a1, "decisions_caveats:sync", sev, F.col("id"), F.concat(F.lit("caveats cite "), F.col("id"),
-                                                                     F.lit(" but it has no implementation"))),
-        _v(a2, "decisions_caveats:sync", sev, F.col("id"), F.concat(F.lit("caveats cite "), F.col("id"),
-                                                                     F.lit(" but it is "), F.col("status"))),
-        _v(b, "decisions_caveats:sync", sev, F.col("id"), F.concat(F.col("id"),
-                                                                    F.lit(" is active but not in the caveats register"))),
-        _v(pending, "decisions_caveats:pending", M.WARN, None,
-           F.format_string("%d caveat(s) still marked pending", F.col("n").cast("int"))),
-    ])
+    no, none = F.lit(False), F.lit(None).cast("string")
+    found = F.posexplode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(M.RULE_ID_IN_TEXT), 0))).alias("_pos", "id")
+    c = caveats.select("project", F.col("text").contains(M.PLACEHOLDER_TOKEN).alias("unfilled"),
+                       F.regexp_count("text", F.lit(M.PENDING_PATTERN)).alias("pending"), found)
+    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0  # a document's own figures count once
+    rows = c.select("project", "id", F.col("id").isNotNull().alias("ref"), no.alias("impl"), none.alias("status"),
+                    F.lit(True).alias("doc"), "unfilled", F.when(first, F.col("pending")).otherwise(0).alias("pending"))
+    rows = rows.unionAll(implemented.select("project", "id", no, F.lit(True), none, no, no, F.lit(0)))
+    rows = rows.unionAll(statuses.select("project", "id", no, no, "status", no, no, F.lit(0)))
+    rows = materialize(rows.groupBy("project", "id").agg(
+        F.bool_or("ref").alias("ref"), F.bool_or("impl").alias("impl"), F.max("status").alias("status"),
+        F.bool_or("doc").alias("doc"), F.bool_or("unfilled").alias("unfilled"), F.sum("pending").alias("pending")))
+    per = (rows.groupBy("project").agg(F.bool_or("doc").alias("_doc"), F.bool_or("unfilled").alias("_unfilled"),
+                                       F.sum("pending").alias("n")).where("_doc AND NOT _unfilled").select("project", "n"))
+    retired = F.coalesce(F.col("status").isin(M.RETIRED_RULE_STATUSES), no)
+    check, rid, ref, impl = "decisions_caveats:sync", F.col("id"), F.col("ref"), F.col("impl")
+    sync = rows.join(per, "project").select("project", F.inline(F.array_compact(F.array(
+        _violation(ref & ~impl, check, sev, rid, F.concat(F.lit("caveats cite "), rid, F.lit(" but it has no implementation"))),
+        _violation(ref & impl & retired, check, sev, rid, F.concat(F.lit("caveats cite "), rid, F.lit(" but it is "),
+                                                                  F.col("status"))),
+        _violation(impl & ~ref & ~retired, check, sev, rid, F.concat(rid, F.lit(" is active but not in the caveats register")))))))
+    pending = per.where("n > 0")
+    return sync.select(*VCOLS).unionByName(_v(pending, "decisions_caveats:pending", M.WARN, None, F.format_string(
+        "%d caveat(s) still marked pending", F.col("n").cast("int"))))
 
 
 # -- G4 / G5 ---------------------------------------------------------------------
