@@ -40,6 +40,8 @@ from claimledger.llm.common import join_by_key, materialize, table
 from claimledger.llm.components import components, local_labels
 
 BLOCK_DIMS, TILE, SLACK = 16, 16384, 1e-5
+#: Rows of a tile's left side and candidate pairs looked at together: bounds of a task's memory, also in dense groups.
+ROWS, PAIRS = 256, 1 << 15
 
 
 class Space:
@@ -133,15 +135,15 @@ def _pairs(space: Space, block: int, ua, ub, same: bool) -> Iterator[tuple[np.nd
     ra, rb = space.rotate(ua), space.rotate(ub)
     a32, b32 = ra[:, space.blocks[block]].astype(np.float32), rb[:, space.blocks[block]].astype(np.float32)
     na, nb = (a32 * a32).sum(axis=1), (b32 * b32).sum(axis=1)
-    for at in range(0, len(ua), 1024):
-        d = na[at:at + 1024, None] + nb[None, :] - 2 * (a32[at:at + 1024] @ b32.T)
+    for at in range(0, len(ua), ROWS):
+        d = na[at:at + ROWS, None] + nb[None, :] - 2 * (a32[at:at + ROWS] @ b32.T)
         i, j = np.nonzero(d <= space.shares[block] + SLACK)
         i += at
         if same:
             keep = i < j
             i, j = i[keep], j[keep]
-        for k in range(0, len(i), 1 << 17):
-            x, y = i[k:k + (1 << 17)], j[k:k + (1 << 17)]
+        for k in range(0, len(i), PAIRS):
+            x, y = i[k:k + PAIRS], j[k:k + PAIRS]
             link = np.einsum("ij,ij->i", ua[x], ub[y]) >= 1 - space.budget / 2
             x, y = x[link], y[link]
             gap = (ra[x] - rb[y]) ** 2
@@ -162,15 +164,14 @@ def links(tiled: DataFrame, threshold: float) -> DataFrame:
         same = kind == "home" and one == two
         a = np.flatnonzero(left)
         b = a if same else np.flatnonzero(~left)
-        total, xs, ys = np.zeros(len(rep), np.int64), [], []
+        total, every = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        label = every
         for x, y in _pairs(space, block, u[a], u[b], same):
             x, y = a[x], b[y]
             total += np.bincount(x, n[y], len(rep)).astype(np.int64) + np.bincount(y, n[x], len(rep)).astype(np.int64)
-            xs.append(x)
-            ys.append(y)
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        label = local_labels(len(rep), x, y)
-        some, child = np.flatnonzero(total), np.flatnonzero(label != np.arange(len(rep)))
+            if len(x):  # links so far are kept as their labels only
+                label = local_labels(len(rep), np.concatenate([x, every]), np.concatenate([y, label]))
+        some, child = np.flatnonzero(total), np.flatnonzero(label != every)
         none = np.zeros(len(child), np.int64)
         edge = np.arange(len(some) + len(child)) >= len(some)
         return pa.RecordBatch.from_arrays(
