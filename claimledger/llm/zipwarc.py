@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimledger.llm.common import join_by_key, materialize, parts, scratch, table
+from claimledger.llm.common import join_by_key, materialize, parts, scratch, table, text_slices
 from claimledger.llm.files import Ranges, committed, make_dir
 
 #: Payloads of fewer bytes are never revisits.
@@ -225,7 +225,7 @@ def write_packages(typed: DataFrame, folder: str) -> DataFrame:
     make_dir(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for row in b.to_pylist())
+        rows = (row for b in batches for part in text_slices(b, "payload") for row in part.to_pylist())
         row, k = next(rows, None), 0
         while row is not None:
             name = f"{folder}/part-{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}-{k}.wacz"
