@@ -271,16 +271,30 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not len(y) or y.min() == y.max():
         return None
     tokens = [np.frombuffer(x, "<u2") for x in rows["tokens"].to_pylist()]
-    lengths = np.array([len(x) for x in tokens])
-    classes = np.concatenate(tokens).astype(np.int64)
-    chains, mask, doc = cut(classes, lengths)
+    portions = [slice(k, k + 500) for k in range(0, len(tokens), 500)]
+
+    def numbers_of(part: slice) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(tokens[part]).astype(np.int64), np.array([len(x) for x in tokens[part]])
+
     # chains with cues teach the weights, as many without the background
-    rng = np.random.default_rng(7)
-    cue, none = np.flatnonzero(chains.any(axis=1)), np.flatnonzero(~chains.any(axis=1))
-    pick = np.concatenate([rng.permutation(x)[:TRAIN_CHAINS // 2] for x in (cue, none)])
+    rng, picked = np.random.default_rng(7), {True: [], False: []}
+    for part in portions:
+        chains, mask, doc = cut(*numbers_of(part))
+        cue = chains.any(axis=1)
+        for kind in picked:
+            own = rng.permutation(np.flatnonzero(cue == kind))[:TRAIN_CHAINS]
+            own = own if kind else own[:max(1, TRAIN_CHAINS // len(portions))]
+            tags = (chains[own] > 0) & (y[part][doc[own]] == 1)[:, None]
+            picked[kind].append((chains[own].astype(np.int32), mask[own], tags))
+    taken = []
+    for parts in picked.values():
+        chains, mask, tags = (np.concatenate(x) for x in zip(*parts))
+        own = rng.permutation(len(chains))[:TRAIN_CHAINS // 2]
+        taken.append((chains[own], mask[own], tags[own]))
     field = Field(len(cues) + 1)
-    field.fit(chains[pick], mask[pick], (chains[pick] > 0) & (y[doc[pick]] == 1)[:, None])
-    return Model(cues, field, logistic(summary(field, classes, lengths)[0], y))
+    field.fit(*(np.concatenate(x) for x in zip(*taken)))
+    features = np.concatenate([summary(field, *numbers_of(part))[0] for part in portions])
+    return Model(cues, field, logistic(features, y))
 
 
 # ---------------------------------------------------------------- scoring
