@@ -66,25 +66,30 @@ class Code:
         starts = ends - width
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[ids] = (starts >> (self.bits - own)).astype(np.uint64)
-        self.symbol = np.zeros(1 << self.bits, np.uint32)
-        self.symbol[:int(ends[-1]) if len(ids) else 0] = np.repeat(ids.astype(np.uint32), width)
-        self.step = lengths[self.symbol].astype(np.int64)
-        self.step[int(ends[-1]) if len(ids) else 0:] = 1
+        # per window of bits: the id it starts with, and that code's length in the low byte
+        self.table = np.ones(1 << self.bits, np.int64)
+        self.table[:int(ends[-1]) if len(ids) else 0] = np.repeat(ids << 8 | own, width)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray, int]:
         """(bits as bytes, bit offset of every STEP-th id, number of bits)."""
         own = self.lengths[ids].astype(np.int64)
         if not own.all():
             raise ValueError("an id is not in the code")
+        codes = self.codes[ids]
+        if self.bits <= 16:  # two ids at a time, as one code of up to 32 bits
+            if len(ids) % 2:
+                own, codes = np.append(own, 0), np.append(codes, np.uint64(0))
+            codes = codes[::2] << own[1::2].astype(np.uint64) | codes[1::2]
+            own = own[::2] + own[1::2]
         ends = np.cumsum(own)
         total, starts = int(ends[-1]), ends - own
-        # every code lies in one or two 32-bit words; bits of different ids never overlap, so sums are exact
+        # a code lies in one or two 32-bit words; bits of different ids never overlap, so sums are exact
         at, left = starts >> 5, 64 - (starts & 31) - own
-        value = self.codes[ids] << left.astype(np.uint64)
+        value = codes << left.astype(np.uint64)
         n = (total + 31) // 32 + 1
         words = np.bincount(at, (value >> np.uint64(32)).astype(np.float64), n)
         words += np.bincount(at + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n + 1)[:n]
-        return words.astype(">u4").tobytes()[:(total + 7) // 8], starts[::STEP], total
+        return words.astype(">u4").tobytes()[:(total + 7) // 8], starts[::STEP // (1 + (self.bits <= 16))], total
 
     def decode(self, blocks: list[tuple[bytes, np.ndarray, int]]) -> np.ndarray:
         """Ids of ``blocks`` (bits, checkpoints, number of ids), in order."""
@@ -92,17 +97,19 @@ class Code:
         base = np.cumsum([0] + [len(b[0]) + 4 for b in blocks[:-1]]) * 8
         at = np.concatenate([b[1].astype(np.int64) + k for b, k in zip(blocks, base)])
         counts = np.concatenate([np.minimum(STEP, b[2] - np.arange(0, b[2], STEP)) for b in blocks])
+        # the 32 bits from every byte on
+        words = (data[:-3].astype(np.int64) << 24) | (data[1:-2].astype(np.int64) << 16) | (data[2:-1].astype(np.int64) << 8)
+        words |= data[3:]
+        mask, last = (1 << self.bits) - 1, (len(data) - 4) * 8
         out = np.zeros((len(at), STEP), np.uint32)
         whole = np.flatnonzero(counts == STEP)
         for lanes, steps in ((whole, STEP), (np.flatnonzero(counts < STEP), int(counts[counts < STEP].max(initial=0)))):
-            pos = at[lanes]
+            pos, found = at[lanes], np.zeros((steps, len(lanes)), np.uint32)
             for k in range(steps):
-                i = pos >> 3
-                window = ((data[i].astype(np.uint32) << 24) | (data[i + 1].astype(np.uint32) << 16)
-                          | (data[i + 2].astype(np.uint32) << 8) | data[i + 3])
-                key = (window << (pos & 7).astype(np.uint32)) >> np.uint32(32 - self.bits)
-                out[lanes, k] = self.symbol[key]
-                pos = np.minimum(pos + self.step[key], (len(data) - 4) * 8)
+                entry = self.table[words[pos >> 3] >> (32 - self.bits - (pos & 7)) & mask]
+                found[k] = entry >> 8
+                pos = np.minimum(pos + (entry & 255), last)
+            out[lanes, :steps] = found.T
         return out[np.arange(STEP)[None, :] < counts[:, None]]
 
 

@@ -49,7 +49,7 @@ CACHED, CACHED_CHARS = 1 << 20, 48
 BLANK = "\t-\r \x85\xa0  -     　"
 # A range of letters, and punctuation that no contraction starts with.
 LATIN, AFTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af", r".,;:!?%*#&$|)\]\"-"
-PIECE = re.compile(f"[{BLANK}]*(?:[{LATIN}]+(?=[{AFTER}])|[^{BLANK}]+)|[{BLANK}]+")
+PIECE = re.compile(f"[{BLANK}]*+(?:[{LATIN}]++(?:(?=[{AFTER}])|[^{BLANK}]*+)|[^{BLANK}]++)|[{BLANK}]++")
 #: Pieces that the splitter leaves whole.
 WORD = re.compile(f" ?(?:[{LATIN}]+|[0-9]+)")
 #: Byte-level vocabularies write printable bytes as themselves, all others as characters from 256 on.
@@ -58,7 +58,8 @@ BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRI
 
 
 class Encoder:
-    """Texts to bytes of little-endian unsigned 32-bit ids."""
+    """Texts to bytes of little-endian ids, 16 bits wide where the vocabulary
+    fits, else 32."""
 
     _built: dict[str, Encoder] = {}
 
@@ -74,6 +75,7 @@ class Encoder:
         special = sorted((t["content"] for t in rules.get("added_tokens", [])), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind, self._array = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         self.cache = _Pieces(self)
 
     @classmethod
@@ -83,7 +85,7 @@ class Encoder:
         return cls._built[path]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def piece(self, piece: str) -> bytes:
         """A piece that the splitter leaves whole goes to the library's model
@@ -91,12 +93,13 @@ class Encoder:
         if not WORD.fullmatch(piece):
             return self.whole(piece)
         chars = piece.encode().decode("latin-1").translate(BYTES)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
+        return array(self._array, [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        """Ids of each text, with ``end`` behind them."""
         look = self.cache.__getitem__
-        return [self.whole(t) if not self.by_piece or (self.special and self.special.search(t))
-                else b"".join(map(look, PIECE.findall(t))) for t in texts]
+        return [self.whole(t) + end if not self.by_piece or (self.special and self.special.search(t))
+                else b"".join([*map(look, PIECE.findall(t)), end]) for t in texts]
 
 
 class _Pieces(dict):
@@ -122,17 +125,16 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        end, pack = np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1)
+        end, pack = np.array([end_id], encoder.kind).tobytes(), zstandard.ZstdCompressor(level=1)
         seen = np.zeros(max(encoder.size, end_id + 1), np.int64)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                raw = [x + end for x in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
-                ids = [np.frombuffer(x, "<u4") for x in raw]
-                seen += np.bincount(np.concatenate(ids), minlength=len(seen))
-                # two planes of bytes compress better than interleaved ones; wide vocabularies need all four
-                planes = 2 if len(seen) <= 1 << 16 else 4
-                packed = [pack.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4)[:, :planes].T).tobytes())
-                          for x in ids]
+                raw = encoder.encode([t or "" for t in part.column("text").to_pylist()], end)
+                ids = [np.frombuffer(x, encoder.kind) for x in raw]
+                seen += np.bincount(np.frombuffer(b"".join(raw), encoder.kind), minlength=len(seen))
+                # planes of bytes compress better than interleaved ones
+                packed = [pack.compress(np.frombuffer(x, np.uint8).reshape(len(i), -1).T.tobytes())
+                          for x, i in zip(raw, ids)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([False] * len(ids)), part.column("doc_id").cast(pa.int64()),
                      pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], schema=schema)
@@ -144,9 +146,10 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
 
 def unpack_ids(raw: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(-1, n)
-    out = np.zeros((n, 4), np.uint8)
-    out[:, :len(planes)] = planes.T
-    return out.view("<u4").ravel()
+    out = planes[0].astype(np.uint32)
+    for k, plane in enumerate(planes[1:], 1):
+        out |= plane.astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def global_counts(encoded: DataFrame) -> np.ndarray:
