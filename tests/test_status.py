@@ -11,7 +11,7 @@ from claimledger.sources.manifest import load_manifests
 def test_backlog_and_rule_usage_are_counts(spark):
     claims = spark.createDataFrame([("p", "F-001", ["A-1"], ["DR-001"]), ("p", "F-002", ["A-1"], []),
                                     ("p", "F-003", ["A-2"], ["DR-001", "DR-002"])],
-                                   "project string, id string, addresses array<string>, filters array<string>")
+                                   "project string, id string, addresses array<string>, decisions array<string>")
     bl = spark.createDataFrame([("p", "A-1", "open", "q1"), ("p", "A-2", "open", "q2"), ("p", "A-3", "open", "q3")],
                                "project string, aid string, status string, question string")
     cov = {r["aid"]: (r["n_claims"], r["first_claim"]) for r in backlog_coverage(bl, claims).collect()}
