@@ -9,11 +9,14 @@ edit distance becomes Hamming distance.  Bit sampling then is an LSH: the
 words written at a few random steps are a key, and REPEATS independent
 walks make a match of one key likely (``recall`` measures it).
 
-Windows are item-sized: lengths of items form classes, and every walk over
-a document serves all classes, each sampling steps within its own length.
-Windows start at every STRIDE-th word; items are indexed at as many
-offsets, so an unchanged copy at any place meets a key in every walk, and
-for items too short for that windows start at every word.
+Lengths of items form classes, and every walk over a document serves all
+classes, each sampling steps within its own length, at most WALK of them.
+A walk moves one word every two steps, so its keys see a segment of the
+item; items are indexed by overlapping segments from their first to their
+last word, whatever their length, so edits in one part leave the keys of
+the others.  Windows start at every STRIDE-th word; a segment is indexed at
+as many offsets, so an unchanged copy at any place meets a key in every
+walk, and for items too short for that windows start at every word.
 
 Candidates are verified exactly: the smallest edit distance, in words, of
 the item to any part of the document around the window must be at most
@@ -72,19 +75,30 @@ class Plan:
     """Sampled steps per repeat and class, for the lengths that items have."""
 
     def __init__(self, lengths: np.ndarray):
-        self.of = np.searchsorted(CLASSES, lengths, "right") - 1
+        # classes of which a walk sees a part only are one
+        whole = int(np.flatnonzero(1.2 * (CLASSES - STRIDE + 1) >= WALK)[0])
+        self.of = np.minimum(np.searchsorted(CLASSES, lengths, "right") - 1, whole)
         self.classes = [int(c) for c in np.unique(self.of)]
         self.samples: dict[tuple[int, int], np.ndarray] = {}
         for r in range(REPEATS):
             rng = np.random.default_rng(2000 + r)
             order = rng.random(WALK)
             for c in self.classes:
-                reach = max(1, min(WALK, int(1.2 * (CLASSES[c] - self.stride(c) + 1))))
-                self.samples[r, c] = np.sort(np.argsort(order[:reach])[:SAMPLES])
+                self.samples[r, c] = np.sort(np.argsort(order[:self.reach(c)])[:SAMPLES])
 
     def stride(self, c: int) -> int:
         return 1 if CLASSES[c] < SHORT else STRIDE
 
+    def reach(self, c: int) -> int:
+        return max(1, min(WALK, int(1.2 * (CLASSES[c] - self.stride(c) + 1))))
+
+    def offsets(self, c: int, length: int) -> np.ndarray:
+        """Where an item's segments start: overlapping ones up to its last word."""
+        stride, cover = self.stride(c), -(-3 * self.reach(c) // 5)
+        last = max(0, length - cover - stride + 1)
+        first = np.append(np.arange(0, last, max(stride, cover // 2)), last)
+        return np.unique(first[:, None] + np.arange(stride))
+
     def keys(self, walk: Walk, repeat: int, starts: np.ndarray, classes: list[int]) -> dict[int, np.ndarray]:
         """Per class the key of every start."""
         wanted = {c: self.samples[repeat, c] for c in classes}
@@ -123,11 +137,11 @@ class Benchmark:
             walk = Walk(words, r)
             for c in self.plan.classes:
                 own = np.flatnonzero(self.plan.of == c)
-                shift = np.arange(self.plan.stride(c))
-                item, offset = np.repeat(own, len(shift)), np.tile(shift, len(own))
+                shifts = [self.plan.offsets(c, int(self.lengths[i])) for i in own]
+                item, offset = np.repeat(own, [len(x) for x in shifts]).astype(np.int32), np.concatenate(shifts).astype(np.int32)
                 keys = self.plan.keys(walk, r, begin[item] + offset, [c])[c]
                 order = np.argsort(keys, kind="stable")
-                bits = max(16, int(len(keys) * 64 - 1).bit_length())
+                bits = min(26, max(16, int(len(keys) * 64 - 1).bit_length()))
                 shift_bits = np.uint64(64 - bits)
                 seen = np.zeros(1 << bits, bool)
                 seen[keys >> shift_bits] = True
@@ -193,14 +207,16 @@ def find(bench: Benchmark, column) -> dict[int, list[tuple[int, int, int]]]:
     owner = np.repeat(np.arange(len(count)), count + 1)
     met = np.concatenate([bench.candidates(words, place[(place - begin[doc]) % stride == 0], stride, classes)
                           for stride, classes in groups.items()])
-    # by item, document and the place where the item would start
-    met = np.unique(np.stack([met[:, 2], owner[met[:, 0]], met[:, 0] - met[:, 1]], axis=1), axis=0)
+    # by item, document and the place where the item would start: near ones, as edits shift its
+    # segments, are one
+    near = (EDITS * bench.lengths[met[:, 2]]).astype(np.int64) + STRIDE
+    met = np.unique(np.stack([met[:, 2], owner[met[:, 0]], (met[:, 0] - met[:, 1]) // near * near], axis=1), axis=0)
     found: dict[int, dict[int, tuple[int, int]]] = {}
     for item in np.unique(met[:, 0]):
         m = int(bench.lengths[item])
         most = int(EDITS * m)
         own = met[met[:, 0] == item, 1:]
-        reach = np.arange(-most - STRIDE, m + most + STRIDE)[None, :]
+        reach = np.arange(-most - STRIDE, m + 2 * most + 2 * STRIDE)[None, :]
         step = max(1, (1 << 20) // reach.size)
         for k in range(0, len(own), step):
             row, at_word = own[k:k + step, 0], own[k:k + step, 1]
@@ -279,15 +295,21 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs
 
 
-def recall(items: list[np.ndarray], rate: float, seed: int = 0) -> float:
+def recall(items: list[np.ndarray], rate: float, seed: int = 0, part: str | None = None) -> float:
     """Share of items with a common key after editing ``rate`` of their words
-    (replaced, dropped or inserted in turn), at a random place."""
+    (replaced, dropped or inserted in turn), at a random place.  The edits
+    are anywhere, or in the ``part`` head, middle or tail, as long as they
+    are many; in the part "dropped" the item loses its first words."""
     rng = np.random.default_rng(seed)
     hits = 0
     for x in items:
         y = x.tolist()
-        for k in range(int(round(rate * len(x)))):
-            i = int(rng.integers(len(y)))
+        edits = int(round(rate * len(x))) if part is None else int(rate * len(x))
+        base = {"middle": (len(x) - edits) // 2, "tail": len(x) - edits}.get(part, 0)
+        if part == "dropped":
+            y, edits = y[edits:], 0
+        for k in range(edits):
+            i = int(rng.integers(len(y))) if part is None else min(base + int(rng.integers(edits)), len(y) - 1)
             new = int(rng.integers(1, 1 << 62))
             y[i:i + (k % 3 < 2)] = [new] if k % 3 != 1 else []
         before = rng.integers(1, 1 << 62, int(rng.integers(0, 30)), dtype=np.uint64)
@@ -298,7 +320,7 @@ def recall(items: list[np.ndarray], rate: float, seed: int = 0) -> float:
         own = np.append(x, np.uint64(0))
         starts = np.arange(0, len(text) - 1, plan.stride(c))
         hits += any(np.isin(plan.keys(Walk(text, r), r, starts, [c])[c],
-                            plan.keys(Walk(own, r), r, np.arange(plan.stride(c)), [c])[c]).any() for r in range(REPEATS))
+                            plan.keys(Walk(own, r), r, plan.offsets(c, len(x)), [c])[c]).any() for r in range(REPEATS))
     return hits / max(1, len(items))
 
 

@@ -164,6 +164,32 @@ def test_recall_meets_the_target():
     assert decontaminate.recall(items, 0.1) >= 0.9
 
 
+@pytest.mark.parametrize("length", [15, 59, 100, 200, 400, 1000])
+def test_recall_of_items_edited_in_one_part(length):
+    rng = np.random.default_rng(length)
+    items = [rng.integers(1, 1 << 60, length, dtype=np.uint64) for _ in range(40)]
+    for part in (None, "head", "middle", "tail", "dropped"):
+        assert decontaminate.recall(items, 0.15, part=part) >= 0.95, part
+
+
+def test_items_edited_in_one_part_are_found(spark):
+    rows, bench, want = [], [], set()
+    for i, length in enumerate((40, 59, 91, 200, 400)):
+        item, most = [f"i{i}w{j}" for j in range(length)], int(decontaminate.EDITS * length)
+        new = [f"x{j}" for j in range(most)]
+        middle = (length - most) // 2
+        bench.append((i, " ".join(item)))
+        for k, words in enumerate([item, new + item[most:], item[most:], item[:middle] + item[middle + most:],
+                                   item[:middle] + new + item[middle:], item[:-most] + new, new[:-1] + item[most - 1:-1],
+                                   item + new + item[:-1]]):
+            rows.append((10 * i + k, f"some text {k} before " + " ".join(words) + " and some text behind it"))
+            want.add((10 * i + k, i, 0 if k in (0, 7) else most))
+        rows.append((10 * i + 8, " ".join(["far"] * (most + 1) + item[most + 1:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.contamination(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in got} == want and len(got) == len(want)
+
+
 def test_contamination(spark, odd, empty):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
