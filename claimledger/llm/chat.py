@@ -11,13 +11,15 @@ Locating the text inside a span is black-box as well: the turn is rendered
 with the text and with a text that differs at its first and last character;
 what the outputs share at either end is the template's frame.
 
-Rendering all prefixes of a conversation of n turns takes n renderings of
-up to n turns.  Long conversations are therefore cut into segments of
-SEGMENT turns; each is rendered behind the CONTEXT turns before it, so that
-a task holds bounded state and one long conversation spreads over many
-tasks.  This needs a template whose output for a turn depends on at most
-CONTEXT turns before it (the first turn's frame may differ); within every
-segment a violation is found as rewritten history.
+Every turn is rendered behind all turns before it, so a template may look
+back as far as it likes, and history that it rewrites is found however old.
+All prefixes of a conversation of n turns take n renderings of up to n
+turns: the work grows with the square of n.  The prefixes of a conversation
+are cut into segments of SEGMENT turns or more, SEGMENTS at most; a segment
+goes to a task of its own with the turns up to its end, so one long
+conversation spreads over many tasks, and a turn is sent at most SEGMENTS
+times.  A task holds the turns and two renderings of one conversation, as
+the template itself must.
 
 Texts are escaped before rendering and unescaped after reading, so control
 strings in a text cannot close or open a turn.
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from claimledger.llm.common import materialize, table
 
-SEGMENT, CONTEXT = 32, 1
+SEGMENT, SEGMENTS = 32, 64
 Template = Callable[[list[tuple[str, str]]], str]
 
 
@@ -90,8 +92,8 @@ def _inside(head, role, text, template, at, piece) -> tuple[int, int]:
 
 def segments(conversations: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) -> with seq, their place in the
-    conversation, and segment; a turn that is context of the next segment
-    is there twice."""
+    conversation, segment and first, the seq at which that starts; a turn is
+    there for its segment and all later ones."""
     c = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
                              F.coalesce("text", F.lit("")).alias("text"))
     # numbered in two levels, so that no task sorts a whole long conversation: rows within
@@ -100,13 +102,14 @@ def segments(conversations: DataFrame) -> DataFrame:
     c = c.withColumn("__range", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-(1 << 62))))
     ranges = c.groupBy("__c", "__range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("__c").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("__c", "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    ranges = ranges.select("__c", "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"),
+                           F.sum("n").over(Window.partitionBy("__c")).alias("__turns"))
     order = Window.partitionBy("__c", "__range").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     c = c.join(ranges, ["__c", "__range"]).withColumn("seq", F.col("__before") + F.row_number().over(order) - 1)
-    c = c.drop("__c", "__range", "__before")
-    own = F.floor(F.col("seq") / SEGMENT)
-    last = F.pmod(F.col("seq"), F.lit(SEGMENT)) >= SEGMENT - CONTEXT
-    return c.withColumn("segment", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
+    size = F.greatest(F.lit(SEGMENT).cast("long"), F.ceil(F.col("__turns") / SEGMENTS))
+    own, last = F.floor(F.col("seq") / size), F.floor((F.col("__turns") - 1) / size)
+    c = c.withColumn("segment", F.explode(F.sequence(own, last))).withColumn("first", F.col("segment") * size)
+    return c.drop("__c", "__range", "__before", "__turns")
 
 
 SPAN_SCHEMA = ("conv_id long, seq long, role string, piece string, text_start long, text_length long, "
@@ -140,10 +143,10 @@ def format_conversations(conversations: DataFrame, template: Template = chatml,
     formatted text is the pieces in order of seq."""
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
-        for (conv, segment), rows in _runs(batches, ["conv_id", "segment"], ["seq", "role", "text"]):
-            turns = [(escape(r).replace("\n", "\\n"), escape(t)) for _, r, t in rows]
-            skip = sum(seq < segment * SEGMENT for seq, _, _ in rows)
-            for (seq, role, text), s in zip(rows[skip:], spans(turns, template, skip)):
+        for (conv, _), rows in _runs(batches, ["conv_id", "segment"], ["seq", "role", "text", "first"]):
+            turns = [(escape(r).replace("\n", "\\n"), escape(t)) for _, r, t, _ in rows]
+            skip = sum(seq < first for seq, _, _, first in rows)
+            for (seq, role, text, _), s in zip(rows[skip:], spans(turns, template, skip)):
                 out.append({"conv_id": conv, "seq": seq, "role": role, "loss": role in train_on, **s})
                 size += len(text) + 100
             if size > 4 << 20:
@@ -153,7 +156,7 @@ def format_conversations(conversations: DataFrame, template: Template = chatml,
             yield pa.RecordBatch.from_pylist(out, schema=SPAN_ARROW)
 
     s = segments(conversations)
-    # a segment is the unit of work: turns of one long conversation go to many tasks
+    # a segment is the unit of work: prefixes of one long conversation are rendered by many tasks
     return (s.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "seq")
             .mapInArrow(render, SPAN_SCHEMA))
 

@@ -124,3 +124,28 @@ def test_conversations(spark):
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(formatted).collect()}
     assert got == digests(rows)
     assert chat.read_back(chat.format_conversations(c.where("false"))).count() == 0
+
+
+@pytest.mark.parametrize("look", ["window", "numbered", "folded"])
+@pytest.mark.parametrize("most", [64, 3])
+def test_long_conversations_are_rendered_whole(spark, monkeypatch, look, most):
+    def template(turns):  # keeps the last 40 turns, numbers turns, or repeats the first turn in all others
+        if look == "window":
+            return "".join(f"<{r}>{x}" for r, x in turns[-40:])
+        return "".join(f"[{k if look == 'numbered' else turns[0][1] if k else ''} {r}]{x}" for k, (r, x) in enumerate(turns))
+
+    monkeypatch.setattr(chat, "SEGMENTS", most, raising=False)
+    rows = {conv: [("assistant" if k % 2 else "user", f"{conv} turn {k}") for k in range(n)]
+            for conv, n in ((1, 100), (2, 31), (3, 33), (4, 129))}
+    c = spark.createDataFrame([(conv, k, *t) for conv, turns in rows.items() for k, t in enumerate(turns)],
+                              "conv_id long, turn long, role string, text string")
+    names = ["piece", "text_start", "text_length", "stable"]
+    got = {(r.conv_id, r.seq): [r[n] for n in names] for r in chat.format_conversations(c, template).collect()}
+    assert got == {(conv, k): [s[n] for n in names] for conv, turns in rows.items()
+                   for k, s in enumerate(chat.spans(turns, template))}
+    for conv, turns in rows.items():
+        own = [got[conv, k] for k in range(len(turns))]
+        if look == "window":
+            assert [x[3] for x in own] == [k < 40 for k in range(len(turns))]
+        else:
+            assert all(x[3] for x in own) and "".join(x[0] for x in own) == template(turns)
