@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -228,6 +229,31 @@ def test_a_long_text_is_read_whole(spark):
     assert model.predict(text["de"][:500] + " " + text["fr"] * 20)[0] == "fr"
 
 
+POLISH = """jest nie się że na do to co jak ale tak być może wszystko tylko przez bardzo dom człowiek ulica miasto rzeka
+woda zima wiosna szkoła książka praca dzień noc rok czas życie świat dziecko matka ojciec brat siostra przyjaciel słowo
+droga samochód pociąg stacja sklep chleb mleko jabłko drzewo kwiat ogród niebo słońce księżyc gwiazda wiatr deszcz""".split()
+TURKISH = """bir ve bu için ile çok daha gibi kadar sonra önce şimdi zaman gün gece yıl hayat dünya çocuk anne baba kardeş
+arkadaş söz yol araba tren istasyon dükkan ekmek süt elma ağaç çiçek bahçe gökyüzü güneş ay yıldız rüzgar yağmur kar dağ
+deniz ada gemi pencere kapı masa sandalye yatak ev adam sokak şehir nehir su kış okul kitap iş güzel büyük""".split()
+
+
+def test_other_languages_and_noise_are_rejected(spark):
+    docs = table(spark, SF, "documents")
+    dictionaries = language.learn(docs.where(~held_out(F.col("doc_id"), 4, 2)).select("doc_id", "text", "lang"))
+    assert dictionaries.narrow >= language.MIDDLE
+    rng = random.Random(4)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(5000)]
+    rows = [(f"{name} {n}", " ".join(rng.choices(words, k=n)))
+            for name, words in (("pl", POLISH), ("tr", TURKISH), ("noise", noise)) for n in (10, 30, 100, 400) for _ in range(50)]
+    rows += [("one byte", "a"), ("one byte", "xy zz")]
+    got = language.identify(spark.createDataFrame(rows, "kind string, text string"), dictionaries).collect()
+    for kind in {r.kind for r in got}:
+        own = [r.rejected for r in got if r.kind == kind]
+        assert sum(own) >= 0.85 * len(own), kind
+    kept = language.keep_identified(spark.createDataFrame(rows, "kind string, text string"), dictionaries)
+    assert kept.count() == sum(not r.rejected for r in got)
+
+
 def test_numerals_are_no_letters():
     model = language.Model({"en": b"the words of a language", "fr": b"les mots"})
     assert [model.predict(t)[0] for t in ("\u00b2 \u00bd \u2167", "12_3", "a")] == ["und", "und", "en"]
