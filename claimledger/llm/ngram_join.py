@@ -19,15 +19,19 @@ probed later.
    of bounded size skips the others) to their group.  Large groups are cut
    by size band and hash into tiles; a tile is searched by DivideSkip: for
    each set merge its short lists in the tile's index, keep those that can
-   still reach T, and binary-probe its long lists for them.  Sets that are
-   already connected need no further comparison.
-5. Components of the links give the classes.
+   still reach T, and binary-probe its long lists for them.  For classes
+   alone, sets that are already connected need no further comparison; when
+   links are counted, all pairs are compared.  A tile keeps counts and a
+   forest, not links; every pair of keys meets in one tile.
+5. Components of the links give the classes; a document's number of links
+   is the sum of its key's counts over the tiles.
 
 Defined cases: null, empty or blank text has no shingle, links with nothing
 and is its own class; a text of fewer than k words is one shingle; rows
 that share a doc_id are one node; a null doc_id can be in no class but its
 set's; ties are broken by hash; an empty table gives an empty result; extra
-columns are ignored.
+columns are ignored.  Links are counted between rows: a link to a set is one
+to each row that has it, and rows of equal sets link with each other.
 """
 
 from __future__ import annotations
@@ -234,18 +238,21 @@ class Index:
         return places[keep], count[keep]
 
 
-def link(keys: np.ndarray, side: np.ndarray, found: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a tile: between sides 1 and 2, or
-    among all of side 0."""
+def link(keys: np.ndarray, side: np.ndarray, found: list[np.ndarray], num: int, den: int,
+         copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links in a tile, between sides 1 and 2 or
+    among all of side 0; with the ``copies`` of each set also its number of
+    links to rows of others, for which all pairs are compared."""
     size = np.array([len(s) for s in found])
     order = np.argsort(size, kind="stable")
     right = order if (side == 0).all() else order[side[order] == 2]
     left = order if (side == 0).all() else order[side[order] == 1]
+    count = np.zeros(len(found), np.int64)
     if not len(left) or not len(right):
-        return []
+        return [], count
     index, label, edges = Index([found[i] for i in right]), np.arange(len(found)), []
     for turn, i in enumerate(left):
-        open_ = label[right] != label[i]
+        open_ = label[right] != label[i] if copies is None else np.ones(len(right), bool)
         if left is right:
             open_[turn:] = False  # smaller ones only: each pair once
         open_ &= (den * size[right] >= num * size[i]) & (num * size[right] <= den * size[i])
@@ -253,25 +260,37 @@ def link(keys: np.ndarray, side: np.ndarray, found: list[np.ndarray], num: int,
             continue
         places, overlap = index.search(found[i], -(-num * int(size[i]) // den), open_)
         union = size[i] + size[right[places]] - overlap
-        for j in right[places[den * overlap >= num * union]]:
+        near = right[places[den * overlap >= num * union]]
+        if copies is not None:
+            count[i] += copies[near].sum()
+            count[near] += copies[i]
+        for j in near[label[near] != label[i]]:
             if label[j] != label[i]:
                 edges.append((int(keys[i]), int(keys[j])))
                 label[label == label[j]] = label[i]
-    return edges
+    return edges, count
 
 
 def links(tiled: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) keys: forests of the links, from all tiles."""
+    """(a, b) keys: forests of the links, from all tiles; if ``tiled`` has
+    copies, also rows (a, null, n) with a key's number of links in a tile."""
+    counted = "copies" in tiled.columns
+    own = ["key", "side", "members", *(["copies"] if counted else [])]
+
     def solve(rows):
-        keys, side, raw = (list(x) for x in zip(*{r[0]: r for r in rows}.values()))
-        edges = link(np.array(keys, np.int64), np.array(side), [np.frombuffer(x, np.uint64) for x in raw], num, den)
-        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()),
-                                           pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+        keys, side, raw, *copies = (list(x) for x in zip(*{r[0]: r for r in rows}.values()))
+        edges, count = link(np.array(keys, np.int64), np.array(side), [np.frombuffer(x, np.uint64) for x in raw], num, den,
+                            np.array(copies[0], np.int64) if counted else None)
+        some = np.flatnonzero(count)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([e[0] for e in edges] + [keys[i] for i in some], pa.int64()),
+             pa.array([e[1] for e in edges] + [None] * len(some), pa.int64()),
+             pa.array([None] * len(edges) + count[some].tolist(), pa.int64())], names=["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in (*TILE_KEY, "key", "side", "members")]
+            cols = [b.column(c).to_pylist() for c in (*TILE_KEY, *own)]
             for row in zip(*cols):
                 if row[:5] != at and rows:
                     yield solve(rows)
@@ -281,13 +300,14 @@ def links(tiled: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    return (tiled.join(found, "key").select(*TILE_KEY, "key", "side", "members")
-            .repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY).mapInArrow(run, "a long, b long"))
+    return (tiled.join(found, "key").select(*TILE_KEY, *own)
+            .repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY).mapInArrow(run, "a long, b long, n long"))
 
 
-def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def classes(docs: DataFrame, k: int, num: int, den: int, count_links: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_shingles, component_id: documents
-    link when den * overlap >= num * union of their k-word shingle sets."""
+    link when den * overlap >= num * union of their k-word shingle sets.
+    With ``count_links`` also n_links, the number of rows that a row links with."""
     lean(docs.sparkSession)
     scanned = materialize(scan(docs, k, num, den))
     rows = scanned.where("n IS NOT NULL").select("doc_id", "n", "r", "key")
@@ -301,17 +321,28 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     members = groups.join(per_key.select(F.col("key").alias("node"), "n"), "node").select(
         F.col("node").alias("key"), "component", "n")
     tiled = tiles(members, num / den)
-    found = components(materialize(links(tiled, candidate_sets(docs, k, bits), num, den)))
+    if count_links:
+        tiled = tiled.join(per_key.select("key", "copies"), "key")
+    linked = materialize(links(tiled, candidate_sets(docs, k, bits), num, den))
+    counts = linked.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
+    found = components(linked.where("b IS NOT NULL").select("a", "b"))
     # classes of keys that have a link, or that several documents share
     linked = per_key.join(found, F.col("key") == F.col("node"), "left").withColumn("class", F.coalesce("component", "key"))
     least = linked.where("component IS NOT NULL").groupBy("class").agg(F.min("rep").alias("least"))
-    answer = (linked.where("component IS NOT NULL OR copies > 1").join(least, "class", "left")
-              .select(F.col("key").cast("string").alias("key"), "copies", F.coalesce("least", "rep").alias("component_id")))
+    answer = linked.where("component IS NOT NULL OR copies > 1").join(least, "class", "left")
+    values = ["component_id"]
+    if count_links:
+        answer = answer.join(counts, "key", "left")
+        answer = answer.withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1)
+        values.append("n_links")
+    answer = (answer.withColumn("component_id", F.coalesce("least", "rep"))
+              .select(F.col("key").cast("string").alias("key"), "copies", *values))
     total = rows.count()
     out = join_by_key(rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(
         F.col("key").cast("string"), F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")),
-        materialize(answer), "key", ["component_id"], "copies", total, ["doc_id"])
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        materialize(answer), "key", values, "copies", total, ["doc_id"])
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+                      *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []))
 
 
 def first_of_class(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -332,6 +363,10 @@ def q_ngram_join(spark, sf_dir):
     return classes(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90, 100)
 
 
+def q_ngram_links(spark, sf_dir):
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90, 100, count_links=True)
+
+
 SQL = """
 WITH RECURSIVE t AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -348,3 +383,7 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)"""
+
+#: The same with the number of links of each document; its ids are unique in the tables.
+LINKS_SQL = SQL.replace("SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id", """SELECT d.doc_id,
+  coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id)::BIGINT AS n_links""")

@@ -112,6 +112,22 @@ def test_classes_against_brute_force(spark, odd, monkeypatch, k, num, tile):
     assert [tuple(r) for r in got] == want
 
 
+@pytest.mark.parametrize("k,num,tile", [(3, 90, 1 << 18), (2, 70, 200)])
+def test_links_against_brute_force(spark, odd, monkeypatch, k, num, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    texts = [(r.doc_id, r.text) for r in odd.collect()] + [(1000 + i, t) for i, t in enumerate(near_copies(k))]
+    docs = spark.createDataFrame([(*t, "x", 1) for t in texts], "doc_id long, text string, copies string, n_links long")
+    counted = ngram_join.classes(docs.repartition(3), k, num, 100, count_links=True)
+    sets = [shingle_set(t, k) for _, t in texts]
+    want = [(d, len(s), sum(j != i and bool(s) and bool(x) and 100 * len(s & x) >= num * len(s | x)
+                            for j, x in enumerate(sets))) for i, ((d, _), s) in enumerate(zip(texts, sets))]
+    rows = counted.collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.n_links) for r in rows], key=str) == sorted(want, key=str)
+    assert max(n for *_, n in want) > 3 and sum(n for *_, n in want) > len(want)
+    plain = ngram_join.classes(docs, k, num, 100).collect()
+    assert sorted([tuple(r)[:3] for r in rows], key=str) == sorted([tuple(r) for r in plain], key=str)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_divide_skip_finds_all(seed):
     rng = np.random.default_rng(seed)
