@@ -13,7 +13,8 @@ size class, hash bucket), of which each source has a bounded number, and
 the counts of these groups, a small table, are summed over the groups.  No
 task gets a whole source; a hot source spreads over all its groups.
 
-Defined cases: null or blank text has size 0 and is never taken; a null
+Defined cases: null or blank text has size 0 and no copies, whatever its
+place; a very long text is one document like others; a null
 source is a source of its own, last in order; repeated rows are separate
 documents; an empty table gives an empty result; extra columns pass
 through unchanged (columns named like an output column are an error).
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, size: str = "size", seed: str = "mix", weights=WEIGHTS,
     d = d.withColumn("__k", place)
     end = F.floor(F.col("__k") * F.col("rate") + F.col("__u"))
     begin = F.floor((F.col("__k") - 1) * F.col("rate") + F.col("__u"))
-    d = d.withColumn("copies", (end - begin).cast("int"))
+    d = d.withColumn("copies", F.when(F.col(size) > 0, end - begin).otherwise(F.lit(0)).cast("int"))
     d = d.withColumn("taken", F.col("copies") * F.col(size))
     return d.drop("__bits", "__class", "__bucket", "__key", "__before", "__u", "__k", "rate")
 
