@@ -9,7 +9,10 @@ are marked, and the loss mask of that conversation can't be used.
 
 Locating the text inside a span is black-box as well: the turn is rendered
 with the text and with a text that differs at its first and last character;
-what the outputs share at either end is the template's frame.
+what the outputs share at either end is the template's frame, and between
+them the text itself must stand: a template that changes it is marked like
+one that rewrites history.  The role is located in the frame; a template
+need not print it.
 
 Every turn is rendered behind all turns before it, so a template may look
 back as far as it likes, and history that it rewrites is found however old.
@@ -55,6 +58,15 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+def escape_role(role: str) -> str:
+    """As ``escape``, on one line."""
+    return escape(role).replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\([\\n]?)", lambda m: "\n" if m[1] == "n" else m[1], role)
+
+
 def chatml(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in turns)
 
@@ -71,7 +83,8 @@ def spans(turns: list[tuple[str, str]], template: Template, skip: int = 0) -> li
         start, length = (0, 0)
         if stable:
             start, length = _inside(turns[:k], role, text, template, len(before), piece)
-        out.append({"piece": piece, "text_start": start, "text_length": length, "stable": stable and start >= 0})
+        out.append({"piece": piece, "text_start": start, "text_length": length, "stable": stable and start >= 0,
+                    "role_start": piece[:max(start, 0)].find(role), "role_length": len(role)})
         before = now
     return out
 
@@ -85,7 +98,7 @@ def _inside(head, role, text, template, at, piece) -> tuple[int, int]:
     start = other.find(probe)
     # the frame before the text is what both outputs start with, up to the probe
     if start < 0 or len(piece) != frame + len(text) or piece[:start] != other[:start] \
-            or piece[start + len(text):] != other[start + len(probe):]:
+            or piece[start + len(text):] != other[start + len(probe):] or piece[start:start + len(text)] != text:
         return -1, 0
     return start, len(text)
 
@@ -113,9 +126,10 @@ def segments(conversations: DataFrame) -> DataFrame:
 
 
 SPAN_SCHEMA = ("conv_id long, seq long, role string, piece string, text_start long, text_length long, "
-               "loss boolean, stable boolean")
+               "role_start long, role_length long, loss boolean, stable boolean")
 SPAN_ARROW = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("piece", pa.string()),
-                        ("text_start", pa.int64()), ("text_length", pa.int64()), ("loss", pa.bool_()),
+                        ("text_start", pa.int64()), ("text_length", pa.int64()), ("role_start", pa.int64()),
+                        ("role_length", pa.int64()), ("loss", pa.bool_()),
                         ("stable", pa.bool_())])
 
 
@@ -144,7 +158,7 @@ def format_conversations(conversations: DataFrame, template: Template = chatml,
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for (conv, _), rows in _runs(batches, ["conv_id", "segment"], ["seq", "role", "text", "first"]):
-            turns = [(escape(r).replace("\n", "\\n"), escape(t)) for _, r, t, _ in rows]
+            turns = [(escape_role(r), escape(t)) for _, r, t, _ in rows]
             skip = sum(seq < first for seq, _, _, first in rows)
             for (seq, role, text, _), s in zip(rows[skip:], spans(turns, template, skip)):
                 out.append({"conv_id": conv, "seq": seq, "role": role, "loss": role in train_on, **s})
@@ -166,7 +180,9 @@ DIGEST_SCHEMA = ("conv_id long, n_turns long, turns_sha256 string, loss_chars lo
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests per conversation from the formatted turns.  A digest of a
+    """Digests per conversation from the formatted turns; roles and texts
+    are read from the rendered pieces (a role that its template doesn't print
+    comes from the row).  A digest of a
     whole conversation is one sequential pass by definition: turns stream
     through it in order, nothing of a conversation is kept."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,13 +193,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return (at[0], n, turns.hexdigest(), loss, text.hexdigest(), chars, rewritten)
 
         for b in batches:
-            for conv, role, piece, start, length, loss, stable in zip(*[b.column(c).to_pylist() for c in (
-                    "conv_id", "role", "piece", "text_start", "text_length", "loss", "stable")]):
+            for conv, role, piece, start, length, rs, rl, loss, stable in zip(*[b.column(c).to_pylist() for c in (
+                    "conv_id", "role", "piece", "text_start", "text_length", "role_start", "role_length", "loss", "stable")]):
                 if at != (conv,):
                     if at is not None:
                         out.append(done())
                     at, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, False]
                 text = unescape(piece[start:start + length])
+                role = unescape_role(piece[rs:rs + rl]) if rs >= 0 else role
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 if loss:
@@ -216,7 +233,7 @@ def q_chat(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)],
                                   "conv_id long, turn long, role string, text string")
-    return read_back(materialize(format_conversations(c.unionByName(extra)))).drop("rewrites_history")
+    return read_back(materialize(format_conversations(c.unionByName(extra))))
 
 
 SQL = f"""
@@ -230,5 +247,6 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), ''))
     AS loss_sha256,
-  sum(length('<|im_start|>') + length(role) + 1 + escaped + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+  sum(length('<|im_start|>') + length(role) + 1 + escaped + length('<|im_end|>') + 1)::BIGINT AS formatted_chars,
+  false AS rewrites_history
 FROM e GROUP BY conv_id"""
