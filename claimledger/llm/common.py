@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import pyarrow as pa
@@ -15,6 +16,21 @@ from claimledger.session import checkpoint_dir, materialize  # noqa: F401  (re-e
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def stored_at(df: DataFrame) -> list[str]:
+    """Folders that ``df`` is read from."""
+    return sorted({f.rpartition("/")[0] for f in df.inputFiles()})
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables (results of ``materialize`` itself) that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in stored_at(df):
+            if folder.rpartition("/")[2].startswith("mat-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,6 +54,26 @@ def lean(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(key, size)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, build):
+    """What a Python worker keeps between tasks: one object at most, the one
+    last asked for.  Workers are reused by later stages, so models and caches
+    of a stage before must not stay next to those of this one."""
+    if key not in _RESIDENT:
+        release()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def release() -> None:
+    """Drop what the worker keeps; for tasks that keep nothing of their own."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
     """Cut a batch into slices of about ``max_bytes`` of text, at least one
     row each, so that the memory of vectorised work does not follow the

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimledger.llm import shingles
-from claimledger.llm.common import lean, table, text_slices
+from claimledger.llm.common import lean, release, table, text_slices
 
 EDITS, REPEATS, SAMPLES, STRIDE = 0.15, 8, 4, 4
 #: Longest walk, and items under this many words, for which windows start at every word.
@@ -259,6 +259,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(bench)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             bench = shared.value
             for b in batches:
                 for part in text_slices(b, "text", 2 << 20):
@@ -285,6 +286,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(bench)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             for b in batches:
                 for part in text_slices(b, "text", 2 << 20):
                     keep = np.ones(part.num_rows, bool)

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimledger.llm import shingles
-from claimledger.llm.common import join_by_key, lean, materialize, table, text_slices
+from claimledger.llm.common import join_by_key, lean, materialize, release, table, text_slices
 from claimledger.llm.components import components
 
 #: Shingles of a tile's side; bits of the bitmap of candidate keys.
@@ -73,6 +73,7 @@ def scan(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     types = [pa.int64()] * 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 20):
@@ -143,6 +144,7 @@ def candidate_sets(docs: DataFrame, k: int, bits: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen, known = set(), shared.value
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 20):
@@ -288,6 +290,7 @@ def links(tiled: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
              pa.array([None] * len(edges) + count[some].tolist(), pa.int64())], names=["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         at, rows = None, []
         for b in batches:
             cols = [b.column(c).to_pylist() for c in (*TILE_KEY, *own)]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from claimledger.llm import chat, decontaminate, embeddings, language, mixing, ngram_join, secrets, tokens, toxicity, zipwarc
+from claimledger.llm import (chat, decontaminate, embeddings, language, mixing, ngram_join, quality, secrets, spelling,
+                             tokens, toxicity, vector_codes, zipwarc)
 
 
 def queries():
@@ -18,6 +19,9 @@ def queries():
         "op8_chat": chat.q_chat,
         "op9_language": language.q_language,
         "op10_embeddings": embeddings.q_embeddings,
+        "op11_vector_codes": vector_codes.q_vector_codes,
+        "op12_quality": quality.q_quality,
+        "op13_spelling": spelling.q_spelling,
     }
 
 
@@ -29,4 +33,6 @@ def oracle_sql():
         "op6_mixing": mixing.SQL,
         "op8_chat": chat.SQL,
         "op10_embeddings": embeddings.SQL,
+        "op11_vector_codes": vector_codes.SQL,
+        "op13_spelling": spelling.SQL,
     }

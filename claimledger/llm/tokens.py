@@ -9,7 +9,7 @@
 
 The tokenizer splits a text before it merges, and never across the end of a
 run of non-blank characters or between letters and punctuation.  So a text
-is cut there and every distinct piece is encoded by the library once per process (a bounded cache); texts
+is cut there and every distinct piece is encoded by the library once per process (a cache of bounded bytes); texts
 that hold one of the vocabulary's special strings, and tokenizers that
 split in another way, are encoded whole.
 
@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimledger.llm import huffman
-from claimledger.llm.common import lean, materialize, parts, scratch, table, text_slices
+from claimledger.llm.common import lean, materialize, parts, resident, scratch, table, text_slices
 from claimledger.llm.files import Ranges, committed, make_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Pieces kept by a process, and the longest one that is kept.
-CACHED, CACHED_CHARS = 1 << 20, 48
+#: Bytes of pieces in each of a process's two generations, what a piece takes besides its text, and the longest one kept.
+CACHED, CACHED_EACH, CACHED_CHARS = 24 << 20, 200, 48
 
 # Fixed value: the characters of Unicode's White_Space property.
 BLANK = "\t-\r \x85\xa0  -     　"
@@ -61,8 +61,6 @@ class Encoder:
     """Texts to bytes of little-endian ids, 16 bits wide where the vocabulary
     fits, else 32."""
 
-    _built: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -80,9 +78,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        if path not in cls._built:
-            cls._built = {path: cls(path)}
-        return cls._built[path]
+        return resident(("encoder", path), lambda: cls(path))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -103,18 +99,23 @@ class Encoder:
 
 
 class _Pieces(dict):
-    """Pieces and their ids, encoded at first sight; starts anew when full."""
+    """Pieces and their ids, encoded at first sight.  When a generation of
+    pieces is full, the one before it is dropped; pieces still in use move on."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old, self.held = encoder, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        raw = self.encoder.piece(piece)
+        raw = self.old.pop(piece, None)
+        if raw is None:
+            raw = self.encoder.piece(piece)
         if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED:
+            if self.held >= CACHED:
+                self.old, self.held = dict(self), 0
                 self.clear()
             self[piece] = raw
+            self.held += len(piece) + len(raw) + CACHED_EACH
         return raw
 
 
