@@ -19,15 +19,16 @@ probed later.
    of bounded size skips the others) to their group.  Large groups are cut
    by size band and hash into tiles; a tile is searched by DivideSkip: for
    each set merge its short lists in the tile's index, keep those that can
-   still reach T, and binary-probe its long lists for them.  For classes
-   alone, sets that are already connected need no further comparison; when
-   links are counted, all pairs are compared.  A tile keeps counts and a
+   still reach T, and binary-probe its long lists for them.  All
+   pairs are compared, so that every link is counted; only a caller that
+   wants classes alone (the pipeline) skips sets that are already connected.  A tile keeps counts and a
    forest, not links; every pair of keys meets in one tile.
 5. Components of the links give the classes; a document's number of links
    is the sum of its key's counts over the tiles.
 
 Defined cases: null, empty or blank text has no shingle, links with nothing
-and is its own class; a text of fewer than k words is one shingle; rows
+and is its own class; a very long text is cut into slices of words for
+hashing, and all its shingles count; a text of fewer than k words is one shingle; rows
 that share a doc_id are one node; a null doc_id can be in no class but its
 set's; ties are broken by hash; an empty table gives an empty result; extra
 columns are ignored.  Links are counted between rows: a link to a set is one
@@ -107,11 +108,11 @@ def scan(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def prefixes(postings: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     """(shingle, key) of lists that candidates must share, from all postings."""
-    by = Window.partitionBy("shingle")
-    p = (postings.withColumn("again", F.lag("key").over(by.orderBy("key")) == F.col("key"))
-         .where(~F.coalesce("again", F.lit(False))))
-    p = p.withColumn("df", F.count(F.lit(1)).over(by)).where("df >= 2").select("shingle", "key", "df")
-    p = p.join(info, "key")
+    # equal rows and the counts meet by aggregates with partials, the counts go back by a join that splits a
+    # shingle of many keys: no list is gathered in one task
+    p = postings.distinct()
+    df = p.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
+    p = p.join(df, "shingle").join(info, "key")
     tail = F.pmod("shingle", F.lit(1024)) >= _region(num / den)
     mine = Window.partitionBy("key")
     p = p.withColumn("tail", tail)
@@ -363,10 +364,6 @@ def first_of_class(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
 
 
 def q_ngram_join(spark, sf_dir):
-    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90, 100)
-
-
-def q_ngram_links(spark, sf_dir):
     return classes(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90, 100, count_links=True)
 
 
@@ -384,9 +381,6 @@ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id,
+  (SELECT count(*) FROM e WHERE e.a = d.doc_id)::BIGINT AS n_links  -- ids are unique in the table
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)"""
-
-#: The same with the number of links of each document; its ids are unique in the tables.
-LINKS_SQL = SQL.replace("SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id", """SELECT d.doc_id,
-  coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id)::BIGINT AS n_links""")

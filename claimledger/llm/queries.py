@@ -10,7 +10,6 @@ def queries():
     return {
         "op1_tokens": tokens.q_tokens,
         "op2_ngram_join": ngram_join.q_ngram_join,
-        "op2_ngram_links": ngram_join.q_ngram_links,
         "op3_decontaminate": decontaminate.q_decontaminate,
         "op4_warc": zipwarc.q_warc,
         "op5_secrets": secrets.q_secrets,
@@ -28,7 +27,6 @@ def queries():
 def oracle_sql():
     return {
         "op2_ngram_join": ngram_join.SQL,
-        "op2_ngram_links": ngram_join.LINKS_SQL,
         "op4_warc": zipwarc.SQL,
         "op6_mixing": mixing.SQL,
         "op8_chat": chat.SQL,
