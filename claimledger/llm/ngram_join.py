@@ -10,8 +10,7 @@ probed later.
    postings (shingle, key) for the part of the hash space that comes first
    in the global order (REGION; more where a set is unlucky).  Equal sets
    are one key.
-2. Exact document frequencies over all postings order the shingles, rare
-   ones first.  Shingles of one key need no list; of the others each key
+2. Frequencies over all postings order the shingles, rare ones first.  Shingles of one key need no list; of the others each key
    keeps those among its n - T + 1 first.
 3. Keys that share a list are candidates of each other: their groups are
    the components of stars over the lists.  No pairs are made.
@@ -108,16 +107,16 @@ def scan(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def prefixes(postings: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     """(shingle, key) of lists that candidates must share, from all postings."""
-    # equal rows and the counts meet by aggregates with partials, the counts go back by a join that splits a
-    # shingle of many keys: no list is gathered in one task
-    p = postings.distinct()
-    df = p.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    p = p.join(df, "shingle").join(info, "key")
-    tail = F.pmod("shingle", F.lit(1024)) >= _region(num / den)
+    # counts come from an aggregate with partials and go back by a join, which may split a shingle of many keys:
+    # no list is gathered in one task.  Copies of a set in several tasks post it again; they count alike for all
+    # keys of a shingle, so the order stays one for all, and they share a rank
+    df = (postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("key").alias("a"), F.max("key").alias("z"))
+          .where("a < z").select("shingle", "df"))
+    p = postings.join(df, "shingle").join(info, "key")
+    p = p.withColumn("tail", F.pmod("shingle", F.lit(1024)) >= _region(num / den))
     mine = Window.partitionBy("key")
-    p = p.withColumn("tail", tail)
-    p = p.withColumn("shared", F.count_if(~F.col("tail")).over(mine))
-    p = p.withColumn("rank", F.row_number().over(mine.orderBy("tail", "df", "shingle")))
+    p = p.withColumn("rank", F.dense_rank().over(mine.orderBy("tail", "df", "shingle")))
+    p = p.withColumn("shared", F.coalesce(F.max(F.when(~F.col("tail"), F.col("rank"))).over(mine), F.lit(0)))
     need = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1")
     # shingles of no other key come first, then these by frequency; the tail is within reach as posted
     return p.where(F.col("tail") | (F.col("r") - F.col("shared") + F.col("rank") <= need)).select("shingle", "key")
