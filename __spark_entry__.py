@@ -34,7 +34,8 @@ from claimledger.sources.scan import scan, scan_json_records
 from claimledger.sources.fingerprint import (byte_fingerprint, content_fingerprint, large_source_warnings,
                                              source_sizes)
 from claimledger.operators.status import freshness, lineage
-from claimledger.operators.contract import quarantine, schema_drift
+from claimledger.operators.contract import duplicate_keys, quarantine, quarantine_duplicates, schema_drift
+from claimledger.operators.quote_search import find_quotes
 from claimledger.operators.textops import extract_ids, field, rule_statuses, sections, unfilled_placeholders
 from claimledger.operators.status import (action_items, backlog_coverage, caveat_register, claim_detail,
                                           orphan_citations, publishable, rule_caveat_sync, rule_usage,
@@ -1344,6 +1345,54 @@ SELECT 'applied' AS how, rows, mean FROM k UNION ALL SELECT 'attrition', rows, N
 UNION ALL SELECT 'evaluated', rows, mean FROM k"""
 
 
+# ---------------------------------------------------------------- quotes without a locator, duplicated keys
+
+def q_quote_corpus(spark, sf):
+    """Quotes of 8 to 71 characters from every document, and the openings
+    of every benchmark item, searched in all documents."""
+    d = _t(spark, sf, "documents")
+    k = F.col("doc_id")
+    quotes = d.select(F.concat(F.lit("d-"), k.cast("string")).alias("quote_id"),
+                      F.expr("substring(text, 31, cast(8 + doc_id % 64 as int))").alias("quote"))
+    quotes = quotes.unionByName(_t(spark, sf, "benchmark").select(
+        F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("quote_id"), F.substring("text", 1, 60).alias("quote")))
+    return find_quotes(quotes, d.select(k.alias("locator"), "text"))
+
+
+SQL_QUOTE_CORPUS = """
+WITH RECURSIVE q AS (SELECT 'd-' || doc_id AS quote_id, substring(text, 31, 8 + doc_id % 64) AS quote FROM documents
+           UNION ALL SELECT 'b-' || item_id, substring(text, 1, 60) FROM benchmark),
+u AS (SELECT DISTINCT quote FROM q WHERE length(quote) > 0),
+h AS (SELECT u.quote, d.doc_id AS locator, d.text FROM u JOIN documents d ON contains(d.text, u.quote)),
+r AS (  -- from one occurrence to the next, which may overlap it
+  SELECT quote, locator, text, strpos(text, quote) AS p, 1 AS n, strpos(text, quote) AS first_at FROM h
+  UNION ALL SELECT quote, locator, text, p + strpos(substring(text, p + 1), quote), n + 1, first_at FROM r
+  WHERE strpos(substring(text, p + 1), quote) > 0)
+SELECT q.quote_id, r.locator, any_value(r.first_at - 1)::BIGINT AS first_at, max(r.n)::BIGINT AS occurrences
+FROM q JOIN r USING (quote) GROUP BY 1, 2"""
+
+
+def q_duplicate_keys(spark, sf):
+    """H6: duplicated composite keys with NULL parts, and the rows quarantined for them."""
+    li = _t(spark, sf, "lineitem").withColumn("part", F.expr("nullif(l_partkey % 50, 0)")).withColumn(
+        "supp", F.expr("nullif(l_suppkey % 7, 0)"))
+    good, bad = quarantine_duplicates(li, ["l_orderkey", "supp"])
+    n = lambda df, w: df.agg(F.count(F.lit(1)).alias("copies")).select(F.lit(w).alias("what"), F.lit(None).cast("long").alias("a"),
+                                                                       F.lit(None).cast("long").alias("b"), "copies")
+    keys = duplicate_keys(li, ["part", "supp"]).select(F.lit("key").alias("what"), F.col("part").cast("long").alias("a"),
+                                                       F.col("supp").cast("long").alias("b"), "copies")
+    return keys.unionByName(n(good, "good")).unionByName(n(bad, "bad"))
+
+
+SQL_DUPLICATE_KEYS = """
+WITH l AS (SELECT l_orderkey, nullif(l_partkey % 50, 0) AS part, nullif(l_suppkey % 7, 0) AS supp FROM lineitem),
+c AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, supp) AS n FROM l)
+SELECT 'key' AS what, part::BIGINT AS a, supp::BIGINT AS b, count(*)::BIGINT AS copies FROM l
+WHERE part IS NOT NULL OR supp IS NOT NULL GROUP BY part, supp HAVING count(*) > 1
+UNION ALL SELECT 'good', NULL, NULL, count(*) FILTER (WHERE n = 1) FROM c
+UNION ALL SELECT 'bad', NULL, NULL, count(*) FILTER (WHERE n > 1) FROM c"""
+
+
 # ---------------------------------------------------------------- registry
 
 def _optional(name: str):
@@ -1414,6 +1463,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "is_close_grid": q_is_close_grid,
         "tolerance_resolve": q_tolerance_resolve,
         "quote_checks": q_quote_checks,
+        "quote_corpus": q_quote_corpus,
+        "duplicate_keys": q_duplicate_keys,
         "register_batch": q_register_batch,
         "next_ids": q_next_ids,
         "update_revisions": q_update_revisions,
@@ -1516,6 +1567,8 @@ def _oracle_sql() -> dict[str, str]:
         "is_close_grid": _sql_is_close_grid(),
         "tolerance_resolve": SQL_TOLERANCE_RESOLVE,
         "quote_checks": SQL_QUOTE_CHECKS,
+        "quote_corpus": SQL_QUOTE_CORPUS,
+        "duplicate_keys": SQL_DUPLICATE_KEYS,
         "register_batch": _sql_register_batch(_measure_names()),
         "next_ids": SQL_NEXT_IDS,
         "update_revisions": SQL_UPDATE_REVISIONS,

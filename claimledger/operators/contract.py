@@ -146,3 +146,20 @@ def quarantine(df: DataFrame, contract: SchemaContract) -> tuple[DataFrame, Data
     good = tagged.where(F.size("reasons") == 0).select(*cols)
     bad = tagged.where(F.size("reasons") > 0)
     return good, bad
+
+
+def duplicate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
+    """H6: (columns..., copies) for every key that more than one row has.
+    Parts of a composite key may be NULL and NULLs are equal; a row whose key
+    is NULL throughout has none.  Partial counts, no bound on the keys."""
+    key = [F.col(f"`{c}`") for c in columns]
+    there = reduce(lambda a, b: a | b, [c.isNotNull() for c in key])
+    return df.where(there).groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+def quarantine_duplicates(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """H6 + H7: (good, bad): all copies of a duplicated key are bad.  A join
+    on the key, so a key with very many copies is split like any skewed one."""
+    dups = duplicate_keys(df, columns).select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(columns)])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(columns)])
+    return df.join(dups, same, "left_anti"), df.join(dups, same, "left_semi")

@@ -293,7 +293,7 @@ def format_value(check_type: Column, value: Column, flag: Column | None = None,
     return (F.when(check_type == "distribution", F.lit("distribution (see detail)"))
              .when(check_type == "matrix", F.lit("matrix (see detail)"))
              .when(value.isNull(), plain)
-             .when(check_type.isin("scalar", "rate") & (value == F.floor(value)), F.format_number(value, 0))
+             .when(check_type.isin("scalar", "rate") & (value == F.rint(value)), F.format_number(value, 0))
              .when(check_type.isin("proportion", "scalar", "rate"), _shown(check_type, value))
              .otherwise(value.cast("string")))
 

@@ -14,23 +14,23 @@ from pyspark.sql import functions as F
 from claimledger import model as M
 
 
-def lines(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(carry..., doc, pos, line): the whole text split at newlines, 0-based
-    position; ``carry`` columns (e.g. project) ride along."""
-    carry = carry or []
-    return docs.select(*carry, F.col(doc_col).alias("doc"),
-                       F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-
-
 def parts(text: Column, is_head) -> Column:
     """Array of (pos, head, body): the lines for which ``is_head`` holds, each
     with its position and the lines up to the next one, joined."""
-    ln = F.split(text, "\n", -1)
-    heads = F.filter(F.sequence(F.lit(0), F.size(ln) - 1), lambda i: is_head(F.get(ln, i)))
-    end = lambda k: F.coalesce(F.get(heads, k + 1), F.size(ln))
-    return F.transform(heads, lambda p, k: F.struct(
-        p.alias("pos"), F.get(ln, p).alias("head"),
-        F.array_join(F.slice(ln, p + 2, end(k) - p - 1), "\n").alias("body")))
+    # each array is bound to a lambda variable: written in place it would be built again for every element
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+
+    def cut(ln, heads):
+        end = lambda k: F.coalesce(F.get(heads, k + 1), F.size(ln))
+        return F.transform(heads, lambda p, k: F.struct(
+            p.alias("pos"), F.get(ln, p).alias("head"),
+            F.array_join(F.slice(ln, p + 2, end(k) - p - 1), "\n").alias("body")))
+
+    def found(ln):
+        at = F.transform(ln, lambda x, i: F.when(is_head(x), i))
+        return bound(F.filter(at, lambda i: i.isNotNull()), lambda heads: cut(ln, heads))
+
+    return bound(F.split(text, "\n", -1), found)
 
 
 def sections(docs: DataFrame, id_regex: str, doc_col: str = "doc_id", text_col: str = "text",
