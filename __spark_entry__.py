@@ -1321,6 +1321,43 @@ UNION ALL SELECT 'F-007', 'FAIL', 'row_count', count(*), count(*) FROM e
 UNION ALL SELECT 'F-008', 'PASS', 'ok', count(*), count(*) FROM orders"""
 
 
+def q_replay_python(spark, sf):
+    """Python measures beside built-in ones in one ledger: whole groups,
+    shards of any size, a bool, one that raises, and one on no rows."""
+    reg = _bad_registry(sf)
+
+    def fails(c):
+        raise ValueError("no value")
+    reg.register_measure(ms.python_measure("midrange", lambda c: None if c.empty else (c.min() + c.max()) / 2, ["o_totalprice"]))
+    reg.register_measure(ms.python_measure("two_columns", lambda p, c: bool((p > c).all()), ["o_totalprice", "o_custkey"], "boolean"))
+    reg.register_measure(ms.python_measure("fails", fails, ["o_totalprice"]))
+    reg.register_measure(ms.python_fold(
+        "price_variance", lambda c: (len(c), (c - 150000).sum(), ((c - 150000) ** 2).sum()),
+        lambda n, s, q: None if n < 2 else (q - s * s / n) / (n - 1), ["o_totalprice"], 3))
+    led = _order_claims(spark, sf, [
+        (1, "scalar", "mean_totalprice", [], {"value": "$mean"}), (2, "scalar", "midrange", [], {"value": 1}),
+        (3, "scalar", "price_variance", [], {"value": 1}), (4, "boolean", "two_columns", [], {"value": True}),
+        (5, "scalar", "fails", [], {"value": 1}), (6, "scalar", "midrange", ["DR-902"], {"value": 1}),
+        (7, "scalar", "price_variance", ["DR-902"], {"value": 1}),
+        (8, "scalar", "midrange", [], {"value": 1, "group_by": "o_orderstatus", "group_key": "F", "rows": -1})])
+    out = replay(led, reg)
+    return out.select("id", "status", "reason", "rows", F.round(F.col("actual_num") / 1000, 3).alias("actual"))
+
+
+SQL_REPLAY_PYTHON = """
+WITH o AS (SELECT count(*)::BIGINT AS n, round(avg(o_totalprice) / 1000, 3) AS mean, round((min(o_totalprice) + max(o_totalprice)) / 2000, 3) AS mid,
+             round(var_samp(o_totalprice) / 1000, 3) AS v, bool_and(o_totalprice > o_custkey) AS b FROM orders),
+f AS (SELECT count(*)::BIGINT AS n, round((min(o_totalprice) + max(o_totalprice)) / 2000, 3) AS mid FROM orders WHERE o_orderstatus = 'F')
+SELECT 'F-001' AS id, 'PASS' AS status, 'ok' AS reason, n AS rows, mean AS actual FROM o
+UNION ALL SELECT 'F-002', 'FAIL', 'value_mismatch', n, mid FROM o
+UNION ALL SELECT 'F-003', 'FAIL', 'value_mismatch', n, v FROM o
+UNION ALL SELECT 'F-004', CASE WHEN b THEN 'PASS' ELSE 'FAIL' END, CASE WHEN b THEN 'ok' ELSE 'value_mismatch' END, n, round(b::INT / 1000, 3) FROM o
+UNION ALL SELECT 'F-005', 'FAIL', 'measure_error', n, NULL FROM o
+UNION ALL SELECT 'F-006', 'FAIL', 'value_mismatch', 0, NULL
+UNION ALL SELECT 'F-007', 'FAIL', 'value_mismatch', 0, NULL
+UNION ALL SELECT 'F-008', 'FAIL', 'row_count', n, mid FROM f"""
+
+
 def q_rule_chain_row_all(spark, sf):
     """C3 in a chain: mask zeros, then keep rows whose discount and tax are
     there; rule application, attrition and evaluation agree."""
@@ -1372,6 +1409,30 @@ SELECT q.quote_id, r.locator, any_value(r.first_at - 1)::BIGINT AS first_at, max
 FROM q JOIN r USING (quote) GROUP BY 1, 2"""
 
 
+def q_sentinel_profile(spark, sf):
+    """Suspected sentinels in columns with seeded ones, and in clean ones."""
+    o = _t(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    return pf.sentinel_profile(o.select(
+        F.when(k % 7 == 0, -1.0).otherwise(F.col("o_totalprice")).alias("price"), F.col("o_totalprice").alias("clean_price"),
+        F.when(k % 11 == 0, F.lit("9999-12-31").cast("date")).otherwise(F.col("o_orderdate").cast("date")).alias("day"),
+        F.col("o_orderdate").cast("date").alias("clean_day"), F.when(k % 5 == 0, 0).otherwise(F.col("o_custkey")).alias("customer"),
+        F.col("o_custkey").alias("clean_customer"), F.when(k % 9 == 0, "").otherwise(F.concat(
+            F.lit("customer "), F.col("o_custkey").cast("string"))).alias("name"), F.col("o_orderpriority").alias("priority"))
+    ).select("column", "value", "n", _r(F.col("share")).alias("share"), "position")
+
+
+SQL_SENTINEL_PROFILE = """
+SELECT 'price' AS column, '-1.0' AS value, count(*) FILTER (WHERE o_orderkey % 7 = 0)::BIGINT AS n,
+  round(count(*) FILTER (WHERE o_orderkey % 7 = 0) / count(*), 6) AS share, 'below' AS position FROM orders
+UNION ALL SELECT 'day', '9999-12-31', count(*) FILTER (WHERE o_orderkey % 11 = 0),
+  round(count(*) FILTER (WHERE o_orderkey % 11 = 0) / count(*), 6), 'above' FROM orders
+UNION ALL SELECT 'customer', '0', count(*) FILTER (WHERE o_orderkey % 5 = 0 OR o_custkey = 0),
+  round(count(*) FILTER (WHERE o_orderkey % 5 = 0 OR o_custkey = 0) / count(*), 6), 'usual' FROM orders
+UNION ALL SELECT 'name', '', count(*) FILTER (WHERE o_orderkey % 9 = 0),
+  round(count(*) FILTER (WHERE o_orderkey % 9 = 0) / count(*), 6), 'below' FROM orders"""
+
+
 def q_duplicate_keys(spark, sf):
     """H6: duplicated composite keys with NULL parts, and the rows quarantined for them."""
     li = _t(spark, sf, "lineitem").withColumn("part", F.expr("nullif(l_partkey % 50, 0)")).withColumn(
@@ -1465,6 +1526,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quote_checks": q_quote_checks,
         "quote_corpus": q_quote_corpus,
         "duplicate_keys": q_duplicate_keys,
+        "sentinel_profile": q_sentinel_profile,
         "register_batch": q_register_batch,
         "next_ids": q_next_ids,
         "update_revisions": q_update_revisions,
@@ -1476,6 +1538,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validate_portfolio": q_validate_portfolio,
         "replay_isolated": q_replay_isolated,
         "replay_empty": q_replay_empty,
+        "replay_python": q_replay_python,
         "rule_chain_row_all": q_rule_chain_row_all,
     }
 
@@ -1569,6 +1632,7 @@ def _oracle_sql() -> dict[str, str]:
         "quote_checks": SQL_QUOTE_CHECKS,
         "quote_corpus": SQL_QUOTE_CORPUS,
         "duplicate_keys": SQL_DUPLICATE_KEYS,
+        "sentinel_profile": SQL_SENTINEL_PROFILE,
         "register_batch": _sql_register_batch(_measure_names()),
         "next_ids": SQL_NEXT_IDS,
         "update_revisions": SQL_UPDATE_REVISIONS,
@@ -1580,6 +1644,7 @@ def _oracle_sql() -> dict[str, str]:
         "validate_portfolio": SQL_VALIDATE_PORTFOLIO,
         "replay_isolated": SQL_REPLAY_ISOLATED,
         "replay_empty": SQL_REPLAY_EMPTY,
+        "replay_python": SQL_REPLAY_PYTHON,
         "rule_chain_row_all": SQL_RULE_CHAIN_ROW_ALL,
     }
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimledger.registry import Agg, Measure, Quantile, RankCorr, RowsPerUnit
+from claimledger.registry import Agg, Measure, PyAgg, PyFold, Quantile, RankCorr, RowsPerUnit
 
 
 def _col(c) -> Column:
@@ -159,3 +159,15 @@ def masked_vs_unmasked(name: str, col: str, sentinel) -> Measure:
         ("unmasked", Agg(F.avg(c).cast("double"))),
         ("masked", Agg(F.avg(F.when(~c.eqNullSafe(F.lit(sentinel)), c)).cast("double"))),
     ))
+
+
+def python_measure(name: str, fn, columns: list[str], kind: str = "scalar") -> Measure:
+    """``fn`` of the group's columns (pandas Series) -> number or bool;
+    groups must fit in a task."""
+    return Measure(name, kind, (("value", PyAgg(fn, tuple(columns))),))
+
+
+def python_fold(name: str, partial, finish, columns: list[str], width: int, kind: str = "scalar") -> Measure:
+    """``partial`` of a shard's columns -> ``width`` numbers, summed over
+    the shards; ``finish`` of the sums -> number or bool; groups of any size."""
+    return Measure(name, kind, (("value", PyFold(partial, finish, tuple(columns), width)),))

@@ -6,7 +6,9 @@ order or distinct (exact quantiles, rank correlations, rows per unit) reads
 ONE pre-aggregated table: every row becomes one entry per such part, equal
 entries are counted map-side, and the counts are written once.  Quantiles
 and ranks then share one distributed cumulative pass over these counts,
-however many measures and groups ask for them.
+however many measures and groups ask for them.  Python measures take one
+scan more (two where both forms occur): built-in and Python aggregates
+can't share one.
 
 ``evaluate_groups`` goes further for replay: every (rule chain, key column)
 group over one source is evaluated from the same two scans.  Each row is
@@ -18,12 +20,15 @@ grouping key.
 from __future__ import annotations
 
 from functools import reduce
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimledger.operators.ordered import cumulate, join_null_safe
-from claimledger.registry import Agg, Measure, Quantile, RankCorr, RowsPerUnit, Rule, chain_columns
+from claimledger.registry import (Agg, Measure, PyAgg, PyFold, Quantile, RankCorr, RowsPerUnit, Rule,
+                                  chain_columns)
 from claimledger.session import materialize
 
 VALUE_COLS = ["measure", "part", "num", "flag"]
@@ -50,6 +55,8 @@ def _part_exprs(m: Measure) -> list[Column]:
             out += [F.max(F.col(spec.x)), F.max(F.col(spec.y))]
         elif isinstance(spec, RowsPerUnit):
             out.append(F.max(spec.unit))
+        elif isinstance(spec, (PyAgg, PyFold)):
+            out += [F.max(F.col(f"`{c}`")) for c in spec.columns]
     return out
 
 
@@ -86,6 +93,7 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
     quants: dict[str, tuple[Column, list[tuple[str, str, float]]]] = {}
     ranks: dict[tuple[str, str], list[tuple[str, str]]] = {}
     units: dict[str, tuple[Column, list[tuple[str, str]]]] = {}
+    pys: list[tuple[str, str, object, bool]] = []
     for m in measures:
         for pname, spec in m.parts:
             if isinstance(spec, Agg):
@@ -97,6 +105,8 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
                 ranks.setdefault(tuple(sorted((spec.x, spec.y))), []).append((m.name, pname))
             elif isinstance(spec, RowsPerUnit):
                 units.setdefault(str(spec.unit), (spec.unit, []))[1].append((m.name, pname))
+            elif isinstance(spec, (PyAgg, PyFold)):
+                pys.append((m.name, pname, spec, m.kind == "boolean"))
             else:
                 raise TypeError(f"unknown measure part {spec!r}")
 
@@ -125,6 +135,11 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
         if units:
             frames.append(_rows_per_unit(counted, keys, list(units.values())))
 
+    for kind, run in ((PyAgg, _py_whole), (PyFold, _py_folded)):
+        some = [p for p in pys if isinstance(p[2], kind)]
+        if some:
+            frames.append(run(df.where(_needed_by(usage, [p[0] for p in some])) if usage is not None else df, keys, some))
+
     if not frames:
         schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
                            + ["measure string", "part string", "num double", "flag boolean"])
@@ -142,6 +157,57 @@ def _needed_by(usage: dict[str, list[int]] | None, names: list[str]) -> Column:
     return F.col("_g").isin(groups) if groups else F.lit(False)
 
 
+def _py_values(g: DataFrame, keys: list[str], pys) -> DataFrame:
+    """Columns _p<i> of numbers -> one row per measure part."""
+    structs = [F.struct(F.lit(mn).alias("measure"), F.lit(pn).alias("part"),
+                        (F.lit(None).cast("double") if b else F.col(f"_p{i}")).alias("num"),
+                        (F.col(f"_p{i}") != 0 if b else F.lit(None).cast("boolean")).alias("flag"))
+               for i, (mn, pn, _, b) in enumerate(pys)]
+    return g.select(*keys, F.inline(F.array(*structs)))
+
+
+def _number(value) -> float | None:
+    return None if value is None else float(value)
+
+
+def _py_whole(df: DataFrame, keys: list[str], pys) -> DataFrame:
+    """Python measures over whole groups, all in one aggregation of their
+    own: Python and built-in aggregates can't share one.  A group goes to one
+    task, as the function's contract says."""
+    def udf(spec):
+        def value(*columns: pd.Series) -> float:
+            return _number(spec.fn(*columns))
+        return F.pandas_udf(value, "double")
+
+    g = df.groupBy(*keys).agg(*[
+        udf(spec)(*[F.col(f"`{c}`") for c in spec.columns]).alias(f"_p{i}") for i, (_, _, spec, _) in enumerate(pys)])
+    if not keys:  # a frame of no rows has no group: its measures have no value
+        g = g.agg(*[F.first(f"_p{i}").alias(f"_p{i}") for i in range(len(pys))])
+    return _py_values(g, keys, pys)
+
+
+def _py_folded(df: DataFrame, keys: list[str], pys) -> DataFrame:
+    """Python measures from sums over shards: shards are aggregated where
+    they are dealt, their sums meet in an aggregate with partials, and the
+    finishing function sees one row per group."""
+    def shard(spec):
+        def value(*columns: pd.Series) -> Any:
+            return [float(x) for x in spec.partial(*columns)]
+        return F.pandas_udf(value, "array<double>")
+
+    def finished(spec):
+        def value(sums: pd.Series) -> pd.Series:
+            return pd.Series([None if s is None or s[0] is None else _number(spec.finish(*s)) for s in sums], dtype="float64")
+        return F.pandas_udf(value, "double")
+
+    g = df.withColumn("_shard", F.spark_partition_id()).groupBy(*keys, "_shard").agg(*[
+        shard(spec)(*[F.col(f"`{c}`") for c in spec.columns]).alias(f"_v{i}") for i, (_, _, spec, _) in enumerate(pys)])
+    g = g.groupBy(*keys).agg(*[F.array(*[F.sum(F.get(f"_v{i}", k)) for k in range(spec.width)]).alias(f"_s{i}")
+                               for i, (_, _, spec, _) in enumerate(pys)])
+    return _py_values(g.select(*keys, *[finished(spec)(f"_s{i}").alias(f"_p{i}") for i, (_, _, spec, _) in enumerate(pys)]),
+                      keys, pys)
+
+
 def _counted(df: DataFrame, keys: list[str], quants, ranks, units, usage) -> DataFrame:
     """(keys..., _s, _x, _y, _u, cnt): how often each value, pair of values
     or unit occurs.  ``_s`` names the part: q<i>, r<i>, u<i>."""

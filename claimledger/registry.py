@@ -121,11 +121,33 @@ class RankCorr:
     y: str
 
 
+@dataclass(frozen=True)
+class PyAgg:
+    """A Python function of the group's columns (pandas Series, in order) to
+    one number or bool.  The whole group's columns are in one task's memory:
+    for groups that fit there; ``PyFold`` is for groups of any size."""
+    fn: Callable
+    columns: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class PyFold:
+    """A Python measure over groups of any size: ``partial`` maps a shard's
+    columns (pandas Series, in order) to ``width`` numbers, these are summed
+    over the shards, and ``finish`` maps the sums to the value (None: no
+    value).  A shard is what one input partition holds of a group, so a hot
+    group is as many shards as the table has partitions."""
+    partial: Callable
+    finish: Callable
+    columns: tuple[str, ...]
+    width: int
+
+
 @dataclass(frozen=True)
 class Measure:
     """A named measure.  ``kind`` is scalar, boolean, distribution or matrix.
 
-    ``parts`` maps a part name to Agg / Quantile / RankCorr.  Scalars and
+    ``parts`` maps a part name to Agg / Quantile / RankCorr / PyAgg / PyFold.  Scalars and
     booleans have the single part ``value``; distributions use their keys;
     matrices use ``"i,j"`` and carry ``shape``.
     """
