@@ -101,7 +101,7 @@ def sentinel_profile(df: DataFrame, columns: list[str] | None = None, share: flo
     column's rows, and stands apart: at an edge, ``gap`` times the mean
     distance of the other values away from its neighbour, and no rarer than
     they are; or it is one of the usual sentinels (or the empty text), not
-    simply one of a few codes, and ``weight`` times as frequent as the others.
+    simply one of a few codes (so is a text), and ``weight`` times as frequent as the others.
     Numbers are judged by value, dates by day, texts by length.  Columns of
     other types are left out.
 
@@ -142,8 +142,9 @@ def sentinel_profile(df: DataFrame, columns: list[str] | None = None, share: flo
     # the other values' extent, over their number of steps
     step = F.when(low, F.col("hi") - F.col("lo2")).otherwise(F.col("hi2") - F.col("lo")) / F.greatest(others - 1, F.lit(1))
     away = F.when(low, F.col("lo2") - F.col("v")).otherwise(F.col("v") - F.col("hi2"))
-    apart = (low | high) & (away > gap * F.greatest(step, F.lit(0.0))) & (F.col("distinct") > 2)
     kind = F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(kinds[n]))]), F.col("_i"))
+    apart = ((low | high) & (away > gap * F.greatest(step, F.lit(0.0)))
+             & (F.col("distinct") > F.when(kind == "text", 10).otherwise(2)))
     usual = F.when(kind == "number", F.col("v").isin(list(USUAL_SENTINELS))).when(kind == "text", F.col("v") == 0).otherwise(
         F.lit(False)) & (F.col("distinct") > 10)
     pick = lambda of: F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(of(n)))]), F.col("_i"))
