@@ -43,7 +43,7 @@ from claimledger.llm.files import Ranges, committed, make_dir
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Bytes of pieces in each of a process's two generations, what a piece takes besides its text, and the longest one kept.
-CACHED, CACHED_EACH, CACHED_CHARS = 24 << 20, 200, 48
+CACHED, CACHED_EACH, CACHED_CHARS = 96 << 20, 200, 48
 
 # Fixed value: the characters of Unicode's White_Space property.
 BLANK = "\t-\r \x85\xa0  -     　"
