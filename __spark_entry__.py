@@ -41,6 +41,9 @@ from claimledger.operators.status import (action_items, backlog_coverage, caveat
                                           orphan_citations, publishable, rule_caveat_sync, rule_usage,
                                           status_banner, trust_buckets)
 from claimledger.session import checkpoint_dir, materialize
+from claimledger.operators.lineage import cycles, transitive_freshness
+from claimledger.sources.records import flatten_records, sample_types
+from claimledger.sources.refresh import REMOVED, pins, refresh
 from claimledger.sources.scan import scan_tree
 from claimledger.sources.ledger_io import read_ledger, split_json_arrays, write_ledger
 
@@ -1454,6 +1457,124 @@ UNION ALL SELECT 'good', NULL, NULL, count(*) FILTER (WHERE n = 1) FROM c
 UNION ALL SELECT 'bad', NULL, NULL, count(*) FILTER (WHERE n > 1) FROM c"""
 
 
+def q_flatten_records(spark, sf):
+    """A3: nested JSON records without a given schema, one column per leaf."""
+    o = _t(spark, sf, "orders")
+    doc = F.to_json(F.struct(
+        F.col("o_orderkey").alias("id"),
+        F.struct(F.col("o_custkey").alias("key"), F.struct(F.col("o_orderpriority").alias("priority")).alias("service"))
+        .alias("customer"), F.array("o_orderstatus").alias("tags"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))).alias("extra"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.lit("some")).alias("mixed"),
+        F.when(F.col("o_orderkey") % 4 == 1, F.col("o_orderkey")).alias("number")))
+    # one field that is text in some records and a number in others
+    doc = F.regexp_replace(doc, '"number":', '"mixed":')
+    flat = flatten_records(o.select(doc.alias("doc")), "doc")
+    return flat.toDF(*[c.replace(".", "_") for c in flat.columns])
+
+
+SQL_FLATTEN_RECORDS = """
+SELECT o_orderkey::BIGINT AS id, o_custkey::BIGINT AS customer_key, o_orderpriority AS customer_service_priority,
+  '[' || coalesce('"' || o_orderstatus || '"', 'null') || ']' AS tags,
+  CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS extra_day,
+  CASE o_orderkey % 4 WHEN 0 THEN 'some' WHEN 1 THEN o_orderkey::VARCHAR END AS mixed FROM orders"""
+
+
+def q_sample_types(spark, sf):
+    """B1: types and nulls of raw text columns."""
+    o = _t(spark, sf, "orders")
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    return sample_types(o.select(
+        k.cast("string").alias("key"), F.when(k % 40 == 0, "n/a").otherwise(k.cast("string")).alias("spoilt"),
+        F.when(k % 7 == 0, " ").otherwise((k / 4).cast("string")).alias("quarter"),
+        F.when(k % 5 == 0, k.cast("string")).otherwise((k / 8).cast("string")).alias("numbers"),
+        F.when(k % 6 != 0, day).alias("day"), F.when(k % 2 == 0, day).otherwise(F.concat(day, F.lit(" 10:30:00"))).alias("time"),
+        F.when(k % 2 == 0, "True").otherwise("false").alias("flag"), F.lit(None).cast("string").alias("nothing"),
+        F.col("o_orderpriority").alias("words")))
+
+
+SQL_SAMPLE_TYPES = """
+WITH t AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS n7, count(*) FILTER (WHERE o_orderkey % 6 = 0) AS n6,
+  count(*) FILTER (WHERE trim(coalesce(o_orderpriority, '')) = '') AS nw FROM orders)
+SELECT c AS "column", d AS dtype, n::BIGINT AS rows, m::BIGINT AS nulls, false AS sampled FROM (
+  SELECT n, unnest(['key', 'spoilt', 'quarter', 'numbers', 'day', 'time', 'flag', 'nothing', 'words']) AS c,
+    unnest(['integer', 'text', 'double', 'double', 'date', 'timestamp', 'boolean', 'null', 'text']) AS d,
+    unnest([0, 0, n7, 0, n6, 0, 0, n, nw]) AS m FROM t)"""
+
+
+def _build_graph(spark, sf):
+    """Manifests raw day -> day -> month -> year -> report over the days of
+    the events, and pairs of tables that are made from each other."""
+    days = _t(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
+    level = lambda name, n: F.concat(F.lit(f"{name}/"), F.substring("day", 1, n))
+    month = F.substring("day", 6, 2).cast("int")
+    steps = [(level("daily", 10), level("raw", 10)), (level("monthly", 7), level("daily", 10)),
+             (level("yearly", 4), level("monthly", 7)), (F.lit("report/all"), level("yearly", 4)),
+             (F.when(month % 2 == 1, level("loop-a", 7)), level("loop-b", 7)),
+             (F.when(month % 2 == 1, level("loop-b", 7)), level("loop-a", 7))]
+    pairs = days.select(F.explode(F.array(*[F.struct(o.alias("output"), s.alias("source")) for o, s in steps])).alias("e")).select(
+        "e.*").where("output IS NOT NULL").distinct()
+    pin = lambda c: F.concat(F.lit("pin of "), c)
+    manifests = pairs.groupBy("output").agg(F.map_from_entries(F.collect_list(F.struct("source", pin(F.col("source"))))).alias(
+        "sources")).select(F.lit("events").alias("project"), "output", pin(F.col("output")).alias("output_sha256"), "sources",
+                           F.lit("rules").alias("rules_fingerprint"))
+    there = pairs.select(F.col("output").alias("path")).union(pairs.select("source")).distinct()
+    changed = F.col("path").startswith("raw/") & (F.substring("path", -2, 2).cast("int") % 10 == 3)
+    return materialize(manifests), there.select("path", F.when(changed, "other").otherwise(pin(F.col("path"))).alias("sha256"))
+
+
+def q_lineage_closure(spark, sf):
+    """G4 / G5 over several builds: what a changed raw day makes stale, and
+    tables that were made from themselves."""
+    manifests, current = _build_graph(spark, sf)
+    return transitive_freshness(manifests, current, "rules", fast=False).unionByName(cycles(manifests))
+
+
+SQL_LINEAGE_CLOSURE = """
+WITH RECURSIVE d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events),
+e AS (SELECT DISTINCT o, s FROM (
+  SELECT 'monthly/' || day[1:7] AS o, 'daily/' || day AS s FROM d
+  UNION ALL SELECT 'yearly/' || day[1:4], 'monthly/' || day[1:7] FROM d
+  UNION ALL SELECT 'report/all', 'yearly/' || day[1:4] FROM d)),
+r AS (SELECT 'daily/' || day AS p, 0 AS n FROM d WHERE day[9:10]::INT % 10 = 3
+  UNION SELECT e.o, r.n + 1 FROM r JOIN e ON e.s = r.p),
+l AS (SELECT DISTINCT day[1:7] AS m FROM d WHERE day[6:7]::INT % 2 = 1)
+SELECT 'events' AS project, 'aggregate:freshness' AS "check", 'FAIL' AS severity, p AS finding_id,
+  'made from a stale table ' || min(n) || ' build(s) before' AS detail FROM r GROUP BY p HAVING min(n) > 0
+UNION ALL SELECT 'events', 'aggregate:lineage-cycle', 'FAIL', x || m, 'made from itself over 2 build(s)'
+  FROM l, (VALUES ('loop-a/'), ('loop-b/')) AS v(x)"""
+
+
+def q_daily_refresh(spark, sf):
+    """A10: a build over an earlier state of the events, brought up to date:
+    days that changed, came or went are told apart, the others are kept."""
+    now = _t(spark, sf, "events").select("event_id", "user_id", "value", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    dom = F.substring("day", 9, 2).cast("int")
+    before = now.where(dom % 10 != 5).withColumn(
+        "event_id", F.when(dom % 10 == 3, F.col("event_id") + 1).otherwise(F.col("event_id")))
+    gone = now.where(dom % 10 == 7).withColumn("day", F.concat(F.lit("1999"), F.substring("day", 5, 6)))
+    before = before.unionByName(gone)
+
+    def build(made: str):
+        return lambda df: df.groupBy("day").agg(
+            F.count(F.lit(1)).alias("n_events"), F.countDistinct("user_id").alias("n_users"),
+            F.sum("event_id").alias("sum_ids")).withColumn("made", F.lit(made))
+
+    table, plan, _ = refresh(build("before")(before), now, pins(before, "day"), "day", build("now"))
+    left = plan.where(F.col("action") != REMOVED)
+    gone = plan.where(F.col("action") == REMOVED).select("day", "action")
+    return (table.join(left, "day", "full_outer").select("day", "n_events", "n_users", "sum_ids", "made", "action")
+            .unionByName(gone, allowMissingColumns=True))
+
+
+SQL_DAILY_REFRESH = """
+WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, day(ts) % 10 AS dom FROM events)
+SELECT day, count(*)::BIGINT AS n_events, count(DISTINCT user_id)::BIGINT AS n_users, sum(event_id)::BIGINT AS sum_ids,
+  CASE WHEN any_value(dom) IN (3, 5) THEN 'now' ELSE 'before' END AS made,
+  CASE any_value(dom) WHEN 3 THEN 'rebuilt' WHEN 5 THEN 'added' ELSE 'kept' END AS action FROM e GROUP BY day
+UNION ALL SELECT DISTINCT '1999' || day[5:10], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, 'removed' FROM e WHERE dom = 7"""
+
+
 # ---------------------------------------------------------------- registry
 
 def _optional(name: str):
@@ -1540,6 +1661,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "replay_empty": q_replay_empty,
         "replay_python": q_replay_python,
         "rule_chain_row_all": q_rule_chain_row_all,
+        "flatten_records": q_flatten_records,
+        "sample_types": q_sample_types,
+        "lineage_closure": q_lineage_closure,
+        "daily_refresh": q_daily_refresh,
     }
 
 
@@ -1611,6 +1736,10 @@ def _oracle_sql() -> dict[str, str]:
         "daily_events": SQL_DAILY_EVENTS,
         "freshness_daily": SQL_FRESHNESS_DAILY,
         "lineage_daily": SQL_LINEAGE_DAILY,
+        "flatten_records": SQL_FLATTEN_RECORDS,
+        "sample_types": SQL_SAMPLE_TYPES,
+        "lineage_closure": SQL_LINEAGE_CLOSURE,
+        "daily_refresh": SQL_DAILY_REFRESH,
         "schema_drift_orders": SQL_SCHEMA_DRIFT_ORDERS,
         "quarantine_lineitem": SQL_QUARANTINE_LINEITEM,
         "rule_sections": SQL_RULE_SECTIONS,

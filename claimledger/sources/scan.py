@@ -67,12 +67,12 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     return reduce(DataFrame.unionByName, tails)
 
 
-def scan_json_records(df: DataFrame, col: str, schema: str) -> DataFrame:
-    """A3: parse a JSON column into the fields of ``schema``, one row per
-    record.  A value is one record, a list of records, or an object that
+def exploded_records(df: DataFrame, col: str) -> DataFrame:
+    """The other columns of ``df`` and ``_r``, one VARIANT record per row of
+    the result.  A value is one record, a list of records, or an object that
     wraps a list of records in one of its fields (the first by name); text
-    that doesn't parse is one row without values."""
-    v = F.call_function("try_parse_json", F.col(col))
+    that doesn't parse is one row of NULL."""
+    v = F.call_function("try_parse_json", F.col(f"`{col}`"))
     kind = lambda x: F.call_function("schema_of_variant", x)
     as_list = lambda x: F.call_function("try_variant_get", x, F.lit("$"), F.lit("array<variant>"))
     fields = F.map_entries(F.call_function("try_variant_get", F.col("_v"), F.lit("$"), F.lit("map<string,variant>")))
@@ -81,8 +81,15 @@ def scan_json_records(df: DataFrame, col: str, schema: str) -> DataFrame:
     inner = as_list(F.call_function("try_parse_json", F.try_element_at(lists, F.lit(1))["j"]))
     records = (F.when(F.coalesce(kind(F.col("_v")).startswith("ARRAY"), F.lit(False)), as_list(F.col("_v")))
                 .when(F.size(lists) > 0, inner).otherwise(F.array(F.col("_v"))))
-    rest = [c for c in df.columns if c != col]
-    one = df.withColumn("_v", v).select(*rest, F.explode_outer(records).alias("_r"))
-    parsed = one.select(*rest, F.from_json(F.to_json("_r"), schema).alias("_j"))
+    rest = [F.col(f"`{c}`") for c in df.columns if c != col]
+    return df.withColumn("_v", v).select(*rest, F.explode_outer(records).alias("_r"))
+
+
+def scan_json_records(df: DataFrame, col: str, schema: str) -> DataFrame:
+    """A3: parse a JSON column into the fields of ``schema``, one row per
+    record (see ``exploded_records``); text that doesn't parse is one row
+    without values."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != col]
+    parsed = exploded_records(df, col).select(*rest, F.from_json(F.to_json("_r"), schema).alias("_j"))
     flat = [F.col(f"_j.{f.name}").alias(f.name) for f in parsed.schema["_j"].dataType.fields]
     return parsed.select(*rest, *flat)
