@@ -16,8 +16,9 @@ by chain.
 
 Learning uses a sample of at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled
 documents (smallest id hashes; a documented bound of the classifier).  The
-counts over it are Spark jobs; the driver gets cues (at most CUES) and class
-numbers of the sample's tokens.
+counts over it and the choice of cues are Spark jobs; the driver gets cues
+(at most CUES, those with most contexts of all that pass the ratio test) and
+class numbers of the sample's tokens.
 
 Defined cases: null, empty and wordless texts score as a text without any
 cue; null labels teach nothing; a document labelled twice counts as toxic if
@@ -181,46 +182,55 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids), "doc_id").select("text", "toxic")
 
 
+def fold(text: str | None) -> str:
+    """Lower case, character by character where it would change the length:
+    offsets stay those of the text."""
+    text = text or ""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def find_cues(sample: DataFrame) -> dict[str, int]:
-    """Cue -> class number (from 1), over the sample's tokens."""
+    """Cue -> class number (from 1), over the sample's tokens.  Contexts,
+    occurrences and the ratio test are Spark's; only cues are collected."""
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in text_slices(b, "text", 1 << 20):
                 out = set()
                 for t in part.column("text").to_pylist():
-                    w = ["", *TOKEN.findall((t or "").lower()), ""]
+                    w = ["", *TOKEN.findall(fold(t)), ""]
                     for a, x, z in zip(w, w[1:], w[2:]):
                         out.update((f, f"{a} {z}") for f in forms(x))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], names=["f", "c"])
 
-    toxic = sample.where("toxic = 1").select("text").mapInArrow(contexts, "f string, c string")
-    counts = (toxic.distinct().groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_CONTEXTS)
-              .orderBy(F.desc("n"), "f").limit(CUES).collect())
-    first = {r["f"]: r["n"] for r in counts}
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, tokens = Counter(), 0
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column("text").to_pylist():
-                w = TOKEN.findall((t or "").lower())
-                tokens += len(w)
-                for x in w:
-                    found.update(f for f in forms(x) if f in first)
-        found[""] = tokens
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
-                                         names=["f", "n"])
-
-    def totals(kind: int) -> dict[str, int]:
-        rows = (sample.where(F.col("toxic") == kind).select("text").mapInArrow(clean, "f string, n long")
-                .groupBy("f").agg(F.sum("n").alias("n")).collect())
-        return {r["f"]: r["n"] for r in rows}
-
-    zero, one = totals(0), totals(1)
-    share = (zero.get("", 0) + 1) / (one.get("", 0) + 1)
-    kept = [f for f, n in first.items() if n * share >= MIN_RATIO * (zero.get(f, 0) + 0.5)
-            and one[f] * share >= MIN_RATIO * (zero.get(f, 0) + 0.5)]
-    return {f: i + 1 for i, f in enumerate(kept)}
+            for part in text_slices(b, "text", 1 << 20):
+                found = (Counter(), Counter())
+                for t, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
+                    w = TOKEN.findall(fold(t))
+                    own = found[toxic == 1]
+                    own[""] += len(w)
+                    for x, k in Counter(w).items():
+                        for f in forms(x):
+                            own[f] += k
+                names = list(found[0] | found[1])
+                if names:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in found)],
+                        names=["f", "zero", "one"])
+
+    counts = materialize(sample.select("text", "toxic").mapInArrow(occurrences, "f string, zero long, one long")
+                         .groupBy("f").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")))
+    tokens = counts.where("f = ''").first()
+    share = ((tokens["zero"] if tokens else 0) + 1) / ((tokens["one"] if tokens else 0) + 1)
+    toxic = sample.where("toxic = 1").select("text").mapInArrow(contexts, "f string, c string")
+    wide = toxic.distinct().groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_CONTEXTS)
+    least = MIN_RATIO * (F.col("zero") + 0.5)
+    kept = (wide.join(counts, "f").where((F.col("n") * share >= least) & (F.col("one") * share >= least))
+            .orderBy(F.desc("n"), "f").limit(CUES).collect())
+    return {r["f"]: i + 1 for i, r in enumerate(kept)}
 
 
 class _Classes(dict):
@@ -241,7 +251,7 @@ def classify(texts: list[str | None], known: _Classes) -> tuple[np.ndarray, np.n
     """(class per token, tokens per text)."""
     look, found, lengths = known.__getitem__, [], []
     for t in texts:
-        w = TOKEN.findall((t or "").lower())
+        w = TOKEN.findall(fold(t))
         lengths.append(len(w))
         found.extend(map(look, w))
     return np.array(found, dtype=np.int64), np.array(lengths, dtype=np.int64)
@@ -315,10 +325,8 @@ def score(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFram
                     ends = np.cumsum(lengths)
                     for i in np.unique(np.searchsorted(ends, np.flatnonzero(p >= 0.5), "right")) if spans else ():
                         own = p[ends[i] - lengths[i]:ends[i]]
-                        # lower() may change a text's length: offsets are taken on the text itself where it doesn't
-                        low = texts[i].lower()
                         found[i] = [{"start": m.start(), "end": m.end(), "probability": float(q)}
-                                    for m, q in zip(TOKEN.finditer(low if len(low) == len(texts[i]) else texts[i]), own)
+                                    for m, q in zip(TOKEN.finditer(fold(texts[i])), own)
                                     if q >= 0.5]
                 else:
                     s = np.zeros(len(texts))
@@ -338,5 +346,8 @@ def q_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = learn(docs, labels.where(~held_out(F.col("doc_id"), 3, 1)))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score",
-                                     F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    place = lambda x: F.concat_ws(":", x.start.cast("string"), x.end.cast("string"))
+    return score(docs, model, spans=True).select(
+        "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+        F.array_join(F.transform("spans", place), ",").alias("spans"))

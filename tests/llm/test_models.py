@@ -128,6 +128,26 @@ def test_secrets_query(spark):
 
 # ---------------------------------------------------------------- toxicity
 
+def test_spans_equal_marginals_of_all_taggings(spark):
+    field = random_field(6)
+    model = toxicity.Model({"bad": 1, "wors-": 2, "vile": 3}, field, np.array([1.0, 1.0, 1.0, 0.0]))
+    texts = ["you bad worse thing", "Vile \u0130stanbul, bad bad words", "nothing here", "", None, "bad", "worst 12 vile_bad \u00e9t\u00e9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.start, x.end, round(x.probability, 9)) for x in r.spans] for r in toxicity.score(docs, model, True).collect()}
+    for k, t in enumerate(texts):
+        tokens = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t or "")]
+        words = [(t[a:b].lower() if t[a:b].isascii() else t[a:b]) for a, b in tokens]
+        cls = np.array([1 if w == "bad" else 2 if w.startswith("wors") else 3 if w == "vile" else 0 for w in words], int)
+        want = []
+        if len(cls):
+            e = field.potentials(cls[None, :])[0]
+            tags = list(itertools.product((0, 1), repeat=len(cls)))
+            w = np.array([np.exp(sum(x * y for x, y in zip(g, e)) + sum(field.move[a, b] for a, b in zip(g, g[1:]))) for g in tags])
+            p = (np.array(tags) * w[:, None]).sum(axis=0) / w.sum()
+            want = [(a, b, round(float(q), 9)) for (a, b), q in zip(tokens, p) if q >= 0.5]
+        assert got[k] == want, t
+
+
 def random_field(seed, classes=4):
     rng = np.random.default_rng(seed)
     f = toxicity.Field(classes)
