@@ -84,7 +84,7 @@ def content_fingerprint(df: DataFrame, cols: list[str] | None = None, keys: list
 def byte_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """(source, n_files, bytes, sha256) for the files under ``path``.  A file
     is one value of a row here: for parts beyond 2 GB use the content
-    fingerprint."""
+    fingerprint.  Files without any byte are not read and don't count."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
              .select("path", "length", F.sha2(F.col("content"), 256).alias("h")))
     root = path.rstrip("/")
