@@ -208,21 +208,32 @@ def _null_if_empty_struct(fields: list[Column], names: list[str]) -> Column:
 _REPLACED = ["value", "distribution", "matrix", "input", "reproducibility", "revision_history"]
 
 
-def _fields(json: Column, path: str = "$") -> Column:
-    """Fields of an object as map<string, variant>; empty if it is none."""
-    v = F.call_function("try_variant_get", F.call_function("try_parse_json", json), F.lit(path),
-                        F.lit("map<string,variant>"))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row: as the variable of a
+    lambda it isn't repeated where ``body`` or a lambda in it uses it again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _fields(parsed: Column, path: str = "$") -> Column:
+    """Fields of a VARIANT object as map<string, variant>; empty if it is none."""
+    v = F.call_function("try_variant_get", parsed, F.lit(path), F.lit("map<string,variant>"))
     return F.coalesce(v, F.expr("cast(map() as map<string,variant>)"))
 
 
+def _parsed(json: Column) -> Column:
+    return F.call_function("try_parse_json", json)
+
+
 def _overlay(base: Column, over: Column, drop: list[str] | None = None) -> Column:
     """Fields of ``over``, and of ``base`` those that ``over`` lacks."""
-    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k) & ~k.isin(drop or [""])), over)
+    return _let(over, lambda o: F.map_concat(
+        F.map_filter(base, lambda k, _: ~F.map_contains_key(o, k) & ~k.isin(drop or [""])), o))
 
 
 def merge_documents(base: Column, change: Column, keep: list[str]) -> Column:
     """The document ``base`` with the fields of ``change``, but for ``keep``."""
-    return F.to_json(_overlay(_fields(base), F.map_filter(_fields(change), lambda k, _: ~k.isin(keep))))
+    changed = F.map_filter(_fields(_parsed(change)), lambda k, _: ~k.isin(keep))
+    return F.to_json(_overlay(_fields(_parsed(base)), changed))
 
 
 def to_document(t: DataFrame) -> DataFrame:
@@ -247,17 +258,20 @@ def to_document(t: DataFrame) -> DataFrame:
         F.col("revision_history"), F.col("decisions"), F.col("addresses"),
         F.col("group_by"), F.col("group_key")))
     pinned = F.transform("sources", lambda s: F.struct(s["path"].alias("path"), s["sha256"].alias("sha256")))
-    before = F.call_function("try_variant_get", F.call_function("try_parse_json", F.col("doc")), F.lit("$.input.sources"),
-                             F.lit("array<map<string,variant>>"))
-    sources = F.when(F.size(before) == F.size("sources"), F.zip_with(
-        before, pinned, lambda b, s: _overlay(b, _fields(F.to_json(s)), ["sha256"])))
-    sources = F.coalesce(sources, F.transform(pinned, lambda s: _fields(F.to_json(s))))
-    inputs = F.to_json(F.struct(sources.alias("sources"),
-                                F.coalesce(F.col("columns"), F.array().cast("array<string>")).alias("columns")))
+    inputs = lambda sources: F.to_json(F.struct(
+        sources.alias("sources"), F.coalesce(F.col("columns"), F.array().cast("array<string>")).alias("columns")))
     repro = F.to_json(F.struct(F.col("filters"), F.col("row_count").alias("row_count_after_filter")))
-    part = lambda path, json: F.call_function("parse_json", F.to_json(
-        _overlay(_fields(F.col("doc"), path), _fields(json), ["row_count_after_filter"])))
-    nested = F.create_map(F.lit("input"), part("$.input", inputs),
-                          F.lit("reproducibility"), part("$.reproducibility", repro))
-    doc = F.to_json(_overlay(_fields(F.col("doc")), F.map_concat(_fields(known), nested), _REPLACED))
+
+    def document(v: Column) -> Column:
+        before = F.call_function("try_variant_get", v, F.lit("$.input.sources"), F.lit("array<map<string,variant>>"))
+        fresh = F.transform(pinned, lambda s: _fields(_parsed(F.to_json(s))))
+        sources = _let(before, lambda b: _let(fresh, lambda f: F.when(F.size(b) == F.size(f), F.zip_with(
+            b, f, lambda x, y: _overlay(x, y, ["sha256"]))).otherwise(f)))
+        part = lambda path, json: _parsed(F.to_json(
+            _overlay(_fields(v, path), _fields(_parsed(json)), ["row_count_after_filter"])))
+        nested = F.create_map(F.lit("input"), part("$.input", inputs(sources)),
+                              F.lit("reproducibility"), part("$.reproducibility", repro))
+        return F.to_json(_overlay(_fields(v), F.map_concat(_fields(_parsed(known)), nested), _REPLACED))
+
+    doc = _let(_parsed(F.col("doc")), document)
     return t.select("project", "id", doc.alias("doc"))
