@@ -44,6 +44,7 @@ from claimledger.session import checkpoint_dir, materialize
 from claimledger.operators.lineage import cycles, transitive_freshness
 from claimledger.sources.records import flatten_records, sample_types
 from claimledger.sources.refresh import REMOVED, pins, refresh
+from claimledger.sources.raw_files import block_hashes, file_shapes, tree_roots
 from claimledger.sources.scan import scan_tree
 from claimledger.sources.ledger_io import read_ledger, split_json_arrays, write_ledger
 
@@ -521,6 +522,13 @@ def q_byte_fingerprint_lineitem(spark, sf):
 SQL_BYTE_FINGERPRINT = "SELECT 1::BIGINT AS n_files, count(*) > 0 AS has_bytes, true AS stable FROM lineitem"
 
 
+def q_file_trees(spark, sf):
+    """A8 by ranges: every table's files cut into blocks of 1 MB that many
+    tasks hash, and the root of each file's hash tree."""
+    blocks = materialize(block_hashes(spark, sf, 1 << 20))
+    return tree_roots(blocks).select(F.element_at(F.split("path", "/"), -1).alias("file"), "n_blocks", "bytes", "sha256")
+
+
 def q_source_sizes(spark, sf):
     """Sizes from a file listing only, WARN at a threshold of 0 MB so
     every cited source is reported (as in the size check's own test)."""
@@ -1127,6 +1135,22 @@ def _sql_scan_tree() -> str:
                                for t in tables)
 
 
+def q_file_shapes(spark, sf):
+    """A2: columns of every single file, read from the file itself."""
+    names = F.array_join(F.transform("columns", lambda c: c["name"]), ",")
+    return file_shapes(spark, sf).select(F.element_at(F.split("path", "/"), -1).alias("file"), "format",
+                                         F.col("n_cols").cast("long").alias("n_cols"), names.alias("columns"), "error")
+
+
+SQL_FILE_SHAPES = """
+SELECT table_name || '.parquet' AS file, 'parquet' AS format, count(*)::BIGINT AS n_cols,
+       string_agg(column_name, ',' ORDER BY ordinal_position) AS columns, NULL::VARCHAR AS error
+FROM information_schema.columns
+WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents',
+                     'embeddings', 'pages', 'benchmark', 'labels', 'conversations')
+GROUP BY table_name"""
+
+
 def q_json_array_ingest(spark, sf):
     """A4: one JSON-array ledger text per order, defects seeded by key: a
     non-object element, broken JSON, an object instead of an array."""
@@ -1623,6 +1647,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "content_fingerprint_orders": q_content_fingerprint_orders,
         "byte_fingerprint_lineitem": q_byte_fingerprint_lineitem,
         "source_sizes": q_source_sizes,
+        "file_trees": q_file_trees,
         "daily_events": q_daily_events,
         "freshness_daily": q_freshness_daily,
         "lineage_daily": q_lineage_daily,
@@ -1652,6 +1677,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "next_ids": q_next_ids,
         "update_revisions": q_update_revisions,
         "scan_tree": q_scan_tree,
+        "file_shapes": q_file_shapes,
         "json_array_ingest": q_json_array_ingest,
         "ledger_round_trip": q_ledger_round_trip,
         "load_manifests": q_load_manifests,
@@ -1766,6 +1792,7 @@ def _oracle_sql() -> dict[str, str]:
         "next_ids": SQL_NEXT_IDS,
         "update_revisions": SQL_UPDATE_REVISIONS,
         "scan_tree": _sql_scan_tree(),
+        "file_shapes": SQL_FILE_SHAPES,
         "json_array_ingest": SQL_JSON_ARRAY_INGEST,
         "ledger_round_trip": SQL_LEDGER_ROUND_TRIP,
         "load_manifests": SQL_LOAD_MANIFESTS,

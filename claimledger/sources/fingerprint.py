@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimledger import model as M
+from claimledger.sources import raw_files
 
 
 def exact_double(c: Column) -> Column:
@@ -82,11 +83,18 @@ def content_fingerprint(df: DataFrame, cols: list[str] | None = None, keys: list
 
 
 def byte_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(source, n_files, bytes, sha256) for the files under ``path``.  A file
-    is one value of a row here: for parts beyond 2 GB use the content
-    fingerprint.  Files without any byte are not read and don't count."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .select("path", "length", F.sha2(F.col("content"), 256).alias("h")))
+    """(source, n_files, bytes, sha256) for the files under ``path``, of any
+    length: each is hashed in one pass of constant memory (for one file hashed
+    by many tasks see ``raw_files.tree_roots``).  Only where tasks can't open
+    the scheme themselves a file is one value of a row, up to 2 GB.  Files
+    without any byte are not read and don't count."""
+    listed = raw_files.listing(spark, path)
+    one = listed.select("path").first()
+    if one is None or raw_files.scheme_of(one["path"]) in raw_files.SCHEMES:
+        files = raw_files.whole_hashes(listed).withColumnRenamed("sha256", "h")
+    else:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                 .select("path", "length", F.sha2(F.col("content"), 256).alias("h")))
     root = path.rstrip("/")
     rel = F.regexp_replace(F.col("path"), r"^.*?" + root.replace(".", r"\.").lstrip("/") + "/?", "")
     named = files.select(rel.alias("name"), "length", "h",
