@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimledger import model as M
+from claimledger.session import materialize
 
 
 def _v(path: str) -> Column:
@@ -162,17 +163,20 @@ def write_ledger(ledger: DataFrame, root: str) -> str:
     job leaves the version before it published.
     """
     spark = ledger.sparkSession
-    if not document_violations(ledger).isEmpty():
-        raise ValueError("every document must be a JSON object")
+    stored = materialize(ledger.select("project", "doc"))  # checked and written from text that is computed once
     infinite = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
-    t = typed(ledger)
-    bad = t.where(infinite(F.col("value_num")) | F.exists(F.map_values("distribution"), infinite)
-                  | F.exists("matrix", lambda row: F.exists(row, infinite)))
-    if not bad.isEmpty():
+    # one aggregate, no filter: a filter is pushed below the parse and repeats it for every field it reads
+    t = typed(parse(stored).withColumn("_object", is_object(F.expr("schema_of_variant(v)"))), ["_object"])
+    found = t.agg(F.count_if(~F.col("_object")).alias("others"),
+                  F.count_if(infinite(F.col("value_num")) | F.exists(F.map_values("distribution"), infinite)
+                             | F.exists("matrix", lambda row: F.exists(row, infinite))).alias("infinite")).first()
+    if found["others"]:
+        raise ValueError("every document must be a JSON object")
+    if found["infinite"]:
         raise ValueError("numbers must be finite (no NaN/Inf)")
     root = root.rstrip("/")
     version = f"{root}/version={uuid.uuid4().hex}"
-    ledger.select("project", "doc").write.mode("error").parquet(version)
+    stored.write.mode("error").parquet(version)
     last = _pointers(spark, root)
     n = (last[0][0] if last else 0) + 1
     spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("error").text(f"{root}/pointers/n={n}")
