@@ -52,6 +52,7 @@ def _extract(p: DataFrame) -> DataFrame:
         get("$.quote", "string").alias("s_quote"), get("$.source_locator", "string").alias("s_locator"),
         get("$.measurement_ref", "string").alias("s_mref"),
         get("$.tolerance.abs", "double").alias("d_tol_abs"), get("$.tolerance.rel", "double").alias("d_tol_rel"),
+        get("$.value", "double").alias("d_value"),
         size("$.matrix").alias("n_matrix"), size("$.revision_history").alias("n_rev"),
         size("$.caveats").alias("n_caveats"), size("$.input.sources").alias("n_sources"),
         F.col("v").isNotNull().alias("is_finding"),

@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimledger import model as M
-from claimledger.operators.checks import structural_checks
+from claimledger.operators.checks import extracted, structural_checks
 from claimledger.plans.replay import compute_groups, distinct_groups, precheck
 from claimledger.registry import Registry
 from claimledger.session import materialize
-from claimledger.sources.ledger_io import merge_documents, parse, to_document, typed
+from claimledger.sources.ledger_io import get, is_number, is_object, merge_documents, parse, to_document, typed
 
 # Checks that registration does not enforce: history and caveats are
 # stamped by registration itself; measure resolution happens at replay.
@@ -29,20 +29,24 @@ REVISION_SCHEMA = "project string, id string, rev int, doc string"
 
 def _reject_reasons(incoming: DataFrame) -> DataFrame:
     """(project, id, reason) for every write-time defect."""
-    p = parse(incoming)
-    not_json = p.where(F.col("v").isNull() | ~F.expr("schema_of_variant(v)").startswith("OBJECT")).select(
+    x = extracted(incoming)  # the documents are parsed once; all reasons come from the stored columns
+    not_json = x.where(~F.col("is_finding")).select(
         "project", F.lit(None).cast("string").alias("id"), F.lit("ledger:parses").alias("reason"))
-    chk = structural_checks(p).where(
+    chk = structural_checks(x).where(
         (F.col("severity") == M.FAIL) & ~F.col("check").isin(_NOT_AT_WRITE)
         & ~((F.col("check") == "schema:required") & F.col("detail").isin("revision_history", "caveats")))
     chk = chk.select("project", F.col("finding_id").alias("id"), F.col("check").alias("reason"))
-    t = typed(p)
-    nonfinite = t.where(F.col("value_num").isNotNull() & (F.isnan("value_num")
-                        | (F.abs("value_num") == float("inf")))).select(
-        "project", "id", F.lit("value:finite").alias("reason"))
+    nonfinite = x.where(is_number(F.col("t_value")) & (F.isnan("d_value") | (F.abs("d_value") == float("inf")))).select(
+        "project", F.col("s_id").alias("id"), F.lit("value:finite").alias("reason"))
     return not_json.unionByName(chk).unionByName(nonfinite)
 
 
+def _ids(ledger: DataFrame) -> DataFrame:
+    """(project, id, doc); the id is NULL where the document is no object or has none."""
+    v = F.when(is_object(F.expr("schema_of_variant(v)")), F.col("v"))
+    return parse(ledger).withColumn("v", v).select("project", get("$.id", "string").alias("id"), "doc")
+
+
 def stamp_fingerprints(t: DataFrame, fingerprints: DataFrame | None) -> DataFrame:
     """Fill only the missing fingerprints of sources that are present.
 
@@ -76,19 +80,21 @@ def register(ledger: DataFrame, incoming: DataFrame, reason: str, now: str | Col
     and stamped fingerprints; all their other fields are kept.
     """
     now_c = now if isinstance(now, Column) else F.lit(now)
-    existing = typed(ledger).select("project", "id").distinct()
-    t = typed(incoming)
-    copies = t.where(F.col("id").isNotNull()).groupBy("project", "id").agg(
-        F.count(F.lit(1)).alias("count"), F.min("doc").alias("first"))
+    known = _ids(ledger).select("project", "id").distinct()
+    # stored once, with the id: every branch below reads the text again, and a filter on an id that
+    # is still to be parsed would be pushed below the parse
+    batch = materialize(_ids(incoming))
+    t = batch.where(F.col("id").isNotNull())
+    copies = t.groupBy("project", "id").agg(F.count(F.lit(1)).alias("count"), F.min("doc").alias("first"))
     dup_batch = copies.where("count > 1").select("project", "id", F.lit("ids:duplicate_in_batch").alias("reason"))
-    exists = t.join(existing, ["project", "id"], "left_semi").select(
+    exists = copies.select("project", "id").join(known, ["project", "id"], "left_semi").select(
         "project", "id", F.lit("ids:exists").alias("reason"))
-    rejected = _reject_reasons(incoming).unionByName(exists)
+    # read twice: for the keys that are left out, and as the answer
+    rejected = materialize(_reject_reasons(batch.select("project", "doc")).unionByName(exists).distinct())
     bad_keys = rejected.select("project", "id").where(F.col("id").isNotNull()).distinct()
     rejected = rejected.unionByName(dup_batch)
-    ok = t.where(F.col("id").isNotNull()).join(bad_keys, ["project", "id"], "left_anti")
-    ok = (ok.join(copies.select("project", "id", F.col("first").alias("doc")), ["project", "id", "doc"], "left_semi")
-            .dropDuplicates(["project", "id"]))  # equal copies
+    ok = copies.select("project", "id", F.col("first").alias("doc")).join(bad_keys, ["project", "id"], "left_anti")
+    ok = typed(ok.where(F.col("project").isNotNull()).select("project", "doc"))
     ok = (ok.withColumn("caveats", F.coalesce("caveats", F.array().cast("array<string>")))
             .withColumn("revision_history", F.array(F.struct(now_c.alias("timestamp"),
                                                              F.lit(reason).alias("reason")))))
