@@ -15,11 +15,11 @@ the one below which LOST of labelled documents lie.
 
 Learning: dictionaries hold at most DICTIONARY_BYTES, cut from a sample of
 at most SAMPLE_DOCS labelled documents per language (the smallest id
-hashes; both are documented bounds of the classifier, the only sample
+hashes; both are documented bounds of the dictionaries, the only sample
 here).  One labelled document in RESERVE stays out of the dictionaries, in
-languages that have enough to fill them; about MARGIN_DOCS of these at most
-set the narrow saving.  Where they are too few to tell LOST of them it is
-NARROW, and it is never below the curve's midpoint.  The midpoint and slope
+languages that have enough to fill them; all of these set the narrow saving,
+from counts of their savings in steps of 1 / STEPS.  Where they are too few to
+tell LOST of them it is NARROW, and it is never below the curve's midpoint.  The midpoint and slope
 are constants of the margin's scale.
 
 Defined cases: null text, empty text and text without a letter give ``und``
@@ -51,8 +51,8 @@ MIDDLE, WIDTH = 0.01, 0.01
 #: Share of labelled documents that may be rejected, the bytes that a best language saves at least,
 #: and the narrow saving where too few documents are labelled.
 LOST, MIN_BYTES, NARROW = 0.015, 5, 0.03
-#: One labelled document in RESERVE is for the margin, and how many of these are scored.
-RESERVE, MARGIN_DOCS = 8, 4000
+#: One labelled document in RESERVE is for the margin; savings are counted in steps.
+RESERVE, STEPS = 8, 1_000_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -101,8 +101,7 @@ def learn(labelled: DataFrame) -> Dictionaries:
         pieces.setdefault(r["lang"], []).append(r["piece"])
     order = sorted(pieces, key=lambda k: (-counts[k], k))
     out = Dictionaries({k: letters(" ".join(pieces[k]))[-DICTIONARY_BYTES:] for k in order})
-    some = min(1.0, MARGIN_DOCS * RESERVE / sum(counts.values()))
-    out.narrow = _narrow(margin.where(F.pmod(F.shiftright(h, 16), F.lit(1 << 20)) < some * (1 << 20)), out)
+    out.narrow = _narrow(margin, out)
     return out
 
 
@@ -111,12 +110,19 @@ def _narrow(labelled: DataFrame, dictionaries: Dictionaries) -> float:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(dictionaries)
         for b in batches:
-            got = [model.predict(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([g[2] for g in got], pa.float64())], names=["saving"])
-
-    savings = sorted(r["saving"] for r in labelled.select("text").mapInArrow(run, "saving double").collect())
-    at = int(LOST * len(savings))
-    return max(MIDDLE, savings[at]) if at else NARROW
+            got = [int(model.predict(t.as_py())[2] * STEPS) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["step"])
+
+    steps = (labelled.select("text").mapInArrow(run, "step long").groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+             .orderBy("step").collect())
+    at = int(LOST * sum(r["n"] for r in steps))
+    if not at:
+        return NARROW
+    for r in steps:
+        at -= r["n"]
+        if at < 0:
+            break
+    return max(MIDDLE, r["step"] / STEPS)
 
 
 class Model:
