@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimledger.llm import huffman
-from claimledger.llm.common import lean, materialize, parts, resident, scratch, table, text_slices
+from claimledger.llm.common import lean, materialize, parts, release, resident, scratch, table, text_slices
 from claimledger.llm.files import Ranges, committed, make_dir
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -180,6 +180,7 @@ def write_files(encoded: DataFrame, lengths: np.ndarray, folder: str) -> DataFra
     known = lengths.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # the encoder and its pieces would stay next to the files' buffers
         rows = ((d, n, raw) for b in batches for part in text_slices(b, "ids")
                 for d, n, raw in zip(*[part.column(c).to_pylist() for c in ("doc_id", "n", "ids")]))
         first = next(rows, None)
@@ -206,6 +207,7 @@ def write_files(encoded: DataFrame, lengths: np.ndarray, folder: str) -> DataFra
 def read_files(manifest: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("before").to_pylist()):
                 with Ranges(path) as f:
