@@ -1,4 +1,4 @@
-"""evaluate(): compute many measures over filtered frames in two scans.
+"""evaluate(): compute many measures over filtered frames.
 
 All algebraic parts of all measures go into ONE aggregate together with the
 row count (partial aggregation map-side).  Everything that needs values in
@@ -10,11 +10,11 @@ however many measures and groups ask for them.  Python measures take one
 scan more (two where both forms occur): built-in and Python aggregates
 can't share one.
 
-``evaluate_groups`` goes further for replay: every (rule chain, key column)
-group over one source is evaluated from the same two scans.  Each row is
-expanded into one copy per group it survives (masks applied per group,
-dropped copies never materialised); the group index then becomes an ordinary
-grouping key.
+``evaluate_groups`` evaluates every (rule chain, key column) group over one
+source in the same two jobs.  Each group reads the columns of its own
+measures with its own filters (both reach the scan) and is aggregated for
+these alone; a row is never copied per group, so what a row costs doesn't
+grow with the measures that other groups ask for.
 """
 
 from __future__ import annotations
@@ -27,23 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimledger.operators.ordered import cumulate, join_null_safe
-from claimledger.registry import (Agg, Measure, PyAgg, PyFold, Quantile, RankCorr, RowsPerUnit, Rule,
-                                  chain_columns)
+from claimledger.registry import Agg, Measure, PyAgg, PyFold, Quantile, RankCorr, RowsPerUnit, Rule
 from claimledger.session import materialize
 
 VALUE_COLS = ["measure", "part", "num", "flag"]
 
 
-def referenced_columns(df: DataFrame, exprs: list[Column]) -> set[str]:
-    """Names of the columns of ``df`` the expressions read (analysis only)."""
-    names: set[str] = set()
-    for e in exprs:
-        it = df.limit(0).agg(e)._jdf.queryExecution().analyzed().references().iterator()
-        while it.hasNext():
-            names.add(it.next().name())
-    return names
-
-
 def _part_exprs(m: Measure) -> list[Column]:
     out = []
     for _, spec in m.parts:
@@ -77,18 +66,21 @@ def analyse(df: DataFrame, measures: list[Measure]) -> tuple[list[Measure], dict
     return good, bad
 
 
-def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = None,
-             usage: dict[str, list[int]] | None = None) -> tuple[DataFrame, DataFrame]:
+Frame = tuple  # (DataFrame, names of the measures it is evaluated for)
+
+
+def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Return (rows, values).
 
     rows:   (keys..., rows)                       one row per key group
     values: (keys..., measure, part, num, flag)   one row per measure part
-
-    ``usage`` (fused groups only) maps a measure to the ``_g`` values whose
-    claims use it: the counted entries (quantiles, ranks, units) then only
-    hold rows of those groups.
     """
-    keys = list(keys or [])
+    return _evaluate([(df, {m.name for m in measures})], measures, list(keys or []))
+
+
+def _evaluate(frames: list[Frame], measures: list[Measure], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``evaluate`` over several frames of the same keys, each for its own
+    measures: one job for what is algebraic, one for the counted values."""
     aggs: list[tuple[str, str, Column, bool]] = []
     quants: dict[str, tuple[Column, list[tuple[str, str, float]]]] = {}
     ranks: dict[tuple[str, str], list[tuple[str, str]]] = {}
@@ -110,51 +102,54 @@ def evaluate(df: DataFrame, measures: list[Measure], keys: list[str] | None = No
             else:
                 raise TypeError(f"unknown measure part {spec!r}")
 
-    main = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[expr.alias(f"_a{i}") for i, (_, _, expr, _) in enumerate(aggs)])
+    main = reduce(DataFrame.unionByName, [_algebraic(df, keys, [a for a in aggs if a[0] in names]) for df, names in frames])
     if keys and aggs:
-        main = materialize(main)  # one row per group: row counts and values read it
-    rows = main.select(*keys, F.col("_rows").cast("long").alias("rows"))
+        main = materialize(main)  # one row per group and part: row counts and values read it
+    rows = main.where(F.col("measure").isNull()).select(*keys, "rows")
 
-    frames = []
+    found = []
     if aggs:
-        structs = [F.struct(F.lit(mn).alias("measure"), F.lit(pn).alias("part"),
-                            (F.lit(None).cast("double") if b else F.col(f"_a{i}").cast("double")).alias("num"),
-                            (F.col(f"_a{i}").cast("boolean") if b else F.lit(None).cast("boolean")).alias("flag"))
-                   for i, (mn, pn, _, b) in enumerate(aggs)]
-        frames.append(main.select(*keys, F.inline(F.array(*structs))))
+        found.append(main.where(F.col("measure").isNotNull()).select(*keys, *VALUE_COLS))
     if quants or ranks or units:
-        counted = _counted(df, keys, list(quants.values()), ranks, list(units.values()), usage)
+        counted = _counted(frames, keys, list(quants.values()), ranks, list(units.values()))
         if quants or ranks:
             cum = _cumulated(counted, keys)
             if quants:
-                frames.append(_quantiles(cum, keys, list(quants.values())))
+                found.append(_quantiles(cum, keys, list(quants.values())))
             if ranks:
-                frames.append(_rank_corrs(counted, cum, keys, ranks))
+                found.append(_rank_corrs(counted, cum, keys, ranks))
         if units:
-            frames.append(_rows_per_unit(counted, keys, list(units.values())))
+            found.append(_rows_per_unit(counted, keys, list(units.values())))
 
     for kind, run in ((PyAgg, _py_whole), (PyFold, _py_folded)):
-        some = [p for p in pys if isinstance(p[2], kind)]
-        if some:
-            frames.append(run(df.where(_needed_by(usage, [p[0] for p in some])) if usage is not None else df, keys, some))
+        for df, names in frames:
+            some = [p for p in pys if isinstance(p[2], kind) and p[0] in names]
+            if some:
+                found.append(run(df, keys, some))
 
-    if not frames:
+    if not found:
+        df = frames[0][0]
         schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
                            + ["measure string", "part string", "num double", "flag boolean"])
         values = df.sparkSession.createDataFrame([], schema)
     else:
-        values = reduce(DataFrame.unionByName, frames)
+        values = reduce(DataFrame.unionByName, found)
     return rows, values
 
 
-def _needed_by(usage: dict[str, list[int]] | None, names: list[str]) -> Column:
-    """Predicate: this row's group uses one of the measures ``names``."""
-    if usage is None:
-        return F.lit(True)
-    groups = sorted({g for n in names for g in usage.get(n, [])})
-    return F.col("_g").isin(groups) if groups else F.lit(False)
+def _algebraic(df: DataFrame, keys: list[str], aggs: list[tuple[str, str, Column, bool]]) -> DataFrame:
+    """(keys..., measure, part, num, flag, rows): one row per part, and one
+    with the row count and no measure."""
+    text, none = F.lit(None).cast("string"), F.lit(None).cast("double")
+    entry = lambda mn, pn, num, flag, rows: F.struct(
+        mn.alias("measure"), pn.alias("part"), num.alias("num"), flag.alias("flag"), rows.alias("rows"))
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("_rows"),
+                              *[expr.alias(f"_a{i}") for i, (_, _, expr, _) in enumerate(aggs)])
+    structs = [entry(text, text, none, F.lit(None).cast("boolean"), F.col("_rows"))]
+    structs += [entry(F.lit(mn), F.lit(pn), none if b else F.col(f"_a{i}").cast("double"),
+                      F.col(f"_a{i}").cast("boolean") if b else F.lit(None).cast("boolean"), F.lit(None).cast("long"))
+                for i, (mn, pn, _, b) in enumerate(aggs)]
+    return g.select(*keys, F.inline(F.array(*structs)))
 
 
 def _py_values(g: DataFrame, keys: list[str], pys) -> DataFrame:
@@ -208,25 +203,29 @@ def _py_folded(df: DataFrame, keys: list[str], pys) -> DataFrame:
                       keys, pys)
 
 
-def _counted(df: DataFrame, keys: list[str], quants, ranks, units, usage) -> DataFrame:
+def _counted(frames: list[Frame], keys: list[str], quants, ranks, units) -> DataFrame:
     """(keys..., _s, _x, _y, _u, cnt): how often each value, pair of values
-    or unit occurs.  ``_s`` names the part: q<i>, r<i>, u<i>."""
+    or unit occurs.  ``_s`` names the part: q<i>, r<i>, u<i>.  Every frame is
+    read once per part that its measures ask for, with that part's columns."""
     none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
-
-    def entry(name, x, y, u, names, good):
-        return F.struct(F.lit(name).alias("_s"), x.alias("_x"), y.alias("_y"), u.alias("_u"),
-                        (_needed_by(usage, names) & good).alias("_use"))
     entries = []
-    for i, (expr, uses) in enumerate(quants):
-        v = expr.cast("double")
-        entries.append(entry(f"q{i}", v, none, text, [n for n, _, _ in uses], v.isNotNull()))
-    for i, ((x, y), uses) in enumerate(ranks.items()):
-        a, b = F.col(x).cast("double"), F.col(y).cast("double")
-        entries.append(entry(f"r{i}", a, b, text, [n for n, _ in uses], a.isNotNull() & b.isNotNull()))
-    for i, (unit, uses) in enumerate(units):
-        entries.append(entry(f"u{i}", none, none, unit.cast("string"), [n for n, _ in uses], F.lit(True)))
-    one = df.select(*keys, F.explode(F.filter(F.array(*entries), lambda e: e["_use"])).alias("_e"))
-    one = one.select(*keys, "_e._s", "_e._x", "_e._y", "_e._u")
+    for df, names in frames:
+        def entry(name, x, y, u, good=None):
+            own = df.where(good) if good is not None else df
+            entries.append(own.select(*keys, F.lit(name).alias("_s"), x.alias("_x"), y.alias("_y"), u.alias("_u")))
+
+        for i, (expr, uses) in enumerate(quants):
+            if any(n in names for n, _, _ in uses):
+                v = expr.cast("double")
+                entry(f"q{i}", v, none, text, v.isNotNull())
+        for i, ((x, y), uses) in enumerate(ranks.items()):
+            if any(n in names for n, _ in uses):
+                a, b = F.col(x).cast("double"), F.col(y).cast("double")
+                entry(f"r{i}", a, b, text, a.isNotNull() & b.isNotNull())
+        for i, (unit, uses) in enumerate(units):
+            if any(n in names for n, _ in uses):
+                entry(f"u{i}", none, none, unit.cast("string"))
+    one = reduce(DataFrame.unionByName, entries)
     return materialize(one.groupBy(*keys, "_s", "_x", "_y", "_u").agg(F.count(F.lit(1)).alias("cnt")))
 
 
@@ -299,43 +298,19 @@ def _rank_corrs(counted: DataFrame, cum: DataFrame, keys: list[str],
                         F.lit(None).cast("boolean").alias("flag")))
 
 
-def stack_groups(df: DataFrame, groups: list[tuple[list[Rule], str | None]], needed: set[str]) -> DataFrame:
-    """One scan, many rule chains: (_g, _gk, needed columns...) with one row
-    per (input row, group it survives).  Only row-local chains are allowed."""
-    cols = [c for c in df.columns if c in needed]
-    structs, flags = [], []
-    for g, (chain, key) in enumerate(groups):
-        acc, flag = chain_columns(chain, cols)
-        flags.append(flag)
-        gk = acc.get(key, F.col(key)).cast("string") if key else F.lit(None).cast("string")
-        structs.append(F.struct(F.lit(g).alias("_g"), gk.alias("_gk"), flag.alias("_keep"),
-                                *[acc[c].alias(c) for c in cols]))
-    kept = F.filter(F.array(*structs), lambda s: s["_keep"])
-    # rows no chain keeps never leave the scan (flags are written over the
-    # original columns, so their OR is a valid, pushable pre-filter)
-    if flags:
-        df = df.where(reduce(lambda a, b: a | b, flags))
-    return (df.select(F.explode(kept).alias("_s"))
-              .select(F.col("_s._g").alias("_g"), F.col("_s._gk").alias("_gk"), *[F.col(f"_s.{c}") for c in cols]))
-
-
 def evaluate_groups(df: DataFrame, groups: list[tuple[list[Rule], str | None]], measures: list[Measure],
                     usage: dict[str, list[int]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """All groups over one source from two scans: (rows, values) keyed by
-    (_g, _gk).  Algebraic measures are evaluated for every group (the extra
-    work is CPU on rows already in memory; the scan is shared)."""
-    exprs = [e for m in measures for e in _part_exprs(m)]
-    rule_exprs = []
-    for chain, key in groups:
-        for r in chain:
-            if r.keep is not None:
-                rule_exprs.append(F.max(r.keep(F.col)))
-            rule_exprs += [F.max(m(F.col)) for _, m in r.masks]
-        if key:
-            rule_exprs.append(F.max(F.col(key)))
-    needed = referenced_columns(df, exprs + rule_exprs) if exprs or rule_exprs else set()
-    stacked = stack_groups(df, groups, needed)
-    return evaluate(stacked, measures, ["_g", "_gk"], usage)
+    """All groups over one source: (rows, values) keyed by (_g, _gk).
+
+    ``usage`` maps a measure to the groups whose claims use it (None: every
+    measure is evaluated for every group)."""
+    frames = []
+    for g, (chain, key) in enumerate(groups):
+        own = reduce(lambda d, r: r.apply(d), chain, df)
+        gk = F.col(key).cast("string") if key else F.lit(None).cast("string")
+        frames.append((own.withColumns({"_g": F.lit(g), "_gk": gk}),
+                       {m.name for m in measures if usage is None or g in usage.get(m.name, [])}))
+    return _evaluate(frames, measures, ["_g", "_gk"])
 
 
 def assemble(values: DataFrame, measures: list[Measure], keys: list[str] | None = None) -> DataFrame:

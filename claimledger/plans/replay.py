@@ -1,8 +1,8 @@
 """Replay (D8-D10) and computed registration's shared ``evaluate`` path.
 
 Claims are grouped by (source, rule chain, key column).  All groups over one
-source share two scans: an aggregate with every algebraic measure and the row
-count, and one table of counted values for quantiles, ranks and units.
+source share two jobs: aggregates with the algebraic measures and row counts,
+and one table of counted values for quantiles, ranks and units.
 Results are joined back to the claims, which stay distributed the whole time:
 a ledger with one claim per customer is a join, not a loop.
 
@@ -141,7 +141,7 @@ def compute_groups(spark: SparkSession, groups: list[tuple[str, str, str | None,
                    registry: Registry) -> tuple[DataFrame, DataFrame, dict[tuple, str]]:
     """Evaluate every (source, rule chain, key column) group.
 
-    Groups over one source whose chains are row-local share the scans
+    Groups over one source whose chains are row-local share the jobs
     (``evaluate_groups``); a chain holding a frame-level rule is evaluated
     on its own.  ``groups`` items are (source, fkey, group_by, measure
     names).  Returns (results, rows, broken) where broken maps
