@@ -49,7 +49,8 @@ CACHED, CACHED_EACH, CACHED_CHARS = 96 << 20, 200, 48
 BLANK = "\t-\r \x85\xa0  -     　"
 # A range of letters, and punctuation that no contraction starts with.
 LATIN, AFTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af", r".,;:!?%*#&$|)\]\"-"
-PIECE = re.compile(f"[{BLANK}]*+(?:[{LATIN}]++(?:(?=[{AFTER}])|[^{BLANK}]*+)|[^{BLANK}]++)|[{BLANK}]++")
+# The first choice is what the others would find, too, and found fastest: a plain word behind at most one space.
+PIECE = re.compile(f" ?[A-Za-z]++(?=[ {AFTER}])|[{BLANK}]*+(?:[{LATIN}]++(?:(?=[{AFTER}])|[^{BLANK}]*+)|[^{BLANK}]++)|[{BLANK}]++")
 #: Pieces that the splitter leaves whole.
 WORD = re.compile(f" ?(?:[{LATIN}]+|[0-9]+)")
 #: Byte-level vocabularies write printable bytes as themselves, all others as characters from 256 on.

@@ -1,5 +1,6 @@
 """Operators 1 and 4: coding, archives and their round trips."""
 
+import re
 import gzip
 import io
 import zipfile
@@ -187,3 +188,12 @@ def test_archives_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     manifest = materialize(zipwarc.write_packages(zipwarc.record_types(pages), scratch(spark, "wacz")))
     assert manifest.count() == 0 and zipwarc.read_packages(manifest).count() == 0
+
+
+def test_the_fast_choice_finds_the_pieces_of_the_others():
+    fast, rest = tokens.PIECE.pattern.split("|", 1)
+    assert fast == f" ?[A-Za-z]++(?=[ {tokens.AFTER}])"
+    rng, slow = np.random.default_rng(6), re.compile(rest)
+    for _ in range(2000):
+        t = "".join(rng.choice(["a", "Bc", "\u00e9", "7", " ", "  ", "\n", "\u00a0", ",", ".", "'s", "-", "$", "\u4e2d"], 14))
+        assert tokens.PIECE.findall(t) == slow.findall(t)
