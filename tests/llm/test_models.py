@@ -108,6 +108,24 @@ def test_network_adds_unruled_values_and_nothing_else(spark):
     assert got == {1: [("model", 18, 40)], 2: [], 3: [], 4: [("assign", 0, 49), ("hex", 9, 49)], 5: [], 6: []}
 
 
+def test_all_labelled_findings_are_learnt_from(spark):
+    """13,000 candidates, and one of 2000 characters: none is left out, no piece either."""
+    rows = [(i, " ".join(f"a{i}x{j}z" for j in range(1000, 1100))) for i in range(130)] + [(130, "k" * 2000), (131, None)]
+    found = secrets.labelled_findings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.count() == 13_001
+    assert found.where("length = 2000").selectExpr("size(w)", "size(marks)").first() == (42, 42)
+
+
+def test_many_tasks_learn_one_network(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SHARE", 300)
+    docs = findings(spark, 1200)
+    one, two = secrets.learn(docs), secrets.learn(docs.repartition(5))
+    assert min(one.recall.values()) >= 0.9
+    assert all((one.p[k] == two.p[k]).all() for k in one.p) and abs(one.threshold - two.threshold) < 1e-6
+    got = {r.doc_id: [f.kind for f in r.findings] for r in secrets.scan(docs, one).collect()}
+    assert not any("model" in kinds for i, kinds in got.items() if i % 6 > 2)
+
+
 def test_scan_of_odd_documents(odd, empty):
     assert secrets.learn(odd) is None and secrets.learn(empty) is None
     got = {r.doc_id: r.findings for r in secrets.scan(odd, None).collect()}
