@@ -7,6 +7,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -197,3 +198,40 @@ def test_the_fast_choice_finds_the_pieces_of_the_others():
     for _ in range(2000):
         t = "".join(rng.choice(["a", "Bc", "\u00e9", "7", " ", "  ", "\n", "\u00a0", ",", ".", "'s", "-", "$", "\u4e2d"], 14))
         assert tokens.PIECE.findall(t) == slow.findall(t)
+
+
+def test_only_new_pieces_are_handled_one_by_one(monkeypatch):
+    encoder, seen = tokens.Encoder(PATH), {"split": 0, "words": 0}
+
+    class Counting:
+        def findall(self, text, split=tokens.PIECE.findall):
+            seen["split"] += len(text)
+            return split(text)
+
+    monkeypatch.setattr(tokens, "PIECE", Counting())
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    texts = [" ".join(np.random.default_rng(k).choice(words, 400)) + ",\nEnd." for k in range(20)]
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+    assert seen["split"] < 100  # of 20 times 1600 characters
+    encoder.words = lambda words: seen.update(words=seen["words"] + len(words)) or []
+    assert encoder.encode(texts[::-1]) == [encoder.whole(t) for t in texts[::-1]] and seen["words"] == 0
+
+
+def test_batches_of_texts_equal_whole_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 40)  # pieces are forgotten and found again
+    encoder, rng = tokens.Encoder(PATH), np.random.default_rng(7)
+    parts = ["a", "Bc", "\u00e9", "\u00d7", "\u02b0", "\u0416", "7", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u0085", "\u2003", "\u3000",
+             "\u201cq\u201d", "\u2014", "\u1200", "\u1680", ",", ".", "'s", "'", "-", "$", "\u4e2d", "\U0001f600", "\x1c", "<|endoftext|>", "x" * 60]
+    for _ in range(150):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(12)]
+        assert encoder.encode(texts, b"\2\0") == [encoder.whole(t) + b"\2\0" for t in texts]
+        assert encoder.encode(pa.array(["cut", *texts, "off"]).slice(1, 12)) == [encoder.whole(t) for t in texts]
+        assert len(encoder.known) <= 40
+
+
+def test_small_batches_are_gathered():
+    batches = [pa.RecordBatch.from_pydict({"text": ["x" * n, None]}) for n in (10, 20, 5000, 30)]
+    got = list(tokens.gathered(iter(batches), 1000))
+    assert [b.num_rows for b in got] == [6, 2]
+    assert [t for b in got for t in b.column(0).to_pylist()] == [t for b in batches for t in b.column(0).to_pylist()]
+    assert list(tokens.gathered(iter([]), 1000)) == []
